@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def literal_array(values: Iterable, of: str) -> Column:
+    """A constant array, written as one string so that building it takes one call."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{of}>")
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array; white space at the ends makes no empty word."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")

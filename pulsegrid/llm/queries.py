@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, language, secrets, tokencount
+from pulsegrid.llm import bpe, decontam, fingerprint, language, secrets, tokencount, urls
 from pulsegrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -17,6 +17,10 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.token_digests(bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
@@ -38,5 +42,14 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_secret_scan, op6_language_id, op7_token_count)}
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op4_secret_scan, op6_language_id, op7_token_count, op9_url_filter, op10_fingerprint)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,132 @@
+"""URL filter: host and path rules first, else a logistic regression on hashed character n-grams of host and path.
+
+The regression is fitted by Spark on :data:`LABELLED`, a small table of labelled urls, and applied with SQL functions.
+
+Results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the regression's
+intercept; repeated rows and ties need no treatment; an empty table gives an empty result; other columns are not read.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Sequence
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.llm.common import literal_array
+
+# Verdict, host, path prefix.
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+BUCKETS = 1024
+GRAMS = (3, 4)
+#: Labelled urls: the label, host and path; "block" for spam, scams and adult or gambling pages.
+LABELLED = """
+block spam-farm.example.org /en/1
+block best-casino-bonus.example.com /win/free-spins
+block cheap-pills.example.org /buy/now.html
+block free-money-fast.example.com /click?offer=1
+block hot-singles.example.net /xxx/join
+block spam-links.example.com /seo/backlinks
+block casino.example.org /poker/slots
+block win-prize.example.info /claim/prize
+block replica-watches.example.com /sale/cheap
+block adult-videos.example.org /xxx/1.html
+block payday-loans.example.com /apply/fast
+block click-farm.example.net /traffic/buy
+block lottery-winner.example.org /claim
+block crypto-doubler.example.com /invest/double
+block viagra-shop.example.com /buy/pills
+block torrent-crack.example.org /keygen/free
+block spam.example.com /fr/12
+block link-farm.example.org /de/77
+block bonus-slots.example.net /casino/en/8
+block sexcam.example.com /live/xxx
+block buy-followers.example.com /cheap/likes
+block malware-download.example.org /free/setup.exe
+block phishing-login.example.com /verify/account
+block betting-tips.example.com /odds/win
+allow www.example.com /en/12
+allow blog.example.org /en/2021/my-post.html
+allow m.example.com /fr/45
+allow docs.example.org /reference/guide.html
+allow news.example.com /world/story/9
+allow library.example.org /catalog/item/44
+allow shop.example.com /es/product/18
+allow university.example.org /research/papers
+allow wiki.example.org /en/History
+allow museum.example.org /exhibits/2020
+allow recipes.example.com /soup/onion
+allow www.example.org /es/300
+allow theatre.example.com /program/may
+allow forum.example.org /topic/72
+allow weather.example.com /today
+allow garden.example.org /en/roses.html
+allow travel.example.com /fr/paris
+allow sports.example.com /league/table
+allow science.example.org /articles/physics
+allow city.example.org /council/minutes
+allow the.example.com /en/5/
+allow oner.example.org /en/671
+allow blog.ation.example.com /de/960#top
+allow m.there.example.org /es/25?page=2
+allow www.bookshop.example.com /authors
+allow school.example.org /timetable
+allow radio.example.com /schedule/en
+allow history.example.org /de/archive
+""".strip().splitlines()
+
+
+def host_of(url: Column) -> Column:
+    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    return F.coalesce(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+
+
+def path_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
+
+
+def grams(host: Column, path: Column) -> Column:
+    """Buckets of the character n-grams of host and path, with marks at both ends of the host."""
+    text = F.concat(F.lit("^"), host, F.lit("$"), path)
+
+    def of(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substr(text, i, F.lit(size))), F.lit(BUCKETS)).cast("int"))
+
+    return F.concat(*(of(size) for size in GRAMS))
+
+
+@functools.lru_cache(4)
+def fit(spark: SparkSession, seed_rows: tuple[str, ...] = tuple(LABELLED)) -> tuple[tuple[float, ...], float]:
+    """Weights and intercept; the labelled table has a fixed number of rows."""
+    rows = F.array(*(F.struct(F.lit(float(r.split()[0] == "block")).alias("label"), F.lit(r.split()[1]).alias("host"), F.lit(r.split()[2]).alias("path")) for r in seed_rows))
+    labelled = spark.range(1).select(F.inline(rows))
+    counted = labelled.withColumn("g", grams(F.col("host"), F.col("path"))).select(
+        "label", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("g", lambda g: g == b)) / F.size("g") * 10.0)).alias("features")
+    )
+    model = LogisticRegression(regParam=0.002, maxIter=60).fit(counted)
+    return tuple(float(w) for w in model.coefficients), float(model.intercept)
+
+
+def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
+    """Verdict and text of the longest rule that fits, else null."""
+    out = F.lit(None).cast("struct<verdict:string,rule:string>")
+    for verdict, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
+        fits = ((host == rule_host) | host.endswith(f".{rule_host}")) & path.startswith(rule_path)
+        out = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(rule_host + rule_path).alias("rule"))).otherwise(out)
+    return out
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
+    """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and the regression's ``score`` for blocking."""
+    weights, intercept = fit(pages.sparkSession)
+    table = literal_array(weights, "double")
+    score = F.lit(1.0) / (1 + F.exp(-(F.aggregate("g", F.lit(0.0), lambda a, g: a + F.element_at(table, g + 1)) / F.size("g") * 10 + intercept)))
+    split = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
+    scored = split.withColumn("g", grams(F.col("host"), F.col("path"))).select("page_id", "host", "path", fitting_rule(F.col("host"), F.col("path"), rules).alias("r"), score.alias("score"))
+    learned = F.when(F.col("score") >= threshold, "block").otherwise("allow")
+    return scored.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", learned).alias("verdict"), "score")
