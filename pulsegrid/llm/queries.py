@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, decontam, fingerprint, language, secrets, tokencount, urls
+from pulsegrid.llm import bpe, decontam, fingerprint, language, neardup, pii, secrets, substrings, tokencount, urls
 from pulsegrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -26,11 +26,19 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, ~held_out())
@@ -42,6 +50,12 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = (F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(pii.joined(*pii.KINDS), 256).alias("base_sha256"), pii.joined(*pii.KINDS, "found").alias("spans"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -51,5 +65,37 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_byte_bpe, op4_secret_scan, op6_language_id, op7_token_count, op9_url_filter, op10_fingerprint)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_byte_bpe,
+        op3_substring_dedup,
+        op4_secret_scan,
+        op5_near_duplicates,
+        op6_language_id,
+        op7_token_count,
+        op8_personal_data,
+        op9_url_filter,
+        op10_fingerprint,
+    )
+}
+
+#: SQL where it can express the operator; the others are tested against plain versions in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        e AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w),
+        k AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS run FROM e),
+        f AS (SELECT run, min(doc_id) AS first_id FROM k GROUP BY run),
+        r AS (SELECT k.doc_id, k.i FROM k JOIN f USING (run) WHERE f.first_id < k.doc_id),
+        p AS (SELECT DISTINCT doc_id, i + o AS i FROM r, range(0, 13) t(o)),
+        x AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+        g AS (
+            SELECT x.doc_id, count(p.i) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (WHERE p.i IS NULL) AS kept
+            FROM x LEFT JOIN p ON x.doc_id = p.doc_id AND x.i = p.i GROUP BY x.doc_id
+        )
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+    """,
+}
