@@ -4,7 +4,7 @@ The distinct paragraphs (lines) of a text, each with the number of times it occu
 tables of cells; a digest enters one cell of each, which keeps a count, the exclusive or of the digests and that of their
 checks. Two sketches subtract cell by cell; peeling takes a cell that holds one digest, removes that digest from the other tables and
 goes on, until nothing is left and the digests that differ are known on either side. If peeling stops early, both sketches
-are made again four times as large; beyond the last size of :data:`SIZES` the digests themselves are compared.
+are made again eight times as large; beyond the last size of :data:`SIZES` the digests themselves are compared.
 
 Likeness of two sketches is the Jaccard index of their digests, from the counts and the peeled differences. The order of paragraphs does
 not count, so texts that differ in order alone have equal fingerprints too.
@@ -23,7 +23,7 @@ from pulsegrid.llm.common import doc_text
 from pulsegrid.llm.decontam import let
 
 #: Cells of each of the three tables, by attempt, and rounds of peeling.
-SIZES, ROUNDS = (8, 32, 128, 512, 2048), (8, 12, 16, 20, 24)
+SIZES, ROUNDS = (8, 64, 512), (8, 14, 20)
 #: Documents (by id) that are put in order together.
 WIDTH = 256
 CELL = "struct<n:int,key:bigint,check:bigint>"
@@ -113,22 +113,26 @@ OUTCOME = f"struct<done:boolean,found:{FOUND}>"
 def compare(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """For each named pair of columns of digests, those of the first alone (sign 1) and of the second alone (sign -1).
 
-    Every attempt is a projection of its own, so that its outcome is computed once and the next one only where it failed.
+    The pairs go through each attempt together, in an array, so that the plan holds it once. Every attempt is a projection of its
+    own, so that its outcome is computed once and the next one only where it failed.
     """
-    rows = rows.withColumns({out: F.struct((F.col(a) == F.col(b)).alias("done"), F.array().cast(FOUND).alias("found")).cast(OUTCOME) for out, (a, b) in pairs.items()})
+    asked, known = "__pairs", "__outcomes"
+    rows = rows.withColumn(asked, F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs.values())))
+    rows = rows.withColumn(known, F.transform(asked, lambda p: F.struct((p["a"] == p["b"]).alias("done"), F.array().cast(FOUND).alias("found")).cast(OUTCOME)))
     for size, rounds in zip(SIZES, ROUNDS, strict=True):
 
-        def attempt(out: str, a: Column, b: Column) -> Column:
-            hopeless = F.abs(F.size(a) - F.size(b)) > 3 * size  # more digests differ than there are cells
-            return F.when(F.col(f"{out}.done") | hopeless, F.col(out)).otherwise(peel(subtract(sketch(a, size), sketch(b, size)), size, rounds).cast(OUTCOME))
+        def attempt(p: Column, o: Column) -> Column:
+            hopeless = F.abs(F.size(p["a"]) - F.size(p["b"])) > 3 * size  # more digests differ than there are cells
+            return F.when(o["done"] | hopeless, o).otherwise(peel(subtract(sketch(p["a"], size), sketch(p["b"], size)), size, rounds).cast(OUTCOME))
 
-        rows = rows.withColumns({out: attempt(out, F.col(a), F.col(b)) for out, (a, b) in pairs.items()})
+        rows = rows.withColumn(known, F.zip_with(asked, known, attempt))
 
     def exact(a: Column, b: Column) -> Column:
         one_side = lambda x, y, sign: F.transform(F.array_except(x, y), lambda d: F.struct(d.alias("digest"), F.lit(sign).alias("sign")))
         return F.concat(one_side(a, b, 1), one_side(b, a, -1)).cast(FOUND)
 
-    return rows.withColumns({out: F.when(F.col(f"{out}.done"), F.col(f"{out}.found")).otherwise(exact(F.col(a), F.col(b))) for out, (a, b) in pairs.items()})
+    rows = rows.withColumn(known, F.zip_with(asked, known, lambda p, o: F.when(o["done"], o["found"]).otherwise(exact(p["a"], p["b"]))))
+    return rows.withColumns({out: F.get(known, F.lit(i)) for i, out in enumerate(pairs)}).drop(asked, known)
 
 
 def likeness(a: Column, found: Column) -> Column:
