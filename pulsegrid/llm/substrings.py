@@ -198,7 +198,12 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Each document without its spans, with digests of the spans and of those that others take from it."""
     asked = spans.select(F.explode("spans").alias("s")).select(F.col("s.source_id").alias("id"), F.col("s.source_start").alias("start"), (F.col("s.source_start") + F.col("s.end") - F.col("s.start")).alias("end")).distinct()
     asked = asked.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("asked"))
-    rows = docs.withColumn("id", F.coalesce("doc_id", F.lit(int(LAST)))).join(spans, ["id", "h"], "left").join(asked, "id", "left")
+    # texts without an id are told apart by their hash; one join, so that the texts are shuffled once
+    own = spans.select(F.when(F.col("id") == int(LAST), F.col("h")).otherwise(F.col("id")).alias("id"), F.struct("h", "spans").alias("own")).groupBy("id").agg(F.collect_list("own").alias("own"))
+    work = own.join(asked, "id", "full_outer")
+    rows = docs.withColumn("id", F.coalesce("doc_id", "h")).join(work, "id", "left")
+    mine = F.flatten(F.transform(F.filter("own", lambda o: o["h"] == F.col("h")), lambda o: o["spans"]))
+    rows = rows.withColumn("spans", mine)
     digest = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
