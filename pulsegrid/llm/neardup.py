@@ -6,9 +6,11 @@ share a key are candidates. The similarity of two texts is ``c / (a + b - c)`` f
 same order inside a band; it never exceeds the Jaccard index of the labelled shingles. 0.8 or more makes a link, and connected texts make a
 class.
 
-Equal texts are one node from the start. Groups of a key up to :data:`SMALL_GROUP` texts are compared in full. Of larger groups
-each text is compared with two representatives; that settles groups of true copies. Texts of a group that is still in several
-classes are joined exactly instead: a similar pair shares one of the rarest fifth of the shingles of either text, counted among those texts, so passages that many of them hold make no pairs.
+Equal texts are one node from the start. Groups of a key up to :data:`SMALL_GROUP` texts are compared in full. In a larger group
+each text is compared with the one that has most company in all its groups, most likely the original, and then in rounds with random neighbours of other
+classes; that settles most. The few texts outside the largest class of a group are then held against all of the group, in blocks: an
+index of the shingles of a block tells which pairs can be similar, and only links between different classes leave the task. So no
+link between the classes of a group is missed, and no group makes all its pairs as rows.
 
 Results: a null text, or one without words, is a class of its own row; a text of fewer than five words is one shingle; classes are named
 by their smallest id, which is null if all ids are null; rows of equal id and text count as one document and stay or go
@@ -17,13 +19,14 @@ together; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import cut_lineage, slices
@@ -34,7 +37,7 @@ SIMILARITY = 0.8
 SKETCHES = 24
 #: Shingles in a key, for texts from so many shingles and below so many; the ranges overlap so that similar texts share a kind.
 KEY_SIZES = ((2, 1, 16), (6, 12, math.inf))
-SMALL_GROUP = 6
+SMALL_GROUP, CHAIN_ROUNDS, BLOCK = 6, 2, 1000
 WORD = re.compile(r"[^\W_]+")
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -88,7 +91,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     end = int(back[0]) if len(back) else len(a2)
     a2, b2 = a2[: len(a2) - end], b2[: len(b2) - end]
     common = start + end
-    if len(a2) and common + len(np.intersect1d(a2, b2)) < need:  # shingles are labelled, so all differ
+    if len(a2) and common + len(np.intersect1d(a2, b2)) < need:  # shingles are labelled, so those of a text differ
         return 0.0
     if len(a2):
         common += _banded_lcs(a2, b2, total - 2 * need)
@@ -149,7 +152,7 @@ def verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [aligned(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            ok = [aligned(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), similarity) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sequences.select(F.col("key").alias("a"), F.col("seq").alias("x")), "a").join(sequences.select(F.col("key").alias("b"), F.col("seq").alias("y")), "b")
@@ -181,28 +184,32 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     nodes = cut_lineage(sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     members = nodes.select(F.explode("keys").alias("group"), "key", "n")
-    groups = cut_lineage(members.groupBy("group").agg(F.count("*").alias("size"), F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("size") > 1))
-    grouped = cut_lineage(members.join(groups, "group"))
-    small, large = grouped.where(F.col("size") <= SMALL_GROUP), grouped.where(F.col("size") > SMALL_GROUP)
+    sizes = members.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    grouped = cut_lineage(members.join(sizes, "group"))
+    small, large = grouped.where(F.col("size") <= SMALL_GROUP), grouped.where(F.col("size") > SMALL_GROUP).select("group", "key", "size")
     one = small.select("group", F.col("key").alias("a"), F.col("n").alias("na"))
     two = small.select("group", F.col("key").alias("b"), F.col("n").alias("nb"))
     pairs = one.join(two, "group").where((F.col("a") < F.col("b")) & _similar_sizes(similarity)).select("a", "b")
-    stars = [large.where(F.col("key") != F.col(end)).select(F.least(end, "key").alias("a"), F.greatest(end, "key").alias("b")) for end in ("low", "high")]
-    pairs = cut_lineage(pairs.union(stars[0]).union(stars[1]).distinct())
+    company = large.groupBy("key").agg(F.sum("size").alias("company"))
+    centre = large.join(company, "key").groupBy("group").agg(F.max_by("key", F.struct("company", "key")).alias("centre"))
+    star = large.join(centre, "group").where(F.col("key") != F.col("centre")).select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b"))
+    pairs = cut_lineage(pairs.union(star).distinct())
 
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = nodes.join(asked, "key", "left_semi").select("key", F.coalesce("doc_id", F.lit(-1)).alias("id"))
-    sequences = _mapped(rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).drop("doc_id"), "seq binary", lambda s: (s.tobytes(),))
+    sequences = _mapped(rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).drop("doc_id"), "seq binary", lambda s: (s.astype("<u4").tobytes(),))
     sequences = cut_lineage(sequences.join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key"]).select("key", "seq"))
 
     links = cut_lineage(verified(pairs, sequences, similarity))
     labels = components(links)
-
-    named = large.join(labels, "key", "left").select("group", "key", F.coalesce("label", "key").alias("label"))
-    open_groups = named.groupBy("group").agg(F.min("label").alias("p"), F.max("label").alias("q")).where(F.col("p") != F.col("q")).select("group")
-    left = cut_lineage(named.join(open_groups, "group", "left_semi").select("key", "label").distinct())
-    if not left.isEmpty():
-        more = verified(rare_pairs(left.join(sequences, "key"), similarity), sequences, similarity)
+    for turn in range(CHAIN_ROUNDS + 1):
+        open_groups = cut_lineage(unsettled(large, labels))
+        if open_groups.isEmpty():
+            break
+        if turn < CHAIN_ROUNDS:
+            more = verified(neighbours(open_groups, turn), sequences, similarity)
+        else:
+            more = blocked_links(open_groups, sequences, similarity)
         links = cut_lineage(links.union(more))
         labels = components(links)
 
@@ -211,23 +218,77 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return known.join(best, "label").select("key", "class_id", "keep_key")
 
 
-def rare_pairs(left: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of different labels that share one of the rarest shingles that a similar pair must share; ``left`` has ``key``, ``label``, ``seq``."""
+def unsettled(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """``group``, ``size``, ``key`` and ``label`` of the groups that are in several classes."""
+    named = large.join(labels, "key", "left").select("group", "size", "key", F.coalesce("label", "key").alias("label"))
+    several = named.groupBy("group").agg(F.min("label").alias("p"), F.max("label").alias("q")).where(F.col("p") != F.col("q")).select("group")
+    return named.join(several, "group", "left_semi")
+
+
+def neighbours(open_groups: DataFrame, turn: int) -> DataFrame:
+    """Pairs of different classes that follow each other in a random order of a group, or of a share of a very large one."""
+    order = F.xxhash64("key", F.lit(turn))
+    shares = open_groups.withColumns({"order": order, "share": F.pmod(order, F.ceil(F.col("size") / BLOCK))})
+    w = Window.partitionBy("group", "share").orderBy("order")
+    rows = shares.select("key", "label", F.lag("key").over(w).alias("before"), F.lag("label").over(w).alias("label_before"))
+    return rows.where(F.col("label") != F.col("label_before")).select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).distinct()
+
+
+def blocked_links(open_groups: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """Links between the texts outside the largest class of a group and all of the group, found block by block."""
+    counts = open_groups.groupBy("group", "label").agg(F.count("*").alias("c"))
+    largest = counts.groupBy("group").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+    rows = open_groups.join(largest, "group").join(sequences, "key")
+    n_all, n_others = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("others") / BLOCK)
+    of = lambda seed, n: F.pmod(F.xxhash64("key", F.lit(seed)), n).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    every = rows.select("group", of(1, n_all).alias("i"), spread(n_others).alias("j"), F.lit(0).alias("role"), "key", "label", "seq")
+    asking = rows.where(F.col("label") != F.col("main")).select("group", spread(n_all).alias("i"), of(2, n_others).alias("j"), F.lit(1).alias("role"), "key", "label", "seq")
+
+    def search(block: list[dict]) -> list[tuple[bytes, bytes]]:
+        held = [r for r in block if not r["role"]]
+        found, parent = [], {}
+
+        def root(x: bytes) -> bytes:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        texts = [np.frombuffer(r["seq"], "<u4") for r in held]
+        sizes = np.array([len(t) for t in texts])
+        flat, owner = np.concatenate(texts), np.repeat(np.arange(len(held)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for r in block:
+            if not r["role"]:
+                continue
+            x = np.frombuffer(r["seq"], "<u4")
+            first, last = np.searchsorted(flat, x), np.searchsorted(flat, x, side="right")
+            at = np.repeat(first - np.r_[0, np.cumsum(last - first)[:-1]], last - first) + np.arange((last - first).sum())
+            shared = np.bincount(owner[at], minlength=len(held))
+            need = np.ceil((len(x) + sizes) * similarity / (1 + similarity) - 1e-9)
+            for k in np.flatnonzero(shared >= need).tolist():
+                mine, other = root(r["label"]), root(held[k]["label"])
+                if mine != other and aligned(x, texts[k], similarity) >= similarity:
+                    parent[max(mine, other)] = min(mine, other)
+                    found.append((min(r["key"], held[k]["key"]), max(r["key"], held[k]["key"])))
+        return found
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = np.frombuffer(row["seq"], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([row["key"]] * len(s), pa.binary()), pa.array([row["label"]] * len(s), pa.binary()), pa.array(np.full(len(s), len(s), np.int32)), pa.array(s)], ["key", "label", "n", "shingle"])
-
-    each = left.mapInArrow(spread, "key binary, label binary, n int, shingle long")
-    frequency = each.groupBy("shingle").agg(F.count("*").alias("f"))
-    counted = each.join(frequency, "shingle")
-    rarest = counted.groupBy("key", "label", "n").agg(F.array_sort(F.collect_list(F.struct("f", "shingle"))).alias("s"))  # one text's shingles
-    prefix = cut_lineage(rarest.select("key", "label", "n", F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))).alias("x")).where("x.f > 1").select("key", "label", "n", F.col("x.shingle").alias("shingle")))
-    one = prefix.select("shingle", F.col("key").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    two = prefix.select("shingle", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _similar_sizes(similarity)).select("a", "b").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[dict] = []
+        name = None
+        for batch in itertools.chain(batches, [None]):
+            for row in batch.to_pylist() if batch is not None else [None]:
+                at = row and (row["group"], row["i"], row["j"])
+                if at != name:
+                    if found := search(block) if block else []:
+                        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+                    block, name = [], at
+                block.append(row)
+
+    blocks = every.unionByName(asking)
+    n = int(open_groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j", "role").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
