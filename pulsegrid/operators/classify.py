@@ -51,10 +51,7 @@ def _first(branches: dict[str, Column], otherwise: str) -> Column:
 
 
 def _look_up(code: str, table: dict[str, tuple[str, str]], part: int) -> Column:
-    out = None
-    for k, v in table.items():
-        out = F.when(F.col(code) == k, v[part]) if out is None else out.when(F.col(code) == k, v[part])
-    return out
+    return F.element_at(F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v[part]))), F.col(code))
 
 
 def gps_code() -> Column:

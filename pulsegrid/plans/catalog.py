@@ -1,4 +1,840 @@
-"""All registered queries of the fleet operators and their SQL."""
+"""All registered queries of the fleet operators, each with the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.functions import scalars as s
+from pulsegrid.operators import alerts, audit, battery, classify, compliance, locations, merge, rules, summary, telemetry
+from pulsegrid.plans.oracle_sql import AS_OF, DEFAULTS, LAB, START, TODAY, sql
+from pulsegrid.plans.oracle_sql import haversine as haversine_sql
+from pulsegrid.sources import fixtures
+from pulsegrid.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+class Fleet:
+    """The fleet tables over one folder of generic tables, and the plans built on them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.as_of = s.ntz(fixtures.AS_OF)
+        self.today = s.midnight(self.as_of)
+        self.start = s.plus(self.today, days=-summary.WINDOW_DAYS)
+
+    def table(self, name: str) -> DataFrame:
+        return fixtures.table(self.spark, self.sf_dir, name)
+
+    @cached_property
+    def tel(self) -> DataFrame:
+        return fixtures.telemetry(self.spark, self.sf_dir)
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return fixtures.components(self.tel)
+
+    @cached_property
+    def master(self) -> DataFrame:
+        return fixtures.master(self.spark, self.sf_dir)
+
+    @cached_property
+    def rule_row(self) -> DataFrame:
+        return rules.rules_row(rules.rules_table(self.spark, rules.SPARSE))
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return battery.build_blocks(self.tel, self.master, self.start, s.plus(self.today, hours=23, minutes=30))
+
+    @cached_property
+    def drops(self) -> DataFrame:
+        return battery.detect_drops(self.blocks, self.rule_row, self.as_of)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return summary.device_summary(self.master, self.tel, self.blocks, self.drops, self.as_of)
+
+    @cached_property
+    def classified(self) -> DataFrame:
+        return classify.classify(self.summary, self.rule_row)
+
+    @cached_property
+    def current(self) -> DataFrame:
+        return fixtures.locations(self.spark, self.sf_dir)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return fixtures.location_history(self.spark, self.sf_dir)
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return alerts.with_location(self.classified, self.current)
+
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        return compliance.evaluate(self.tel, self.history, self.current, fixtures.LAB)
+
+    @cached_property
+    def delivered(self) -> DataFrame:
+        return locations.normalize_snapshot_columns(fixtures.snapshot(self.spark, self.sf_dir))
+
+    @cached_property
+    def usable(self) -> DataFrame:
+        return locations.normalize_snapshot(self.delivered, "V7", "zonas V7.csv", self.as_of, fixtures.LAB)
+
+    @cached_property
+    def snap(self) -> DataFrame:
+        return locations.last_of_each(self.usable, "orden")
+
+    @cached_property
+    def moved(self) -> DataFrame:
+        return locations.moved_to_lab(self.current, self.history, self.snap, "V7", "zonas V7.csv", self.as_of, fixtures.LAB)
+
+    @cached_property
+    def rule_sets(self) -> DataFrame:
+        return fixtures.rule_sets(self.spark, self.sf_dir, rules.DEFAULTS, rules.DETECTION)
+
+    @cached_property
+    def stored(self) -> DataFrame:
+        """Summaries as stored: those of active devices and old ones of inactive devices."""
+        old = self.master.where("active = 0").select("amid", F.lit("OK").alias("level"), self.as_of.alias("window_end"), F.lit(0).cast("long").alias("drops_window"))
+        return self.classified.select("amid", "level", "window_end", "drops_window").unionByName(old)
+
+
+def query(body: str | None):
+    """Register a function of a :class:`Fleet` under its name, with the SQL for its rows."""
+
+    def register(f: Callable[[Fleet], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(Fleet(spark, sf_dir))
+            return out.select(*(F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in out.dtypes))
+
+        run.__name__ = f.__name__
+        run.__doc__ = f.__doc__
+        QUERIES[f.__name__] = run
+        if body is not None:
+            ORACLE_SQL[f.__name__] = sql(body)
+        return f
+
+    return register
+
+
+# Scans, sources and sinks
+
+
+@query(f"SELECT * FROM telemetry WHERE fecha_hora >= {TODAY} - INTERVAL 1 DAY AND fecha_hora < {TODAY} + INTERVAL 1 DAY")
+def telemetry_range(f: Fleet) -> DataFrame:
+    return telemetry.telemetry_range(f.tel, s.plus(f.today, days=-1), s.plus(f.today, days=1))
+
+
+@query("SELECT * FROM eav")
+def eav_split(f: Fleet) -> DataFrame:
+    return telemetry.eav_split(f.components)
+
+
+@query("SELECT * FROM eav_kept")
+def eav_filter(f: Fleet) -> DataFrame:
+    return telemetry.eav_filter(telemetry.eav_split(f.components))
+
+
+@query(f"SELECT c.amid, fecha_hora, component, active FROM components c JOIN master m ON m.amid + 7499990 = c.amid WHERE fecha_hora >= {AS_OF} - INTERVAL 6 HOUR")
+def eav_recent(f: Fleet) -> DataFrame:
+    devices = f.master.select((F.col("amid") + fixtures.FIRST_EAV_DEVICE).alias("amid"), "active")
+    return telemetry.eav_recent(devices, f.components, f.as_of, hours=6).select("amid", "fecha_hora", "component", "active")
+
+
+@query("SELECT amid, fecha_hora, " + ", ".join(f"max(CASE WHEN key = '{k}' THEN value END) AS {k}" for k in telemetry.KEYS) + ", max(tabla) AS tabla FROM eav_kept GROUP BY amid, fecha_hora")
+def eav_pivot(f: Fleet) -> DataFrame:
+    return telemetry.eav_pivot(telemetry.eav_filter(telemetry.eav_split(f.components)), ["tabla"])
+
+
+_RAW = """SELECT c_custkey * 2 + copy AS orden, CASE WHEN c_custkey % 23 = 22 THEN '' WHEN c_custkey % 3 = 0 THEN c_custkey || '.0' ELSE CAST(c_custkey AS VARCHAR) END AS idds,
+    CASE WHEN c_custkey % 11 = 10 THEN ' nan ' ELSE 'Estación ' || n_name || CASE WHEN copy = 1 THEN ' bis' ELSE '' END END AS nombre, ' S' || c_custkey || ' ' AS serie,
+    '-' || ((33437191 - (c_nationkey - 12) * 200) // 1000000) || CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE ',' END || lpad(CAST((33437191 - (c_nationkey - 12) * 200) % 1000000 AS VARCHAR), 6, '0') AS lat,
+    '-70.656102' AS lon, CASE WHEN c_custkey % 7 = 2 THEN 'quizás' WHEN c_custkey % 7 = 5 THEN 'no' WHEN c_custkey % 2 = 0 THEN 'SI' ELSE ' sí ' END AS operativa,
+    CASE WHEN c_custkey % 29 = 28 THEN '' ELSE CAST(50 + c_custkey % 4 * 50 AS VARCHAR) END AS radio, CAST(NULL AS VARCHAR) AS comuna
+    FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1)) t(copy) WHERE c_custkey < 1500 AND c_custkey % 5 <> 3 AND (copy = 0 OR c_custkey % 19 = 0)"""
+
+
+@query(_RAW)
+def snapshot_columns(f: Fleet) -> DataFrame:
+    return f.delivered.select("orden", "idds", "nombre", "serie", "lat", "lon", "operativa", "radio", "comuna")
+
+
+@query(f"SELECT amid, slot, pct, has_data FROM blocks WHERE slot >= {TODAY} - INTERVAL 1 DAY AND slot < {TODAY}")
+def blocks_range(f: Fleet) -> DataFrame:
+    return battery.blocks_range(f.blocks, s.plus(f.today, days=-1), f.today).select("amid", "slot", "pct", "has_data")
+
+
+@query("""
+    SELECT amid, drop_from_ts, drop_ts, CAST(pct_from AS INTEGER) AS pct_from, CAST(pct_to AS INTEGER) AS pct_to, CAST(drop_points AS INTEGER) AS drop_points,
+        CASE WHEN m // 60 > 0 AND m % 60 > 0 THEN m // 60 || ' h ' || m % 60 || ' min' WHEN m // 60 > 0 THEN m // 60 || ' h' ELSE m % 60 || ' min' END AS duration
+    FROM (SELECT *, (epoch_us(drop_ts) - epoch_us(drop_from_ts)) // 60000000 AS m FROM drops)""")
+def drop_detail(f: Fleet) -> DataFrame:
+    return battery.drop_detail(f.drops)
+
+
+@query("""
+    SELECT CAST(2 * count(*) FILTER (WHERE id % 2 = 0) AS BIGINT) AS obtained, count(*) FILTER (WHERE id % 2 = 0 AND id % 3 = 0) AS created,
+        CAST(2 * count(*) FILTER (WHERE id % 2 = 0) - count(*) FILTER (WHERE id % 2 = 0 AND id % 3 = 0) AS BIGINT) AS duplicates FROM telemetry""")
+def append_dedup_counts(f: Fleet) -> DataFrame:
+    incoming = f.tel.where("id % 2 = 0")
+    return telemetry.append_counts(f.tel.where("id % 3 <> 0"), incoming.unionByName(incoming))
+
+
+@query("""
+    SELECT amid, level, drops_window FROM classified WHERE amid % 2 = 0
+    UNION ALL SELECT amid, 'OLD', 99 FROM classified WHERE amid % 3 = 0 AND amid % 2 <> 0 UNION ALL SELECT amid, 'OLD', 0 FROM master WHERE active = 0""")
+def summary_merge(f: Fleet) -> DataFrame:
+    new = f.classified.select("amid", "level", "drops_window")
+    old = new.where("amid % 3 = 0").withColumns({"level": F.lit("OLD"), "drops_window": F.lit(99).cast("long")})
+    old = old.unionByName(f.master.where("active = 0").select("amid", F.lit("OLD").alias("level"), F.lit(0).cast("long").alias("drops_window")))
+    return merge.merge_by_key(old, new.where("amid % 2 = 0"), ["amid"])
+
+
+@query("SELECT amid, CASE WHEN amid % 2 = 0 THEN level ELSE 'OLD' END AS level, drops_window FROM classified")
+def reclassify_merge(f: Fleet) -> DataFrame:
+    new = f.classified.select("amid", "level", "drops_window")
+    return merge.merge_columns(new.withColumn("level", F.lit("OLD")), new.where("amid % 2 = 0").withColumn("drops_window", F.lit(-1)), ["amid"], ["level"])
+
+
+@query(f"""
+    SELECT amid, count(*) AS n_rows, count(porcentaje_bateria) AS n_battery, count(*) FILTER (WHERE reported) AS n_gps, count(*) FILTER (WHERE zero) AS n_zero, min(fecha_hora) AS first_ts, max(fecha_hora) AS last_ts,
+        min(porcentaje_bateria) AS battery_min, max(porcentaje_bateria) AS battery_max, last(porcentaje_bateria ORDER BY fecha_hora, id) AS last_battery, last(latitud ORDER BY fecha_hora, id) AS last_lat, last(longitud ORDER BY fecha_hora, id) AS last_lon
+    FROM flags WHERE fecha_hora >= {START} AND fecha_hora < {TODAY} + INTERVAL 1 DAY GROUP BY amid""")
+def export_summary(f: Fleet) -> DataFrame:
+    return telemetry.export_summary(f.tel.where((F.col("fecha_hora") >= f.start) & (F.col("fecha_hora") < s.plus(f.today, days=1))))
+
+
+# Projections and flags
+
+
+@query("SELECT amid, id, reported, zero, valid FROM flags")
+def gps_flags(f: Fleet) -> DataFrame:
+    return telemetry.gps_flags(f.tel).select("amid", "id", "reported", "zero", "valid")
+
+
+_ALERT = "amid, level, gps_level, battery_level, last_status"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("amid", "level", "gps_level", "battery_level", "last_status")
+
+
+@query(f"SELECT {_ALERT} FROM classified WHERE has_alert = 1 AND level = 'ALTA'")
+def alerts_filter_level(f: Fleet) -> DataFrame:
+    return _shown(alerts.filter_alerts(f.classified, f.as_of, level="alta"))
+
+
+@query(f"SELECT {_ALERT} FROM classified WHERE level = 'OK'")
+def alerts_filter_level_ok(f: Fleet) -> DataFrame:
+    return _shown(alerts.filter_alerts(f.classified, f.as_of, level="OK"))
+
+
+@query(f"SELECT {_ALERT} FROM classified WHERE has_alert = 1 AND gps_level <> 'OK'")
+def alerts_filter_type(f: Fleet) -> DataFrame:
+    return _shown(alerts.filter_alerts(f.classified, f.as_of, kind="GPS"))
+
+
+@query("""
+    SELECT p AS problem, amid FROM classified, (VALUES ('gps_zero_today'), ('gps_zero_window'), ('gps_streak'), ('drops'), ('battery_zero'), ('both')) t(p)
+    WHERE has_alert = 1 AND CASE p WHEN 'gps_zero_today' THEN gps_zero_today > 0 WHEN 'gps_zero_window' THEN gps_zero_window > 0 WHEN 'gps_streak' THEN max_zero_streak > 0
+        WHEN 'drops' THEN drops_window > 0 WHEN 'battery_zero' THEN battery_zero_window > 0 ELSE gps_level <> 'OK' AND battery_level <> 'OK' END""")
+def alerts_filter_problem(f: Fleet) -> DataFrame:
+    labelled = F.array_compact(F.array(*(F.when(alerts.problem_predicate(p), F.lit(p)) for p in alerts.PROBLEMS)))
+    return alerts.filter_alerts(f.classified, f.as_of).select(F.explode(labelled).alias("problem"), "amid")
+
+
+@query(f"SELECT {_ALERT} FROM classified WHERE last_status >= {TODAY} AND last_status < {AS_OF} - INTERVAL 1 HOUR")
+def alerts_filter_status(f: Fleet) -> DataFrame:
+    return _shown(alerts.filter_alerts(f.classified, f.as_of, status="old", only_alerts=False))
+
+
+@query("""
+    SELECT name, amid, id FROM changes, (VALUES ('inside'), ('outside'), ('zero'), ('changes')) t(name)
+    WHERE CASE name WHEN 'inside' THEN inside WHEN 'outside' THEN NOT inside AND NOT zero WHEN 'zero' THEN zero ELSE changed END""")
+def gps_history_filters(f: Fleet) -> DataFrame:
+    rows = compliance.location_changes(f.evaluated)
+    parts = [compliance.gps_history_filter(rows, name).select(F.lit(name).alias("name"), "amid", "id") for name in ("inside", "outside", "zero", "changes")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("SELECT amid FROM master WHERE active = 1 AND CAST(amid AS VARCHAR) LIKE '12%' ORDER BY amid LIMIT 15")
+def device_prefix(f: Fleet) -> DataFrame:
+    return alerts.search_devices(alerts.active_summary(f.stored, f.master), "12")
+
+
+@query("SELECT DISTINCT location FROM placed WHERE strip_accents(lower(location)) LIKE '%estacion nation_1%' ORDER BY location LIMIT 15")
+def location_search(f: Fleet) -> DataFrame:
+    return alerts.search_locations(f.placed, "ESTACIÓN nation_1")
+
+
+# Joins
+
+
+@query("SELECT amid, level, drops_window FROM classified")
+def active_summary(f: Fleet) -> DataFrame:
+    return alerts.active_summary(f.stored, f.master).select("amid", "level", "drops_window")
+
+
+@query("SELECT * FROM summary")
+def device_summary(f: Fleet) -> DataFrame:
+    return f.summary
+
+
+@query("SELECT amid, level, location FROM placed")
+def alerts_with_location(f: Fleet) -> DataFrame:
+    return f.placed.select("amid", "level", "location")
+
+
+@query("SELECT * FROM blocks WHERE has_data = 1")
+def battery_blocks(f: Fleet) -> DataFrame:
+    return f.blocks.where("has_data = 1")
+
+
+@query("SELECT amid, slot, pct, has_data FROM blocks")
+def battery_blocks_dense(f: Fleet) -> DataFrame:
+    return f.blocks.select("amid", "slot", "pct", "has_data")
+
+
+@query("SELECT amid, id, site_nombre, site_lat, site_lon, site_radio, site_operativa, site_source FROM fix_site")
+def location_asof(f: Fleet) -> DataFrame:
+    fixes = telemetry.gps_flags(f.tel).where("reported")
+    return compliance.expected_location_asof(fixes, f.history, f.current, fixtures.LAB).select("amid", "id", *(f"site_{c}" for c in compliance.SITE))
+
+
+@query("SELECT amid FROM master WHERE active = 1 AND amid % 4 = 0")
+def audit_missing_summary(f: Fleet) -> DataFrame:
+    return audit.missing_summary(f.master, f.stored.where("amid % 4 <> 0"))
+
+
+@query(f"SELECT amid, 'OK' AS level, {AS_OF} AS window_end FROM master WHERE active = 0")
+def audit_inactive_with_summary(f: Fleet) -> DataFrame:
+    return audit.inactive_with_summary(f.master, f.stored)
+
+
+@query("SELECT CAST(0 AS BIGINT) AS differences FROM (SELECT count(*) FROM events)")
+def audit_drop_reconcile(f: Fleet) -> DataFrame:
+    return audit.drop_reconcile(f.classified, f.drops, f.as_of)
+
+
+@query("SELECT amid, location FROM placed WHERE amid % 10 <> 3 AND location NOT IN ('Ubicación sin asignar', 'Estación NATION_5')")
+def alerts_exclusions(f: Fleet) -> DataFrame:
+    places = f.table("nation").where("n_name = 'NATION_5'").select(F.concat(F.lit("Estación "), "n_name").alias("location"))
+    places = places.unionByName(f.placed.where(F.col("location") == alerts.UNASSIGNED).select("location"))
+    return alerts.apply_exclusions(f.placed, f.master.where("amid % 10 = 3"), places).select("amid", "location")
+
+
+# Aggregates
+
+
+@query("SELECT fleet, " + ", ".join(f"CAST(coalesce({k}, {float(v)!r}) AS DOUBLE) AS {k}" for k, v in DEFAULTS.items()) + " FROM wide_rules")
+def rules_row(f: Fleet) -> DataFrame:
+    return rules.rules_row(f.rule_sets, ["fleet"])
+
+
+@query("SELECT * FROM gps LEFT JOIN last_fix USING (amid)")
+def gps_summary(f: Fleet) -> DataFrame:
+    return summary.gps_summary(f.tel, f.as_of)
+
+
+@query("SELECT amid, CAST(streak AS BIGINT) AS streak, length, first_ts, last_ts FROM streaks")
+def gps_streaks(f: Fleet) -> DataFrame:
+    return summary.gps_streaks(f.tel, f.as_of)
+
+
+@query("SELECT amid, max(length) AS max_zero_streak FROM streaks GROUP BY amid")
+def gps_max_streak(f: Fleet) -> DataFrame:
+    return summary.gps_max_streak(f.tel, f.as_of)
+
+
+@query("SELECT * FROM battery")
+def battery_summary(f: Fleet) -> DataFrame:
+    return summary.battery_summary(f.blocks, f.as_of)
+
+
+@query("SELECT * FROM drop_sum")
+def drop_summary(f: Fleet) -> DataFrame:
+    return summary.drop_summary(f.drops, f.as_of)
+
+
+@query("""
+    SELECT count(*) AS devices, count(*) FILTER (WHERE has_alert = 1) AS alerts, count(*) FILTER (WHERE level = 'CRITICA') AS critical, count(*) FILTER (WHERE level = 'ALTA') AS high,
+        count(*) FILTER (WHERE level = 'ADVERTENCIA') AS warnings, count(*) FILTER (WHERE level = 'OK') AS ok, count(*) FILTER (WHERE gps_level <> 'OK') AS gps,
+        count(*) FILTER (WHERE battery_level <> 'OK') AS battery, CAST(coalesce(sum(drops_window), 0) AS BIGINT) AS drops, max(window_end) AS last_update FROM classified""")
+def fleet_kpis(f: Fleet) -> DataFrame:
+    return alerts.fleet_kpis(f.classified)
+
+
+@query("SELECT count(*) AS n, CAST(greatest(1, ceil(count(*) / 10.0)) AS BIGINT) AS pages FROM classified WHERE has_alert = 1")
+def alerts_count(f: Fleet) -> DataFrame:
+    return alerts.alerts_count(alerts.filter_alerts(f.classified, f.as_of))
+
+
+@query("""
+    SELECT amid, errors, reported, valid, zero, inside, reported - inside AS outside, round_even(inside * 100.0 / nullif(reported, 0), 1) AS inside_pct,
+        CASE WHEN errors = 0 THEN 'ok' WHEN errors <= 3 THEN 'warning' ELSE 'alert' END AS error_band,
+        CASE WHEN reported = 0 THEN '' WHEN round_even(inside * 100.0 / nullif(reported, 0), 1) >= 90 THEN 'ok' WHEN round_even(inside * 100.0 / nullif(reported, 0), 1) >= 70 THEN 'warning' ELSE 'alert' END AS compliance_band
+    FROM (SELECT t.amid, count(*) FILTER (WHERE t.is_error_obtener_gps) AS errors, count(e.id) AS reported, count(e.id) FILTER (WHERE e.valid) AS valid, count(e.id) FILTER (WHERE e.zero) AS zero, count(e.id) FILTER (WHERE e.inside) AS inside
+        FROM telemetry t LEFT JOIN evaluated e ON e.id = t.id GROUP BY t.amid)""")
+def gps_compliance(f: Fleet) -> DataFrame:
+    return compliance.gps_compliance(f.tel, f.evaluated)
+
+
+@query("SELECT count(*) AS blocks, count(*) FILTER (WHERE has_data = 1) AS with_data, max(slot) AS last_slot, max(CASE WHEN has_data = 1 THEN slot END) AS last_with_data, max(original) AS last_reading FROM blocks")
+def freshness_blocks(f: Fleet) -> DataFrame:
+    return audit.freshness_blocks(f.blocks)
+
+
+@query("SELECT count(*) AS locations, max(fecha_carga) AS last_load FROM locations")
+def freshness_locations(f: Fleet) -> DataFrame:
+    return audit.freshness_locations(f.current)
+
+
+@query("SELECT count(*) FILTER (WHERE fin IS NULL) AS open_versions FROM history")
+def freshness_history(f: Fleet) -> DataFrame:
+    return audit.freshness_history(f.history)
+
+
+@query("SELECT amid, slot, CAST(2 AS BIGINT) AS n FROM blocks WHERE has_data = 1 AND amid % 7 = 0")
+def audit_duplicate_blocks(f: Fleet) -> DataFrame:
+    return audit.duplicates(f.blocks.unionByName(f.blocks.where("has_data = 1 AND amid % 7 = 0")), ["amid", "slot"])
+
+
+@query("SELECT amid, count(*) AS n FROM classified GROUP BY amid HAVING count(*) > 1")
+def audit_duplicate_summary(f: Fleet) -> DataFrame:
+    return audit.duplicates(f.classified, ["amid"])
+
+
+@query("SELECT level, count(*) AS n, min(window_end) AS oldest, max(window_end) AS newest FROM classified GROUP BY level")
+def level_distribution(f: Fleet) -> DataFrame:
+    return audit.level_distribution(f.classified)
+
+
+@query("SELECT level, gps_level, battery_level, has_alert, count(*) AS n FROM classified GROUP BY ALL")
+def level_combo_distribution(f: Fleet) -> DataFrame:
+    return audit.level_combinations(f.classified)
+
+
+@query("SELECT min(n) AS least, round(avg(n), 2) AS mean, max(n) AS most, count(*) AS devices FROM (SELECT amid, count(*) AS n FROM blocks WHERE has_data = 1 GROUP BY amid)")
+def blocks_per_device(f: Fleet) -> DataFrame:
+    return audit.blocks_per_device(f.blocks.where("has_data = 1"))
+
+
+@query("SELECT min(slot) AS first_slot, max(slot) AS last_slot, max(original) AS last_reading, count(DISTINCT amid) AS devices FROM blocks")
+def blocks_range_stats(f: Fleet) -> DataFrame:
+    return audit.blocks_range_stats(f.blocks)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT amid) AS devices, min(drop_ts) AS first_ts, max(drop_ts) AS last_ts FROM drops")
+def drop_event_stats(f: Fleet) -> DataFrame:
+    return audit.drop_event_stats(f.drops)
+
+
+@query("SELECT (SELECT count(*) FROM master WHERE active = 1) AS active_devices, (SELECT count(*) FROM master) AS summaries, (SELECT count(*) FROM classified) AS active_summaries")
+def coverage_counts(f: Fleet) -> DataFrame:
+    return audit.coverage_counts(f.master, f.stored, alerts.active_summary(f.stored, f.master))
+
+
+@query("SELECT DISTINCT location FROM placed")
+def location_names(f: Fleet) -> DataFrame:
+    return alerts.location_names(f.placed)
+
+
+# Windows
+
+
+@query("SELECT amid, id, fecha_hora, latitud, longitud, zero FROM (SELECT *, row_number() OVER (PARTITION BY amid ORDER BY fecha_hora DESC, id DESC) AS rn FROM flags WHERE reported) WHERE rn = 1")
+def latest_gps(f: Fleet) -> DataFrame:
+    fixes = telemetry.gps_flags(f.tel).where("reported").select("amid", "id", "fecha_hora", "latitud", "longitud", "zero")
+    return telemetry.latest_by(fixes, ["amid"], ["fecha_hora", "id"])
+
+
+@query("SELECT amid, max(slot) AS slot, arg_max(pct, slot) AS pct FROM blocks WHERE has_data = 1 GROUP BY amid")
+def latest_battery(f: Fleet) -> DataFrame:
+    return telemetry.latest_by(f.blocks.where("has_data = 1").select("amid", "slot", "pct"), ["amid"], ["slot"])
+
+
+@query("SELECT amid, max(drop_ts) AS drop_ts, arg_max(pct_from, drop_ts) AS pct_from, arg_max(pct_to, drop_ts) AS pct_to FROM drops GROUP BY amid")
+def latest_drop(f: Fleet) -> DataFrame:
+    return telemetry.latest_by(f.drops.select("amid", "drop_ts", "pct_from", "pct_to"), ["amid"], ["drop_ts"])
+
+
+@query("SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY amid ORDER BY fecha_hora DESC, id DESC) AS rn FROM telemetry) WHERE rn = 1")
+def latest_status(f: Fleet) -> DataFrame:
+    return telemetry.latest_by(f.tel, ["amid"], ["fecha_hora", "id"])
+
+
+@query("SELECT * FROM drops")
+def battery_drops(f: Fleet) -> DataFrame:
+    return f.drops
+
+
+@query("SELECT * FROM changes")
+def location_changes(f: Fleet) -> DataFrame:
+    return compliance.location_changes(f.evaluated)
+
+
+@query("""
+    SELECT amid, day, slot, CAST(pct AS DOUBLE) AS battery, CASE WHEN i >= i0 THEN greatest(CAST(b0 AS DOUBLE) - 3 * (i - i0), 0) END AS expected FROM (
+        SELECT *, min(CASE WHEN pct IS NOT NULL THEN i END) OVER w AS lo, max(CASE WHEN pct IS NOT NULL THEN i END) OVER w AS hi,
+            min(CASE WHEN pct > 0 THEN i END) OVER w AS i0, arg_min(CASE WHEN pct > 0 THEN pct END, CASE WHEN pct > 0 THEN i END) OVER w AS b0
+        FROM (SELECT *, date_part('hour', slot) * 2 + date_part('minute', slot) // 30 AS i FROM blocks) WINDOW w AS (PARTITION BY amid, day)) WHERE i BETWEEN lo AND hi""")
+def battery_day_series(f: Fleet) -> DataFrame:
+    return battery.day_series(f.blocks)
+
+
+@query("SELECT amid, nombre, lat, inicio FROM open_rows")
+def open_history(f: Fleet) -> DataFrame:
+    return locations.open_history(f.history).select("amid", "nombre", "lat", "inicio")
+
+
+@query(f"""
+    SELECT amid, max(fecha_hora) AS last_ts, last(zero ORDER BY fecha_hora, id) AS last_is_zero, last(inside ORDER BY fecha_hora, id) AS inside, round(last(distance ORDER BY fecha_hora, id), 2) AS distance,
+        last(site_nombre ORDER BY fecha_hora, id) AS site_nombre, max(CASE WHEN valid THEN fecha_hora END) AS usable_ts, last(latitud ORDER BY fecha_hora, id) FILTER (WHERE valid) AS usable_lat,
+        last(longitud ORDER BY fecha_hora, id) FILTER (WHERE valid) AS usable_lon,
+        CASE WHEN max(fecha_hora) >= {AS_OF} - INTERVAL 60 MINUTE THEN 'ok' WHEN max(fecha_hora) >= {AS_OF} - INTERVAL 180 MINUTE THEN 'warning' ELSE 'alert' END AS age_band
+    FROM evaluated GROUP BY amid""")
+def last_fix_status(f: Fleet) -> DataFrame:
+    return compliance.last_fix_status(f.evaluated, f.as_of)
+
+
+# Order and pages
+
+
+@query("SELECT amid, level, tier, status_rank, last_status, drops_before FROM ranked")
+def alerts_ranked(f: Fleet) -> DataFrame:
+    return alerts.rank_alerts(alerts.filter_alerts(f.placed, f.as_of), f.as_of).select("amid", "level", "tier", "status_rank", "last_status", "drops_before")
+
+
+@query("SELECT amid, level, tier FROM ranked ORDER BY tier, status_rank, last_status NULLS FIRST, amid LIMIT 10 OFFSET 10")
+def alerts_page(f: Fleet) -> DataFrame:
+    return alerts.alerts_page(alerts.filter_alerts(f.placed, f.as_of), f.as_of, page=2).select("amid", "level", "tier")
+
+
+@query(f"""
+    SELECT amid, n AS n_reported, last_valid_ts, CASE WHEN n = 0 AND last_valid_ts IS NOT NULL THEN CAST(last_valid_ts AS DATE) ELSE CAST({TODAY} AS DATE) END AS day, n = 0 AND last_valid_ts IS NOT NULL AS fell_back
+    FROM (SELECT amid, count(*) FILTER (WHERE reported AND fecha_hora >= {TODAY} AND fecha_hora < {TODAY} + INTERVAL 1 DAY) AS n, max(CASE WHEN valid THEN fecha_hora END) AS last_valid_ts FROM flags GROUP BY amid)""")
+def gps_fallback_day(f: Fleet) -> DataFrame:
+    return telemetry.fallback_day(f.tel, f.today, s.plus(f.today, days=1))
+
+
+@query("SELECT * FROM drops ORDER BY drop_ts DESC, amid LIMIT 20")
+def recent_drops(f: Fleet) -> DataFrame:
+    return audit.recent_drops(f.drops)
+
+
+# Sets
+
+
+@query(f"""
+    SELECT 'telemetry' AS table_name, count(*) AS n, max(fecha_hora) AS newest FROM telemetry UNION ALL SELECT 'blocks', count(*), max(slot) FROM blocks
+    UNION ALL SELECT 'master', count(*), max(last_update) FROM master UNION ALL SELECT 'summary', count(*), max(window_end) FROM summary""")
+def table_volumes(f: Fleet) -> DataFrame:
+    return audit.table_volumes(telemetry=(f.tel, "fecha_hora"), blocks=(f.blocks, "slot"), master=(f.master, "last_update"), summary=(f.summary, "window_end"))
+
+
+@query("""
+    SELECT fleet, key, 'missing' AS side FROM rule_sets WHERE active = 0 OR value IS NULL
+    UNION ALL SELECT fleet, 'OTRA', 'extra' FROM wide_rules WHERE fleet % 5 = 4""")
+def rules_key_diff(f: Fleet) -> DataFrame:
+    present = f.rule_sets.where("active = 1 AND value IS NOT NULL").select("fleet", "key")
+    extra = f.rule_sets.where("fleet % 5 = 4").select("fleet", F.lit("OTRA").alias("key")).distinct()
+    return rules.key_difference(present.unionByName(extra), f.rule_sets.select("fleet", "key"), ["fleet"])
+
+
+# Scalars
+
+
+@query(f"SELECT id, round({haversine_sql('latitud', 'longitud', 'CAST(-33.437191 AS DOUBLE)', 'CAST(-70.656102 AS DOUBLE)')}, 2) AS metres FROM telemetry")
+def haversine(f: Fleet) -> DataFrame:
+    lab = fixtures.LAB
+    return f.tel.select("id", F.round(s.haversine_m(F.col("latitud"), F.col("longitud"), F.lit(lab["lat"]), F.lit(lab["lon"])), 2).alias("metres"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderdate END AS parsed FROM orders")
+def parse_dates(f: Fleet) -> DataFrame:
+    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    text = F.when(k == 0, F.date_format(d, "dd/MM/yyyy HH:mm:ss")).when(k == 1, F.date_format(d, "dd-MM-yyyy")).when(k == 2, F.date_format(d, " yyyy-MM-dd ")).when(k == 3, F.date_format(d, "dd/MM/yyyy")).otherwise("32/13/2020")
+    return f.table("orders").select("o_orderkey", s.timestamp_or_null(text).alias("parsed"))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 3) THEN CAST(trunc(c_acctbal) AS BIGINT) END AS as_int, CASE WHEN c_custkey % 5 IN (0, 1, 3) THEN c_acctbal END AS as_number,
+        CASE WHEN c_custkey % 5 IN (0, 3) THEN c_acctbal END AS as_decimal FROM customer""")
+def coerce_numbers(f: Fleet) -> DataFrame:
+    k, plain = F.col("c_custkey") % 5, F.col("c_acctbal").cast("decimal(12,2)").cast("string")
+    text = F.when(k == 0, plain).when(k == 1, F.replace(plain, F.lit("."), F.lit(","))).when(k == 2, "nan").when(k == 3, F.concat(F.lit(" "), plain, F.lit(" "))).otherwise(" ")
+    return f.table("customer").select("c_custkey", s.integer_or_null(text).alias("as_int"), s.number_or_null(text).alias("as_number"), s.decimal_or_null(text).alias("as_decimal"))
+
+
+_WORDS = ("true", "SI", "s", " Yes ", "0", "no", "quizás", "Sí", "Y", "N", "FALSE")
+
+
+@query("""
+    SELECT p_partkey, p_partkey % 12 IN (0, 1, 7, 8) AS gps, CASE WHEN p_partkey % 12 IN (0, 1, 2, 3, 7, 8) THEN true WHEN p_partkey % 12 IN (4, 5, 9, 10) THEN false END AS battery,
+        CASE WHEN p_partkey % 12 IN (0, 1, 3, 7) THEN true WHEN p_partkey % 12 IN (4, 5, 10) THEN false END AS imported FROM part""")
+def coerce_booleans(f: Fleet) -> DataFrame:
+    word = F.get(F.array(*map(F.lit, _WORDS)), (F.col("p_partkey") % 12).cast("int"))
+    return f.table("part").select("p_partkey", s.gps_boolean(word).alias("gps"), s.battery_boolean(word).alias("battery"), s.import_boolean(word).alias("imported"))
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN p_name END AS cleaned, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name WHEN 2 THEN 'NaN' END AS device,
+        CAST(p_partkey AS VARCHAR) AS number FROM part""")
+def coerce_text(f: Fleet) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, F.col("p_name")).when(k == 1, F.concat(F.lit("  "), "p_name", F.lit(" "))).when(k == 2, " NaN ").otherwise("   ")
+    return f.table("part").select("p_partkey", s.text_or_null(text).alias("cleaned"), s.device_text(text).alias("device"), s.device_text(F.concat(F.col("p_partkey").cast("string"), F.lit(".0"))).alias("number"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 < 2 THEN 'V' || s_suppkey END AS version FROM supplier")
+def version_extract(f: Fleet) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("zonas V"), k, F.lit(" final.csv"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("Zonas v "), k, F.lit(".csv"))).otherwise(F.concat(F.lit("zonas_V"), k, F.lit("x.csv")))
+    return f.table("supplier").select("s_suppkey", s.version_of_file(name).alias("version"))
+
+
+@query("""
+    SELECT id, CASE WHEN m < 15 THEN lpad(CAST(h AS VARCHAR), 2, '0') || ':00' WHEN m < 45 THEN lpad(CAST(h AS VARCHAR), 2, '0') || ':30' WHEN h = 23 THEN '23:30' ELSE lpad(CAST(h + 1 AS VARCHAR), 2, '0') || ':00' END AS label
+    FROM (SELECT id, date_part('hour', fecha_hora) AS h, date_part('minute', fecha_hora) AS m FROM telemetry)""")
+def slot_label(f: Fleet) -> DataFrame:
+    return f.tel.select("id", s.slot_label(F.col("fecha_hora")).alias("label"))
+
+
+@query("""
+    SELECT id, CASE WHEN p IS NULL THEN 'no_data' WHEN p >= 80 THEN 'high' WHEN p >= 50 THEN 'medium' WHEN p >= 20 THEN 'low' ELSE 'critical' END AS band,
+        CASE WHEN p IS NULL THEN 'neutral' WHEN p >= 80 THEN 'ok' WHEN p >= 20 THEN 'warning' ELSE 'error' END AS card FROM (SELECT id, porcentaje_bateria AS p FROM telemetry)""")
+def battery_bands(f: Fleet) -> DataFrame:
+    pct = F.col("porcentaje_bateria")
+    return f.tel.select("id", s.battery_band(pct).alias("band"), s.battery_card(pct).alias("card"))
+
+
+@query(f"""
+    SELECT id, CASE WHEN fecha_hora < {TODAY} THEN 'none' WHEN fecha_hora < {AS_OF} - INTERVAL 1 HOUR THEN 'old' ELSE 'recent' END AS status,
+        CASE WHEN fecha_hora < {TODAY} THEN 'none_today' WHEN fecha_hora >= {AS_OF} - INTERVAL 1 HOUR THEN 'updated' ELSE 'over_an_hour' END AS card,
+        CASE WHEN fec_descarga >= {TODAY} THEN 'today' ELSE 'not_today' END AS download,
+        CASE WHEN fecha_hora >= {AS_OF} - INTERVAL 60 MINUTE THEN 'ok' WHEN fecha_hora >= {AS_OF} - INTERVAL 180 MINUTE THEN 'warning' ELSE 'alert' END AS age FROM telemetry""")
+def status_bands(f: Fleet) -> DataFrame:
+    t = F.col("fecha_hora")
+    return f.tel.select("id", s.status_band(t, f.as_of).alias("status"), s.status_card(t, f.as_of).alias("card"), s.download_card(F.col("fec_descarga"), f.as_of).alias("download"), s.age_band(t, f.as_of).alias("age"))
+
+
+# Classification
+
+
+@query("SELECT amid, gps_code, gps_level, gps_reason FROM classified")
+def classify_gps(f: Fleet) -> DataFrame:
+    return f.classified.select("amid", "gps_code", "gps_level", "gps_reason")
+
+
+@query("SELECT amid, battery_code, battery_level, battery_reason FROM classified")
+def classify_battery(f: Fleet) -> DataFrame:
+    return f.classified.select("amid", "battery_code", "battery_level", "battery_reason")
+
+
+@query("SELECT amid, level, has_alert FROM classified")
+def classify_global(f: Fleet) -> DataFrame:
+    return f.classified.select("amid", "level", "has_alert")
+
+
+@query("SELECT * FROM classified")
+def alerts_explained(f: Fleet) -> DataFrame:
+    return f.classified
+
+
+def _reclassified(f: Fleet) -> DataFrame:
+    stored = classify.classify(f.summary, rules.rules_row(rules.rules_table(f.spark, rules.DEFAULTS)))
+    return classify.reclassify(stored, f.master, f.rule_row, f.as_of)
+
+
+@query(f"SELECT amid, gps_code, battery_code, level, main_reason, action, has_alert, {AS_OF} AS rules_applied_at FROM classified")
+def reclassify(f: Fleet) -> DataFrame:
+    return _reclassified(f).select("amid", "gps_code", "battery_code", "level", "main_reason", "action", "has_alert", "rules_applied_at")
+
+
+@query("SELECT * FROM classified WHERE amid < -1")
+def reclassify_equals_full(f: Fleet) -> DataFrame:
+    """Rows on one side only; none if the two paths agree."""
+    fast = _reclassified(f).select(*f.classified.columns)
+    return fast.exceptAll(f.classified).unionByName(f.classified.exceptAll(fast))
+
+
+# Rule governance
+
+_CHECKS = {
+    "COUNT": "n_active <> 27",
+    "NEGATIVE": "n_negative > 0",
+    "PERCENT": "n_percent > 0",
+    "GPS_RANGES": "GPS_CERO_HOY_ADV > GPS_CERO_HOY_ADV_MAX OR GPS_CERO_HOY_ADV_MAX >= GPS_CERO_HOY_ALTA OR GPS_CERO_HOY_ALTA > GPS_CERO_HOY_ALTA_MAX OR GPS_CERO_HOY_ALTA_MAX >= GPS_CERO_HOY_CRITICA",
+    "GPS_LEVELS": "GPS_PORC_HOY_ALTA > GPS_PORC_HOY_CRITICA OR GPS_TOTAL_HOY_ALTA > GPS_TOTAL_HOY_CRITICA OR GPS_RACHA_ALTA > GPS_RACHA_CRITICA",
+    "BATTERY_RANGES": "BAT_CERO_HOY_ADV_MIN > BAT_CERO_HOY_ADV_MAX OR BAT_CERO_HOY_ADV_MAX >= BAT_CERO_HOY_ALTA_MIN OR BAT_CERO_HOY_ALTA_MIN > BAT_CERO_HOY_ALTA_MAX OR BAT_CERO_HOY_ALTA_MAX >= BAT_CERO_HOY_CRITICA",
+    "DETECTION": "BAT_CAIDA_MIN_DETECTAR <= 0 OR BAT_CAIDA_MAX_HORAS <= 0",
+    "DROP_LEVELS": "BAT_CAIDA_HOY_ALTA > BAT_CAIDA_HOY_CRITICA_CON_HIST OR BAT_CAIDA_HOY_CRITICA_CON_HIST > BAT_CAIDA_HOY_CRITICA",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT fleet, '{code}' AS code FROM wide_rules WHERE {bad}" for code, bad in _CHECKS.items()))
+def rules_violations(f: Fleet) -> DataFrame:
+    return rules.violations(f.rule_sets, ["fleet"])
+
+
+def _requested(f: Fleet) -> DataFrame:
+    k, n = F.col("key"), F.col("fleet") % 5
+    value = (
+        F.when((n == 0) & (k == "GPS_CERO_HOY_ADV"), "1.00")
+        .when((n == 1) & (k == "GPS_CERO_HIST_ADV"), "120")
+        .when((n == 2) & (k == "BAT_CAIDA_MIN_DETECTAR"), " 25 ")
+        .when((n == 3) & (k == "GPS_RACHA_ALTA"), "mucho")
+        .when((n == 4) & (k == "GPS_RACHA_ALTA"), "1")
+    )
+    return f.rule_sets.select("fleet", F.when((n == 4) & (k == "GPS_RACHA_ALTA"), "OTRA").otherwise(k).alias("key"), value.alias("value")).where(F.col("value").isNotNull())
+
+
+@query("SELECT * FROM rule_diff")
+def rule_changes(f: Fleet) -> DataFrame:
+    return rules.rule_changes(f.rule_sets, _requested(f), ["fleet"])
+
+
+@query("SELECT fleet, CASE WHEN bool_or(NOT rejected AND type = 'DETECCION') THEN 'full' WHEN bool_or(NOT rejected) THEN 'fast' ELSE 'none' END AS mode FROM rule_diff GROUP BY fleet")
+def recompute_mode(f: Fleet) -> DataFrame:
+    return rules.recompute_mode(rules.rule_changes(f.rule_sets, _requested(f), ["fleet"]), ["fleet"])
+
+
+@query(f"""
+    SELECT fleet, key, value AS old_value, CASE WHEN fleet % 5 = 1 THEN CAST(120 AS DOUBLE) ELSE value END AS new_value, active AS old_active, CASE WHEN fleet % 5 = 2 THEN 0 ELSE active END AS new_active, type, 'ops' AS changed_by, {AS_OF} AS changed_at
+    FROM rule_sets WHERE (fleet % 5 = 1 AND key = 'GPS_CERO_HIST_ADV') OR (fleet % 5 = 2 AND key = 'GPS_RACHA_CRITICA' AND active = 1)""")
+def rule_history(f: Fleet) -> DataFrame:
+    n, k = F.col("fleet") % 5, F.col("key")
+    new = f.rule_sets.withColumns(
+        {
+            "value": F.when((n == 1) & (k == "GPS_CERO_HIST_ADV"), F.lit(120).cast("decimal(12,4)")).otherwise(F.col("value")),
+            "active": F.when((n == 2) & (k == "GPS_RACHA_CRITICA"), 0).otherwise(F.col("active")),
+        }
+    )
+    return rules.rule_history(f.rule_sets, new, "ops", f.as_of, ["fleet"])
+
+
+# Locations
+
+_ATTRIBUTES = "nombre, serie, lat, lon, radio, operativa, version, origen"
+
+
+@query(f"SELECT orden, amid, {_ATTRIBUTES} FROM usable")
+def snapshot_normalized(f: Fleet) -> DataFrame:
+    return f.usable.select("orden", "amid", *locations.ATTRIBUTES)
+
+
+@query(f"SELECT amid, {_ATTRIBUTES} FROM snap UNION ALL SELECT amid, {_ATTRIBUTES} FROM locations WHERE amid NOT IN (SELECT amid FROM snap)")
+def current_locations(f: Fleet) -> DataFrame:
+    return locations.upsert_current(f.current, f.snap).select("amid", *locations.ATTRIBUTES)
+
+
+@query(f"""
+    SELECT h.amid, {', '.join('h.' + c.strip() for c in _ATTRIBUTES.split(','))}, inicio, CASE WHEN fin IS NULL AND h.amid IN (SELECT amid FROM acts WHERE act = 'reopened') THEN {AS_OF} ELSE fin END AS fin FROM history h
+    UNION ALL SELECT amid, {_ATTRIBUTES}, {AS_OF}, NULL FROM acts WHERE act <> 'unchanged'""")
+def location_history(f: Fleet) -> DataFrame:
+    return locations.apply_history(f.history, f.snap, f.as_of)
+
+
+@query(f"SELECT amid, serie, '{LAB[0]}' AS nombre, CAST({LAB[1]} AS DOUBLE) AS lat, CAST({LAB[2]} AS DOUBLE) AS lon, CAST({LAB[3]} AS DOUBLE) AS radio, 0 AS operativa, 'laboratorio_default' AS origen FROM moved")
+def absent_to_lab(f: Fleet) -> DataFrame:
+    return f.moved.select("amid", "serie", "nombre", "lat", "lon", "radio", "operativa", "origen")
+
+
+@query("""
+    SELECT 'rows' AS counter, count(*) AS n FROM delivered UNION ALL SELECT 'skipped', (SELECT count(*) FROM delivered) - (SELECT count(*) FROM usable)
+    UNION ALL SELECT 'created', count(*) FROM snap WHERE amid NOT IN (SELECT amid FROM locations) UNION ALL SELECT 'updated', count(*) FROM snap WHERE amid IN (SELECT amid FROM locations)
+    UNION ALL SELECT 'history_opened', (SELECT count(*) FROM acts WHERE act <> 'unchanged') + (SELECT count(*) FROM moved)
+    UNION ALL SELECT 'history_closed', (SELECT count(*) FROM acts WHERE act = 'reopened') + (SELECT count(*) FROM moved WHERE o_amid IS NOT NULL)
+    UNION ALL SELECT 'history_unchanged', count(*) FROM acts WHERE act = 'unchanged' UNION ALL SELECT 'moved', count(*) FROM moved""")
+def import_counts(f: Fleet) -> DataFrame:
+    return locations.import_counts(f.delivered, f.usable, f.current, f.history, f.snap, f.moved)
+
+
+@query(f"SELECT amid, inicio, fin FROM history WHERE fin IS NULL OR fin >= {AS_OF} - INTERVAL 16 DAY")
+def history_retention(f: Fleet) -> DataFrame:
+    return locations.purge_history(f.history, f.as_of).select("amid", "inicio", "fin")
+
+
+@query(f"SELECT amid, slot, has_data FROM blocks WHERE slot >= {TODAY} - INTERVAL 10 DAY")
+def block_retention(f: Fleet) -> DataFrame:
+    return locations.purge_blocks(f.blocks, f.as_of, days=10).select("amid", "slot", "has_data")
+
+
+@query(f"SELECT amid, active, CASE WHEN amid % 3 <> 1 THEN {AS_OF} ELSE last_update END AS last_update FROM (SELECT amid, CASE WHEN amid % 4 = 0 THEN 1 ELSE active END AS active, last_update FROM master WHERE NOT (amid % 4 = 0 AND amid % 3 = 1))")
+def master_sync(f: Fleet) -> DataFrame:
+    return locations.sync_master(f.master.where("amid % 4 <> 0"), f.tel.where("amid % 3 <> 1"), f.as_of)
+
+
+# Series
+
+
+_BANDS = "CASE WHEN pct IS NULL THEN 'no_data' WHEN pct >= 80 THEN 'high' WHEN pct >= 50 THEN 'medium' WHEN pct >= 20 THEN 'low' ELSE 'critical' END"
+
+
+@query("SELECT amid, day, " + ", ".join(f"max(CASE WHEN slot_text = '{t}' THEN pct END) AS s{t.replace(':', '')}" for t in battery.SLOTS) + " FROM blocks GROUP BY amid, day")
+def battery_matrix(f: Fleet) -> DataFrame:
+    return battery.battery_matrix(f.blocks, f.as_of)
+
+
+@query(f"SELECT amid, day, slot_text, pct, {_BANDS} AS band FROM blocks")
+def battery_cells(f: Fleet) -> DataFrame:
+    return battery.battery_cells(f.blocks, f.as_of)
+
+
+@query("SELECT amid, strftime(day, '%d-%m-%Y') || ' ' || slot_text AS moment, day, slot_text, CAST(pct AS DOUBLE) AS battery FROM blocks")
+def battery_period_series(f: Fleet) -> DataFrame:
+    return battery.period_series(f.blocks, f.as_of)
+
+
+@query(f"""
+    SELECT l.amid, battery_now, last_block_ts AS battery_ts, CASE WHEN pct IS NULL THEN 'neutral' WHEN pct >= 80 THEN 'ok' WHEN pct >= 20 THEN 'warning' ELSE 'error' END AS battery_card, {_BANDS} AS battery_band,
+        CASE WHEN fec_estado < {TODAY} THEN 'none_today' WHEN fec_estado >= {AS_OF} - INTERVAL 1 HOUR THEN 'updated' ELSE 'over_an_hour' END AS status_card,
+        CASE WHEN fec_descarga >= {TODAY} THEN 'today' ELSE 'not_today' END AS download_card, coalesce(drops_window, 0) AS n_drops,
+        CASE WHEN battery_level IS NULL THEN 'neutral' WHEN battery_level = 'CRITICA' THEN 'error' WHEN battery_level IN ('ALTA', 'ADVERTENCIA') THEN 'warning' WHEN coalesce(drops_window, 0) > 0 THEN 'warning' ELSE 'ok' END AS alert_card
+    FROM (SELECT amid, max(fec_estado) AS fec_estado, max(fec_descarga) AS fec_descarga FROM telemetry GROUP BY amid) l LEFT JOIN (SELECT *, battery_now AS pct FROM battery) b ON b.amid = l.amid
+        LEFT JOIN (SELECT amid, battery_level, drops_window FROM classified) c ON c.amid = l.amid""")
+def battery_overview(f: Fleet) -> DataFrame:
+    return battery.battery_overview(telemetry.latest_by(f.tel, ["amid"], ["fecha_hora", "id"]), f.blocks, f.drops, f.classified, f.as_of)
+
+
+@query("SELECT amid, id, fecha_hora, latitud, longitud, porcentaje_bateria, round(distance, 2) AS distance, inside, zero, site_nombre, site_lat, site_lon, site_radio, site_source FROM evaluated")
+def gps_track(f: Fleet) -> DataFrame:
+    return compliance.gps_track(f.evaluated)
+
+
+# Streams
+
+
+def _event_stream(f: Fleet) -> DataFrame:
+    return fixtures.telemetry_of(ingest.telemetry_stream(f.spark, f.sf_dir, f.table("events").schema, "events*"))
+
+
+def _stream_folder(f: Fleet) -> str:
+    shared = f.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stream-")
+
+
+@query("SELECT id, amid, fecha_hora, porcentaje_bateria FROM telemetry")
+def stream_ingest(f: Fleet) -> DataFrame:
+    """A delivery that holds every reading twice, ingested once each."""
+    folder, rows = _stream_folder(f), _event_stream(f).select("id", "amid", "fecha_hora", "porcentaje_bateria")
+    ingest.append_available(ingest.deduplicated(rows.unionByName(rows)), f"{folder}/out", f"{folder}/state")
+    return f.spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT amid, slot, porcentaje_bateria AS pct, id AS source_id, CAST(abs(epoch_us(slot) - epoch_us(fecha_hora)) AS DOUBLE) / 60000000 AS diff_minutes FROM nearest")
+def stream_blocks(f: Fleet) -> DataFrame:
+    """Non-empty blocks of the window, aligned as a stream."""
+    folder = _stream_folder(f)
+    rows = _event_stream(f).where((F.col("fecha_hora") >= s.plus(f.start, minutes=-15)) & (F.col("fecha_hora") <= s.plus(f.today, hours=23, minutes=45)))
+    ingest.update_available(ingest.blocks(rows), f"{folder}/out", f"{folder}/state")
+    return ingest.latest_version(f.spark, f"{folder}/out", ["amid", "slot"])

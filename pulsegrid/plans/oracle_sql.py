@@ -167,7 +167,7 @@ TABLES: dict[str, str] = {
             CASE WHEN last_status IS NULL OR last_status < {TODAY} THEN 1 WHEN last_status < {AS_OF} - INTERVAL 1 HOUR THEN 2 ELSE 3 END AS status_rank,
             greatest(drops_window - drops_today, 0) AS drops_before
         FROM placed WHERE has_alert = 1""",
-    "asof": f"""
+    "fix_site": f"""
         SELECT f.*, coalesce(h.nombre, c.nombre, '{LAB[0]}') AS site_nombre, coalesce(h.lat, c.lat, CAST({LAB[1]} AS DOUBLE)) AS site_lat, coalesce(h.lon, c.lon, CAST({LAB[2]} AS DOUBLE)) AS site_lon,
             coalesce(h.radio, c.radio, CAST({LAB[3]} AS DOUBLE)) AS site_radio, coalesce(h.operativa, c.operativa, 0) AS site_operativa,
             CASE WHEN h.amid IS NOT NULL THEN 'history' WHEN c.amid IS NOT NULL THEN 'current' ELSE 'lab' END AS site_source
@@ -179,7 +179,7 @@ TABLES: dict[str, str] = {
         LEFT JOIN (SELECT amid, lat, lon, radio, operativa, coalesce(nullif(trim(nombre), ''), '{LAB[0]}') AS nombre FROM locations) c ON CAST(c.amid AS BIGINT) = f.amid""",
     "evaluated": f"""
         SELECT *, CASE WHEN zero THEN false ELSE distance <= site_radio END AS inside FROM (
-            SELECT *, CASE WHEN NOT zero THEN {haversine('latitud', 'longitud', 'site_lat', 'site_lon')} END AS distance FROM asof)""",
+            SELECT *, CASE WHEN NOT zero THEN {haversine('latitud', 'longitud', 'site_lat', 'site_lon')} END AS distance FROM fix_site)""",
     "changes": """
         SELECT amid, id, fecha_hora, inside, zero, site_nombre, lag(site_nombre) OVER w AS previous_nombre,
             lag(id) OVER w IS NOT NULL AND (lag(site_nombre) OVER w, lag(site_lat) OVER w, lag(site_lon) OVER w, lag(site_radio) OVER w) IS DISTINCT FROM (site_nombre, site_lat, site_lon, site_radio) AS changed

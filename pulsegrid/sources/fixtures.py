@@ -15,12 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry_of(table(spark, sf_dir, "events"))
+
+
+def telemetry_of(events: DataFrame) -> DataFrame:
     kind, n = F.col("event_type"), F.col("event_id")
 
     def coordinate(base: float, offset) -> Column:
         return F.when(kind == "signup", None).when(kind == "error", 0.0).otherwise(F.lit(base) + offset * F.lit(0.0005)).cast("double")
 
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         n.alias("id"),
         F.col("user_id").alias("amid"),
         F.col("ts").alias("fecha_hora"),

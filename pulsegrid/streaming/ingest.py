@@ -10,13 +10,13 @@ from pulsegrid.operators.battery import slot_candidates
 LATENESS = "2 days"
 
 
-def telemetry_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A folder of Parquet files as a stream, with an event time that watermarks accept."""
-    return spark.readStream.schema(schema).parquet(path)
+def telemetry_stream(spark: SparkSession, path: str, schema, files: str = "*") -> DataFrame:
+    """The Parquet files of a folder as a stream."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(path)
 
 
 def with_event_time(tel: DataFrame, column: str = "fecha_hora", lateness: str = LATENESS) -> DataFrame:
-    """Naive times are read as UTC; run the session in UTC."""
+    """An event time that watermarks accept. Naive times are read as UTC; run the session in UTC."""
     return tel.withColumn("event_time", F.col(column).cast("timestamp")).withWatermark("event_time", lateness)
 
 
@@ -26,7 +26,7 @@ def deduplicated(tel: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def blocks(tel: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Non-empty blocks; readings later than the watermark are left out."""
+    """Non-empty blocks; readings later than the watermark are left out and their state is dropped."""
     candidates = with_event_time(slot_candidates(tel), "slot", lateness)
     order = F.struct(F.col("diff_minutes"), -F.unix_micros(F.col("fecha_hora").cast("timestamp")), -F.col("id"))
     best = F.min_by(F.struct("porcentaje_bateria", "id", "diff_minutes"), order)
@@ -34,6 +34,22 @@ def blocks(tel: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return grouped.select("amid", F.col("window.start").cast("timestamp_ntz").alias("slot"), F.col("b.porcentaje_bateria").alias("pct"), F.col("b.id").alias("source_id"), F.col("b.diff_minutes").alias("diff_minutes"))
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process what is there into Parquet and stop; a restart goes on from the checkpoint."""
-    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def update_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Like :func:`append_available`, but blocks are written as soon as they change, one folder for each batch; a batch that is run again replaces its folder."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_version(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last written row of each key."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
