@@ -35,6 +35,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame, rows_per_partition: int) -> DataFrame:
+    """A checkpoint in as many partitions as its rows need, so that small tables do not shuffle through hundreds of files."""
+    cut = cut_lineage(df)
+    needed = max(1, -(-cut.count() // rows_per_partition))
+    return cut if cut.rdd.getNumPartitions() <= needed else cut.coalesce(needed)
+
+
 def literal_array(values: Iterable, of: str) -> Column:
     """A constant array, written as one string so that building it takes one call."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{of}>")

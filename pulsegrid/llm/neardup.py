@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import cut_lineage, slices
+from pulsegrid.llm.common import cut_lineage, settled, slices
 from pulsegrid.llm.hashing import WordHashes, mix, runs
 
 SHINGLE = 5
@@ -38,6 +38,8 @@ SKETCHES = 24
 #: Shingles in a key, for texts from so many shingles and below so many; the ranges overlap so that similar texts share a kind.
 KEY_SIZES = ((2, 1, 16), (6, 12, math.inf))
 SMALL_GROUP, CHAIN_ROUNDS, BLOCK = 6, 2, 1000
+#: Rows of a partition of intermediate tables: of a few numbers, of a text's keys, of a text's shingles.
+SMALL_ROWS, NODE_ROWS, TEXT_ROWS = 200_000, 10_000, 5_000
 WORD = re.compile(r"[^\W_]+")
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -161,13 +163,14 @@ def verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataF
 
 def components(links: DataFrame) -> DataFrame:
     """``key`` and ``label``, the least key that it is connected with, for every key in a link; labels spread along links and are then followed."""
-    edges = cut_lineage(links.union(links.select("b", "a")).distinct())
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("label")))
+    edges = settled(links.union(links.select("b", "a")).distinct(), SMALL_ROWS)
+    few = max(1, edges.rdd.getNumPartitions())
+    labels = cut_lineage(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("label")).coalesce(few))
     while True:
-        near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("m"))
-        spread = labels.join(near, "key").select("key", F.least("label", "m").alias("to"), F.col("label").alias("was"))
+        near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").coalesce(few).groupBy(F.col("a").alias("key")).agg(F.min("label").alias("m"))
+        spread = labels.join(near, "key").select("key", F.least("label", "m").alias("to"), F.col("label").alias("was")).coalesce(few)
         after = labels.select(F.col("key").alias("to"), F.col("label").alias("further"))
-        new = cut_lineage(spread.join(after, "to", "left").select("key", F.least("to", F.coalesce("further", "to")).alias("label"), "was"))
+        new = cut_lineage(spread.join(after, "to", "left").select("key", F.least("to", F.coalesce("further", "to")).alias("label"), "was").coalesce(few))
         labels = new.select("key", "label")
         if new.where(F.col("label") != F.col("was")).isEmpty():
             return labels
@@ -181,11 +184,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each distinct text with a word: ``key`` (its MD5), ``class_id`` and ``keep_key``, the text that stands for the class."""
     rows = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     sketched = _mapped(rows, "n int, keys array<long>", lambda s: (len(s), order_minhash(s)))
-    nodes = cut_lineage(sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    nodes = settled(sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), NODE_ROWS)
 
     members = nodes.select(F.explode("keys").alias("group"), "key", "n")
     sizes = members.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    grouped = cut_lineage(members.join(sizes, "group"))
+    grouped = settled(members.join(sizes, "group"), SMALL_ROWS)
     small, large = grouped.where(F.col("size") <= SMALL_GROUP), grouped.where(F.col("size") > SMALL_GROUP).select("group", "key", "size")
     one = small.select("group", F.col("key").alias("a"), F.col("n").alias("na"))
     two = small.select("group", F.col("key").alias("b"), F.col("n").alias("nb"))
@@ -193,24 +196,24 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     company = large.groupBy("key").agg(F.sum("size").alias("company"))
     centre = large.join(company, "key").groupBy("group").agg(F.max_by("key", F.struct("company", "key")).alias("centre"))
     star = large.join(centre, "group").where(F.col("key") != F.col("centre")).select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b"))
-    pairs = cut_lineage(pairs.union(star).distinct())
+    pairs = settled(pairs.union(star).distinct(), SMALL_ROWS)
 
     asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = nodes.join(asked, "key", "left_semi").select("key", F.coalesce("doc_id", F.lit(-1)).alias("id"))
     sequences = _mapped(rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).drop("doc_id"), "seq binary", lambda s: (s.astype("<u4").tobytes(),))
-    sequences = cut_lineage(sequences.join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key"]).select("key", "seq"))
+    sequences = settled(sequences.join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key"]).select("key", "seq"), TEXT_ROWS)
 
-    links = cut_lineage(verified(pairs, sequences, similarity))
+    links = settled(verified(pairs, sequences, similarity), SMALL_ROWS)
     labels = components(links)
     for turn in range(CHAIN_ROUNDS + 1):
-        open_groups = cut_lineage(unsettled(large, labels))
+        open_groups = settled(unsettled(large, labels), SMALL_ROWS)
         if open_groups.isEmpty():
             break
         if turn < CHAIN_ROUNDS:
             more = verified(neighbours(open_groups, turn), sequences, similarity)
         else:
             more = blocked_links(open_groups, sequences, similarity)
-        links = cut_lineage(links.union(more))
+        links = settled(links.union(more), SMALL_ROWS)
         labels = components(links)
 
     known = nodes.select("key", "doc_id").join(labels, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
