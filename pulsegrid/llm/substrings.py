@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from pulsegrid.llm.hashing import WordHashes, runs
 
 WINDOW = 13
 #: Bytes of text for each bucket, and in the slices of the input that are packed together.
-BUCKET_BYTES, SLICE_BYTES, LARGEST_SLICE = 16 << 20, 4 << 20, 64 << 20
+BUCKET_BYTES, SLICE_BYTES, LARGEST_SLICE = 12 << 20, 4 << 20, 64 << 20
 LAST = np.iinfo(np.int64).max
 PACKED = "bucket int, slice long, body binary, places binary, ids binary"
 ENTRY = np.dtype([("place", "<u4"), ("step", "<i4"), ("source", "<i8"), ("count", "<u4")])
@@ -67,12 +68,12 @@ def edges(docs: DataFrame, n_buckets: int, window: int = WINDOW) -> DataFrame:
         bucket = ((flat >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        who = _pack(starts, ids)
-        rows = [(-1, number, marks.tobytes(), b"", who)]
+        rows = [(-1, number, marks.tobytes(), b"", _pack(starts, ids))]
         for b in range(n_buckets):
             at = order[cuts[b] : cuts[b + 1]]
             if len(at):
-                rows.append((b, number, flat[at].view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), _pack(at.astype(np.uint32)), who))
+                there = np.unique(np.searchsorted(starts, at, side="right") - 1)  # documents with an edge in this row
+                rows.append((b, number, flat[at].view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), _pack(at.astype(np.uint32)), _pack(starts[there], ids[there])))
         names = ["bucket", "slice", "body", "places", "ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
@@ -194,6 +195,19 @@ def compacted(back: DataFrame, n_slices: int, window: int = WINDOW) -> DataFrame
     return back.repartition(n_slices, "slice").sortWithinPartitions("slice", "kind").mapInArrow(run, f"id long, h long, spans {SPANS}")
 
 
+def compressed(docs: DataFrame) -> DataFrame:
+    """The documents with their texts as Zstandard frames, which shuffle in less space than the codec of the shuffle leaves them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in slices(batch, 4 << 20):
+                texts = pa.array([pack(t.encode()) for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), texts], ["doc_id", "h", "text"])
+
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, text binary")
+
+
 def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Each document without its spans, with digests of the spans and of those that others take from it."""
     asked = spans.select(F.explode("spans").alias("s")).select(F.col("s.source_id").alias("id"), F.col("s.source_start").alias("start"), (F.col("s.source_start") + F.col("s.end") - F.col("s.start")).alias("end")).distinct()
@@ -201,17 +215,18 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     # texts without an id are told apart by their hash; one join, so that the texts are shuffled once
     own = spans.select(F.when(F.col("id") == int(LAST), F.col("h")).otherwise(F.col("id")).alias("id"), F.struct("h", "spans").alias("own")).groupBy("id").agg(F.collect_list("own").alias("own"))
     work = own.join(asked, "id", "full_outer")
-    rows = docs.withColumn("id", F.coalesce("doc_id", "h")).join(work, "id", "left")
+    rows = compressed(docs).withColumn("id", F.coalesce("doc_id", "h")).join(work, "id", "left")
     mine = F.flatten(F.transform(F.filter("own", lambda o: o["h"] == F.col("h")), lambda o: o["spans"]))
     rows = rows.withColumn("spans", mine)
     digest = pa.list_(pa.struct([("id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch, 1 << 20):
                 out: list[tuple] = []
                 for r in part.to_pylist():
-                    words = r["text"].encode().split()
+                    words = unpack(r["text"]).split()
                     marked = lambda i, s, e, at: {"id": i, "start": s, "end": e, "digest": xxhash.xxh3_128_digest(b" ".join(words[at : at + e - s]))}  # noqa: B023, E731
                     own = [marked(s["source_id"], s["source_start"], s["source_start"] + s["end"] - s["start"], s["start"]) for s in r["spans"] or ()]
                     given = [marked(r["id"], a["start"], a["end"], a["start"]) for a in r["asked"] or ()]
