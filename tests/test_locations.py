@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as s
 from pulsegrid.operators import compliance, locations
+from pulsegrid.sources import fixtures
 from pulsegrid.sources.fixtures import LAB
 
 def moment():
@@ -102,3 +103,13 @@ def test_master_sync_keeps_flags(spark, at):
     tel = spark.createDataFrame([(1,), (1,), (3,)], "amid long")
     got = {r["amid"]: (r["active"], r["last_update"]) for r in locations.sync_master(master, tel, moment()).collect()}
     assert got == {1: (0, at(30, 12)), 2: (1, at(1)), 3: (1, at(30, 12))}
+
+
+def test_fixtures_cover_every_customer(spark, tmp_path):
+    spark.range(1490, 3010).select(F.col("id").alias("c_custkey"), (F.col("id") % 2).alias("c_nationkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, "CHILE"), (1, "PERU")], "n_nationkey long, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    folder, keys = str(tmp_path), range(1490, 3010)
+    located = {str(k) for k in keys if k % 7 != 6}
+    assert {r["amid"] for r in fixtures.locations(spark, folder).collect()} == located
+    assert {r["amid"] for r in fixtures.location_history(spark, folder).collect()} == located
+    assert {r["orden"] // 2 for r in fixtures.snapshot(spark, folder).select("orden").collect()} == {k for k in keys if k % 5 != 3}
