@@ -1,12 +1,14 @@
 """Benchmark decontamination with SimHash fingerprints of item-sized windows, in SQL functions alone.
 
 Words are lower-cased runs of letters and digits; a shingle is five of them and weighs as often as it occurs. A window of a
-document has as many words as the benchmark item it is held against and starts where a shared shingle puts the start of the item.
+document has as many words as the benchmark item it is held against and starts wherever so many of its shingles are in the item that
+the threshold can be reached, whatever their order.
 A 64-bit SimHash of its weighted shingles meets the items' fingerprints in blocks of the bits: with one block more than the
 radius, two fingerprints within the radius agree on a block, so none is missed. Candidates within the radius are verified by the
 exact weighted Jaccard similarity of their shingles.
 
-Only documents that share enough shingles with the benchmark to reach the threshold for its shortest item get windows;
+Only documents that share enough shingles with the benchmark to reach the threshold for its shortest item, if need be as a text
+shorter than that item, get windows;
 a bit table of the benchmark's shingles tells which, and errs on the side of keeping. It is sized by the benchmark, and beyond
 :data:`TABLE_ITEMS` shingles a join takes its place. Equal texts are worked on once.
 
@@ -49,9 +51,23 @@ def shingles(text: Column) -> Column:
     return let(hashes, of)
 
 
-def least_shared(n: Column) -> Column:
-    """Shingles that two windows of ``n`` shingles share if their similarity reaches the threshold."""
-    return F.ceil(n * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+def least_shared(m: Column, n: Column, similarity: float = SIMILARITY) -> Column:
+    """Shingles that windows of ``m`` and ``n`` shingles share if their similarity reaches the threshold."""
+    return F.greatest(F.ceil((m + n) * (similarity / (1 + similarity)) - 1e-9).cast("int"), F.lit(1))
+
+
+def window_starts(at: Column, n: Column, doc_n: Column, least: Column) -> Column:
+    """All starts of windows of ``n`` shingles that hold ``least`` or more of the sorted places ``at``, each once.
+
+    A window whose first place is the k-th holds enough if it starts after the place before and reaches the place ``least - 1`` further on.
+    """
+    last = F.greatest(doc_n - n, F.lit(0))
+
+    def of(k: Column) -> Column:
+        low = F.greatest(F.get(at, k + least - 1) - n + 1, F.coalesce(F.get(at, k - 1) + 1, F.lit(0)), F.lit(0))
+        return let(F.struct(low.alias("low"), F.least(F.get(at, k), last).alias("high")), lambda r: F.when(r["low"] <= r["high"], F.sequence(r["low"], r["high"])).otherwise(F.array().cast("array<int>")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - least), of))
 
 
 def simhash(hashes: Column) -> Column:
@@ -83,7 +99,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     items = cut_lineage(benchmark.select("item_id", shingles(F.col("text").cast("string")).alias("item")).where(F.col("item").isNotNull()).withColumn("n", F.size("item")))
     pieces = items.select("item_id", "n", F.posexplode("item").alias("at", "shingle"))
     facts = pieces.agg(F.count("*").alias("pieces"), F.min("n").alias("least")).first()
-    least = max(1, math.ceil((facts["least"] or 1) * 2 * similarity / (1 + similarity) - 1e-9))
+    least = max(1, math.ceil((facts["least"] or 1) * similarity - 1e-9))  # what a text shorter than the item needs
 
     hashed = docs.select(F.md5(F.col("text").cast("string")).alias("text_key"), shingles(F.col("text").cast("string")).alias("doc")).where(F.col("doc").isNotNull())
     if facts["pieces"] <= TABLE_ITEMS:
@@ -102,15 +118,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     texts = cut_lineage(hashed.dropDuplicates(["text_key"]))
 
     found = texts.select("text_key", F.size("doc").alias("doc_n"), F.explode(F.transform("hits", lambda i: F.struct(i.cast("int").alias("pos"), F.element_at("doc", i.cast("int") + 1).alias("shingle")))).alias("x"))
-    small = F.broadcast(pieces) if facts["pieces"] <= TABLE_ITEMS else pieces
-    diagonals = (
+    distinct = pieces.select("item_id", "n", "shingle").distinct()
+    small = F.broadcast(distinct) if facts["pieces"] <= TABLE_ITEMS else distinct
+    shared = (
         found.select("text_key", "doc_n", "x.*")
         .join(small, "shingle")
-        .groupBy("text_key", "n", F.greatest(F.least(F.col("pos") - F.col("at"), F.col("doc_n") - F.col("n")), F.lit(0)).alias("start"), "item_id")
-        .agg(F.count("*").alias("shared"))
-        .where(F.col("shared") * 3 >= least_shared(F.col("n")))
+        .groupBy("text_key", "doc_n", "n", "item_id")
+        .agg(F.sort_array(F.collect_list("pos")).alias("at"))
+        .withColumn("least", least_shared(F.least("doc_n", "n"), F.col("n"), similarity))
+        .where(F.size("at") >= F.col("least"))
     )
-    starts = diagonals.select("text_key", "n", "start").distinct()
+    starts = shared.select("text_key", "n", F.explode(window_starts(F.col("at"), F.col("n"), F.col("doc_n"), F.col("least"))).alias("start")).distinct()
     windows = starts.join(texts.select("text_key", "doc"), "text_key").select("text_key", "n", "start", F.slice("doc", F.col("start") + 1, F.col("n")).alias("window"))
     marked = windows.withColumn("print", simhash(F.col("window")))
     of_items = items.withColumn("item_print", simhash(F.col("item"))).select("item_id", "n", "item", "item_print", F.inline(blocks(F.col("item_print"))))

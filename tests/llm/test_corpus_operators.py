@@ -195,6 +195,27 @@ def test_leaks_are_those_of_brute_force(spark):
         decontam.TABLE_ITEMS = monkey
 
 
+@pytest.mark.parametrize("table_items", [decontam.TABLE_ITEMS, 0])
+def test_leaks_with_spaced_insertions_swapped_halves_and_short_texts(spark, monkeypatch, table_items):
+    monkeypatch.setattr(decontam, "TABLE_ITEMS", table_items)
+    rng = random.Random(12)
+    spaced, swapped = {154: 3, 204: 4, 304: 6}, (45, 55, 59)
+    items = [prose(rng, n) for n in (*spaced, *swapped)]
+    texts = []
+    for item, n in zip(items, spaced.values(), strict=False):
+        step = len(item) // (n + 1)
+        texts.append(sum(([*item[k * step : (k + 1) * step], f"n{k}"] for k in range(n)), []) + item[n * step :])
+    texts += [item[len(item) // 2 :] + item[: len(item) // 2] for item in items[3:]]
+    texts = [" ".join(prose(rng, 70) + t + prose(rng, 70)) for t in texts]
+    texts += [" ".join(item[:-k]) for item in items[:4] for k in (len(item) // 6, len(item) // 4)]  # shorter than the item, on both sides of the threshold
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(frame(spark, texts), bench).collect()}
+    best = {(i, j): best_similarity(t, " ".join(b)) for i, t in enumerate(texts) for j, b in enumerate(items)}
+    want = {k: v for k, v in best.items() if v >= 0.8}
+    assert {(k, k) for k in range(len(items))} <= set(want)
+    assert got == pytest.approx(want)
+
+
 def test_no_benchmark_and_no_documents(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontam.contaminated(frame(spark, ["a b c d e f"]), bench.where("false")).count() == 0
