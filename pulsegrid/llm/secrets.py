@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns plus a character convolutional network over every other candidate.
 
 Patterns give the base findings: an assignment to a secret-like name, an access key id and a long hexadecimal run. A
-candidate is a run of 16 or more token characters with a letter and a digit outside the base findings; a small convolutional
-network reads it with its surroundings and adds it where its calibrated probability reaches the threshold.
+candidate is a run of 16 or more token characters with a letter and a digit, or a piece of it between base findings; a small
+convolutional network reads it with its surroundings, a long one in overlapping windows, and adds it where its best calibrated
+probability reaches the threshold.
 
 The network is trained in numpy on labelled findings made from :data:`FOUND` and :data:`HARMLESS`. A part kept aside
 calibrates its output (logistic scaling) and sets the threshold: the largest one that still finds ``recall`` of the labelled secrets.
@@ -31,7 +32,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "model")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 LEFT, INSIDE, RIGHT = 24, 48, 8
 WIDTH, FILTERS = 5, 24
@@ -89,7 +91,7 @@ CLASSES = 67  # 0: nothing there
 
 
 def picture(text: str, start: int, end: int) -> np.ndarray:
-    """Classes of the characters left of, in and right of a candidate; the candidate always begins at the same place."""
+    """Classes of the characters left of, in and right of a window of a candidate; it always begins at the same place."""
     out = np.zeros(LEFT + INSIDE + RIGHT, np.int64)
     for at, part in ((LEFT - len(text[max(0, start - LEFT) : start]), text[max(0, start - LEFT) : start]), (LEFT, text[start : min(end, start + INSIDE)]), (LEFT + INSIDE, text[end : end + RIGHT])):
         codes = np.array([min(ord(c), 127) for c in part], np.int64)
@@ -203,21 +205,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of what the network is asked about: the runs of token characters without the base spans."""
+    if not DIGIT.search(text):
+        return
+    for m in CANDIDATE.finditer(text):
+        at, pieces = m.start(), []
+        for s, _, e in base:
+            if s < m.end() and at < e:
+                pieces.append((at, s))
+                at = e
+        for s, e in (*pieces, (at, m.end())):
+            if e - s >= SHORTEST and DIGIT.search(text, s, e) and LETTER.search(text, s, e):
+                yield s, e
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Windows of at most :data:`INSIDE` characters over a candidate, each half in the next."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(s, s + INSIDE) for s in (*range(start, end - INSIDE, INSIDE // 2), end - INSIDE)]
+
+
 def spans_of(texts: list[str], net: Network) -> list[tuple[list, list]]:
     """For each text the base spans and all spans."""
-    found, asked = [], []
+    found, asked, views = [], [], []
     for i, text in enumerate(texts):
         base = base_spans(text)
         found.append((base, list(base)))
-        if DIGIT.search(text):
-            for m in CANDIDATE.finditer(text):
-                if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base):
-                    asked.append((i, m.start(), m.end()))
-    for k in range(0, len(asked), 512):
-        some = asked[k : k + 512]
-        for (i, s, e), p in zip(some, net.probability(np.stack([picture(texts[i], s, e) for i, s, e in some])), strict=True):
-            if p >= net.threshold:
-                found[i][1].append((s, 3, e))
+        for s, e in candidates(text, base):
+            views += [(len(asked), i, *w) for w in windows(s, e)]
+            asked.append((i, s, e))
+    best = np.zeros(len(asked))
+    for k in range(0, len(views), 512):
+        some = views[k : k + 512]
+        np.maximum.at(best, [c for c, *_ in some], net.probability(np.stack([picture(texts[i], s, e) for _, i, s, e in some])))
+    for (i, s, e), p in zip(asked, best, strict=True):
+        if p >= net.threshold:
+            found[i][1].append((s, 3, e))
     return [(base, sorted(both)) for base, both in found]
 
 

@@ -103,6 +103,33 @@ def test_network_on_findings_it_has_not_seen():
     assert said[y == 1].mean() > 0.9 and said[y == 0].mean() < 0.03
 
 
+PATH_TO = "see https://hooks.example.com/services/T0000000000/B0000000000/"
+DEEP = "Zq8Kd93jfLq02mZx81bVn47Q"
+
+
+def test_secrets_deep_in_a_long_candidate_and_beside_base_spans(spark):
+    long, harmless = f"{PATH_TO}{DEEP} now", "see https://www.example.org/public/archive/reports/2023/section-4/library/house/water/static/chapter2.html now"
+    digest, key = "deadbeefdeadbeefdeadbeef", "Zq8Kd93jfLq02mZx81bVn47Qw65Rt10YuP0LkWx"
+    beside = f"see /{digest}/{key} now"
+    out = by_id(secrets.scan(frame(spark, [long, harmless, beside])))
+    assert out[0]["base"] == "" and out[0]["spans"] == f"model:{long.index('//')}:{long.index(' now')}"
+    assert out[1]["spans"] == ""
+    at = beside.index(digest)
+    assert out[2]["spans"] == f"hex:{at}:{at + 24},model:{at + 24}:{beside.index(' now')}"
+    clean = by_id(secrets.redact(frame(spark, [long, beside])))
+    assert DEEP not in clean[0]["text"] and key not in clean[1]["text"]
+
+
+def test_windows_cover_a_candidate_and_pieces_avoid_base_spans():
+    for n in (16, 48, 49, 72, 100, 500):
+        ends = secrets.windows(7, 7 + n)
+        assert ends[0][0] == 7 and ends[-1][1] == 7 + n and all(e - s == min(n, 48) for s, e in ends)
+        assert all(b[0] - a[0] <= 24 for a, b in zip(ends, ends[1:]))
+    text = "x" * 15 + "1" + "a" * 4 + "b2" * 20
+    assert list(secrets.candidates(text, [(16, 2, 18), (17, 1, 20)])) == [(0, 16), (20, 60)]
+    assert list(secrets.candidates(text, [(14, 2, 50)])) == []
+
+
 def test_redaction_masks_and_counts(spark):
     out = by_id(secrets.redact(frame(spark, [*SECRETS, "key ghp_a8Kd93jfLq02mZx81bVn47Qw65Rt10YuP0Lk done"])))
     assert out[0]["text"] == "[secret]\" and password: short" and out[0]["n_chars"] == len(out[0]["text"])
