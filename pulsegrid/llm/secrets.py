@@ -190,7 +190,7 @@ def train(n: int = 2400, epochs: int = 8, seed: int = 11, recall: float = RECALL
         a, b = a - 0.1 * float((e * z).mean()) - 1e-4 * a, b - 0.1 * float(e.mean())
     net.scale = (a, b)
     p = np.sort(net.probability(x[cut:][t > 0]))
-    net.threshold = float(max(p[int((1 - recall) * len(p))], 0.5))
+    net.threshold = float(p[int((1 - recall) * len(p))])
     return net
 
 

@@ -103,6 +103,16 @@ def test_network_on_findings_it_has_not_seen():
     assert said[y == 1].mean() > 0.9 and said[y == 0].mean() < 0.03
 
 
+@pytest.mark.parametrize(("n", "epochs"), [(2400, 8), (400, 0)])
+def test_fitted_threshold_keeps_the_recall(n, epochs):
+    """Also where the network is poor, so that the quantile of the recall is below a half."""
+    net = secrets.train(n, epochs)
+    x, y = secrets.labelled_findings(n, 11)
+    kept = slice(n * 3 // 4, None)
+    assert (net.probability(x[kept])[y[kept] == 1] >= net.threshold).mean() >= secrets.RECALL
+    assert epochs or net.threshold < 0.5
+
+
 PATH_TO = "see https://hooks.example.com/services/T0000000000/B0000000000/"
 DEEP = "Zq8Kd93jfLq02mZx81bVn47Q"
 
