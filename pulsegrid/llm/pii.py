@@ -3,8 +3,9 @@
 Patterns give the base findings: e-mail addresses, IP addresses, payment cards and telephone numbers. They seed the rest: the
 one or two words before a finding are a lexical pattern; every identifier-like token (with a digit or an at sign) after a pattern is
 an instance of it. Pattern and instance scores are computed in turn over the graph of both: a pattern's is the share of
-confidence among its distinct instances (plus one for doubt), an instance's the chance that one of its patterns is right. Instances of
-patterns with a high score and enough seeds, themselves of high score and with the digits of an identifier, are added as
+confidence among its distinct instances (plus one for doubt), an instance's the chance that one of its patterns is right. Support of a
+pattern are its distinct instances of high score, so that those discovered in one round confirm further patterns in the next. Instances of
+patterns with a high score and enough support, themselves of high score and with the digits of an identifier, are added as
 ``found``.
 
 Results: a null text counts as empty; spans are in code points, end exclusive; equal texts are learnt from once, and each row,
@@ -108,10 +109,10 @@ def instances(spans: DataFrame) -> DataFrame:
 
 
 def bootstrap(graph: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of patterns (with their seeds) and of instances, from edges ``pattern``, ``value``, ``seed``."""
+    """Scores of patterns (with their support) and of instances, from edges ``pattern``, ``value``, ``seed``."""
     scores = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
     for _ in range(rounds):
-        patterns = graph.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("pattern_score"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+        patterns = graph.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("pattern_score"), F.sum((F.col("score") >= INSTANCE_SCORE).cast("int")).alias("support"))
         doubt = F.sum(F.log1p(-F.least(F.col("pattern_score"), F.lit(0.999)) * (F.col("pattern_score") >= 0.5).cast("int")))
         scores = graph.join(patterns, "pattern").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(doubt)).alias("score"))
     return patterns, scores
@@ -122,7 +123,7 @@ def found(spans: DataFrame) -> DataFrame:
     seen = cut_lineage(instances(spans))
     graph = cut_lineage(seen.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     patterns, scores = bootstrap(graph)
-    good = patterns.where((F.col("pattern_score") >= PATTERN_SCORE) & (F.col("seeds") >= PATTERN_SEEDS)).select("pattern")
+    good = patterns.where((F.col("pattern_score") >= PATTERN_SCORE) & (F.col("support") >= PATTERN_SEEDS)).select("pattern")
     sure = scores.where(F.col("score") >= INSTANCE_SCORE).select("value")
     new = seen.where(~F.col("seed") & F.col("identifier")).join(good, "pattern", "left_semi").join(sure, "value", "left_semi")
     return new.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))

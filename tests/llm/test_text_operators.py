@@ -223,6 +223,15 @@ def test_contexts_discover_identifiers(spark):
     assert out[10]["found"] == []
 
 
+def test_discovered_identifiers_confirm_further_contexts(spark):
+    texts = [f"write to contact me: user{i}@mail.org now" for i in range(40)]
+    texts += [f"write to contact me: 5551230{i} now" for i in range(10)] + [f"a ticket holder 5551230{i} here" for i in range(10)]
+    texts += ["a ticket holder 55599001 here", *(f"in chapter two 7770{i} follows" for i in range(12)), "in chapter two 55512300 follows"]
+    out = by_id(pii.personal_data(frame(spark, texts)))
+    marked = {i: [texts[i][s["start"] : s["end"]] for s in r["found"]] for i, r in out.items() if r["found"]}
+    assert marked == {i: [texts[i].split()[-2]] for i in range(40, 61)}
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).where("false")
     assert bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN).count() == 0
