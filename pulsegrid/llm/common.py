@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -24,22 +25,30 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a temporary folder where it is unset, on one machine alone."""
+    conf = spark.sparkContext.getConf()
+    if folder := conf.get("spark.checkpoint.dir"):
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``).
+    """A reliable checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``); Spark removes it with the frame.
 
-    A folder of our own is used only where the session names none, as in tests.
+    A folder of our own is used only where the session names none and runs in one process, as in tests.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def settled(df: DataFrame, rows_per_partition: int) -> DataFrame:
-    """A checkpoint in as many partitions as its rows need, so that small tables do not shuffle through hundreds of files."""
-    cut = cut_lineage(df)
-    needed = max(1, -(-cut.count() // rows_per_partition))
-    return cut if cut.rdd.getNumPartitions() <= needed else cut.coalesce(needed)
+def whole_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns as one struct ``row`` beside the given keys, so that no name of theirs can clash; ``row.*`` gives them back."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(key.alias(name) for name, key in keys.items()))
 
 
 def literal_array(values: Iterable, of: str) -> Column:

@@ -6,15 +6,19 @@ share a key are candidates. The similarity of two texts is ``c / (a + b - c)`` f
 same order inside a band; it never exceeds the Jaccard index of the labelled shingles. 0.8 or more makes a link, and connected texts make a
 class.
 
-Equal texts are one node from the start. Groups of a key up to :data:`SMALL_GROUP` texts are compared in full. In a larger group
-each text is compared with the one that has most company in all its groups, most likely the original, and then in rounds with random neighbours of other
-classes; that settles most. The few texts outside the largest class of a group are then held against all of the group, in blocks: an
-index of the shingles of a block tells which pairs can be similar, and only links between different classes leave the task. So no
-link between the classes of a group is missed, and no group makes all its pairs as rows.
-
-Results: a null text, or one without words, is a class of its own row; a text of fewer than five words is one shingle; classes are named
-by their smallest id, which is null if all ids are null; rows of equal id and text count as one document and stay or go
-together; an empty table gives an empty result; other columns are not read.
+Equal texts are one node from the start, and groups of equal members are one group. Each text is first compared with one other, the centre of
+its groups: the text with most company in them, most likely the original. That settles most. Groups that are still in several classes are
+then searched in blocks of bounded size: the texts outside the largest class of a group are held against all of it, an index of the shingles of a block
+tells which pairs can be similar, and links between classes alone leave the task. So no link between the classes of a
+group is missed, no group makes its pairs as rows, and a group of any size takes the same path.
+
+Skewed keys: the text of a centre is repeated for shares of those compared with it, blocks split groups, and joins on a class or on a copied
+text are between a large and a one-row side, which adaptive execution splits.
+
+Results: a null text, or one without words, is a class of its own row; a text of fewer than five words is one shingle; a very long text is read
+whole; classes are named by their smallest id, which is null if all ids are null; of equal texts and ties the smallest id, then the least MD5, stays;
+rows of equal id and text count as one document and stay or go together; an empty table gives an empty result; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import cut_lineage, settled, slices
+from pulsegrid.llm.common import cut_lineage, slices, whole_rows
 from pulsegrid.llm.hashing import WordHashes, mix, runs
 
 SHINGLE = 5
@@ -37,9 +41,8 @@ SIMILARITY = 0.8
 SKETCHES = 24
 #: Shingles in a key, for texts from so many shingles and below so many; the ranges overlap so that similar texts share a kind.
 KEY_SIZES = ((2, 1, 16), (6, 12, math.inf))
-SMALL_GROUP, CHAIN_ROUNDS, BLOCK = 6, 2, 1000
-#: Rows of a partition of intermediate tables: of a few numbers, of a text's keys, of a text's shingles.
-SMALL_ROWS, NODE_ROWS, TEXT_ROWS = 200_000, 10_000, 5_000
+#: Texts compared with one copy of a centre, and shingles in a block of a group.
+FAN, BLOCK = 1000, 1 << 20
 WORD = re.compile(r"[^\W_]+")
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -93,7 +96,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
     end = int(back[0]) if len(back) else len(a2)
     a2, b2 = a2[: len(a2) - end], b2[: len(b2) - end]
     common = start + end
-    if len(a2) and common + len(np.intersect1d(a2, b2)) < need:  # shingles are labelled, so those of a text differ
+    if len(a2) and common + np.count_nonzero(np.isin(a2, b2)) < need:
         return 0.0
     if len(a2):
         common += _banded_lcs(a2, b2, total - 2 * need)
@@ -102,7 +105,9 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> flo
 
 def _banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence whose pairs of places differ by ``band`` at most, 64 and more columns at a time in one integer."""
-    at = {int(x): j for j, x in enumerate(b)}
+    at: dict[int, list[int]] = {}
+    for j, x in enumerate(b.tolist()):
+        at.setdefault(x, []).append(j)
     width = 2 * band + 1
     ones = (1 << width) - 1
     row, low, out = ones, -band, 0  # bit k stands for column low + k; a zero bit is a step of the length
@@ -115,10 +120,9 @@ def _banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
                 out += shift - first - (gone >> first).bit_count()
             row = row >> shift | (((1 << shift) - 1) << (width - shift))
             low += shift
-        j = at.get(x, -1) - low
-        if 0 <= j < width and x in at:
-            match = row & (1 << j)
-            row = ((row + match) | (row & ~(1 << j))) & ones
+        here = sum(1 << (j - low) for j in at.get(x, ()) if 0 <= j - low < width)
+        if here:
+            row = ((row + (row & here)) | (row & ~here)) & ones
     first = max(0, -low)
     return out + (width - first) - (row >> first).bit_count()
 
@@ -149,104 +153,67 @@ def _mapped(rows: DataFrame, fields: str, each) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """``group``, ``key``, ``n`` and ``size`` for texts that share a key; of groups with the same members one stays."""
+    members = nodes.select(F.explode("keys").alias("group"), "key", "n")
+    both = (F.bit_xor(F.xxhash64("key", F.lit(seed))).alias(f"members{seed}") for seed in (1, 2))
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"), *both).where(F.col("size") > 1)
+    return members.join(sizes.groupBy("size", "members1", "members2").agg(F.min("group").alias("group")).select("group", "size"), "group")
+
+
+def centres(grouped: DataFrame) -> DataFrame:
+    """``key`` and the ``centre`` it is compared with, the text of most ``company`` in any of its groups; those that are their own are left out."""
+    company = grouped.groupBy("key").agg(F.sum("size").alias("company"))
+    of_group = grouped.join(company, "key").groupBy("group").agg(F.max(F.struct("company", "key")).alias("centre"))
+    best = grouped.join(of_group, "group").groupBy("key").agg(F.max("centre").alias("centre"))
+    return best.select("key", F.col("centre.key").alias("centre"), "centre.company").where(F.col("key") != F.col("centre"))
+
+
 def verified(pairs: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose texts are similar."""
+    """The rows of ``key`` and ``centre`` whose texts are similar; a centre goes to as many shares as its company needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [aligned(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), similarity) >= similarity for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["key", "centre"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sequences.select(F.col("key").alias("a"), F.col("seq").alias("x")), "a").join(sequences.select(F.col("key").alias("b"), F.col("seq").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    shares = F.ceil(F.col("company") / FAN)
+    mine = pairs.withColumn("share", F.pmod(F.xxhash64("key"), shares)).join(sequences.withColumnRenamed("seq", "x"), "key")
+    held = pairs.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share")).distinct()
+    held = held.join(sequences.select(F.col("key").alias("centre"), F.col("seq").alias("y")), "centre")
+    return mine.join(held, ["centre", "share"]).select("key", "centre", "x", "y").mapInArrow(run, "key binary, centre binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``key`` and ``label``, the least key that it is connected with, for every key in a link; labels spread along links and are then followed."""
-    edges = settled(links.union(links.select("b", "a")).distinct(), SMALL_ROWS)
-    few = max(1, edges.rdd.getNumPartitions())
-    labels = cut_lineage(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("label")).coalesce(few))
+def roots(parents: DataFrame) -> DataFrame:
+    """``key`` and ``label``, the last of its line of centres; company grows along a line, so there are no rings."""
+    labels = parents.select("key", F.col("centre").alias("label"))
     while True:
-        near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").coalesce(few).groupBy(F.col("a").alias("key")).agg(F.min("label").alias("m"))
-        spread = labels.join(near, "key").select("key", F.least("label", "m").alias("to"), F.col("label").alias("was")).coalesce(few)
-        after = labels.select(F.col("key").alias("to"), F.col("label").alias("further"))
-        new = cut_lineage(spread.join(after, "to", "left").select("key", F.least("to", F.coalesce("further", "to")).alias("label"), "was").coalesce(few))
+        after = labels.select(F.col("key").alias("label"), F.col("label").alias("next"))
+        new = cut_lineage(labels.join(after, "label", "left").select("key", F.coalesce("next", "label").alias("label"), F.col("next").isNotNull().alias("moved")))
         labels = new.select("key", "label")
-        if new.where(F.col("label") != F.col("was")).isEmpty():
+        if new.where("moved").isEmpty():
             return labels
 
 
-def _similar_sizes(similarity: float) -> Column:
-    return F.least("na", "nb") >= F.greatest("na", "nb") * similarity
-
-
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row for each distinct text with a word: ``key`` (its MD5), ``class_id`` and ``keep_key``, the text that stands for the class."""
-    rows = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    sketched = _mapped(rows, "n int, keys array<long>", lambda s: (len(s), order_minhash(s)))
-    nodes = settled(sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), NODE_ROWS)
-
-    members = nodes.select(F.explode("keys").alias("group"), "key", "n")
-    sizes = members.groupBy("group").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    grouped = settled(members.join(sizes, "group"), SMALL_ROWS)
-    small, large = grouped.where(F.col("size") <= SMALL_GROUP), grouped.where(F.col("size") > SMALL_GROUP).select("group", "key", "size")
-    one = small.select("group", F.col("key").alias("a"), F.col("n").alias("na"))
-    two = small.select("group", F.col("key").alias("b"), F.col("n").alias("nb"))
-    pairs = one.join(two, "group").where((F.col("a") < F.col("b")) & _similar_sizes(similarity)).select("a", "b")
-    company = large.groupBy("key").agg(F.sum("size").alias("company"))
-    centre = large.join(company, "key").groupBy("group").agg(F.max_by("key", F.struct("company", "key")).alias("centre"))
-    star = large.join(centre, "group").where(F.col("key") != F.col("centre")).select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b"))
-    pairs = settled(pairs.union(star).distinct(), SMALL_ROWS)
-
-    asked = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(asked, "key", "left_semi").select("key", F.coalesce("doc_id", F.lit(-1)).alias("id"))
-    sequences = _mapped(rows.withColumn("id", F.coalesce("doc_id", F.lit(-1))).drop("doc_id"), "seq binary", lambda s: (s.astype("<u4").tobytes(),))
-    sequences = settled(sequences.join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key"]).select("key", "seq"), TEXT_ROWS)
-
-    links = settled(verified(pairs, sequences, similarity), SMALL_ROWS)
-    labels = components(links)
-    for turn in range(CHAIN_ROUNDS + 1):
-        open_groups = settled(unsettled(large, labels), SMALL_ROWS)
-        if open_groups.isEmpty():
-            break
-        if turn < CHAIN_ROUNDS:
-            more = verified(neighbours(open_groups, turn), sequences, similarity)
-        else:
-            more = blocked_links(open_groups, sequences, similarity)
-        links = settled(links.union(more), SMALL_ROWS)
-        labels = components(links)
-
-    known = nodes.select("key", "doc_id").join(labels, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
-    best = known.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("keep_key"))
-    return known.join(best, "label").select("key", "class_id", "keep_key")
-
-
-def unsettled(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """``group``, ``size``, ``key`` and ``label`` of the groups that are in several classes."""
-    named = large.join(labels, "key", "left").select("group", "size", "key", F.coalesce("label", "key").alias("label"))
+def unsettled(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows, with their ``label``, of groups that are in several classes."""
+    named = grouped.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     several = named.groupBy("group").agg(F.min("label").alias("p"), F.max("label").alias("q")).where(F.col("p") != F.col("q")).select("group")
     return named.join(several, "group", "left_semi")
 
 
-def neighbours(open_groups: DataFrame, turn: int) -> DataFrame:
-    """Pairs of different classes that follow each other in a random order of a group, or of a share of a very large one."""
-    order = F.xxhash64("key", F.lit(turn))
-    shares = open_groups.withColumns({"order": order, "share": F.pmod(order, F.ceil(F.col("size") / BLOCK))})
-    w = Window.partitionBy("group", "share").orderBy("order")
-    rows = shares.select("key", "label", F.lag("key").over(w).alias("before"), F.lag("label").over(w).alias("label_before"))
-    return rows.where(F.col("label") != F.col("label_before")).select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b")).distinct()
-
-
-def blocked_links(open_groups: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
-    """Links between the texts outside the largest class of a group and all of the group, found block by block."""
-    counts = open_groups.groupBy("group", "label").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("group").agg(F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("others"))
+def block_links(open_groups: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of classes with similar texts: those outside the largest class of a group against all of it, block by block."""
+    counts = open_groups.groupBy("group", "label").agg(F.sum("n").alias("n"))
+    largest = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others"))
     rows = open_groups.join(largest, "group").join(sequences, "key")
-    n_all, n_others = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("others") / BLOCK)
+    n_all, n_others = F.ceil(F.col("all") / BLOCK), F.ceil(F.col("others") / BLOCK)
     of = lambda seed, n: F.pmod(F.xxhash64("key", F.lit(seed)), n).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    every = rows.select("group", of(1, n_all).alias("i"), spread(n_others).alias("j"), F.lit(0).alias("role"), "key", "label", "seq")
-    asking = rows.where(F.col("label") != F.col("main")).select("group", spread(n_all).alias("i"), of(2, n_others).alias("j"), F.lit(1).alias("role"), "key", "label", "seq")
+    numbers = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
+    place = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
+    held = F.transform(numbers(n_others), lambda j: place(of(1, n_all), j, 0))
+    asking = F.when(F.col("label") != F.col("main"), F.transform(numbers(n_all), lambda i: place(i, of(2, n_others), 1))).otherwise(F.array().cast("array<struct<i:int,j:int,role:int>>"))
+    blocks = rows.select("group", "label", "seq", F.inline(F.concat(held, asking)))
 
     def search(block: list[dict]) -> list[tuple[bytes, bytes]]:
         held = [r for r in block if not r["role"]]
@@ -259,6 +226,8 @@ def blocked_links(open_groups: DataFrame, sequences: DataFrame, similarity: floa
 
         texts = [np.frombuffer(r["seq"], "<u4") for r in held]
         sizes = np.array([len(t) for t in texts])
+        if not len(texts):
+            return []
         flat, owner = np.concatenate(texts), np.repeat(np.arange(len(held)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
@@ -274,7 +243,7 @@ def blocked_links(open_groups: DataFrame, sequences: DataFrame, similarity: floa
                 mine, other = root(r["label"]), root(held[k]["label"])
                 if mine != other and aligned(x, texts[k], similarity) >= similarity:
                     parent[max(mine, other)] = min(mine, other)
-                    found.append((min(r["key"], held[k]["key"]), max(r["key"], held[k]["key"])))
+                    found.append((min(mine, other), max(mine, other)))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +258,44 @@ def blocked_links(open_groups: DataFrame, sequences: DataFrame, similarity: floa
                     block, name = [], at
                 block.append(row)
 
-    blocks = every.unionByName(asking)
-    n = int(open_groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(n, "group", "i", "j").sortWithinPartitions("group", "i", "j", "role").mapInArrow(run, "a binary, b binary").distinct()
+    return blocks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "role").mapInArrow(run, "a binary, b binary").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``key`` and ``label``, the least key that it is connected with, for every key in a link; labels spread along links and are then followed."""
+    edges = cut_lineage(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = cut_lineage(edges.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("label")))
+    while True:
+        near = edges.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("m"))
+        spread = labels.join(near, "key").select("key", F.least("label", "m").alias("to"), F.col("label").alias("was"))
+        after = labels.select(F.col("key").alias("to"), F.col("label").alias("further"))
+        new = cut_lineage(spread.join(after, "to", "left").select("key", F.least("to", F.coalesce("further", "to")).alias("label"), "was"))
+        labels = new.select("key", "label")
+        if new.where(F.col("label") != F.col("was")).isEmpty():
+            return labels
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row for each distinct text with a word: ``key`` (its MD5), ``class_id`` and ``keep_key``, the text that stands for the class."""
+    rows = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    sketched = cut_lineage(_mapped(rows, "n int, keys array<long>, seq binary", lambda s: (len(s), order_minhash(s), s.astype("<u4").tobytes())))
+    nodes = cut_lineage(sketched.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    grouped = cut_lineage(candidate_groups(nodes))
+
+    wanted = nodes.select("key", F.coalesce("doc_id", F.lit(-1)).alias("id")).join(grouped.select("key").distinct(), "key", "left_semi")
+    given = sketched.select("key", F.coalesce("doc_id", F.lit(-1)).alias("id"), "seq")
+    sequences = cut_lineage(given.join(wanted, ["key", "id"], "left_semi").dropDuplicates(["key"]).select("key", "seq"))
+
+    labels = roots(cut_lineage(verified(centres(grouped), sequences, similarity)))
+    open_groups = cut_lineage(unsettled(grouped, labels))
+    if not open_groups.isEmpty():
+        merged = components(block_links(open_groups, sequences, similarity)).select(F.col("key").alias("was"), F.col("label").alias("now"))
+        known = grouped.select("key").distinct().join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("was"))
+        labels = known.join(merged, "was", "left").select("key", F.coalesce("now", "was").alias("label"))
+
+    known = nodes.select("key", "doc_id").join(labels, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("label"))
+    best = known.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("keep_key"))
+    return known.join(best, "label").select("key", "class_id", "keep_key")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -305,9 +309,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without all but one document of each class."""
     found = classes(docs, similarity)
-    key, ident = "__text_key", "__doc_key"
-    marked = docs.withColumns({key: text_key(F.col("text")), ident: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))})
-    rows = docs.select(text_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    key, ident = text_key(F.col("text")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
     keep = (F.col("key") == F.col("keep_key")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = rows.join(found, "key").where(~keep).select(F.col("key").alias(key), F.coalesce("doc_id", F.lit(-1)).alias(ident)).distinct()
-    return marked.join(gone, [key, ident], "left_anti").select(*docs.columns)
+    gone = rows.join(found, "key").where(~keep).select("key", F.coalesce("doc_id", F.lit(-1)).alias("ident")).distinct()
+    return whole_rows(docs, key=key, ident=ident).join(gone, ["key", "ident"], "left_anti").select("row.*")

@@ -120,8 +120,8 @@ def test_near_duplicates_are_those_of_brute_force(spark):
 
 
 def test_blocks_find_what_stars_and_chains_leave(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CHAIN_ROUNDS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "FAN", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 400)
     rng = random.Random(4)
     base = prose(rng, 120)
     texts = [" ".join(variant(rng, base, rng.randrange(2, 9))) for _ in range(70)]
