@@ -1,17 +1,19 @@
 """Substring deduplication on a De Bruijn graph of words.
 
-A run of 13 words is an edge between the two runs of 12 words in it. Edges go to the bucket of their hash, where all
-occurrences meet: an edge that occurs again points to its source, the occurrence in the smallest ``doc_id``. Back with their texts, edges are
+A run of 13 words is an edge between the two runs of 12 words in it. A slice of the input sends each of its distinct edges once, with the
+number of its occurrences there, to the bucket of the edge's hash, where the slices meet: an edge that occurs again points to its source, the
+occurrence in the smallest ``doc_id``. Back with its slice an edge stands for all its occurrences there again, and edges are
 joined to their neighbours: as long as text and source both go on by one word and the number of occurrences stays, no
 path enters or leaves the graph in between, and the edges are compacted into one span. Each span keeps the coordinates of its source, and
-is verified by a digest of its words in both places before its words are removed.
+is verified by a 128-bit digest of its words in both places before its words count as removed. The edges of a span that is refuted (two runs of words with one hash)
+are resolved anew, each by the digest of its words in place of its hash, so that what repeats elsewhere is still found.
 
-Edges travel packed, one row for a slice of the input and a bucket, so a frequent edge makes no large group and a task
-holds one bucket. The number of buckets follows the size of the input.
+Edges travel packed, one row for a slice and a bucket. An edge that a third of all documents hold is one entry for each slice. Slices and buckets grow with the root of
+the input, so a packed row holds the same number of edges at any size and the shuffle stays in proportion.
 
-Results: a null or blank text has no words and nothing is removed; a text of fewer than 13 words is kept; documents with equal ids do
+Results: a null or blank text has no words and nothing is removed; a text of fewer than 13 words is kept; a very long text is one slice and is taken whole; documents with equal ids do
 not count as earlier than each other, nor do documents with null ids, which come after all others; words are compared as they are; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +33,12 @@ from pulsegrid.llm.common import cut_lineage, doc_text, slices
 from pulsegrid.llm.hashing import WordHashes, runs
 
 WINDOW = 13
-#: Bytes of text for each bucket, and in the slices of the input that are packed together.
-BUCKET_BYTES, SLICE_BYTES, LARGEST_SLICE = 12 << 20, 4 << 20, 64 << 20
+#: Least bytes of text for a bucket and for a slice; their product is PER_ROW times the input, some 50 edges for a packed row.
+BUCKET_BYTES, SLICE_BYTES, PER_ROW = 12 << 20, 4 << 20, 300
+#: Bits of a hash that tell edges apart, and refuted edges that are resolved at a time (8 bytes each, sent to all tasks).
+HASH_BITS, AT_A_TIME = 64, 1 << 20
 LAST = np.iinfo(np.int64).max
 PACKED = "bucket int, slice long, body binary, places binary, ids binary"
-ENTRY = np.dtype([("place", "<u4"), ("step", "<i4"), ("source", "<i8"), ("count", "<u4")])
 SPANS = "array<struct<start:int,end:int,source_id:bigint,source_start:int>>"
 
 
@@ -54,26 +57,51 @@ def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def edges(docs: DataFrame, n_buckets: int, window: int = WINDOW) -> DataFrame:
-    """Packed edges of the documents by bucket (below ``n_buckets``), and for each slice a directory in bucket -1.
+def edge_hashes(words: WordHashes, text: bytes, window: int, bits: int) -> np.ndarray:
+    """Hash of every edge of a text, cut to its first ``bits``."""
+    own = runs(words(text.split()), window)
+    return own if bits >= 64 else own & ~np.uint64((1 << (64 - bits)) - 1)
+
+
+def _copies(flat: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that stand for the distinct edges of a slice (the one of least id, then place), in order, how often each occurs, and the others' places with those they stand under."""
+    order = np.argsort(flat, kind="stable")
+    new = np.r_[True, flat[order][1:] != flat[order][:-1]] if len(flat) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    sizes = np.bincount(group) if len(flat) else np.zeros(0, np.int64)
+    again = np.flatnonzero(sizes[group] > 1)  # only copies need a look at the ids
+    places, of = order[again], group[again]
+    by = np.lexsort((places, ids[np.searchsorted(starts, places, side="right") - 1], of))
+    places, of = places[by], of[by]
+    lead = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
+    leader = places[np.maximum.accumulate(np.where(lead, np.arange(len(of)), 0))] if len(of) else places
+    kept = np.concatenate([order[new & (sizes[group] == 1)], places[lead]]) if len(flat) else order
+    count = np.concatenate([np.ones(len(kept) - lead.sum(), np.uint32), sizes[of[lead]].astype(np.uint32)]) if len(flat) else order
+    by = np.argsort(kept)
+    return kept[by], count[by].astype(np.uint32), np.stack([places[~lead], leader[~lead]]) if len(of) else np.zeros((2, 0), np.int64)
+
+
+def edges(docs: DataFrame, n_buckets: int, per_slice: int, window: int = WINDOW, bits: int = HASH_BITS) -> DataFrame:
+    """Packed distinct edges of the slices by bucket (below ``n_buckets``), and for each slice a directory in bucket -1.
 
     ``docs`` has ``doc_id``, ``text`` and a hash ``h`` of the text.
     """
-    per_slice = min(LARGEST_SLICE, max(SLICE_BYTES, n_buckets * 64 << 10))
 
     def packed(number: int, ids: list, marks: list, hashes: list) -> pa.RecordBatch:
         starts = np.cumsum([0, *map(len, hashes)])[:-1].astype(np.uint32)
         ids, marks = np.array(ids, np.int64), np.array(marks, np.int64)
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        bucket = ((flat >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int32)
+        kept, count, copies = _copies(flat, starts, ids)
+        bucket = ((flat[kept] >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        rows = [(-1, number, marks.tobytes(), b"", _pack(starts, ids))]
+        rows = [(-1, number, marks.tobytes(), _pack(*copies.astype(np.uint32)), _pack(starts, ids))]
         for b in range(n_buckets):
-            at = order[cuts[b] : cuts[b + 1]]
-            if len(at):
+            some = order[cuts[b] : cuts[b + 1]]
+            if len(some):
+                at = kept[some]
                 there = np.unique(np.searchsorted(starts, at, side="right") - 1)  # documents with an edge in this row
-                rows.append((b, number, flat[at].view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), _pack(at.astype(np.uint32)), _pack(starts[there], ids[there])))
+                rows.append((b, number, flat[at].view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), _pack(at.astype(np.uint32), count[some]), _pack(starts[there], ids[there])))
         names = ["bucket", "slice", "body", "places", "ids"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
@@ -84,7 +112,7 @@ def edges(docs: DataFrame, n_buckets: int, window: int = WINDOW) -> DataFrame:
             for part in slices(batch, SLICE_BYTES):
                 for i, text, h in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "h")), strict=True):
                     raw = text.encode()
-                    own = runs(words(raw.split()), window)
+                    own = edge_hashes(words, raw, window, bits)
                     if len(own):
                         ids.append(LAST if i is None else i)
                         marks.append(h)
@@ -101,41 +129,42 @@ def edges(docs: DataFrame, n_buckets: int, window: int = WINDOW) -> DataFrame:
 
 
 def _repeated(rows: list[dict]) -> Iterator[tuple[int, bytes]]:
-    """Of one bucket: for each slice the occurrences that have a source in an earlier document."""
-    edge, place, doc, pos, slice_of = [], [], [], [], []
+    """Of one bucket: for each slice the edges that have a source in an earlier document, or copies in the slice, with their source."""
+    edge, place, count, doc, pos, slice_of = [], [], [], [], [], []
     for k, r in enumerate(rows):
         raw = np.frombuffer(r["body"], np.uint8).reshape(-1, 7)
         full = np.zeros((len(raw), 8), np.uint8)
         full[:, :7] = raw
-        (at,) = _unpack(r["places"], "<u4")
+        at, n = _unpack(r["places"], "<u4", "<u4")
         starts, ids = _unpack(r["ids"], "<u4", "<i8")
         which = np.searchsorted(starts, at, side="right") - 1
         edge.append(full.view("<u8")[:, 0])
         place.append(at)
+        count.append(n)
         doc.append(ids[which])
         pos.append((at - starts[which]).astype(np.int32))
         slice_of.append(np.full(len(at), k, np.int32))
-    edge = np.concatenate(edge)
+    edge, count = np.concatenate(edge), np.concatenate(count)
     order = np.argsort(edge)
     same = edge[order][1:] == edge[order][:-1]
-    again = order[np.r_[False, same] | np.r_[same, False]]
+    again = order[np.r_[False, same] | np.r_[same, False] | (count[order] > 1)]
     if not len(again):
         return
-    edge, (place, doc, pos, slice_of) = edge[again], (np.concatenate(c)[again] for c in (place, doc, pos, slice_of))
+    edge, count, (place, doc, pos, slice_of) = edge[again], count[again], (np.concatenate(c)[again] for c in (place, doc, pos, slice_of))
     order = np.lexsort((pos, doc, edge))
-    edge, place, doc, pos, slice_of = edge[order], place[order], doc[order], pos[order], slice_of[order]
+    edge, count, place, doc, pos, slice_of = edge[order], count[order], place[order], doc[order], pos[order], slice_of[order]
     first = np.r_[True, edge[1:] != edge[:-1]]
     group = np.cumsum(first) - 1
     source = np.flatnonzero(first)
-    count = np.diff(np.r_[source, len(edge)])
-    later = np.flatnonzero(doc > doc[source][group])
+    total = np.add.reduceat(count.astype(np.int64), source)
+    later = np.flatnonzero((doc > doc[source][group]) | (count > 1))
     by_slice = later[np.lexsort((place[later], slice_of[later]))]
     cuts = np.searchsorted(slice_of[by_slice], np.arange(len(rows) + 1))
     for k, r in enumerate(rows):
         at = by_slice[cuts[k] : cuts[k + 1]]
         if len(at):
             s = source[group[at]]
-            yield r["slice"], _pack(place[at], (pos[s] - pos[at]).astype("<i4"), doc[s].astype("<i8"), count[group[at]].astype("<u4"))
+            yield r["slice"], _pack(place[at], pos[s].astype("<i4"), doc[s].astype("<i8"), total[group[at]].astype("<u4"))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
@@ -157,14 +186,14 @@ def sources(packed: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "bucket"):
             if rows[0]["bucket"] < 0:
-                out = [(r["slice"], 0, r["body"], r["ids"]) for r in rows]
+                out = [(r["slice"], 0, r["body"], r["ids"], r["places"]) for r in rows]
             else:
-                out = [(number, 1, body, b"") for number, body in _repeated(rows)]
+                out = [(number, 1, body, b"", b"") for number, body in _repeated(rows)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "kind", "body", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["slice", "kind", "body", "ids", "copies"])
 
     spread = F.when(F.col("bucket") < 0, F.col("slice") % n_buckets).otherwise(F.col("bucket"))
-    return packed.repartition(n_buckets, spread).sortWithinPartitions("bucket").mapInArrow(run, "slice long, kind int, body binary, ids binary")
+    return packed.repartition(n_buckets, spread).sortWithinPartitions("bucket").mapInArrow(run, "slice long, kind int, body binary, ids binary, copies binary")
 
 
 def compacted(back: DataFrame, n_slices: int, window: int = WINDOW) -> DataFrame:
@@ -176,10 +205,19 @@ def compacted(back: DataFrame, n_slices: int, window: int = WINDOW) -> DataFrame
                 continue
             starts, ids = _unpack(rows[0]["ids"], "<u4", "<i8")
             marks = np.frombuffer(rows[0]["body"], np.int64)
-            place, shift, source, count = (np.concatenate(c) for c in zip(*(_unpack(r["body"], "<u4", "<i4", "<i8", "<u4") for r in rows[1:]), strict=True))
+            place, pos, source, count = (np.concatenate(c) for c in zip(*(_unpack(r["body"], "<u4", "<i4", "<i8", "<u4") for r in rows[1:]), strict=True))
             order = np.argsort(place)
-            place, shift, source, count = place[order], shift[order], source[order], count[order]
+            place, pos, source, count = place[order], pos[order], source[order], count[order]
+            copy, under = _unpack(rows[0]["copies"], "<u4", "<u4")  # an edge stands for its copies in the slice
+            of = np.searchsorted(place, under)
+            place, pos, source, count = np.concatenate([place, copy]), np.concatenate([pos, pos[of]]), np.concatenate([source, source[of]]), np.concatenate([count, count[of]])
             which = np.searchsorted(starts, place, side="right") - 1
+            order = np.argsort(place)
+            order = order[ids[which[order]] > source[order]]
+            if not len(order):
+                continue
+            place, pos, source, count, which = place[order], pos[order], source[order], count[order], which[order]
+            shift = pos - (place - starts[which]).astype(np.int64)
             goes_on = (np.diff(place) == 1) & (np.diff(which) == 0) & (np.diff(shift) == 0) & (np.diff(source) == 0) & (np.diff(count.astype(np.int64)) == 0)
             first = np.flatnonzero(np.r_[True, ~goes_on])
             last = np.r_[first[1:], len(place)] - 1
@@ -242,22 +280,80 @@ def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", "id", "h", "text", "spans", "asked").mapInArrow(run, f"doc_id long, h long, n_words long, n_removed long, kept binary, own {listed}, given {listed}")
 
 
-def deduplicate(docs: DataFrame, digest_only: bool = True, window: int = WINDOW) -> DataFrame:
+def split_spans(spans: DataFrame, wrong: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The spans without the refuted ones, and the refuted ones, one row each."""
+    each = spans.select("id", "h", F.explode("spans").alias("s"))
+    false = wrong.select(F.col("id").alias("f_id"), F.col("start").alias("f_start"), F.col("end").alias("f_end"))
+    same = (F.col("s.source_id") == F.col("f_id")) & (F.col("s.source_start") == F.col("f_start")) & (F.col("s.source_start") + F.col("s.end") - F.col("s.start") == F.col("f_end"))
+    return each.join(false, same, "left_anti"), each.join(false, same, "left_semi")
+
+
+def hashes_of(docs: DataFrame, each: DataFrame, window: int, bits: int) -> DataFrame:
+    """The distinct hashes of the edges in the given spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = edge_hashes(words, r["text"].encode(), window, bits)
+                some = np.unique(np.concatenate([own[s["start"] : s["end"] - window + 1] for s in r["spans"]]))
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64))], ["edge"])
+
+    texts = docs.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("id"), "h", "text").dropDuplicates(["id", "h"])
+    return texts.join(each.groupBy("id", "h").agg(F.collect_list("s").alias("spans")), ["id", "h"]).select("text", "spans").mapInArrow(run, "edge long").distinct()
+
+
+def resolved(docs: DataFrame, refuted: DataFrame, window: int, bits: int) -> DataFrame:
+    """Spans of one edge each for the refuted hashes, by the digests of their words: Spark joins of occurrences with the first one of each run of words."""
+    spark, found = docs.sparkSession, None
+    chunks = refuted.select("edge", F.pmod("edge", F.lit(max(1, -(-refuted.count() // AT_A_TIME)))).alias("chunk"))
+    for (chunk,) in chunks.select("chunk").distinct().collect():  # hardly ever more than one
+        shared = spark.sparkContext.broadcast(np.sort(np.array([r["edge"] for r in chunks.where(F.col("chunk") == chunk).select("edge").collect()], np.int64)))  # about AT_A_TIME numbers
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            words = WordHashes()
+            for batch in batches:
+                for r in batch.to_pylist():
+                    raw = r["text"].encode()
+                    own = edge_hashes(words, raw, window, bits).view(np.int64)
+                    at = np.flatnonzero(np.isin(own, shared.value))
+                    if len(at):
+                        parts = raw.split()
+                        keys = [xxhash.xxh3_128_digest(b" ".join(parts[k : k + window])) for k in at.tolist()]
+                        yield pa.RecordBatch.from_arrays([pa.array([r["id"]] * len(at), pa.int64()), pa.array([r["h"]] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(keys, pa.binary())], ["id", "h", "at", "run"])
+
+        rows = cut_lineage(docs.select(F.coalesce("doc_id", F.lit(int(LAST))).alias("id"), "h", "text").mapInArrow(run, "id long, h long, at int, run binary"))
+        first = rows.groupBy("run").agg(F.min(F.struct("id", "at")).alias("first"))
+        later = rows.join(first, "run").where(F.col("id") > F.col("first.id"))
+        span = F.struct(F.col("at").alias("start"), (F.col("at") + window).alias("end"), F.col("first.id").alias("source_id"), F.col("first.at").alias("source_start"))
+        some = later.select("id", "h", span.alias("s"))
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+def deduplicate(docs: DataFrame, digest_only: bool = True, window: int = WINDOW, bits: int = HASH_BITS) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and the kept words: their SHA-256 as ``kept_sha256``, or as text in ``kept``."""
     spark = docs.sparkSession
     rows = doc_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    spans = cut_lineage(compacted(sources(edges(rows, n_buckets, window), n_buckets), n_buckets, window))
-    while True:
-        kept = F.sha2("kept", 256).alias("kept_sha256") if digest_only else F.decode("kept", "UTF-8").alias("kept")
-        out = cut_lineage(removed(rows, spans).select("doc_id", "h", "n_words", "n_removed", kept, "own", "given"))
-        claims = out.select(F.inline("own")).distinct()
-        wrong = claims.join(out.select(F.inline("given")), ["id", "start", "end", "digest"], "left_anti").select("id", "start", "end").distinct()
-        if wrong.isEmpty():
-            return out.drop("h", "own", "given")
-        # two different runs of words with one hash: those spans are taken out and the rest applied anew
-        each = spans.select("id", "h", F.explode("spans").alias("s"))
-        false = wrong.select(F.col("id").alias("f_id"), F.col("start").alias("f_start"), F.col("end").alias("f_end"))
-        good = each.join(false, (F.col("s.source_id") == F.col("f_id")) & (F.col("s.source_start") == F.col("f_start")) & (F.col("s.source_start") + F.col("s.end") - F.col("s.start") == F.col("f_end")), "left_anti")
-        spans = cut_lineage(good.groupBy("id", "h").agg(F.collect_list("s").alias("spans")))
+    even = int((PER_ROW * size) ** 0.5)
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // max(BUCKET_BYTES, even)))
+    packed = edges(rows, n_buckets, max(SLICE_BYTES, even, n_buckets * 64 << 10), window, bits)
+    spans = cut_lineage(compacted(sources(packed, n_buckets), n_buckets, window))
+    kept = F.sha2("kept", 256).alias("kept_sha256") if digest_only else F.decode("kept", "UTF-8").alias("kept")
+
+    def done(some: DataFrame, of: DataFrame) -> DataFrame:
+        return cut_lineage(removed(some, of).select("doc_id", "h", "n_words", "n_removed", kept, "own", "given"))
+
+    out = done(rows, spans)
+    wrong = out.select(F.inline("own")).distinct().join(out.select(F.inline("given")), ["id", "start", "end", "digest"], "left_anti").select("id", "start", "end").distinct()
+    if not wrong.isEmpty():
+        good, refuted = split_spans(spans, cut_lineage(wrong))
+        refuted = cut_lineage(refuted)
+        more = cut_lineage(resolved(rows, cut_lineage(hashes_of(rows, refuted, window, bits)), window, bits))
+        touched = cut_lineage(refuted.select("id", "h").union(more.select("id", "h")).distinct())
+        mark = lambda df: df.withColumn("id", F.coalesce("doc_id", F.lit(int(LAST))))
+        anew = good.join(touched, ["id", "h"], "left_semi").unionByName(more).groupBy("id", "h").agg(F.collect_list("s").alias("spans"))
+        again = done(mark(rows).join(touched, ["id", "h"], "left_semi").select("doc_id", "text", "h"), anew)
+        out = mark(out).join(touched, ["id", "h"], "left_anti").drop("id").unionByName(again)
+    return out.drop("h", "own", "given")
