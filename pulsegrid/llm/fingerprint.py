@@ -2,16 +2,17 @@
 
 The distinct paragraphs (lines) of a text, each with the number of times it occurs, are hashed to 64-bit digests. A sketch has three
 tables of cells; a digest enters one cell of each, which keeps a count, the exclusive or of the digests and that of their
-checks. Two sketches subtract cell by cell; peeling takes a cell that holds one digest, removes that digest from the other tables and
-goes on, until nothing is left and the digests that differ are known on either side. If peeling stops early, both sketches
-are made again eight times as large; beyond the last size of :data:`SIZES` the digests themselves are compared.
+checks. Only cells in use are kept, in order of place. Two sketches subtract cell by cell; peeling takes the cells that hold one digest, removes those
+digests from the other tables and goes on, until nothing is left and the digests that differ are known on either side. If
+peeling stops early, both sketches are made again with tables eight times as large, as often as it takes.
 
-Likeness of two sketches is the Jaccard index of their digests, from the counts and the peeled differences. The order of paragraphs does
-not count, so texts that differ in order alone have equal fingerprints too.
+The fingerprint of a text is its sketch of the first size at which it peels itself, so it lists all its digests and can be entered in larger tables: the
+likeness of any two texts follows from their fingerprints alone. It is the Jaccard index of the digests, from the counts and the peeled differences.
+The order of paragraphs does not count, so texts that differ in order alone have equal fingerprints too.
 
 Results: a null text is empty (one empty paragraph); two empty texts have likeness 1; documents with a null id come first in the
-order of ids, those with equal ids are ordered by text; the one row of a table of one is its own next; an empty table
-gives an empty result; other columns are not read.
+order of ids, those with equal ids are ordered by the hash of the text, then by the text; the one row of a table of one is its own next; a very long text or paragraph is
+taken whole; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,120 +20,108 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import doc_text
+from pulsegrid.llm.common import doc_text, literal_array
 from pulsegrid.llm.decontam import let
 
-#: Cells of each of the three tables, by attempt, and rounds of peeling.
-SIZES, ROUNDS = (8, 64, 512), (8, 14, 20)
-#: Documents (by id) that are put in order together.
-WIDTH = 256
-CELL = "struct<n:int,key:bigint,check:bigint>"
+#: Cells of each of the three tables at first, the factor between sizes, and the most sizes and rounds of peeling: more than 2 ** 40 digests need.
+LEAST, FACTOR, ATTEMPTS, ROUNDS = 8, 8, 14, 60
+#: Groups of neighbouring ids for each partition of a shuffle.
+GROUPS = 4
+CELLS = "array<struct<at:bigint,n:int,key:bigint,check:bigint>>"
+FOUND = "array<struct<digest:bigint,sign:int>>"
+PEELED = f"struct<done:boolean,size:bigint,cells:{CELLS},found:{FOUND}>"
 
 
 def digests(text: Column) -> Column:
     """Sorted digests of the distinct paragraphs with their multiplicities."""
 
     def of(s: Column) -> Column:  # s: sorted hashes; a run's last place tells its length
-        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.element_at(s, i) != F.get(s, i)))
-        return let(ends, lambda e: F.transform(e, lambda at, j: F.xxhash64(F.element_at(s, at), at - F.coalesce(F.get(e, j - 1), F.lit(0)))))
+        return let(run_ends(s), lambda e: F.transform(e, lambda at, j: F.xxhash64(F.element_at(s, at), at - F.coalesce(F.get(e, j - 1), F.lit(0)))))
 
     return let(F.array_sort(F.transform(F.split(text, "\n", -1), lambda p: F.xxhash64(p))), lambda s: F.array_sort(of(s)))
 
 
-def _place(digest: Column, table: int, size: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(digest, 20 * table), F.lit(size)).cast("int")
-
-
-def _enter(cells: Column, digest: Column, sign: Column, table: int, size: int) -> Column:
-    """The table with a digest added to (or taken from) its cell."""
-
-    def put(at: Column) -> Column:
-        old = F.element_at(cells, at + 1)
-        new = F.struct((old["n"] + sign).alias("n"), old["key"].bitwiseXOR(digest).alias("key"), old["check"].bitwiseXOR(F.xxhash64(digest)).alias("check")).cast(CELL)
-        return F.concat(F.slice(cells, F.lit(1), at), F.array(new), F.slice(cells, at + 2, F.lit(size)))
+def run_ends(s: Column) -> Column:
+    """Last places (from 1) of the runs of equal elements."""
+    return F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.element_at(s, i) != F.get(s, i)))
 
-    return let(_place(digest, table, size), put)
 
+def entered(found: Column, size: Column, sign: int = 1) -> Column:
+    """The three cells of each digest, with its own sign times ``sign``."""
 
-def sketch(of: Column, size: int) -> Column:
-    """Three tables of cells as one struct."""
-    empty = F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check")).cast(CELL), size)
+    def cell(x: Column, t: int) -> Column:
+        at = F.pmod(F.xxhash64(x["digest"], F.lit(t)), size) + size * t
+        return F.struct(at.alias("at"), (x["sign"] * sign).alias("n"), x["digest"].alias("key"), F.xxhash64(x["digest"]).alias("check"))
 
-    def table(t: int) -> Column:
-        return F.aggregate(of, empty, lambda cells, d: _enter(cells, d, F.lit(1), t, size)).alias(f"t{t}")
+    return F.flatten(F.transform(found, lambda x: F.array(*(cell(x, t) for t in range(3))))).cast(CELLS)
 
-    return F.struct(*(table(t) for t in range(3)))
 
+def gathered(cells: Column) -> Column:
+    """One cell for each place, in order: counts add up, digests and checks combine; cells of nothing go."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
 
-def written(s: Column) -> Column:
-    """A sketch as text: count, digests and checks of each cell in hexadecimal."""
-    cells = F.concat(s["t0"], s["t1"], s["t2"])
-    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", F.hex(c["n"]), F.hex(c["key"]), F.hex(c["check"]))), " ")
-
+    def together(s: Column, first: Column, last: Column) -> Column:
+        add = lambda a, c: F.struct((a["n"] + c["n"]).alias("n"), a["key"].bitwiseXOR(c["key"]).alias("key"), a["check"].bitwiseXOR(c["check"]).alias("check"))
+        many = let(F.aggregate(F.slice(s, first, last - first + 1), none, add), lambda a: F.struct(F.element_at(s, last)["at"].alias("at"), a["n"].alias("n"), a["key"].alias("key"), a["check"].alias("check")))
+        return F.when(first == last, F.element_at(s, last)).otherwise(many)
 
-def subtract(a: Column, b: Column) -> Column:
-    def less(x: Column, y: Column) -> Column:
-        return F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")).cast(CELL)
+    def of(s: Column) -> Column:
+        ends = let(run_ends(F.transform(s, lambda c: c["at"])), lambda e: F.transform(e, lambda last, j: together(s, F.coalesce(F.get(e, j - 1), F.lit(0)) + 1, last)))
+        return F.filter(ends, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
 
-    return F.struct(*(F.zip_with(a[f"t{t}"], b[f"t{t}"], less).cast(f"array<{CELL}>").alias(f"t{t}") for t in range(3)))
+    return F.when(F.size(cells) == 0, cells).otherwise(let(F.array_sort(cells), of)).cast(CELLS)
 
 
-FOUND = "array<struct<digest:bigint,sign:int>>"
-STATE = f"struct<t0:array<{CELL}>,t1:array<{CELL}>,t2:array<{CELL}>,found:{FOUND}>"
-
+def peeled(cells: Column, size: Column) -> Column:
+    """``rest`` of a sketch after peeling (empty if it worked) and the ``found`` digests with their signs."""
+    state = f"struct<rest:{CELLS},found:{FOUND},stuck:boolean>"
 
-def peel(difference: Column, size: int, rounds: int) -> Column:
-    """``done`` and the ``found`` digests with the side they are on (1: the first text, -1: the second)."""
-
-    def step(state: Column, _: Column) -> Column:
-        cells = F.concat(state["t0"], state["t1"], state["t2"])
-        pure = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (c["check"] == F.xxhash64(c["key"])))
+    def step(acc: Column, _: Column) -> Column:
+        pure = F.filter(acc["rest"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == F.xxhash64(c["key"])))
         some = F.array_distinct(F.transform(pure, lambda c: F.struct(c["key"].alias("digest"), c["n"].alias("sign")))).cast(FOUND)
+        off = lambda x: F.struct(gathered(F.concat(acc["rest"], entered(x, size, -1))).alias("rest"), F.concat(acc["found"], x).alias("found"), (F.size(x) == 0).alias("stuck")).cast(state)
+        return F.when(acc["stuck"] | (F.size(acc["rest"]) == 0), acc).otherwise(let(some, off)).cast(state)
 
-        def removed(out: Column) -> Column:
-            def table(t: int) -> Column:
-                return F.aggregate(out, state[f"t{t}"], lambda acc, x: _enter(acc, x["digest"], -x["sign"], t, size)).alias(f"t{t}")
+    start = F.struct(cells.alias("rest"), F.array().cast(FOUND).alias("found"), F.lit(False).alias("stuck")).cast(state)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
-            return F.when(F.size(out) == 0, state).otherwise(F.struct(*(table(t) for t in range(3)), F.concat(state["found"], out).alias("found")).cast(STATE))
 
-        return let(some, removed).cast(STATE)
+def first_that_peels(found: Column, least: Column) -> Column:
+    """The sketch of signed digests in the first size, from ``least`` on, at which it peels: ``size``, ``cells`` and what was ``found``."""
 
-    start = F.struct(*(difference[f"t{t}"].alias(f"t{t}") for t in range(3)), F.array().cast(FOUND).alias("found")).cast(STATE)
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+    def attempt(state: Column, _: Column) -> Column:
+        made = lambda cells: let(peeled(cells, state["size"]), lambda p: F.struct((F.size(p["rest"]) == 0).alias("done"), F.when(F.size(p["rest"]) == 0, state["size"]).otherwise(state["size"] * FACTOR).alias("size"), cells.alias("cells"), p["found"].alias("found")).cast(PEELED))
+        return F.when(state["done"], state).otherwise(let(gathered(entered(found, state["size"])), made)).cast(PEELED)
 
-    def outcome(s: Column) -> Column:
-        rest = F.exists(F.concat(s["t0"], s["t1"], s["t2"]), lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
-        return F.struct((~rest).alias("done"), s["found"].alias("found"))
+    start = F.struct(F.lit(False).alias("done"), least.cast("long").alias("size"), F.array().cast(CELLS).alias("cells"), F.array().cast(FOUND).alias("found")).cast(PEELED)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), start, attempt)
 
-    return let(last, outcome)
 
+def signed(of: Column, sign: int) -> Column:
+    return F.transform(of, lambda d: F.struct(d.alias("digest"), F.lit(sign).alias("sign"))).cast(FOUND)
 
-OUTCOME = f"struct<done:boolean,found:{FOUND}>"
 
+def size_for(n: Column) -> Column:
+    """The least size whose three tables have room for so many digests."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), F.lit(LEAST).cast("long"), lambda size, _: F.when(size * 2 < n, size * FACTOR).otherwise(size))
 
-def compare(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """For each named pair of columns of digests, those of the first alone (sign 1) and of the second alone (sign -1).
 
-    The pairs go through each attempt together, in an array, so that the plan holds it once. Every attempt is a projection of its
-    own, so that its outcome is computed once and the next one only where it failed.
-    """
-    asked, known = "__pairs", "__outcomes"
-    rows = rows.withColumn(asked, F.array(*(F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs.values())))
-    rows = rows.withColumn(known, F.transform(asked, lambda p: F.struct((p["a"] == p["b"]).alias("done"), F.array().cast(FOUND).alias("found")).cast(OUTCOME)))
-    for size, rounds in zip(SIZES, ROUNDS, strict=True):
+def sketch(of: Column) -> Column:
+    """The fingerprint of digests: ``size`` of a table and the ``cells`` in use."""
+    return first_that_peels(signed(of, 1), size_for(F.size(of)))
 
-        def attempt(p: Column, o: Column) -> Column:
-            hopeless = F.abs(F.size(p["a"]) - F.size(p["b"])) > 3 * size  # more digests differ than there are cells
-            return F.when(o["done"] | hopeless, o).otherwise(peel(subtract(sketch(p["a"], size), sketch(p["b"], size)), size, rounds).cast(OUTCOME))
 
-        rows = rows.withColumn(known, F.zip_with(asked, known, attempt))
+def differing(a: Column, b: Column) -> Column:
+    """Digests of the first alone (sign 1) and of the second alone (sign -1), by peeling the difference of their sketches."""
+    both = F.concat(signed(a, 1), signed(b, -1))  # equal digests meet in the same cells and leave nothing there
+    apart = first_that_peels(both, size_for(F.greatest(F.size(a), F.size(b))))
+    return F.when(a == b, F.array().cast(FOUND)).otherwise(apart["found"])
 
-    def exact(a: Column, b: Column) -> Column:
-        one_side = lambda x, y, sign: F.transform(F.array_except(x, y), lambda d: F.struct(d.alias("digest"), F.lit(sign).alias("sign")))
-        return F.concat(one_side(a, b, 1), one_side(b, a, -1)).cast(FOUND)
 
-    rows = rows.withColumn(known, F.zip_with(asked, known, lambda p, o: F.when(o["done"], o["found"]).otherwise(exact(p["a"], p["b"]))))
-    return rows.withColumns({out: F.get(known, F.lit(i)) for i, out in enumerate(pairs)}).drop(asked, known)
+def written(s: Column) -> Column:
+    """A sketch as text: the size, then place, count, digests and checks of each cell in hexadecimal."""
+    cells = F.transform(s["cells"], lambda c: F.concat_ws(":", F.hex(c["at"]), F.hex(c["n"]), F.hex(c["key"]), F.hex(c["check"])))
+    return F.concat_ws(" ", F.hex(s["size"]), F.array_join(cells, " "))
 
 
 def likeness(a: Column, found: Column) -> Column:
@@ -141,17 +130,28 @@ def likeness(a: Column, found: Column) -> Column:
     return (both / (F.size(found) + both)).cast("double")
 
 
-def successors(keys: DataFrame, of: str, to: str, width: int = 4096, levels: int = 2) -> DataFrame:
-    """The next larger value of a column of distinct integers, null after the last; ordered in groups, then groups of groups."""
-    if not levels:
-        return keys.select(of, F.lead(of).over(Window.orderBy(of)).alias(to))
-    group = f"{of}_group"
-    grouped = keys.select(of, F.floor(F.col(of) / width).cast("long").alias(group))
-    inner = grouped.select(of, group, F.lead(of).over(Window.partitionBy(group).orderBy(of)).alias("inner"))
-    least = grouped.groupBy(group).agg(F.min(of).alias("least"))
-    after = successors(least.select(group), group, "after", width, levels - 1)
-    first_after = after.join(least.select(F.col(group).alias("after"), "least"), "after").select(group, "least")
-    return inner.join(first_after, group, "left").select(of, F.coalesce("inner", "least").alias(to))
+def in_groups(rows: DataFrame, n: int) -> DataFrame:
+    """The rows with ``h``, the hash of the text, and ``part``: groups of neighbouring ids of about equal size, in order.
+
+    Bounds come from percentiles of the ids, one for each group. Rows without an id, and those of an id that fills groups alone, are dealt by ranges of the
+    hash, so that no group holds them all.
+    """
+    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []  # one number for each group
+    table = literal_array(bounds, "bigint")
+    hot = sorted({x for x, y in zip(bounds, bounds[1:], strict=False) if x == y})
+    steps = F.sequence(F.lit(0), F.lit(max(len(bounds), 1).bit_length()))
+
+    def search(acc: Column, _: Column) -> Column:  # bisection for the number of bounds up to the id
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        right = F.element_at(table, mid + 1) <= F.col("doc_id")
+        return F.when(acc["low"] < acc["high"], F.struct(F.when(right, mid + 1).otherwise(acc["low"]).alias("low"), F.when(right, acc["high"]).otherwise(mid).alias("high"))).otherwise(acc)
+
+    upto = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), search)["low"] if bounds else F.lit(0)
+    alone = F.array_contains(literal_array(hot, "bigint"), F.col("doc_id")) if hot else F.lit(False)
+    share = F.floor((F.shiftright("h", 32) + (1 << 31)) * n / (1 << 32)).cast("int")
+    group = F.when(F.col("doc_id").isNull(), F.struct(F.lit(-1).alias("range"), share.alias("share")))
+    group = group.when(alone, F.struct((upto * 2 - 1).alias("range"), share.alias("share"))).otherwise(F.struct((upto * 2).alias("range"), F.lit(0).alias("share")))
+    return rows.withColumn("h", F.xxhash64("text")).withColumn("part", group)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -159,13 +159,15 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Texts are shuffled once, by groups of neighbouring ids; only the first text of a group is sent to the group before.
     """
-    rows = doc_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("part", F.coalesce(F.floor(F.col("doc_id") / WIDTH).cast("long"), F.lit(-(1 << 62))))
-    order = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "text")
-    inner = rows.select("part", "doc_id", "text", F.lead("text").over(order).alias("inner"))
-    heads = rows.groupBy("part").agg(F.min_by("text", F.struct("doc_id", "text")).alias("head"))
-    first = heads.agg(F.min("part").alias("first"))
-    after = successors(heads.select("part"), "part", "after").crossJoin(F.broadcast(first)).select("part", F.coalesce("after", "first").alias("after"))  # one row
-    follows = after.join(heads.select(F.col("part").alias("after"), "head"), "after").select("part", "head")
+    spark = docs.sparkSession
+    rows = doc_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = in_groups(rows, GROUPS * int(spark.conf.get("spark.sql.shuffle.partitions"))).repartition("part")
+    order = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "h", "text")
+    inner = parts.select("part", "doc_id", "text", F.lead("text").over(order).alias("inner"))
+    heads = parts.groupBy("part").agg(F.min_by("text", F.struct("doc_id", "h", "text")).alias("head"))
+    by_part = Window.orderBy("part")  # one row for each group
+    after = heads.select(F.col("part").alias("after"), F.lag("part").over(by_part).alias("before"), F.max("part").over(Window.partitionBy()).alias("last"), "head")
+    follows = after.select(F.coalesce("before", "last").alias("part"), "head")
     return inner.join(follows, "part", "left").select("doc_id", "text", F.coalesce("inner", "head").alias("next_text"))
 
 
@@ -175,14 +177,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     quarter = F.floor(n / 4).cast("int")
     rows = with_next(docs).select("doc_id", "text", "next_text", F.concat(F.substr("text", F.lit(1), n - quarter), F.substr("next_text", F.lit(1), quarter)).alias("edited"))
     marked = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited", *(digests(F.col(c)).alias(f"{c}_digests") for c in ("text", "edited", "next_text")))
-    known = compare(marked, {"differing": ("text_digests", "edited_digests"), "differing_next": ("text_digests", "next_text_digests")})
+    text, edited, follows = (F.col(f"{c}_digests") for c in ("text", "edited", "next_text"))
+    known = marked.select("*", differing(text, edited).alias("differing"), differing(text, follows).alias("differing_next"))
     return known.select(
         "doc_id",
         "n_chars",
         "edited",
-        written(sketch(F.col("text_digests"), SIZES[0])).alias("fingerprint"),
-        written(sketch(F.col("edited_digests"), SIZES[0])).alias("edited_fingerprint"),
-        likeness(F.col("text_digests"), F.col("differing")).alias("near_edited"),
-        likeness(F.col("text_digests"), F.col("differing_next")).alias("near_next"),
+        written(sketch(text)).alias("fingerprint"),
+        written(sketch(edited)).alias("edited_fingerprint"),
+        likeness(text, F.col("differing")).alias("near_edited"),
+        likeness(text, F.col("differing_next")).alias("near_next"),
         "differing",
     )
