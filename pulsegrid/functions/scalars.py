@@ -90,12 +90,25 @@ def import_boolean(x: Column) -> Column:
     return F.when(t.isin(*IMPORT_TRUE), True).when(t.isin(*IMPORT_FALSE), False)
 
 
-#: Day-first formats, tried in turn.
-DATE_FORMATS = ("dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd")
+_DAY_FIRST = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})(?:[T\x20]+([0-9].*))?$"
+_YEAR_FIRST = r"^([0-9]{4})[/.-]([0-9]{1,2})[/.-]([0-9]{1,2})(?:[T\x20]+([0-9].*))?$"
 
 
 def timestamp_or_null(x: Column) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(F.trim(x), F.lit(f)) for f in DATE_FORMATS)).cast("timestamp_ntz")
+    """A date, day first or year first, with or without a time, seconds, a fraction or a zone (which is turned into the session's).
+
+    A month above 12 beside a possible one is taken for the day.
+    """
+    t = F.trim(x)
+
+    def read(pattern: str, year: int, month: int, day: int) -> Column:
+        part = lambda i: F.regexp_extract(t, pattern, i)
+        swapped = (F.length(part(month)) == 2) & (part(month) > "12")
+        m, d = F.when(swapped, part(day)).otherwise(part(month)), F.when(swapped, part(month)).otherwise(part(day))
+        return F.concat_ws(" ", F.concat_ws("-", part(year), m, d), F.nullif(part(4), F.lit("")))
+
+    text = F.when(t.rlike(_DAY_FIRST), read(_DAY_FIRST, 3, 2, 1)).when(t.rlike(_YEAR_FIRST), read(_YEAR_FIRST, 1, 2, 3))
+    return text.try_cast("timestamp").cast("timestamp_ntz")
 
 
 def same_7dp(x: Column, y: Column) -> Column:
@@ -108,9 +121,9 @@ def version_of_file(name: Column) -> Column:
     return F.when(found != "", F.concat(F.lit("V"), found))
 
 
-def fold(x: Column) -> Column:
-    """Lower case without accents, for searching."""
-    return F.translate(F.lower(x), "áéíóúüñàèìòùâêîôûäëïöç", "aeiouunaeiouaeiouaeioc")
+def holds_folded(x: Column, term: str) -> Column:
+    """Whether a text holds a term, whatever case and accents of either."""
+    return F.contains(F.collate(x, "UNICODE_CI_AI"), F.collate(F.lit(term), "UNICODE_CI_AI"))
 
 
 def duration_text(start: Column, end: Column) -> Column:

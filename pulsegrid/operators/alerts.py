@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as s
 
+# Fixed value: the name shown for devices without a location.
 UNASSIGNED = "Ubicación sin asignar"
 PAGE_SIZE, MOST_SUGGESTIONS, MOST_DEVICES = 10, 20, 500
 
@@ -21,9 +21,10 @@ def active_summary(summary: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def with_location(summary: DataFrame, locations: DataFrame) -> DataFrame:
-    """The current location's name, or :data:`UNASSIGNED` where there is none or it is blank; location ids are text."""
-    names = locations.select(F.col("amid").cast("long").alias("amid"), F.col("nombre"))
-    return summary.join(names, "amid", "left").withColumn("location", F.coalesce(F.nullif(F.trim("nombre"), F.lit("")), F.lit(UNASSIGNED))).drop("nombre")
+    """The current location's name, or :data:`UNASSIGNED` where there is none or it is blank; location ids are text, and any text."""
+    names = locations.select(F.col("amid").alias("__site"), F.nullif(F.trim("nombre"), F.lit("")).alias("location"))
+    joined = summary.join(names, F.col("amid").cast("string") == F.col("__site"), "left").drop("__site")
+    return joined.withColumn("location", F.coalesce("location", F.lit(UNASSIGNED)))
 
 
 PROBLEMS = {
@@ -76,6 +77,15 @@ def parse_devices(text: str) -> list[int]:
     return found
 
 
+def parsed_devices(text: Column) -> Column:
+    """The same over a column of lists: an array, or null where the list is not accepted."""
+    parts = F.filter(F.split(F.trim(text), r"[\s,;]+"), lambda p: p != "")
+    ids = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), p.try_cast("bigint")))
+    found = F.array_sort(F.array_distinct(ids))
+    good = F.forall(ids, lambda i: F.coalesce(i > 0, F.lit(False))) & (F.size(found) <= MOST_DEVICES)
+    return F.when(good, found)
+
+
 def devices_frame(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(d,) for d in parse_devices(text)], "amid long")
 
@@ -106,8 +116,13 @@ def page_of(total: int, page: int, size: int = PAGE_SIZE) -> tuple[int, int]:
 
 
 def alerts_page(rows: DataFrame, as_of: Column, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    number, _ = page_of(rows.count(), page, size)
-    return rank_alerts(rows, as_of).offset((number - 1) * size).limit(size)
+    """One page of the order, the last one if there are fewer; one pass, of which the rows up to the page alone are numbered."""
+    upto = max(page, 1) * size
+    top = rank_alerts(rows, as_of).limit(upto)
+    order = Window.orderBy("tier", "status_rank", F.asc_nulls_first("last_status"), "amid")
+    numbered = top.withColumns({"__n": F.row_number().over(order), "__of": F.count("*").over(Window.partitionBy())})
+    first = F.least(F.lit(upto - size), F.floor((F.col("__of") - 1) / size) * size)
+    return numbered.where((F.col("__n") > first) & (F.col("__n") <= first + size)).orderBy("__n").drop("__n", "__of")
 
 
 def fleet_kpis(active: DataFrame) -> DataFrame:
@@ -149,8 +164,7 @@ def search_devices(active: DataFrame, term: str, limit: int = 15) -> DataFrame:
 
 def search_locations(active: DataFrame, term: str, limit: int = 15) -> DataFrame:
     """Location names that hold a term of two characters or more, whatever accents and case."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", term.casefold()) if not unicodedata.combining(c)).strip()
     names = active.select("location").distinct()
-    if len(plain) < 2:
+    if len(term.strip()) < 2:
         return names.limit(0)
-    return names.where(s.fold(F.col("location")).contains(plain)).orderBy("location").limit(_clamp(limit))
+    return names.where(s.holds_folded(F.col("location"), term.strip())).orderBy("location").limit(_clamp(limit))

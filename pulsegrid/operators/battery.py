@@ -33,13 +33,18 @@ def nearest_readings(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("amid", "slot").agg(best.alias("b")).select("amid", "slot", F.col("b.porcentaje_bateria").alias("pct"), F.col("b.fecha_hora").alias("original"), F.col("b.id").alias("source_id"), F.col("b.diff_minutes").alias("diff_minutes"))
 
 
+def filled_blocks(tel: DataFrame, start: Column, end: Column, tolerance: int = 15) -> DataFrame:
+    """The slots of ``[start, end]`` that have a reading, of any device; all that drops and summaries need."""
+    wanted = tel.where((F.col("fecha_hora") >= s.plus(start, minutes=-tolerance)) & (F.col("fecha_hora") <= s.plus(end, minutes=tolerance)))
+    return nearest_readings(slot_candidates(wanted, tolerance)).withColumn("has_data", F.lit(1))
+
+
 def build_blocks(tel: DataFrame, devices: DataFrame, start: Column, end: Column, tolerance: int = 15) -> DataFrame:
     """Every active device at every slot of ``[start, end]`` with its nearest reading, or none.
 
     Readings go to slots by arithmetic, so the join has two equal keys and no range condition.
     """
-    wanted = tel.where((F.col("fecha_hora") >= s.plus(start, minutes=-tolerance)) & (F.col("fecha_hora") <= s.plus(end, minutes=tolerance)))
-    filled = nearest_readings(slot_candidates(wanted, tolerance))
+    filled = filled_blocks(tel, start, end, tolerance).drop("has_data")
     grid = devices.where(F.col("active") == 1).select("amid", F.explode(F.sequence(start, end, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(SLOT_MINUTES)))).alias("slot"))
     return grid.join(filled, ["amid", "slot"], "left").select(
         "amid",

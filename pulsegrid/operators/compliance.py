@@ -16,18 +16,21 @@ def _complete(df: DataFrame) -> DataFrame:
 
 
 def expected_location_asof(fixes: DataFrame, history: DataFrame, current: DataFrame, lab: dict) -> DataFrame:
-    """Each fix with its expected site: the newest complete version valid at its time, else the complete current one, else the lab.
+    """Each fix with its expected site: the newest complete version valid at its time, else the complete current one (of several the last loaded), else the lab.
+
+    Location ids are text, and any text; those that are no device's meet no fix.
 
     A device has few versions, so they are gathered in one array for each device and the equi-join adds a row's candidates without
     multiplying the fixes; the array is scanned in place.
     """
     site = lambda source: F.struct(F.coalesce(F.nullif(F.trim("nombre"), F.lit("")), F.lit(lab["nombre"])).alias("nombre"), "lat", "lon", "radio", "operativa", F.lit(source).alias("source"))
-    versions = _complete(history).groupBy(F.col("amid").cast("long").alias("amid")).agg(F.array_sort(F.collect_list(F.struct("inicio", "fin", site("history").alias("site")))).alias("versions"))
-    now = _complete(current).groupBy(F.col("amid").cast("long").alias("amid")).agg(F.first(site("current")).alias("now"))
+    versions = _complete(history).groupBy(F.col("amid").alias("__site")).agg(F.array_sort(F.collect_list(F.struct("inicio", "fin", site("history").alias("site")))).alias("versions"))
+    newest = F.struct(*(c for c in ("fecha_carga", "nombre", "lat", "lon", "radio") if c in current.columns))
+    now = _complete(current).groupBy(F.col("amid").alias("__site")).agg(F.max_by(site("current"), newest).alias("now"))
     default = F.struct(F.lit(lab["nombre"]).alias("nombre"), F.lit(lab["lat"]).alias("lat"), F.lit(lab["lon"]).alias("lon"), F.lit(lab["radio"]).alias("radio"), F.lit(0).alias("operativa"), F.lit("lab").alias("source"))
     t = F.col("fecha_hora")
     valid = F.filter("versions", lambda v: (v["inicio"] <= t) & (v["fin"].isNull() | (t < v["fin"])))
-    joined = fixes.join(versions, "amid", "left").join(now, "amid", "left")
+    joined = fixes.withColumn("__site", F.col("amid").cast("string")).join(versions, "__site", "left").join(now, "__site", "left")
     chosen = joined.withColumn("site", F.coalesce(F.try_element_at(valid, F.lit(-1))["site"], F.col("now"), default))
     return chosen.select(*fixes.columns, *(F.col(f"site.{c}").alias(f"site_{c}") for c in SITE))
 

@@ -151,6 +151,29 @@ def recompute_mode(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return changes.groupBy(*by).agg(mode.alias("mode"))
 
 
+def changed_rules(rules: DataFrame, requested: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The rules with the accepted new values."""
+    accepted = rule_changes(rules, requested, by).where(~F.col("rejected")).select(*by, "key", "new_value")
+    return rules.join(accepted, [*by, "key"], "left").withColumn("value", F.coalesce("new_value", "value")).select(*rules.columns)
+
+
+def guarded_changes(rules: DataFrame, requested: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``outcome`` of a request (for each of ``by``): ``none``, ``fast`` or ``full``, or ``rejected`` with the ``reasons``.
+
+    A request is refused as a whole if a key is unknown, a value unreadable, or the rules would not be valid with it.
+    """
+    changes = rule_changes(rules, requested, by)
+    asked = requested.select(*by).distinct() if by else requested.sparkSession.range(1).select()
+    mode = recompute_mode(changes, by)
+    refused = changes.where("rejected").select(*by, F.concat(F.lit("KEY "), "key").alias("reason"))
+    broken = violations(changed_rules(rules, requested, by), by).select(*by, F.col("code").alias("reason"))
+    broken = broken.join(mode.where("mode <> 'none'").select(*by), list(by), "left_semi") if by else broken
+    reasons = refused.unionByName(broken).groupBy(*by).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    joined = asked.join(mode, list(by), "left").join(reasons, list(by), "left") if by else mode.crossJoin(reasons)  # one row each
+    found = F.coalesce("reasons", F.array().cast("array<string>"))
+    return joined.select(*by, F.when(F.size(found) > 0, "rejected").otherwise(F.coalesce("mode", F.lit("none"))).alias("outcome"), found.alias("reasons"))
+
+
 def rule_history(old: DataFrame, new: DataFrame, user: str, as_of: Column, by: Sequence[str] = ()) -> DataFrame:
     """Audit rows of the rules whose value or active flag changes."""
     keys = [*by, "key"]

@@ -27,7 +27,10 @@ def _is_today(ts: str, as_of: Column) -> Column:
 
 def gps_summary(tel: DataFrame, as_of: Column) -> DataFrame:
     """Counts of fixes and zero fixes, last status, last fix and last zero fix, in one pass."""
-    rows = gps_flags(tel.where(_in_window("fecha_hora", as_of)))
+    return _gps_aggregate(gps_flags(tel.where(_in_window("fecha_hora", as_of))), as_of)
+
+
+def _gps_aggregate(rows: DataFrame, as_of: Column, *more: Column) -> DataFrame:
     today = _is_today("fecha_hora", as_of)
     fix, zero = F.col("reported"), F.col("zero")
     last = F.max_by(F.struct("fecha_hora", F.col("zero").cast("int").alias("zero")), F.when(fix, F.struct("fecha_hora", "id")))
@@ -42,6 +45,7 @@ def gps_summary(tel: DataFrame, as_of: Column) -> DataFrame:
             F.countDistinct(F.when(zero, F.to_date("fecha_hora"))).alias("gps_zero_days"),
             last.alias("last"),
             F.max(F.when(zero, F.col("fecha_hora"))).alias("last_zero_fix_ts"),
+            *more,
         )
         .select("*", F.col("last.fecha_hora").alias("last_fix_ts"), F.col("last.zero").alias("last_fix_is_zero"))
         .drop("last")
@@ -60,6 +64,15 @@ def gps_max_streak(tel: DataFrame, as_of: Column) -> DataFrame:
     return gps_streaks(tel, as_of).groupBy("amid").agg(F.max("length").alias("max_zero_streak"))
 
 
+def gps_measures(tel: DataFrame, as_of: Column) -> DataFrame:
+    """:func:`gps_summary` and the longest streak together: one scan, and one shuffle by device that serves the order and the aggregate."""
+    fixes = gps_flags(tel.where(_in_window("fecha_hora", as_of))).select("amid", "id", "fecha_hora", "latitud", "longitud", "reported", "zero", "valid")
+    so_far = Window.partitionBy("amid").orderBy("fecha_hora", "id").rowsBetween(Window.unboundedPreceding, 0)
+    runs = fixes.withColumn("streak", F.count_if(F.col("reported") & ~F.col("zero")).over(so_far))
+    within = Window.partitionBy("amid", "streak").orderBy("fecha_hora", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return _gps_aggregate(runs.withColumn("length", F.count_if("zero").over(within)), as_of, F.max("length").alias("max_zero_streak"))
+
+
 def battery_summary(blocks: DataFrame, as_of: Column) -> DataFrame:
     """Blocks at 0 today and in the window, the last of them, and the latest block with data."""
     rows = blocks.where((F.col("has_data") == 1) & F.col("pct").isNotNull() & _in_window("slot", as_of))
@@ -91,10 +104,10 @@ def drop_summary(drops: DataFrame, as_of: Column) -> DataFrame:
 
 
 def device_summary(master: DataFrame, tel: DataFrame, blocks: DataFrame, drops: DataFrame, as_of: Column) -> DataFrame:
-    """Every active device with all its measures: counts default to 0, times and levels stay null."""
+    """Every active device with all its measures: counts default to 0, times and levels stay null. Blocks without data are not needed."""
     today, start = _window(as_of)
     rows = master.where(F.col("active") == 1).select("amid")
-    for part in (gps_summary(tel, as_of), gps_max_streak(tel, as_of), battery_summary(blocks, as_of), drop_summary(drops, as_of)):
+    for part in (gps_measures(tel, as_of), battery_summary(blocks, as_of), drop_summary(drops, as_of)):
         rows = rows.join(part, "amid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     points = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(5,2)").alias(c)

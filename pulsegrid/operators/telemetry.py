@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import midnight, plus
@@ -53,6 +53,21 @@ def resolve_range(day_from: str | None, day_to: str | None, slot_from: str | Non
     return start, last + dt.timedelta(minutes=30)
 
 
+def resolved_range(day_from: Column, day_to: Column, slot_from: Column, slot_to: Column, as_of: Column) -> Column:
+    """The same over columns: a struct of ``start`` and ``end``."""
+    today = midnight(as_of)
+
+    def at(day: Column, slot: Column, other: str) -> Column:
+        d = F.when(day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), day.try_cast("date")).cast("timestamp_ntz")
+        t = F.when(slot.rlike("^([01][0-9]|2[0-3]):[03]0$"), slot).otherwise(other)
+        clock = F.make_dt_interval(F.lit(0), F.substring(t, 1, 2).cast("int"), F.substring(t, 4, 2).cast("int"))
+        return F.coalesce(d, today) + clock
+
+    start, last = at(day_from, slot_from, "00:00"), at(day_to, slot_to, "23:30")
+    good = start <= last
+    return F.struct(F.when(good, start).otherwise(today).alias("start"), plus(F.when(good, last).otherwise(plus(today, hours=23, minutes=30)), minutes=30).alias("end"))
+
+
 def last_days(n: int, as_of: dt.datetime) -> tuple[dt.datetime, dt.datetime]:
     """The last ``n`` whole days, today included."""
     today = dt.datetime.combine(as_of.date(), dt.time.min)
@@ -93,8 +108,11 @@ def eav_pivot(filtered: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("amid", "fecha_hora")) -> DataFrame:
-    """Rows of ``incoming`` whose key is not there yet, one for each key."""
-    return incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    """Rows of ``incoming`` whose key is not there yet, one for each key: that of least id, then of least values."""
+    values = [c for c in incoming.columns if c not in keys]
+    order = sorted(values, key=lambda c: c != "id")
+    first = incoming.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("v")).select(*keys, "v.*").select(*incoming.columns) if values else incoming.distinct()
+    return first.join(existing.select(*keys), list(keys), "left_anti").select(*incoming.columns)
 
 
 def append_counts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = ("amid", "fecha_hora")) -> DataFrame:
@@ -140,6 +158,3 @@ def fallback_day(tel: DataFrame, start: Column, end: Column) -> DataFrame:
     back = (F.col("n_reported") == 0) & F.col("last_valid_ts").isNotNull()
     return facts.select("amid", "n_reported", "last_valid_ts", F.when(back, F.to_date("last_valid_ts")).otherwise(F.to_date(start)).alias("day"), back.alias("fell_back"))
 
-
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return df.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

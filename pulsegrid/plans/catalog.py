@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import functools
 import uuid
 from collections.abc import Callable
 from functools import cached_property
@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as s
 from pulsegrid.operators import alerts, audit, battery, classify, compliance, locations, merge, rules, summary, telemetry
+from pulsegrid.plans import jobs
 from pulsegrid.plans.oracle_sql import AS_OF, DEFAULTS, LAB, START, TODAY, sql
+from pulsegrid.plans import jobs
 from pulsegrid.plans.oracle_sql import haversine as haversine_sql
-from pulsegrid.sources import fixtures
+from pulsegrid.sources import files, fixtures
 from pulsegrid.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,13 +55,19 @@ class Fleet:
     def blocks(self) -> DataFrame:
         return battery.build_blocks(self.tel, self.master, self.start, s.plus(self.today, hours=23, minutes=30))
 
+    @cached_property
+    def filled(self) -> DataFrame:
+        return battery.filled_blocks(self.tel, self.start, s.plus(self.today, hours=23, minutes=30))
+
     @cached_property
     def drops(self) -> DataFrame:
-        return battery.detect_drops(self.blocks, self.rule_row, self.as_of)
+        active = self.filled.join(self.master.where("active = 1").select("amid"), "amid", "left_semi")
+        return battery.detect_drops(active, self.rule_row, self.as_of)
 
     @cached_property
     def summary(self) -> DataFrame:
-        return summary.device_summary(self.master, self.tel, self.blocks, self.drops, self.as_of)
+        every = battery.detect_drops(self.filled, self.rule_row, self.as_of)  # the summary itself keeps to active devices
+        return summary.device_summary(self.master, self.tel, self.filled, every, self.as_of)
 
     @cached_property
     def classified(self) -> DataFrame:
@@ -108,6 +116,11 @@ class Fleet:
         return self.classified.select("amid", "level", "window_end", "drops_window").unionByName(old)
 
 
+def _own_folder(f: Fleet, kind: str) -> str:
+    """A new folder where driver and executors both write."""
+    return f"{files.shared_folder(f.spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def query(body: str | None):
     """Register a function of a :class:`Fleet` under its name, with the SQL for its rows."""
 
@@ -160,7 +173,7 @@ _RAW = """SELECT c_custkey * 2 + copy AS orden, CASE WHEN c_custkey % 23 = 22 TH
     '-' || ((33437191 - (c_nationkey - 12) * 200) // 1000000) || CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE ',' END || lpad(CAST((33437191 - (c_nationkey - 12) * 200) % 1000000 AS VARCHAR), 6, '0') AS lat,
     '-70.656102' AS lon, CASE WHEN c_custkey % 7 = 2 THEN 'quizás' WHEN c_custkey % 7 = 5 THEN 'no' WHEN c_custkey % 2 = 0 THEN 'SI' ELSE ' sí ' END AS operativa,
     CASE WHEN c_custkey % 29 = 28 THEN '' ELSE CAST(50 + c_custkey % 4 * 50 AS VARCHAR) END AS radio, CAST(NULL AS VARCHAR) AS comuna
-    FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1)) t(copy) WHERE c_custkey < 1500 AND c_custkey % 5 <> 3 AND (copy = 0 OR c_custkey % 19 = 0)"""
+    FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1)) t(copy) WHERE c_custkey % 5 <> 3 AND (copy = 0 OR c_custkey % 19 = 0)"""
 
 
 @query(_RAW)
@@ -320,9 +333,11 @@ def audit_inactive_with_summary(f: Fleet) -> DataFrame:
     return audit.inactive_with_summary(f.master, f.stored)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS differences FROM (SELECT count(*) FROM events)")
+@query("SELECT count(*) FILTER (WHERE amid % 5 = 0 OR coalesce(lost, 0) > 0) AS differences FROM classified LEFT JOIN (SELECT amid, count(*) AS lost FROM drops WHERE amid % 7 = 0 GROUP BY amid) USING (amid)")
 def audit_drop_reconcile(f: Fleet) -> DataFrame:
-    return audit.drop_reconcile(f.classified, f.drops, f.as_of)
+    """Counts of every fifth device are raised by one and the drops of every seventh are missing."""
+    wrong = f.classified.withColumn("drops_window", F.col("drops_window") + (F.col("amid") % 5 == 0).cast("int"))
+    return audit.drop_reconcile(wrong, f.drops.where("amid % 7 <> 0"), f.as_of)
 
 
 @query("SELECT amid, location FROM placed WHERE amid % 10 <> 3 AND location NOT IN ('Ubicación sin asignar', 'Estación NATION_5')")
@@ -408,9 +423,11 @@ def audit_duplicate_blocks(f: Fleet) -> DataFrame:
     return audit.duplicates(f.blocks.unionByName(f.blocks.where("has_data = 1 AND amid % 7 = 0")), ["amid", "slot"])
 
 
-@query("SELECT amid, count(*) AS n FROM classified GROUP BY amid HAVING count(*) > 1")
+@query("SELECT amid, CASE WHEN amid % 6 = 0 THEN 3 ELSE 2 END AS n FROM classified WHERE amid % 3 = 0 OR amid % 2 = 0")
 def audit_duplicate_summary(f: Fleet) -> DataFrame:
-    return audit.duplicates(f.classified, ["amid"])
+    """Every second and every third device is there once more."""
+    rows = f.classified.select("amid", "level")
+    return audit.duplicates(rows.unionByName(rows.where("amid % 3 = 0")).unionByName(rows.where("amid % 2 = 0")), ["amid"]).withColumn("n", F.col("n").cast("int"))
 
 
 @query("SELECT level, count(*) AS n, min(window_end) AS oldest, max(window_end) AS newest FROM classified GROUP BY level")
@@ -559,10 +576,15 @@ def haversine(f: Fleet) -> DataFrame:
     return f.tel.select("id", F.round(s.haversine_m(F.col("latitud"), F.col("longitud"), F.lit(lab["lat"]), F.lit(lab["lon"])), 2).alias("metres"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderdate END AS parsed FROM orders")
+@query("""
+    SELECT o_orderkey, CASE o_orderkey % 10 WHEN 4 THEN NULL WHEN 5 THEN o_orderdate + INTERVAL '10 hours 5 minutes 7 seconds' WHEN 6 THEN o_orderdate + INTERVAL '10 hours 5 minutes'
+        WHEN 7 THEN o_orderdate + INTERVAL '9 hours 5 minutes' WHEN 8 THEN o_orderdate + INTERVAL '10 hours 5 minutes 7 seconds 123 milliseconds' ELSE o_orderdate END AS parsed FROM orders""")
 def parse_dates(f: Fleet) -> DataFrame:
-    k, d = F.col("o_orderkey") % 5, F.col("o_orderdate")
-    text = F.when(k == 0, F.date_format(d, "dd/MM/yyyy HH:mm:ss")).when(k == 1, F.date_format(d, "dd-MM-yyyy")).when(k == 2, F.date_format(d, " yyyy-MM-dd ")).when(k == 3, F.date_format(d, "dd/MM/yyyy")).otherwise("32/13/2020")
+    k, d = F.col("o_orderkey") % 10, F.col("o_orderdate")
+    at = lambda pattern: F.date_format(d, pattern)
+    forms = {0: at("dd/MM/yyyy HH:mm:ss"), 1: at("dd-MM-yyyy"), 2: at(" yyyy-MM-dd "), 3: at("dd/MM/yyyy"), 4: F.lit("32/13/2020"), 5: at("yyyy-MM-dd'T'10:05:07")}
+    forms |= {6: at("yyyy-MM-dd 10:05"), 7: at("d/M/yyyy '9:05'"), 8: at("yyyy-MM-dd 10:05:07.123"), 9: at("d.M.yyyy")}
+    text = F.coalesce(*(F.when(k == i, form) for i, form in forms.items()))
     return f.table("orders").select("o_orderkey", s.timestamp_or_null(text).alias("parsed"))
 
 
@@ -650,9 +672,19 @@ def alerts_explained(f: Fleet) -> DataFrame:
     return f.classified
 
 
+@functools.cache
+def stored_run(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the summaries and the master as the last full run left them, under the default rules; written once in a session."""
+    f = Fleet(spark, sf_dir)
+    path = _own_folder(f, "stored")
+    classify.classify(f.summary, rules.rules_row(rules.rules_table(f.spark, rules.DEFAULTS))).write.parquet(f"{path}/summary")
+    f.master.write.parquet(f"{path}/master")
+    return path
+
+
 def _reclassified(f: Fleet) -> DataFrame:
-    stored = classify.classify(f.summary, rules.rules_row(rules.rules_table(f.spark, rules.DEFAULTS)))
-    return classify.reclassify(stored, f.master, f.rule_row, f.as_of)
+    summaries, master = (f.spark.read.parquet(f"{stored_run(f.spark, f.sf_dir)}/{name}") for name in ("summary", "master"))
+    return classify.reclassify(summaries, master, f.rule_row, f.as_of)
 
 
 @query(f"SELECT amid, gps_code, battery_code, level, main_reason, action, has_alert, {AS_OF} AS rules_applied_at FROM classified")
@@ -722,6 +754,68 @@ def rule_history(f: Fleet) -> DataFrame:
     return rules.rule_history(f.rule_sets, new, "ops", f.as_of, ["fleet"])
 
 
+_BROKEN = " UNION ALL ".join(f"SELECT fleet, '{code}' AS reason FROM wide_after WHERE {bad}" for code, bad in _CHECKS.items())
+
+
+@query(f"""
+    SELECT fleet, CASE WHEN reasons IS NOT NULL THEN 'rejected' ELSE coalesce(mode, 'none') END AS outcome, coalesce(reasons, '') AS reasons FROM (SELECT DISTINCT fleet FROM wanted) w
+    LEFT JOIN (SELECT fleet, CASE WHEN bool_or(NOT rejected AND type = 'DETECCION') THEN 'full' WHEN bool_or(NOT rejected) THEN 'fast' ELSE 'none' END AS mode FROM rule_diff GROUP BY fleet) m USING (fleet)
+    LEFT JOIN (SELECT fleet, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM (SELECT fleet, 'KEY ' || key AS reason FROM rule_diff WHERE rejected
+        UNION ALL SELECT * FROM ({_BROKEN}) WHERE fleet IN (SELECT fleet FROM rule_diff WHERE NOT rejected)) GROUP BY fleet) r USING (fleet)""")
+def rules_guard(f: Fleet) -> DataFrame:
+    return rules.guarded_changes(f.rule_sets, _requested(f), ["fleet"]).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("SELECT fleet, key, value, active FROM rule_sets")
+def rules_loaded(f: Fleet) -> DataFrame:
+    """The known rules of a table that holds others too."""
+    other = f.rule_sets.withColumn("key", F.concat(F.lit("OTRA_"), "key")).where("fleet % 4 = 0")
+    return rules.load_rules(f.rule_sets.unionByName(other)).select("fleet", "key", "value", "active")
+
+
+@query("""
+    SELECT c_custkey AS line, CASE c_custkey % 5 WHEN 0 THEN (c_custkey + 1) || ',' || (c_custkey + 2) WHEN 1 THEN CAST(c_custkey AS VARCHAR) WHEN 4 THEN '' END AS devices FROM customer""")
+def device_lists(f: Fleet) -> DataFrame:
+    k = F.col("c_custkey")
+    text = F.when(k % 5 == 0, F.concat(k + 2, F.lit(" , "), k + 1, F.lit(";"), k + 2)).when(k % 5 == 1, F.concat(F.lit("  "), k, F.lit("\n"))).when(k % 5 == 2, F.concat(k, F.lit(",x"))).when(k % 5 == 3, F.concat(F.lit("0 "), k)).otherwise(" ; ")
+    return f.table("customer").select(k.alias("line"), F.array_join(alerts.parsed_devices(text), ",").alias("devices"))
+
+
+@query(f"""
+    SELECT o_orderkey, CASE WHEN bad THEN {TODAY} ELSE a END AS range_start, CASE WHEN bad THEN {TODAY} + INTERVAL 1 DAY ELSE b + INTERVAL 30 MINUTE END AS range_end FROM (SELECT *, a > b AS bad FROM (
+        SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 1 THEN {TODAY} ELSE o_orderdate END + CASE WHEN o_orderkey % 3 = 0 THEN INTERVAL '8 hours 30 minutes' ELSE INTERVAL 0 MINUTE END AS a,
+            CASE WHEN o_orderkey % 7 = 2 THEN {TODAY} ELSE o_orderdate + INTERVAL 1 DAY * (o_orderkey % 4 - 1) END + CASE WHEN o_orderkey % 5 = 0 THEN INTERVAL '12 hours' ELSE INTERVAL '23 hours 30 minutes' END AS b FROM orders))""")
+def resolved_ranges(f: Fleet) -> DataFrame:
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    text = lambda d: F.date_format(d, "yyyy-MM-dd")
+    first = F.when(k % 7 == 1, "ayer").otherwise(text(day))
+    last = F.when(k % 7 == 2, F.lit(None)).otherwise(text(F.date_add(day, (k % 4 - 1).cast("int"))))
+    found = telemetry.resolved_range(first, last, F.when(k % 3 == 0, "08:30").otherwise("08:17"), F.when(k % 5 == 0, "12:00").otherwise("24:00"), f.as_of)
+    return f.table("orders").select("o_orderkey", found.alias("r")).select("o_orderkey", F.col("r.start").alias("range_start"), F.col("r.end").alias("range_end"))
+
+
+@query("""
+    SELECT turn, origin, 'OK' AS status, n AS obtained, CASE WHEN turn = 1 THEN fresh ELSE 0 END AS created, n - CASE WHEN turn = 1 THEN fresh ELSE 0 END AS duplicates
+    FROM (SELECT count(*) FILTER (WHERE id % 2 = 0) AS n, count(*) FILTER (WHERE id % 2 = 0 AND id % 3 = 0) AS fresh FROM telemetry), (VALUES (1), (2)) t(turn), (VALUES ('ingest')) u(origin)""")
+def ingest_log(f: Fleet) -> DataFrame:
+    """The run log of a delivery that is ingested twice."""
+    folder, delivery = _own_folder(f, "ingest"), f.tel.where("id % 2 = 0")
+    f.tel.where("id % 3 <> 0").withColumn("day", F.to_date("fecha_hora")).write.partitionBy("day").parquet(f"{folder}/store")
+    for turn in (1, 2):
+        jobs.ingest(f.spark, delivery, f"{folder}/store", f"{folder}/log", s.plus(f.as_of, minutes=turn), s.plus(f.as_of, minutes=turn + 1))
+    turns = F.floor(s.minutes_between(f.as_of, F.col("started"))).cast("int")
+    return f.spark.read.parquet(f"{folder}/log").select(turns.alias("turn"), "origin", "status", "obtained", "created", "duplicates")
+
+
+@query("SELECT amid, drop_ts, CAST(drop_points AS DOUBLE) AS drop_points FROM drops WHERE amid % 2 = 0")
+def drops_replaced(f: Fleet) -> DataFrame:
+    """The stored drops after they were replaced as one unit."""
+    path, rows = f"{_own_folder(f, 'drops')}/drops", f.drops.select("amid", "drop_ts", "drop_points")
+    files.replace_table(rows, path)
+    files.replace_table(f.spark.read.parquet(path).where("amid % 2 = 0"), path)
+    return f.spark.read.parquet(path)
+
+
 # Locations
 
 _ATTRIBUTES = "nombre, serie, lat, lon, radio, operativa, version, origen"
@@ -818,15 +912,10 @@ def _event_stream(f: Fleet) -> DataFrame:
     return fixtures.telemetry_of(ingest.telemetry_stream(f.spark, f.sf_dir, f.table("events").schema, "events*"))
 
 
-def _stream_folder(f: Fleet) -> str:
-    shared = f.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="stream-")
-
-
 @query("SELECT id, amid, fecha_hora, porcentaje_bateria FROM telemetry")
 def stream_ingest(f: Fleet) -> DataFrame:
     """A delivery that holds every reading twice, ingested once each."""
-    folder, rows = _stream_folder(f), _event_stream(f).select("id", "amid", "fecha_hora", "porcentaje_bateria")
+    folder, rows = _own_folder(f, "stream"), _event_stream(f).select("id", "amid", "fecha_hora", "porcentaje_bateria")
     ingest.append_available(ingest.deduplicated(rows.unionByName(rows)), f"{folder}/out", f"{folder}/state")
     return f.spark.read.parquet(f"{folder}/out")
 
@@ -834,7 +923,7 @@ def stream_ingest(f: Fleet) -> DataFrame:
 @query("SELECT amid, slot, porcentaje_bateria AS pct, id AS source_id, CAST(abs(epoch_us(slot) - epoch_us(fecha_hora)) AS DOUBLE) / 60000000 AS diff_minutes FROM nearest")
 def stream_blocks(f: Fleet) -> DataFrame:
     """Non-empty blocks of the window, aligned as a stream."""
-    folder = _stream_folder(f)
+    folder = _own_folder(f, "stream")
     rows = _event_stream(f).where((F.col("fecha_hora") >= s.plus(f.start, minutes=-15)) & (F.col("fecha_hora") <= s.plus(f.today, hours=23, minutes=45)))
     ingest.update_available(ingest.blocks(rows), f"{folder}/out", f"{folder}/state")
     return ingest.latest_version(f.spark, f"{folder}/out", ["amid", "slot"])

@@ -57,11 +57,11 @@ TABLES: dict[str, str] = {
             'isErrorObtenerBateria', 'isErrorObtenerGps', 'isErrorObtenerTiempoVida', 'latitud', 'longitud', 'porcentajeBateria', 'tiempoVida')""",
     "master": "SELECT DISTINCT user_id AS amid, CASE WHEN user_id % 10 = 9 THEN 0 ELSE 1 END AS active, TIMESTAMP '2024-01-01 00:00:00' AS last_update FROM events",
     "located": """
-        SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS amid,
+        SELECT c_custkey AS k, CASE WHEN c_custkey % 97 = 96 THEN 'LAB-' ELSE '' END || c_custkey AS amid,
             CASE WHEN c_custkey % 11 = 10 THEN '  ' ELSE 'Estación ' || n_name END AS nombre, 'S' || c_custkey AS serie,
             CAST(-33.437191 AS DOUBLE) + (c_nationkey - 12) * CAST(0.0002 AS DOUBLE) AS lat, CAST(-70.656102 AS DOUBLE) AS lon,
             CAST(50 + c_custkey % 4 * 50 AS DOUBLE) AS radio, CASE WHEN c_custkey % 5 = 4 THEN 0 ELSE 1 END AS operativa
-        FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 1500 AND c_custkey % 7 <> 6""",
+        FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 <> 6""",
     "locations": "SELECT * EXCLUDE k, 'V1' AS version, 'base.csv' AS archivo, 'excel' AS origen, TIMESTAMP '2024-01-21 00:00:00' AS fecha_carga FROM located",
     "history": """
         SELECT amid, nombre, serie, lat + CAST(0.0004 AS DOUBLE) * v AS lat, lon, CASE WHEN k % 13 = 12 AND v = 1 THEN NULL ELSE radio END AS radio,
@@ -159,7 +159,7 @@ TABLES: dict[str, str] = {
                 CASE WHEN g.lvl <> 'OK' AND b.lvl <> 'OK' THEN 'Revisar GPS y batería' WHEN g.lvl <> 'OK' THEN 'Revisar GPS' WHEN b.lvl <> 'OK' THEN 'Revisar batería' ELSE 'Sin acción' END AS action
             FROM coded c JOIN reasons g ON g.code = gps_code JOIN reasons b ON b.code = battery_code)""",
     "placed": """
-        SELECT c.*, coalesce(nullif(trim(nombre), ''), 'Ubicación sin asignar') AS location FROM classified c LEFT JOIN locations l ON CAST(l.amid AS BIGINT) = c.amid""",
+        SELECT c.*, coalesce(nullif(trim(nombre), ''), 'Ubicación sin asignar') AS location FROM classified c LEFT JOIN locations l ON l.amid = CAST(c.amid AS VARCHAR)""",
     "ranked": f"""
         SELECT *, CASE WHEN level = 'CRITICA' THEN CASE WHEN gps_level = 'CRITICA' AND battery_level = 'CRITICA' THEN 1 WHEN gps_level = 'CRITICA' THEN 2 WHEN battery_level = 'CRITICA' THEN 3 ELSE 4 END
                 WHEN level = 'ALTA' THEN CASE WHEN gps_level = 'ALTA' AND battery_level = 'ALTA' THEN 5 WHEN gps_level = 'ALTA' THEN 6 WHEN battery_level = 'ALTA' THEN 7 ELSE 8 END
@@ -174,9 +174,9 @@ TABLES: dict[str, str] = {
         FROM (SELECT * FROM flags WHERE reported) f
         LEFT JOIN (
             SELECT * FROM (SELECT t.id, h.amid, h.lat, h.lon, h.radio, h.operativa, coalesce(nullif(trim(h.nombre), ''), '{LAB[0]}') AS nombre, row_number() OVER (PARTITION BY t.id ORDER BY h.inicio DESC) AS rn
-                FROM telemetry t JOIN history h ON CAST(h.amid AS BIGINT) = t.amid AND h.inicio <= t.fecha_hora AND (h.fin IS NULL OR t.fecha_hora < h.fin) AND h.radio IS NOT NULL) WHERE rn = 1
+                FROM telemetry t JOIN history h ON h.amid = CAST(t.amid AS VARCHAR) AND h.inicio <= t.fecha_hora AND (h.fin IS NULL OR t.fecha_hora < h.fin) AND h.radio IS NOT NULL) WHERE rn = 1
         ) h ON h.id = f.id
-        LEFT JOIN (SELECT amid, lat, lon, radio, operativa, coalesce(nullif(trim(nombre), ''), '{LAB[0]}') AS nombre FROM locations) c ON CAST(c.amid AS BIGINT) = f.amid""",
+        LEFT JOIN (SELECT amid, lat, lon, radio, operativa, coalesce(nullif(trim(nombre), ''), '{LAB[0]}') AS nombre FROM locations) c ON c.amid = CAST(f.amid AS VARCHAR)""",
     "evaluated": f"""
         SELECT *, CASE WHEN zero THEN false ELSE distance <= site_radio END AS inside FROM (
             SELECT *, CASE WHEN NOT zero THEN {haversine('latitud', 'longitud', 'site_lat', 'site_lon')} END AS distance FROM fix_site)""",
@@ -190,7 +190,7 @@ TABLES: dict[str, str] = {
         FROM (SELECT c_custkey AS k, c_custkey * 2 + copy AS orden, CASE WHEN c_custkey % 23 = 22 THEN '' WHEN c_custkey % 3 = 0 THEN c_custkey || '.0' ELSE CAST(c_custkey AS VARCHAR) END AS iid,
                 CASE WHEN c_custkey % 11 = 10 THEN ' nan ' ELSE 'Estación ' || n_name || CASE WHEN copy = 1 THEN ' bis' ELSE '' END END AS nom, -33437191 + (c_nationkey - 12) * 200 AS micro,
                 CASE WHEN c_custkey % 7 = 2 THEN 'quizás' WHEN c_custkey % 7 = 5 THEN 'NO' ELSE 'SI' END AS op, CASE WHEN c_custkey % 29 = 28 THEN '' ELSE CAST(50 + c_custkey % 4 * 50 AS VARCHAR) END AS rad
-            FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1)) t(copy) WHERE c_custkey < 1500 AND c_custkey % 5 <> 3 AND (copy = 0 OR c_custkey % 19 = 0))""",
+            FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES (0), (1)) t(copy) WHERE c_custkey % 5 <> 3 AND (copy = 0 OR c_custkey % 19 = 0))""",
     "usable": f"""
         SELECT orden, amid, CASE WHEN op = 'SI' THEN nombre ELSE '{LAB[0]}' END AS nombre, serie, CASE WHEN op = 'SI' THEN lat ELSE CAST({LAB[1]} AS DOUBLE) END AS lat,
             CASE WHEN op = 'SI' THEN lon ELSE CAST({LAB[2]} AS DOUBLE) END AS lon, CASE WHEN op = 'SI' THEN radio ELSE CAST({LAB[3]} AS DOUBLE) END AS radio,
@@ -224,6 +224,10 @@ TABLES: dict[str, str] = {
         SELECT w.fleet, w.key, r.value AS old_value, TRY_CAST(trim(w.value) AS DOUBLE) AS new_value, r.type, r.type IS NULL OR TRY_CAST(trim(w.value) AS DOUBLE) IS NULL AS rejected
         FROM wanted w LEFT JOIN rule_sets r ON r.fleet = w.fleet AND r.key = w.key
         WHERE r.type IS NULL OR TRY_CAST(trim(w.value) AS DOUBLE) IS NULL OR r.value IS DISTINCT FROM TRY_CAST(trim(w.value) AS DOUBLE)""",
+    "rules_after": """
+        SELECT r.fleet, r.key, coalesce(d.new_value, r.value) AS value, r.active FROM rule_sets r LEFT JOIN rule_diff d ON d.fleet = r.fleet AND d.key = r.key AND NOT d.rejected""",
+    "wide_after": "SELECT fleet, " + ", ".join(f"max(CASE WHEN key = '{k}' AND active = 1 THEN value END) AS {k}" for k in DEFAULTS) + ", count(*) FILTER (WHERE active = 1 AND value IS NOT NULL) AS n_active, "
+    "count(*) FILTER (WHERE active = 1 AND value < 0) AS n_negative, count(*) FILTER (WHERE active = 1 AND key LIKE 'GPS_PORC_%' AND (value < 0 OR value > 100)) AS n_percent FROM rules_after GROUP BY fleet",
 }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,16 @@ from pulsegrid.functions import scalars as s
 from pulsegrid.operators.battery import battery_matrix
 from pulsegrid.operators.telemetry import append_new, export_summary, telemetry_range
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; a temporary folder where it is unset, on one machine alone."""
+    conf = spark.sparkContext.getConf()
+    if folder := conf.get("spark.checkpoint.dir"):
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="pulsegrid-")
+
+
 INTEGERS = ("busid", "op", "td01", "td04", "tabla", "porcentaje_bateria")
 BOOLEANS = ("is_contiene_bateria", "is_contiene_gps", "is_contiene_tiempo_vida", "is_error_obtener_bateria", "is_error_obtener_gps", "is_error_obtener_tiempo_vida")
 DECIMALS = ("latitud", "longitud")
@@ -35,22 +48,46 @@ def read_telemetry_csv(spark: SparkSession, path: str, separator: str = ";") ->
 
 
 def read_snapshot_csv(spark: SparkSession, path: str, separator: str = ";") -> DataFrame:
+    """A delivery of expected locations as text, for :func:`pulsegrid.operators.locations.normalize_snapshot_columns`."""
     return spark.read.option("header", True).option("sep", separator).option("inferSchema", False).csv(path)
 
 
+def stored_days(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
+    """The stored rows of the days that a delivery spans; other partitions are not read."""
+    span = incoming.agg(F.to_date(F.min("fecha_hora")).alias("first"), F.to_date(F.max("fecha_hora")).alias("last")).first()
+    return spark.read.parquet(path).where(F.col("day").between(F.lit(span["first"]), F.lit(span["last"])))
+
+
 def append_telemetry(spark: SparkSession, incoming: DataFrame, path: str) -> None:
-    """Append the rows whose device and time are not stored yet, by day."""
-    stored = spark.read.parquet(path)
-    new = append_new(stored, incoming).withColumn("day", F.to_date("fecha_hora"))
+    """Append the rows whose device and time are not stored yet, by day. One delivery at a time: a store has one writer."""
+    new = append_new(stored_days(spark, incoming, path), incoming).withColumn("day", F.to_date("fecha_hora"))
     new.sortWithinPartitions("day", "amid", "fecha_hora").write.mode("append").partitionBy("day").parquet(path)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the old version, then swap: a run that fails leaves the old version as it was."""
-    spark = df.sparkSession
-    staging = f"{path.rstrip('/')}__staging"
-    df.write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
+    """Write beside the old version, then rename: a run that fails leaves the old version as it was. ``df`` may read from ``path``."""
+    df.write.mode("overwrite").parquet(staging_of(path))
+    swap(df.sparkSession, path)
+
+
+def staging_of(path: str) -> str:
+    return f"{path.rstrip('/')}__staging"
+
+
+def swap(spark: SparkSession, path: str) -> None:
+    """Put what is staged in the place of a data set; if it cannot be moved there, the old version is moved back."""
+    place, staging, old = path.rstrip("/"), staging_of(path), f"{path.rstrip('/')}__old"
+    at = {p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (place, staging, old)}
+    fs = at[place].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at[old], True)
+    had = fs.exists(at[place])
+    if had and not fs.rename(at[place], at[old]):
+        raise OSError(f"cannot move {place}")
+    if not fs.rename(at[staging], at[place]):
+        if had:
+            fs.rename(at[old], at[place])
+        raise OSError(f"cannot move {staging}")
+    fs.delete(at[old], True)
 
 
 def append_run_metrics(df: DataFrame, path: str) -> None:

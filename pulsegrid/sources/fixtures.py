@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-01-30 23:59:59"
+# The default site.
 LAB = {"nombre": "Laboratorio", "lat": -33.437191, "lon": -70.656102, "radio": 150.0}
 FIRST_EAV_DEVICE = 7_499_990
 
@@ -67,7 +68,7 @@ def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").where(key % 7 != 6)
     return customers.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
         key.alias("key"),
-        key.cast("string").alias("amid"),
+        F.when(key % 97 == 96, F.concat(F.lit("LAB-"), key)).otherwise(key.cast("string")).alias("amid"),
         F.when(key % 11 == 10, "  ").otherwise(F.concat(F.lit("Estación "), F.col("n_name"))).alias("nombre"),
         F.concat(F.lit("S"), key.cast("string")).alias("serie"),
         (F.lit(-33.437191) + (F.col("c_nationkey") - 12) * F.lit(0.0002)).cast("double").alias("lat"),

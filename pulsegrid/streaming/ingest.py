@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.battery import slot_candidates
+from pulsegrid.sources import files
 
 LATENESS = "2 days"
 
@@ -48,6 +49,13 @@ def update_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def compact(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Keep of all batches the last row of each key, as if the newest batch had written it; run it between runs of the stream."""
+    newest = spark.read.option("basePath", path).parquet(f"{path}/batch=*").agg(F.max("batch")).first()[0]
+    latest_version(spark, path, keys).withColumn("batch", F.lit(newest)).write.mode("overwrite").partitionBy("batch").parquet(files.staging_of(path))
+    files.swap(spark, path)
+
+
 def latest_version(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The last written row of each key."""
     rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
