@@ -38,7 +38,7 @@ def digests(text: Column) -> Column:
     def of(s: Column) -> Column:  # s: sorted hashes; a run's last place tells its length
         return let(run_ends(s), lambda e: F.transform(e, lambda at, j: F.xxhash64(F.element_at(s, at), at - F.coalesce(F.get(e, j - 1), F.lit(0)))))
 
-    return let(F.array_sort(F.transform(F.split(text, "\n", -1), lambda p: F.xxhash64(p))), lambda s: F.array_sort(of(s)))
+    return let(F.sort_array(F.transform(F.split(text, "\n", -1), lambda p: F.xxhash64(p))), lambda s: F.sort_array(of(s)))
 
 
 def run_ends(s: Column) -> Column:
@@ -66,10 +66,11 @@ def gathered(cells: Column) -> Column:
         return F.when(first == last, F.element_at(s, last)).otherwise(many)
 
     def of(s: Column) -> Column:
-        ends = let(run_ends(F.transform(s, lambda c: c["at"])), lambda e: F.transform(e, lambda last, j: together(s, F.coalesce(F.get(e, j - 1), F.lit(0)) + 1, last)))
+        merge = lambda e: F.transform(e, lambda last, j: together(s, F.coalesce(F.get(e, j - 1), F.lit(0)) + 1, last))
+        ends = let(F.transform(s, lambda c: c["at"]), lambda at: let(run_ends(at), merge))
         return F.filter(ends, lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
 
-    return F.when(F.size(cells) == 0, cells).otherwise(let(F.array_sort(cells), of)).cast(CELLS)
+    return let(F.sort_array(cells), lambda s: F.when(F.size(s) == 0, s).otherwise(of(s))).cast(CELLS)
 
 
 def peeled(cells: Column, size: Column) -> Column:
