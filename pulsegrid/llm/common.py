@@ -35,6 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours, wherever Spark keeps it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the cluster shares (``spark.checkpoint.dir``); Spark removes it with the frame.
 
@@ -51,6 +57,11 @@ def whole_rows(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(key.alias(name) for name, key in keys.items()))
 
 
+def plain_names(docs: DataFrame, *kept: str) -> DataFrame:
+    """The rows with columns that Arrow functions can take, whatever their names: all but ``text`` and ``kept`` are numbered."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in ("text", *kept) else f"c{i}") for i, c in enumerate(docs.columns)))
+
+
 def literal_array(values: Iterable, of: str) -> Column:
     """A constant array, written as one string so that building it takes one call."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{of}>")

@@ -8,7 +8,9 @@ Fitting reads a bounded sample of labelled rows (``rows_per_language``, those of
 length reach the driver. Prediction reads every whole text and nothing else.
 
 Results: a null text, or one without a letter, is ``und`` with score 0; a language seen in no training row is never
-predicted; with no training rows at all every row is ``und``; repeated rows get equal answers; other columns are not read.
+predicted; with no training rows at all every row is ``und``; a very long text is read whole; repeated rows get equal answers, and of languages with equal loss the
+first by name is taken; an empty table gives an empty result; other columns are not read and pass unchanged, but those that have the names of the
+new columns are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import slices
+from pulsegrid.llm.common import plain_names, slices
 
 UNKNOWN = "und"
 BUCKETS = 4096
@@ -132,6 +134,8 @@ def fit(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LANGU
 def identify(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
     """The rows of ``docs`` with a language, its score and a flag for ambiguity, under the given names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*names)
+    every = [*docs.columns, *names]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +150,6 @@ def identify(docs: DataFrame, model: Model | None, names: tuple[str, str, str] =
                     score[known], unsure[known] = s, near
                     for i, k in zip(known, best, strict=True):
                         lang[i] = own.languages[k]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score), pa.array(unsure)], names=[*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score), pa.array(unsure)], names=every)
 
-    return docs.mapInArrow(run, schema)
+    return plain_names(docs).mapInArrow(run, schema)
