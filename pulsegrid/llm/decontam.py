@@ -9,12 +9,13 @@ exact weighted Jaccard similarity of their shingles.
 
 Only documents that share enough shingles with the benchmark to reach the threshold for its shortest item, if need be as a text
 shorter than that item, get windows;
-a bit table of the benchmark's shingles tells which, and errs on the side of keeping. It is sized by the benchmark, and beyond
-:data:`TABLE_ITEMS` shingles a join takes its place. Equal texts are worked on once.
+a bit table of the benchmark's shingles tells which, and errs on the side of keeping: it grows with the benchmark up to :data:`MOST_BITS`, and beyond
+keeps more documents, not fewer. The exact join that follows is broadcast where the benchmark has at most :data:`BROADCAST_ITEMS` shingles. Equal texts are worked on once.
 
 Results: a null or blank text and an item without words match nothing; a text or item shorter than five words has one shingle; a text
-shorter than an item is one window; repeated rows and null ids each get the rows of their text; ties between starts
-go to the smallest; an empty table on either side gives an empty result; other columns are not read.
+shorter than an item is one window; a very long text is read whole; repeated rows and null ids each get the rows of their text; ties between starts
+go to the smallest; an empty table on either side gives an empty result; other columns are not read by ``contaminated``, and pass unchanged through
+``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +25,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import cut_lineage, literal_array
+from pulsegrid.llm.common import cut_lineage, literal_array, whole_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
 BITS = 64
-#: Shingles of the benchmark up to which the bit table is used: 1 << 20 bits, 128 KB.
-TABLE_ITEMS, TABLE_BITS = 1 << 16, 1 << 20
+#: Least and most bits of the table (128 KB and 2 MB), bits for each shingle, and shingles of a benchmark up to which it is broadcast (some 3 MB).
+LEAST_BITS, MOST_BITS, BITS_EACH, BROADCAST_ITEMS = 1 << 20, 1 << 24, 16, 1 << 16
 
 
 def let(value: Column, body) -> Column:
@@ -102,24 +103,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     least = max(1, math.ceil((facts["least"] or 1) * similarity - 1e-9))  # what a text shorter than the item needs
 
     hashed = docs.select(F.md5(F.col("text").cast("string")).alias("text_key"), shingles(F.col("text").cast("string")).alias("doc")).where(F.col("doc").isNotNull())
-    if facts["pieces"] <= TABLE_ITEMS:
-        table = [0] * (TABLE_BITS // 64)
-        for (slot,) in pieces.select(F.pmod("shingle", F.lit(TABLE_BITS)).cast("int")).distinct().collect():  # at most TABLE_ITEMS integers
-            table[slot >> 6] |= 1 << (slot & 63)
-        bits = literal_array([x - (1 << 64) if x >> 63 else x for x in table], "long")
-
-        def known(h: Column) -> Column:
-            return let(F.pmod(h, F.lit(TABLE_BITS)).cast("int"), lambda s: F.getbit(F.element_at(bits, F.shiftright(s, 6) + 1), s.bitwiseAND(63)) == 1)
-
-        hits = F.filter(F.transform("doc", lambda h, i: F.when(known(h), i)), lambda i: i.isNotNull())
-        hashed = hashed.withColumn("hits", hits).where(F.size("hits") >= least)
-    else:
-        hashed = hashed.withColumn("hits", F.sequence(F.lit(0), F.size("doc") - 1))
+    n_bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * facts["pieces"]).bit_length()))
+    table = [0] * (n_bits // 64)
+    slots = pieces.select(F.pmod("shingle", F.lit(n_bits)).cast("int").alias("slot"))
+    for row in slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot & 63)")).alias("bits")).collect():  # at most MOST_BITS / 64 numbers
+        table[row["at"]] = row["bits"]
+    bits = literal_array(table, "long")
+
+    def known(h: Column) -> Column:
+        return let(F.pmod(h, F.lit(n_bits)).cast("int"), lambda s: F.getbit(F.element_at(bits, F.shiftright(s, 6) + 1), s.bitwiseAND(63)) == 1)
+
+    hits = F.filter(F.transform("doc", lambda h, i: F.when(known(h), i)), lambda i: i.isNotNull())
+    hashed = hashed.withColumn("hits", hits).where(F.size("hits") >= least)
     texts = cut_lineage(hashed.dropDuplicates(["text_key"]))
 
     found = texts.select("text_key", F.size("doc").alias("doc_n"), F.explode(F.transform("hits", lambda i: F.struct(i.cast("int").alias("pos"), F.element_at("doc", i.cast("int") + 1).alias("shingle")))).alias("x"))
     distinct = pieces.select("item_id", "n", "shingle").distinct()
-    small = F.broadcast(distinct) if facts["pieces"] <= TABLE_ITEMS else distinct
+    small = F.broadcast(distinct) if facts["pieces"] <= BROADCAST_ITEMS else distinct
     shared = (
         found.select("text_key", "doc_n", "x.*")
         .join(small, "shingle")
@@ -132,7 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     windows = starts.join(texts.select("text_key", "doc"), "text_key").select("text_key", "n", "start", F.slice("doc", F.col("start") + 1, F.col("n")).alias("window"))
     marked = windows.withColumn("print", simhash(F.col("window")))
     of_items = items.withColumn("item_print", simhash(F.col("item"))).select("item_id", "n", "item", "item_print", F.inline(blocks(F.col("item_print"))))
-    of_items = F.broadcast(of_items) if facts["pieces"] <= TABLE_ITEMS else of_items
+    of_items = F.broadcast(of_items) if facts["pieces"] <= BROADCAST_ITEMS else of_items
     candidates = (
         marked.select("text_key", "n", "start", "window", "print", F.inline(blocks(F.col("print"))))
         .join(of_items, ["n", "block", "value"])
@@ -153,6 +153,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    key = "__text_key"
-    bad = leaks(docs, benchmark, similarity).select(F.col("text_key").alias(key)).distinct()
-    return docs.withColumn(key, F.md5(F.col("text").cast("string"))).join(bad, key, "left_anti").select(*docs.columns)
+    bad = leaks(docs, benchmark, similarity).select("text_key").distinct()
+    return whole_rows(docs, text_key=F.md5(F.col("text").cast("string"))).join(bad, "text_key", "left_anti").select("row.*")
