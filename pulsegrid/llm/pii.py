@@ -8,13 +8,19 @@ pattern are its distinct instances of high score, so that those discovered in on
 patterns with a high score and enough support, themselves of high score and with the digits of an identifier, are added as
 ``found``.
 
-Results: a null text counts as empty; spans are in code points, end exclusive; equal texts are learnt from once, and each row,
-repeated or with a null id, gets the spans of its text; ties do not arise as scores are compared with thresholds only; an empty table gives
-an empty result; other columns are not read.
+Places in a text come from running sums in two levels, and spans are compared by bisection, so a very long text full of numbers takes little more
+than its length. Texts without a token are not joined with what is found, and what is found joins by pattern and value, so neither empty texts nor a common
+context word gather in one task.
+
+Results: a null text counts as empty; spans are in code points, end exclusive; a very long text is read whole, and its words before a finding however far they are;
+equal texts are learnt from once, and each row, repeated or with a null id, gets the spans of its text; ties do not arise as scores are compared with
+thresholds only; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,26 +36,58 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A word with a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
+#: From the end of what is before a token backwards: its last word or two.
+WORDS_BACK = r"^[^\p{L}\p{N}]*+\p{L}+(?:[^\p{L}\p{N}]+\p{L}+)?"
+
 ROUNDS = 3
 PATTERN_SCORE, PATTERN_SEEDS, INSTANCE_SCORE = 0.85, 5, 0.85
 SPANS = "array<struct<start:int,end:int,value:string,before:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches with their place and the text since the last one."""
+def running(lengths: Column) -> Column:
+    """The sum of the lengths before each one, in blocks of about the square root of their number."""
+
+    def scan(xs: Column, start: Column) -> Column:
+        first = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(xs, first, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    def in_blocks(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")), lambda i: F.slice(xs, i * width + 1, width))
+        starts = lambda bs: scan(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x)), F.lit(0))
+        return let(blocks, lambda bs: let(starts(bs), lambda at: F.flatten(F.transform(bs, lambda b, i: scan(b, F.get(at, i))))))
+
+    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(lengths, in_blocks))
+
+
+def located(text: Column, pattern: str, words: bool = False) -> Column:
+    """All matches with their place and, if ``words``, the two words before, back to the last match."""
+
+    def spans(pieces: Column, hits: Column) -> Column:
+        lengths = F.transform(hits, lambda h, i: F.char_length(F.get(pieces, i)) + F.char_length(h))
+
+        def one(at: Column, h: Column, i: Column) -> Column:
+            piece = F.get(pieces, i)
+            start = F.get(at, i) + F.char_length(piece)
+            before = F.reverse(F.regexp_extract(F.reverse(piece), WORDS_BACK, 0)) if words else F.lit("")
+            return F.struct(start.alias("start"), (start + F.char_length(h)).alias("end"), h.alias("value"), before.alias("before"))
+
+        return let(running(lengths), lambda at: F.transform(hits, lambda h, i: one(at, h, i))).cast(SPANS)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) == 0, F.array().cast(SPANS)).otherwise(let(F.split(text, pattern, -1), lambda pieces: spans(pieces, hits))))
+
 
-    def walk(pieces: Column, hits: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            before, value = F.element_at(pieces, i), F.element_at(hits, i)
-            start = acc["at"] + F.char_length(before)
-            end = start + F.char_length(value)
-            one = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), F.right(before, F.lit(80)).alias("before"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(SPANS)).alias("out"))
+def overlaps(spans: Column, start: Column, end: Column) -> Column:
+    """Whether any of the spans, which are in order and apart, lies over ``[start, end)``; by bisection for the last one that begins before the end."""
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-        return F.when(F.size(hits) == 0, F.array().cast(SPANS)).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(hits)), none, step)["out"])
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        left = F.get(spans, mid)["start"] < end
+        return F.when(acc["low"] < acc["high"], F.struct(F.when(left, mid + 1).otherwise(acc["low"]).alias("low"), F.when(left, acc["high"]).otherwise(mid).alias("high"))).otherwise(acc)
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: let(F.split(text, pattern, -1), lambda pieces: walk(pieces, hits)))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), step)["low"]
+    return F.when(F.size(spans) == 0, False).otherwise(let(found, lambda k: F.coalesce(F.get(spans, k - 1)["end"] > start, F.lit(False))))
 
 
 def _is_ip(value: Column) -> Column:
@@ -81,7 +119,7 @@ def base_spans(rows: DataFrame) -> DataFrame:
             "ip": F.when(digit, located(text, IP)).otherwise(none),
             "card": F.when(digit, located(text, CARD)).otherwise(none),
             "phone": F.when(text.contains("+") & digit, located(text, PHONE)).otherwise(none),
-            "tokens": F.when(digit | text.contains("@"), located(text, TOKEN)).otherwise(none),
+            "tokens": F.when(digit | text.contains("@"), located(text, TOKEN, words=True)).otherwise(none),
         }
     )
     return looked.withColumns(
@@ -95,8 +133,8 @@ def base_spans(rows: DataFrame) -> DataFrame:
 
 def instances(spans: DataFrame) -> DataFrame:
     """Tokens with the pattern before them, whether they overlap a base span and whether they look like an identifier; one row for each text and place."""
-    known = F.concat(*(F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for kind in KINDS))
-    tokens = F.transform("tokens", lambda t: F.struct(t.alias("t"), F.exists(known, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])).alias("seed")))
+    over = lambda t: functools.reduce(Column.__or__, (overlaps(F.col(kind), t["start"], t["end"]) for kind in KINDS))
+    tokens = F.transform("tokens", lambda t: F.struct(t.alias("t"), over(t).alias("seed")))
     each = spans.where(F.size("tokens") > 0).select("text_key", F.explode(tokens).alias("x")).select("text_key", "x.t.*", "x.seed")
     core = F.regexp_extract("value", r"[\p{L}\p{N}](?s:.*[\p{L}\p{N}])?", 0)
     words = F.regexp_extract(F.lower("before"), r"((?:\p{L}+[^\p{L}\p{N}]+)?\p{L}+)[^\p{L}\p{N}]*$", 1)
@@ -125,7 +163,8 @@ def found(spans: DataFrame) -> DataFrame:
     patterns, scores = bootstrap(graph)
     good = patterns.where((F.col("pattern_score") >= PATTERN_SCORE) & (F.col("support") >= PATTERN_SEEDS)).select("pattern")
     sure = scores.where(F.col("score") >= INSTANCE_SCORE).select("value")
-    new = seen.where(~F.col("seed") & F.col("identifier")).join(good, "pattern", "left_semi").join(sure, "value", "left_semi")
+    sound = graph.select("pattern", "value").join(good, "pattern", "left_semi").join(sure, "value", "left_semi")
+    new = seen.where(~F.col("seed") & F.col("identifier")).join(sound, ["pattern", "value"], "left_semi")
     return new.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
 
 
@@ -134,7 +173,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = doc_text(docs).withColumn("text_key", F.md5("text"))
     spans = cut_lineage(base_spans(rows).select("doc_id", "text_key", *KINDS, "tokens"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return spans.join(found(spans), "text_key", "left").select("doc_id", *KINDS, F.coalesce("found", none).alias("found"))
+    with_tokens = F.size("tokens") > 0
+    joined = spans.where(with_tokens).join(found(spans), "text_key", "left").select("doc_id", *KINDS, F.coalesce("found", none).alias("found"))
+    return joined.unionByName(spans.where(~with_tokens).select("doc_id", *KINDS, none.alias("found")))
 
 
 def joined(*kinds: str) -> Column:
