@@ -1,9 +1,10 @@
 """URL filter: host and path rules first, else a logistic regression on hashed character n-grams of host and path.
 
-The regression is fitted by Spark on :data:`LABELLED`, a small table of labelled urls, and applied with SQL functions.
+The regression is fitted by Spark on :data:`LABELLED`, a small table of labelled urls that are split like those of pages, and applied with SQL functions.
 
-Results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the regression's
-intercept; repeated rows and ties need no treatment; an empty table gives an empty result; other columns are not read.
+Results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the regression on an
+empty text; a very long url is read whole; rows are judged one by one, so repeated rows and null ids need no treatment; a score equal to the threshold blocks; an empty table gives
+an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,60 +24,161 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 BUCKETS = 1024
 GRAMS = (3, 4)
-#: Labelled urls: the label, host and path; "block" for spam, scams and adult or gambling pages.
+REGULAR, THRESHOLD = 0.002, 0.5
+#: Labelled urls: "block" for spam, scams, gambling and adult pages. Made up for this table; no url of a corpus is among them.
 LABELLED = """
-block spam-farm.example.org /en/1
-block best-casino-bonus.example.com /win/free-spins
-block cheap-pills.example.org /buy/now.html
-block free-money-fast.example.com /click?offer=1
-block hot-singles.example.net /xxx/join
-block spam-links.example.com /seo/backlinks
-block casino.example.org /poker/slots
-block win-prize.example.info /claim/prize
-block replica-watches.example.com /sale/cheap
-block adult-videos.example.org /xxx/1.html
-block payday-loans.example.com /apply/fast
-block click-farm.example.net /traffic/buy
-block lottery-winner.example.org /claim
-block crypto-doubler.example.com /invest/double
-block viagra-shop.example.com /buy/pills
-block torrent-crack.example.org /keygen/free
-block spam.example.com /fr/12
-block link-farm.example.org /de/77
-block bonus-slots.example.net /casino/en/8
-block sexcam.example.com /live/xxx
-block buy-followers.example.com /cheap/likes
-block malware-download.example.org /free/setup.exe
-block phishing-login.example.com /verify/account
-block betting-tips.example.com /odds/win
-allow www.example.com /en/12
-allow blog.example.org /en/2021/my-post.html
-allow m.example.com /fr/45
-allow docs.example.org /reference/guide.html
-allow news.example.com /world/story/9
-allow library.example.org /catalog/item/44
-allow shop.example.com /es/product/18
-allow university.example.org /research/papers
-allow wiki.example.org /en/History
-allow museum.example.org /exhibits/2020
-allow recipes.example.com /soup/onion
-allow www.example.org /es/300
-allow theatre.example.com /program/may
-allow forum.example.org /topic/72
-allow weather.example.com /today
-allow garden.example.org /en/roses.html
-allow travel.example.com /fr/paris
-allow sports.example.com /league/table
-allow science.example.org /articles/physics
-allow city.example.org /council/minutes
-allow the.example.com /en/5/
-allow oner.example.org /en/671
-allow blog.ation.example.com /de/960#top
-allow m.there.example.org /es/25?page=2
-allow www.bookshop.example.com /authors
-allow school.example.org /timetable
-allow radio.example.com /schedule/en
-allow history.example.org /de/archive
+block https://www.luckyspin-casino.bet/slots/free-spins
+block http://royal-poker-room.com/holdem/bonus
+block https://online-roulette24.net/play/real-money
+block http://megabet-sports.io/odds/football/live
+block https://jackpot-city-slots.co/welcome-bonus?aff=991
+block http://betting-tips-daily.info/sure-win-picks
+block https://vegas-blackjack.club/deposit/bonus-code
+block http://bingo-cash-prizes.biz/join-now
+block https://1xwin-promo.xyz/register/free-bet
+block http://hotxxxvideos.tube/watch/8812.html
+block https://www.freesexcams.live/rooms/blonde
+block http://adult-webcam-chat.net/girls/online
+block https://nude-teens-gallery.xxx/pics/22
+block http://pornstar-clips.club/hd/free
+block https://escort-service-city.com/girls/vip
+block http://milf-dating-tonight.com/signup
+block https://hookup-local-singles.net/join/free
+block http://erotic-massage-girls.biz/book
+block https://camgirls-naked.io/private-show
+block http://buy-viagra-online-cheap.com/order/50mg
+block https://canadian-pharmacy-pills.net/cialis/generic
+block http://no-prescription-meds.biz/buy/xanax
+block https://cheap-tramadol-online.info/checkout
+block http://weight-loss-miracle-pills.com/order-now
+block https://male-enhancement-secret.net/free-trial
+block http://steroids-shop24.com/buy/testosterone
+block https://keto-burn-fat-fast.xyz/special-offer
+block http://cheap-replica-rolex.store/sale/submariner
+block https://fake-designer-bags.net/louis-vuitton/cheap
+block http://replica-watches-outlet.biz/discount/80
+block https://nike-shoes-outlet-cheap.shop/sale?off=90
+block http://get-rich-quick-system.com/secret-method
+block https://earn-money-from-home-fast.net/signup/now
+block http://double-your-bitcoin.cc/invest
+block https://crypto-giveaway-elon.live/claim
+block http://forex-robot-profits.biz/buy
+block https://binary-options-millionaire.com/deposit
+block http://free-iphone-winner.info/claim-prize
+block https://you-won-gift-card.xyz/claim/1000
+block http://lottery-winner-notice.com/prize/claim.php
+block https://free-robux-generator.club/verify
+block http://payday-loans-instant-cash.com/apply
+block https://bad-credit-loan-approved.net/fast-cash
+block http://secure-paypa1-login.com/verify/account
+block https://appleid-verify-account.info/signin/update
+block http://bank-security-alert.xyz/confirm/password
+block https://netflix-billing-update.cc/login.php
+block http://account-suspended-verify.top/ebay/signin
+block https://webmail-quota-upgrade.tk/login
+block http://download-crack-keygen.net/photoshop/serial
+block https://warez-full-version.org/torrent/windows-activator
+block http://free-mp3-torrents.biz/download.exe
+block https://game-hacks-cheats.club/aimbot/free-download
+block http://driver-updater-free.info/setup.exe
+block https://your-pc-infected-call.xyz/alert.html
+block http://cheap-backlinks-seo.net/buy/10000-links
+block https://buy-instagram-followers.co/cheap/5000
+block http://traffic-bot-clicks.biz/buy-traffic
+block https://article-spinner-links.info/directory/submit
+block http://guest-post-links-cheap.com/order
+block https://essay-writing-cheap.biz/buy-essay
+block http://buy-fake-diploma.net/order/degree
+block https://psychic-love-spells.info/order/spell
+block http://miracle-cure-cancer.biz/secret-remedy
+block https://hot-russian-brides.com/join/free
+block http://free-proxy-unblock-porn.net/list
+block https://spam-mailer-lists.com/buy/emails
+block http://win-big-slots.top/spin?ref=77
+block https://click-here-prize.club/winner/today
+block http://xxx-adult-toys-cheap.store/sale
+block https://mega-discount-pharmacy.top/viagra/offer
+block http://sexy-singles-near-you.info/chat
+block https://casino-no-deposit-bonus.xyz/free/50-spins
+block http://instant-loan-no-check.top/apply/now
+block https://hack-facebook-password.net/free-tool
+block http://cheap-cigarettes-online.biz/order
+allow https://www.city-library.org/catalogue/new-books
+allow https://news.morningherald.com/2023/05/local-election-results
+allow http://www.stmarys-school.edu/admissions/dates.html
+allow https://physics.northuniversity.edu/research/papers/quantum-optics.pdf
+allow https://docs.openparser.dev/guide/getting-started
+allow https://wiki.gardeners.org/wiki/Tomato_blight
+allow http://blog.annasbakery.com/sourdough-for-beginners
+allow https://www.railwaymuseum.org.uk/visit/opening-times
+allow https://github-mirror.dev/project/issues/142
+allow https://www.health.gov/conditions/asthma/treatment
+allow https://weather.coastguard.gov/forecast/shipping
+allow http://forum.cyclists.net/thread/winter-tyres
+allow https://journal.ecology.org/article/10/forest-soils
+allow https://www.parliament.gov/bills/2021/water-act
+allow https://recipes.familykitchen.com/lentil-soup
+allow http://www.villagechoir.org/concerts/spring
+allow https://support.printerworks.com/manuals/model-210
+allow https://www.hospital-trust.org/departments/cardiology
+allow https://archive.history.edu/letters/1862/index.html
+allow https://www.theatre-royal.co.uk/programme/hamlet
+allow https://store.bookhouse.com/authors/jane-austen
+allow http://www.chess-club.org/rules/openings
+allow https://maps.hikingtrails.org/route/lake-circuit
+allow https://www.nationalpark.gov/wildlife/birds
+allow https://stats.census.gov/tables/population/2020
+allow https://developer.webplatform.org/docs/css/grid
+allow https://www.opera-house.org/season/tickets
+allow http://students.college.edu/timetable/autumn
+allow https://www.farmersmarket.org/vendors/vegetables
+allow https://astronomy.observatory.edu/gallery/nebula.html
+allow https://travel.islandguide.com/beaches/north-coast
+allow https://www.kidsmuseum.org/education/workshops
+allow https://www.legal-aid.org/advice/housing
+allow http://poetry.magazine.org/poems/winter-evening
+allow https://www.biology-online.edu/cells/mitosis
+allow https://podcast.sciencehour.com/episodes/ocean-currents
+allow https://www.localbank.com/branches/contact
+allow https://www.airline-timetable.com/flights/status
+allow https://www.musicschool.org/lessons/violin
+allow https://charity.cleanwater.org/projects/wells
+allow https://www.fishing-harbour.org/tides/june
+allow http://www.parish-council.gov/minutes/2019-04
+allow https://papers.linguistics.edu/abstracts/vowel-shift
+allow https://www.furniture-makers.com/oak-tables
+allow https://blog.datasystems.dev/posts/hash-joins
+allow https://www.dentist-practice.com/opening-hours
+allow https://www.botanical-garden.org/collections/orchids
+allow https://www.sportscentre.org/swimming/lessons
+allow https://reference.chemistry.edu/elements/iron
+allow https://www.trainjourney.com/routes/alps
+allow https://community.openmaps.org/diary/entry/44
+allow http://www.woodworkers.net/articles/dovetail-joints
+allow https://www.youth-orchestra.org/auditions
+allow https://news.technologyreview.net/robots/factory
+allow https://www.water-utility.com/billing/help
+allow https://www.film-archive.org/silent-era/comedies
+allow https://economics.institute.edu/working-papers/trade
+allow https://www.veterinary-clinic.com/pets/vaccination
+allow https://www.language-school.com/courses/spanish
+allow https://cooking.dailypaper.com/recipes/apple-pie
+allow https://www.fireservice.gov/safety/smoke-alarms
+allow https://www.bicycle-repair.org/guides/brakes
+allow https://www.artgallery.org/exhibitions/impressionists
+allow https://www.mathforum.edu/problems/geometry/17
+allow https://philosophy.university.edu/entries/kant
+allow https://www.coffee-roasters.com/beans/ethiopia
+allow https://www.knitting-patterns.org/scarves/cable
+allow https://www.mountain-rescue.org/advice/avalanche
+allow https://www.electricians-union.org/members/news
+allow https://www.baby-names.org/origins/latin
+allow https://code.compilers.dev/tutorial/lexer
+allow https://www.museum-of-trams.org/collection
+allow https://www.planetary-society.org/missions/mars
+allow https://www.seedbank.org/varieties/barley
+allow https://www.court-records.gov/forms/appeal.pdf
+allow https://www.hotel-riverside.com/rooms/prices
 """.strip().splitlines()
 
 
@@ -100,18 +202,41 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*(of(size) for size in GRAMS))
 
 
-@functools.lru_cache(4)
-def fit(spark: SparkSession, seed_rows: tuple[str, ...] = tuple(LABELLED)) -> tuple[tuple[float, ...], float]:
+def labelled(spark: SparkSession, rows: Sequence[str]) -> DataFrame:
+    """``label`` (1: block), ``host`` and ``path`` of labelled urls, split as the urls of pages are."""
+    table = F.array(*(F.struct(F.lit(float(r.split()[0] == "block")).alias("label"), F.lit(r.split()[1]).alias("url")) for r in rows))
+    return spark.range(1).select(F.inline(table)).select("label", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+
+
+@functools.lru_cache(16)
+def fit(spark: SparkSession, rows: tuple[str, ...] = tuple(LABELLED)) -> tuple[tuple[float, ...], float]:
     """Weights and intercept; the labelled table has a fixed number of rows."""
-    rows = F.array(*(F.struct(F.lit(float(r.split()[0] == "block")).alias("label"), F.lit(r.split()[1]).alias("host"), F.lit(r.split()[2]).alias("path")) for r in seed_rows))
-    labelled = spark.range(1).select(F.inline(rows))
-    counted = labelled.withColumn("g", grams(F.col("host"), F.col("path"))).select(
-        "label", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("g", lambda g: g == b)) / F.size("g") * 10.0)).alias("features")
+    counted = (
+        labelled(spark, rows)
+        .withColumn("g", grams(F.col("host"), F.col("path")))
+        .select("label", array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("g", lambda g: g == b)) / F.size("g") * 10.0)).alias("features"))
     )
-    model = LogisticRegression(regParam=0.002, maxIter=60).fit(counted)
+    model = LogisticRegression(regParam=REGULAR, maxIter=60).fit(counted)
     return tuple(float(w) for w in model.coefficients), float(model.intercept)
 
 
+def score(weights: Sequence[float], intercept: float) -> Column:
+    """The chance that a page with grams ``g`` is to be blocked."""
+    table = literal_array(weights, "double")
+    return F.lit(1.0) / (1 + F.exp(-(F.aggregate("g", F.lit(0.0), lambda a, g: a + F.element_at(table, g + 1)) / F.size("g") * 10 + intercept)))
+
+
+def held_out_quality(spark: SparkSession, folds: int = 5, threshold: float = THRESHOLD) -> tuple[float, float]:
+    """Precision and recall of blocking labelled urls that took no part in fitting, over all folds."""
+    said = []
+    for k in range(folds):
+        model = fit(spark, tuple(r for i, r in enumerate(LABELLED) if i % folds != k))
+        rest = labelled(spark, [r for i, r in enumerate(LABELLED) if i % folds == k]).withColumn("g", grams(F.col("host"), F.col("path")))
+        said += [(r["label"], r["p"] >= threshold) for r in rest.select("label", score(*model).alias("p")).collect()]  # rows of the labelled table
+    right = sum(y == 1 and p for y, p in said)
+    return right / max(1, sum(p for _, p in said)), right / max(1, sum(y == 1 for y, _ in said))
+
+
 def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """Verdict and text of the longest rule that fits, else null."""
     out = F.lit(None).cast("struct<verdict:string,rule:string>")
@@ -121,12 +246,10 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return out
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and the regression's ``score`` for blocking."""
-    weights, intercept = fit(pages.sparkSession)
-    table = literal_array(weights, "double")
-    score = F.lit(1.0) / (1 + F.exp(-(F.aggregate("g", F.lit(0.0), lambda a, g: a + F.element_at(table, g + 1)) / F.size("g") * 10 + intercept)))
+    chance = score(*fit(pages.sparkSession))
     split = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
-    scored = split.withColumn("g", grams(F.col("host"), F.col("path"))).select("page_id", "host", "path", fitting_rule(F.col("host"), F.col("path"), rules).alias("r"), score.alias("score"))
+    scored = split.withColumn("g", grams(F.col("host"), F.col("path"))).select("page_id", "host", "path", fitting_rule(F.col("host"), F.col("path"), rules).alias("r"), chance.alias("score"))
     learned = F.when(F.col("score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", learned).alias("verdict"), "score")
