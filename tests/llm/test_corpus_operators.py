@@ -60,15 +60,17 @@ def test_substrings_of_an_empty_table(spark):
     assert substrings.deduplicate(frame(spark, ["x"]).where("false")).count() == 0
 
 
-def test_false_spans_are_taken_out(spark, monkeypatch):
-    """With hashes of two bits nearly all spans are false; those that digests refute must go."""
-    monkeypatch.setattr(substrings.WordHashes, "__call__", lambda self, words: np.array([len(w) for w in words], np.uint64))
-    docs = frame(spark, ["aa bb cc dd ee ff gg hh ii jj kk ll mm", "nn oo pp qq rr ss tt uu vv ww xx yy zz"])
-    assert docs.count() == 2  # executors import their own modules; the digests are checked here without them
-    spans = spark.createDataFrame([(1, 0, [(0, 13, 0, 0)])], f"id long, h long, spans {substrings.SPANS}")
-    out = substrings.removed(docs.select("doc_id", "text", F.lit(0).cast("long").alias("h")), spans)
-    claims, given = out.select(F.inline("own")), out.select(F.inline("given"))
-    assert claims.count() == 1 and claims.join(given, ["id", "start", "end", "digest"], "left_anti").count() == 1
+@pytest.mark.parametrize("bits", [0, 5, 12])
+def test_clashes_of_hashes_are_resolved_edge_by_edge(spark, bits):
+    """With so few bits nearly all edges clash in every task; the result is that of the words all the same."""
+    rng = random.Random(bits)
+    shared = [prose(rng, 40) for _ in range(3)]
+    texts = [" ".join([*prose(rng, rng.randrange(30)), *rng.choice(shared), *prose(rng, rng.randrange(30))]) for _ in range(25)]
+    texts += [texts[3], texts[3], None, "", "short text"]
+    ids = [*range(len(texts) - 3), None, None, None]
+    docs = frame(spark, texts, ids)
+    got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.deduplicate(docs.repartition(3), bits=bits).collect())
+    assert got == removed(list(zip(ids, texts, strict=True)))
 
 
 # Near duplicates
@@ -170,7 +172,7 @@ def best_similarity(doc, item):
     return best
 
 
-def test_leaks_are_those_of_brute_force(spark):
+def test_leaks_are_those_of_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     items = [" ".join(prose(rng, n)) for n in (3, 5, 12, 16, 30, 45, 60)] + [None, "", "?!"]
     passages = [items[k] for k in (2, 3, 4, 5, 6)]
@@ -187,17 +189,32 @@ def test_leaks_are_those_of_brute_force(spark):
     assert all(abs(r["similarity"] - best_similarity(texts[r["doc_id"]], items[r["item_id"]])) < 1e-9 for r in out if r["similarity"] == 1.0)
     kept = {r["doc_id"] for r in decontam.decontaminate(frame(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {i for i, _ in want}
-    monkey = decontam.TABLE_ITEMS
-    decontam.TABLE_ITEMS = 0  # the way of a large benchmark
-    try:
-        assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(spark, texts), bench).collect()} == want
-    finally:
-        decontam.TABLE_ITEMS = monkey
+    for name, value in (("BROADCAST_ITEMS", 0), ("LEAST_BITS", 128), ("MOST_BITS", 128)):  # the way of a benchmark that outgrows table and broadcast
+        monkeypatch.setattr(decontam, name, value)
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(spark, texts), bench).collect()} == want
 
 
-@pytest.mark.parametrize("table_items", [decontam.TABLE_ITEMS, 0])
-def test_leaks_with_spaced_insertions_swapped_halves_and_short_texts(spark, monkeypatch, table_items):
-    monkeypatch.setattr(decontam, "TABLE_ITEMS", table_items)
+def test_long_items_with_spread_insertions_and_deletions(spark):
+    rng = random.Random(21)
+    items = [prose(rng, 300), prose(rng, 1000)]
+    texts = []
+    for item in items:
+        for n in range(11):
+            step, out = len(item) // (n + 1), []
+            for k in range(n):
+                part = item[k * step : (k + 1) * step]
+                out += [*part, f"n{k}"] if k % 2 else part[:-1]
+            texts.append(" ".join(prose(rng, 40) + out + item[n * step :] + prose(rng, 40)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.contaminated(frame(spark, texts), bench).collect()}
+    best = {(i, i // 11): best_similarity(t, " ".join(items[i // 11])) for i, t in enumerate(texts)}
+    want = {k: v for k, v in best.items() if v >= 0.8}
+    assert len(want) >= 16 and got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("broadcast_items", [decontam.BROADCAST_ITEMS, 0])
+def test_leaks_with_spaced_insertions_swapped_halves_and_short_texts(spark, monkeypatch, broadcast_items):
+    monkeypatch.setattr(decontam, "BROADCAST_ITEMS", broadcast_items)
     rng = random.Random(12)
     spaced, swapped = {154: 3, 204: 4, 304: 6}, (45, 55, 59)
     items = [prose(rng, n) for n in (*spaced, *swapped)]
@@ -250,12 +267,42 @@ def test_fingerprints_against_plain_sets(spark):
 
 def test_fingerprint_order_of_nulls_repeats_and_one_row(spark):
     rows = fingerprint.with_next(frame(spark, ["b", "a", "n", "z"], [5, 5, None, 900])).collect()
-    assert {(r["doc_id"], r["text"], r["next_text"]) for r in rows} == {(None, "n", "a"), (5, "a", "b"), (5, "b", "z"), (900, "z", "n")}
+    one, two = [r["t"] for r in frame(spark, ["a", "b"]).select(F.col("text").alias("t")).orderBy(F.xxhash64("text")).collect()]  # equal ids: by hash
+    assert {(r["doc_id"], r["text"], r["next_text"]) for r in rows} == {(None, "n", one), (5, one, two), (5, two, "z"), (900, "z", "n")}
     one = fingerprint.fingerprints(frame(spark, ["only\nme"])).first()
     assert one["near_next"] == 1.0
     assert fingerprint.fingerprints(frame(spark, ["x"]).where("false")).count() == 0
 
 
+def test_likeness_follows_from_the_fingerprints_alone(spark):
+    """What the sketches list, entered in plain sets, gives the likeness; sizes go up with the paragraphs."""
+    rng = random.Random(3)
+    lines = [" ".join(prose(rng, 3)) for _ in range(700)]
+    texts = ["\n".join(lines[a : a + n]) for a, n in ((0, 4), (2, 4), (0, 40), (10, 60), (0, 500), (100, 600), (0, 700))]
+    out = sorted(fingerprint.fingerprints(frame(spark, texts)).collect(), key=lambda r: r["doc_id"])
+    sizes = [int(r["fingerprint"].split()[0], 16) for r in out]
+    assert sizes == sorted(sizes) and sizes[0] == 8 and sizes[-1] >= 512
+    cells = spark.createDataFrame([(r["doc_id"], r["fingerprint"]) for r in out], "doc_id long, f string")
+    as_cells = F.transform(F.slice(F.split("f", " "), 2, 1 << 30), lambda c: F.struct(*(F.conv(F.get(F.split(c, ":"), k), 16, -10).cast("long").alias(x) for k, x in enumerate(("at", "n", "key", "check")))))
+    known = cells.select("doc_id", fingerprint.peeled(as_cells.cast(fingerprint.CELLS), F.conv(F.get(F.split("f", " "), 0), 16, 10).cast("long")).alias("p")).collect()
+    sets = [{x["digest"] for x in r["p"]["found"]} for r in sorted(known, key=lambda r: r["doc_id"])]
+    assert [len(s) for s in sets] == [4, 4, 40, 60, 500, 600, 700]
+    for k, r in enumerate(out):
+        a, b = sets[k], sets[(k + 1) % len(sets)]
+        assert r["near_next"] == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_next_text_with_hot_and_null_ids(spark):
+    """Ids that fill many groups, and null ones, keep their order and lose no row."""
+    rng = random.Random(5)
+    ids = [7] * 60 + [None] * 40 + [rng.randrange(-(1 << 62), 1 << 62) for _ in range(60)]
+    texts = [f"text {rng.randrange(90)}" for _ in ids]
+    rows = fingerprint.with_next(frame(spark, texts, ids)).collect()
+    order = frame(spark, texts, ids).orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text").collect()
+    want = Counter((a["doc_id"], a["text"], b["text"]) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in rows) == want
+
+
 # Pipeline
 
 

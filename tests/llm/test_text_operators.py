@@ -5,6 +5,7 @@ import re
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -100,17 +101,27 @@ def test_network_on_findings_it_has_not_seen():
     net = secrets.train()
     x, y = secrets.labelled_findings(600, 12345)
     said = net.probability(x) >= net.threshold
-    assert said[y == 1].mean() > 0.9 and said[y == 0].mean() < 0.03
+    assert said[y == 1].mean() > 0.95 and said[y == 0].mean() < 0.03
 
 
-@pytest.mark.parametrize(("n", "epochs"), [(2400, 8), (400, 0)])
+@pytest.mark.parametrize(("n", "epochs"), [(1600, 6), (400, 0)])
 def test_fitted_threshold_keeps_the_recall(n, epochs):
-    """Also where the network is poor, so that the quantile of the recall is below a half."""
+    """On families that a network never saw, also where the networks are poor."""
     net = secrets.train(n, epochs)
-    x, y = secrets.labelled_findings(n, 11)
-    kept = slice(n * 3 // 4, None)
-    assert (net.probability(x[kept])[y[kept] == 1] >= net.threshold).mean() >= secrets.RECALL
-    assert epochs or net.threshold < 0.5
+    z, t = secrets.family_folds(n, epochs, 11, 4)
+    said = 1 / (1 + np.exp(-(net.scale[0] * z + net.scale[1]))) >= net.threshold - 1e-9
+    assert said[t > 0].mean() >= secrets.RECALL
+    assert not epochs or said[t == 0].mean() < 0.2
+
+
+def test_convolution_and_its_gradient_are_those_of_plain_sums():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, secrets.CLASSES, (3, secrets.LEFT + secrets.INSIDE + secrets.RIGHT))
+    net = secrets.fitted(x, np.array([0, 1, 1], np.float32), 1, 5)
+    _, act = net.pooled(x)
+    for n, t, f in ((0, 0, 0), (1, 30, 7), (2, 75, 23)):
+        plain = net.conv_bias[f] + sum(net.conv[o, x[n, t + o], f] for o in range(secrets.WIDTH))
+        assert act[n, t, f] == pytest.approx(max(plain, 0), abs=1e-5)
 
 
 PATH_TO = "see https://hooks.example.com/services/T0000000000/B0000000000/"
