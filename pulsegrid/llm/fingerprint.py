@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import doc_text, literal_array
 from pulsegrid.llm.decontam import let
 
-#: Cells of each of the three tables at first, the factor between sizes, and the most sizes and rounds of peeling: more than 2 ** 40 digests need.
-LEAST, FACTOR, ATTEMPTS, ROUNDS = 8, 8, 14, 60
+#: Cells of each of the three tables at first, the factor between sizes, and the sizes tried from the one that has room: that none of them peels has odds below 1e-18.
+LEAST, FACTOR, ATTEMPTS = 8, 8, 6
 #: Groups of neighbouring ids for each partition of a shuffle.
 GROUPS = 4
 CELLS = "array<struct<at:bigint,n:int,key:bigint,check:bigint>>"
@@ -79,12 +79,14 @@ def peeled(cells: Column, size: Column) -> Column:
 
     def step(acc: Column, _: Column) -> Column:
         pure = F.filter(acc["rest"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == F.xxhash64(c["key"])))
-        some = F.array_distinct(F.transform(pure, lambda c: F.struct(c["key"].alias("digest"), c["n"].alias("sign")))).cast(FOUND)
+        alone = lambda ps, sign: signed(F.array_distinct(F.transform(F.filter(ps, lambda c: c["n"] == sign), lambda c: c["key"])), sign)
+        some = let(pure, lambda ps: F.concat(alone(ps, 1), alone(ps, -1)))
         off = lambda x: F.struct(gathered(F.concat(acc["rest"], entered(x, size, -1))).alias("rest"), F.concat(acc["found"], x).alias("found"), (F.size(x) == 0).alias("stuck")).cast(state)
-        return F.when(acc["stuck"] | (F.size(acc["rest"]) == 0), acc).otherwise(let(some, off)).cast(state)
+        return F.when(acc["stuck"] | (F.size(acc["rest"]) == 0), acc).otherwise(let(some, off))
 
+    rounds = F.ceil(F.log2(F.size(cells) + 2.0)).cast("int") * 3 + 3  # a sketch with room takes fewer; one that takes more counts as stuck
     start = F.struct(cells.alias("rest"), F.array().cast(FOUND).alias("found"), F.lit(False).alias("stuck")).cast(state)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, step)
 
 
 def first_that_peels(found: Column, least: Column) -> Column:
@@ -92,7 +94,7 @@ def first_that_peels(found: Column, least: Column) -> Column:
 
     def attempt(state: Column, _: Column) -> Column:
         made = lambda cells: let(peeled(cells, state["size"]), lambda p: F.struct((F.size(p["rest"]) == 0).alias("done"), F.when(F.size(p["rest"]) == 0, state["size"]).otherwise(state["size"] * FACTOR).alias("size"), cells.alias("cells"), p["found"].alias("found")).cast(PEELED))
-        return F.when(state["done"], state).otherwise(let(gathered(entered(found, state["size"])), made)).cast(PEELED)
+        return F.when(state["done"], state).otherwise(let(gathered(entered(found, state["size"])), made))
 
     start = F.struct(F.lit(False).alias("done"), least.cast("long").alias("size"), F.array().cast(CELLS).alias("cells"), F.array().cast(FOUND).alias("found")).cast(PEELED)
     return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), start, attempt)
@@ -104,7 +106,8 @@ def signed(of: Column, sign: int) -> Column:
 
 def size_for(n: Column) -> Column:
     """The least size whose three tables have room for so many digests."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), F.lit(LEAST).cast("long"), lambda size, _: F.when(size * 2 < n, size * FACTOR).otherwise(size))
+    steps = F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)) / (2.0 * LEAST)) / 3), F.lit(0)).cast("int")
+    return F.call_function("shiftleft", F.lit(LEAST).cast("long"), steps * 3)
 
 
 def sketch(of: Column) -> Column:
@@ -121,8 +124,8 @@ def differing(a: Column, b: Column) -> Column:
 
 def written(s: Column) -> Column:
     """A sketch as text: the size, then place, count, digests and checks of each cell in hexadecimal."""
-    cells = F.transform(s["cells"], lambda c: F.concat_ws(":", F.hex(c["at"]), F.hex(c["n"]), F.hex(c["key"]), F.hex(c["check"])))
-    return F.concat_ws(" ", F.hex(s["size"]), F.array_join(cells, " "))
+    cell = lambda c: F.concat_ws(":", F.hex(c["at"]), F.hex(c["n"]), F.hex(c["key"]), F.hex(c["check"]))
+    return let(s, lambda x: F.concat_ws(" ", F.hex(x["size"]), F.array_join(F.transform(x["cells"], cell), " ")))
 
 
 def likeness(a: Column, found: Column) -> Column:
