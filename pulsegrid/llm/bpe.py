@@ -6,7 +6,7 @@ adjacent pair of best score, which is the pair of least rank, the leftmost first
 are encoded separately; a bounded table of recent pre-tokens spares repeated work.
 
 Results: a null text counts as empty (no tokens); repeated rows, nulls in ``doc_id`` and ties need no treatment since rows
-are independent; an empty table gives an empty result; other columns of the input are not read.
+are independent; a very long text is read whole, a pre-token at a time; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Vocabulary: tokens of a rank table with a leading space start a word, the others
 every word can be split. Words are runs of anything but white space.
 
 Results: a null or blank text has 0 words and 0 pieces; rows are independent, so repeated rows, ties and null ids need no
-treatment; an empty table gives an empty result; other columns are not read.
+treatment; a very long text or word is read whole, in time linear in its length; an empty table gives an empty result; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
