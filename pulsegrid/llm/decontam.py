@@ -88,11 +88,20 @@ def blocks(fingerprint: Column) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
 
 
+def run_ends(s: Column) -> Column:
+    """Last places (from 1) of the runs of equal elements."""
+    return F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.element_at(s, i) != F.get(s, i)))
+
+
+def numbered(hashes: Column) -> Column:
+    """The shingles told apart by how many equal ones come before, so that the set has as many as the window has by weight."""
+    mark = lambda s, e: F.transform(e, lambda last, j: F.transform(F.sequence(F.lit(1), last - F.coalesce(F.get(e, j - 1), F.lit(0))), lambda k: F.xxhash64(F.element_at(s, last), k)))
+    return let(F.sort_array(hashes), lambda s: let(run_ends(s), lambda e: F.flatten(mark(s, e))))
+
+
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Sum of the lesser weights over the sum of the greater weights of the shingles of two windows."""
-    weight = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(weight(a, x), weight(b, x)))
-    return let(shared, lambda s: s / (F.size(a) + F.size(b) - s))
+    return let(F.size(F.array_intersect(numbered(a), numbered(b))), lambda s: s / (F.size(a) + F.size(b) - s))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import doc_text, literal_array
-from pulsegrid.llm.decontam import let
+from pulsegrid.llm.decontam import let, run_ends
 
 #: Cells of each of the three tables at first, the factor between sizes, and the sizes tried from the one that has room: that none of them peels has odds below 1e-18.
 LEAST, FACTOR, ATTEMPTS = 8, 8, 6
@@ -41,11 +41,6 @@ def digests(text: Column) -> Column:
     return let(F.sort_array(F.transform(F.split(text, "\n", -1), lambda p: F.xxhash64(p))), lambda s: F.sort_array(of(s)))
 
 
-def run_ends(s: Column) -> Column:
-    """Last places (from 1) of the runs of equal elements."""
-    return F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.element_at(s, i) != F.get(s, i)))
-
-
 def entered(found: Column, size: Column, sign: int = 1) -> Column:
     """The three cells of each digest, with its own sign times ``sign``."""
 
