@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as s
-from pulsegrid.operators import compliance, locations
-from pulsegrid.sources import fixtures
+from pulsegrid.operators import alerts, compliance, locations
+from pulsegrid.sources import files, fixtures
 from pulsegrid.sources.fixtures import LAB
 
 def moment():
@@ -109,7 +109,26 @@ def test_fixtures_cover_every_customer(spark, tmp_path):
     spark.range(1490, 3010).select(F.col("id").alias("c_custkey"), (F.col("id") % 2).alias("c_nationkey")).write.parquet(str(tmp_path / "customer.parquet"))
     spark.createDataFrame([(0, "CHILE"), (1, "PERU")], "n_nationkey long, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
     folder, keys = str(tmp_path), range(1490, 3010)
-    located = {str(k) for k in keys if k % 7 != 6}
+    located = {f"LAB-{k}" if k % 97 == 96 else str(k) for k in keys if k % 7 != 6}  # a few ids are texts
     assert {r["amid"] for r in fixtures.locations(spark, folder).collect()} == located
     assert {r["amid"] for r in fixtures.location_history(spark, folder).collect()} == located
     assert {r["orden"] // 2 for r in fixtures.snapshot(spark, folder).select("orden").collect()} == {k for k in keys if k % 5 != 3}
+
+
+def test_snapshot_file_is_read_as_text_and_normalised(spark, tmp_path):
+    (tmp_path / "zonas V3.csv").write_text("IDDS;Nombre;SERIE VAL.;Latitud;LONGITUD;OPERATIVA;Radio\n75.0;Estación Sur;S1;-33,5;-70.6;Sí;100\nLAB-7;;S2;;;NO;\n;x;S3;1;1;SI;1\n")
+    raw = files.read_snapshot_csv(spark, str(tmp_path / "zonas V3.csv"))
+    rows = locations.normalize_snapshot(locations.normalize_snapshot_columns(raw), "V3", "zonas V3.csv", s.ntz(fixtures.AS_OF), fixtures.LAB).collect()
+    assert {(r["amid"], r["nombre"], r["lat"], r["operativa"]) for r in rows} == {("75", "Estación Sur", -33.5, 1), ("LAB-7", "Laboratorio", fixtures.LAB["lat"], 0)}
+
+
+def test_text_ids_meet_no_device_and_break_nothing(spark):
+    """A location of an id that is no number; of several current rows of a device the last loaded counts."""
+    site = "amid string, nombre string, lat double, lon double, radio double, operativa int, fecha_carga string"
+    current = spark.createDataFrame([("LAB-7", "Lab", 1.0, 1.0, 9.0, 1, "2024-01-01"), ("5", "old", 1.0, 1.0, 9.0, 1, "2024-01-01"), ("5", "new", 2.0, 2.0, 9.0, 1, "2024-01-02")], site)
+    history = current.where("false").drop("fecha_carga").selectExpr("*", "cast(null as timestamp_ntz) inicio", "cast(null as timestamp_ntz) fin")
+    fixes = spark.createDataFrame([(1, 5), (2, 7)], "id long, amid long").selectExpr("*", "timestamp_ntz'2024-01-05' fecha_hora")
+    found = {r["amid"]: (r["site_nombre"], r["site_source"]) for r in compliance.expected_location_asof(fixes, history, current, fixtures.LAB).collect()}
+    assert found == {5: ("new", "current"), 7: ("Laboratorio", "lab")}
+    named = alerts.with_location(fixes.select("amid"), current.where("nombre <> 'old'")).collect()
+    assert {r["amid"]: r["location"] for r in named} == {5: "new", 7: alerts.UNASSIGNED}
