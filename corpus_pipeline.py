@@ -3,7 +3,7 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the documents of
 the next stage. All but the last return the columns of the documents, whatever those are named besides ``doc_id``, ``text`` and ``lang``.
 
-Results: documents with a null text, one without a letter, or one that decoding finds ambiguous, go in the first stage; null ids count as one id beside each text; of repeated rows
+Results: documents with a null text, or one without a letter, go in the first stage; null ids count as one id beside each text; of repeated rows
 (equal id and text) none or all stay in a stage; ties between copies go to the smallest id; very long texts are taken whole; an empty table passes
 through all stages as an empty table.
 """
@@ -22,9 +22,9 @@ from pulsegrid.llm.queries import VOCABULARY
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it), or between two by the decoding, go; nulls in other columns do not matter."""
+    """Documents without a language (no text, or no letter in it) go; ambiguous ones stay, as they are clean; nulls in other columns do not matter."""
     found = language.identify(whole_rows(docs, text=F.col("text")), language.fit(docs, F.lit(True)))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select("row.*")
+    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
