@@ -187,44 +187,6 @@ def csv_ingest(f: Fleet) -> DataFrame:
     return files.read_telemetry_csv(f.spark, path).select("id", "amid", "fecha_hora", "porcentaje_bateria", "latitud", "longitud", "is_error_obtener_gps")
 
 
-@query("""
-    SELECT CAST(id AS VARCHAR) AS id, amid, fecha_hora, porcentaje_bateria, CAST(CAST(latitud AS DECIMAL(20,10)) AS DOUBLE) AS latitud, CAST(CAST(longitud AS DECIMAL(20,10)) AS DOUBLE) AS longitud, is_error_obtener_gps
-    FROM telemetry WHERE id % 11 <> 10""")
-def csv_ingest(f: Fleet) -> DataFrame:
-    """All readings through delimited files of text, a few of them without a usable device or time."""
-    path, bad = f"{_own_folder(f, 'csv')}/in", F.col("id") % 22
-    text = f.tel.select(
-        F.col("id").cast("string").alias("ID"),
-        F.when(bad == 10, "sin id").otherwise(F.concat(F.lit(" "), F.col("amid").cast("string"), F.lit(".0"))).alias("Amid"),
-        F.when(bad == 21, "31/02/2024").otherwise(F.date_format("fecha_hora", "dd/MM/yyyy HH:mm:ss.SSSSSS")).alias("FECHA_HORA"),
-        F.col("porcentaje_bateria").cast("string").alias("PORCENTAJE_BATERIA"),
-        F.col("latitud").cast("string").alias("LATITUD"),
-        F.col("longitud").cast("string").alias("LONGITUD"),
-        F.when(F.col("is_error_obtener_gps"), "Sí").otherwise("no").alias("IS_ERROR_OBTENER_GPS"),
-    )
-    text.write.option("header", True).option("sep", ";").csv(path)
-    return files.read_telemetry_csv(f.spark, path).select("id", "amid", "fecha_hora", "porcentaje_bateria", "latitud", "longitud", "is_error_obtener_gps")
-
-
-@query("""
-    SELECT CAST(id AS VARCHAR) AS id, amid, fecha_hora, porcentaje_bateria, CAST(CAST(latitud AS DECIMAL(20,10)) AS DOUBLE) AS latitud, CAST(CAST(longitud AS DECIMAL(20,10)) AS DOUBLE) AS longitud, is_error_obtener_gps
-    FROM telemetry WHERE id % 11 <> 10""")
-def csv_ingest(f: Fleet) -> DataFrame:
-    """All readings through delimited files of text, a few of them without a usable device or time."""
-    path, bad = f"{_own_folder(f, 'csv')}/in", F.col("id") % 22
-    text = f.tel.select(
-        F.col("id").cast("string").alias("ID"),
-        F.when(bad == 10, "sin id").otherwise(F.concat(F.lit(" "), F.col("amid").cast("string"), F.lit(".0"))).alias("Amid"),
-        F.when(bad == 21, "31/02/2024").otherwise(F.date_format("fecha_hora", "dd/MM/yyyy HH:mm:ss.SSSSSS")).alias("FECHA_HORA"),
-        F.col("porcentaje_bateria").cast("string").alias("PORCENTAJE_BATERIA"),
-        F.col("latitud").cast("string").alias("LATITUD"),
-        F.col("longitud").cast("string").alias("LONGITUD"),
-        F.when(F.col("is_error_obtener_gps"), "Sí").otherwise("no").alias("IS_ERROR_OBTENER_GPS"),
-    )
-    text.write.option("header", True).option("sep", ";").csv(path)
-    return files.read_telemetry_csv(f.spark, path).select("id", "amid", "fecha_hora", "porcentaje_bateria", "latitud", "longitud", "is_error_obtener_gps")
-
-
 _RAW = """SELECT c_custkey * 2 + copy AS orden, CASE WHEN c_custkey % 23 = 22 THEN '' WHEN c_custkey % 3 = 0 THEN c_custkey || '.0' ELSE CAST(c_custkey AS VARCHAR) END AS idds,
     CASE WHEN c_custkey % 11 = 10 THEN ' nan ' ELSE 'Estación ' || n_name || CASE WHEN copy = 1 THEN ' bis' ELSE '' END END AS nombre, ' S' || c_custkey || ' ' AS serie,
     '-' || ((33437191 - (c_nationkey - 12) * 200) // 1000000) || CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE ',' END || lpad(CAST((33437191 - (c_nationkey - 12) * 200) % 1000000 AS VARCHAR), 6, '0') AS lat,
