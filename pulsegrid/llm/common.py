@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and the ASCII controls from tab to carriage return.
@@ -81,3 +81,18 @@ def slices(batch: pa.RecordBatch, n_bytes: int, column: str = "text") -> Iterato
         stop = max(start + 1, int(np.searchsorted(ends, before + n_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """The rows with ``pos``, their place from 0 within ``group`` (not null) by ``order``, nulls first; rows equal in ``order`` are placed as they are read.
+
+    Rows are dealt by ranges of all of it, so that a large group spreads over many tasks; each task numbers its rows, and only counts of tasks are summed.
+    """
+    by = [group, *order]
+    ranged = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*by, "__tie").sortWithinPartitions(*by, "__tie")
+    placed = cut_lineage(ranged.drop("__tie").withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy(group, "__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(group, "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"))
+    return placed.join(starts, [group, "__part"]).withColumn("pos", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, decontam, fingerprint, language, neardup, pii, secrets, substrings, tokencount, urls
+from pulsegrid.llm import bpe, decontam, fingerprint, language, merkle, neardup, pii, secrets, substrings, tokencount, urls
 from pulsegrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -65,6 +65,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose id has a crc32 that 7 divides are held against the manifest with one more character counted."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), {"n_chars": F.col("n_chars") + 1}, tampered).proofs()
+    return found.withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,9 +85,20 @@ QUERIES = {
         op8_personal_data,
         op9_url_filter,
         op10_fingerprint,
+        op12_merkle_manifest,
     )
 }
 
+_FIELDS = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "{n_chars}", "text"))
+#: CRC-32, bit by bit, of the decimal id.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(CAST(doc_id AS VARCHAR), '.'), lambda c: ascii(c)::BIGINT)),
+    lambda h, b: list_reduce(list_prepend(xor(h, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+_LEVELS = """
+    {up}(g, level, pos, n, h) AS (
+        SELECT g, 0, pos, n, h FROM {leaves}
+        UNION ALL SELECT g, min(level) + 1, pos // 2, (min(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {up} WHERE n > 1 GROUP BY g, pos // 2
+    )"""
+
 #: SQL where it can express the operator; the others are tested against plain versions in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": r"""
@@ -98,4 +116,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN g ON w.doc_id = g.doc_id
     """,
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang, coalesce('=' || lang, '-') AS g, sha256({_FIELDS.format(n_chars="n_chars")}) AS leaf, sha256({_FIELDS.format(n_chars="(n_chars + 1)")}) AS changed, {_CRC} % 7 = 0 AS tampered FROM documents
+        ),
+        leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM d),
+        {_LEVELS.format(up="up", leaves="leaves")},
+        subs AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+        tops AS (SELECT '' AS g, pos, n, subroot AS h FROM subs),
+        {_LEVELS.format(up="over", leaves="tops")},
+        steps AS (
+            SELECT doc_id, u.level AS step, CASE WHEN (l.pos >> u.level) & 1 = 1 THEN 1 ELSE 0 END AS on_right, s.h AS beside FROM leaves l JOIN up u ON u.g = l.g AND u.n > 1 AND u.pos = l.pos >> u.level
+                LEFT JOIN up s ON s.g = l.g AND s.level = u.level AND s.pos = xor(u.pos, 1)
+            UNION ALL SELECT doc_id, 1000 + u.level, CASE WHEN (b.pos >> u.level) & 1 = 1 THEN 1 ELSE 0 END, s.h FROM leaves l JOIN subs b ON b.g = l.g JOIN over u ON u.n > 1 AND u.pos = b.pos >> u.level
+                LEFT JOIN over s ON s.level = u.level AND s.pos = xor(u.pos, 1)
+        ),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS k FROM steps),
+        folded(doc_id, k, h) AS (
+            SELECT doc_id, 0, CASE WHEN tampered THEN changed ELSE leaf END FROM d
+            UNION ALL SELECT f.doc_id, f.k + 1, sha256(CASE WHEN beside IS NULL THEN h WHEN on_right = 1 THEN beside || h ELSE h || beside END) FROM folded f JOIN numbered m ON m.doc_id = f.doc_id AND m.k = f.k + 1
+        ),
+        ends AS (SELECT doc_id, max_by(h, k) AS folded_root FROM folded GROUP BY doc_id),
+        proofs AS (SELECT doc_id, string_agg(beside, '' ORDER BY k) AS beside FROM numbered GROUP BY doc_id)
+        SELECT l.doc_id, l.leaf, b.subroot, r.h AS root, sha256(coalesce(p.beside, '')) AS proof_sha256, e.folded_root, e.folded_root = r.h AS verified
+        FROM leaves l JOIN subs b ON b.g = l.g JOIN (SELECT h FROM over WHERE n = 1) r ON true JOIN ends e ON e.doc_id = l.doc_id LEFT JOIN proofs p ON p.doc_id = l.doc_id
+    """,
 }
