@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import cut_lineage, numbered
 
-#: Levels below the root of a subtree: 512 leaves, 32 kB of digests in a row.
+#: Levels below the root of a subtree, where none are named: 512 leaves, 32 kB of digests in a row.
 BLOCK = 9
 
 
@@ -48,9 +48,9 @@ def address(levels: int, depth: int, index: np.ndarray | int):
     return at
 
 
-def height_of(block: int, n: int) -> int:
+def height_of(block: int, n: int, levels: int) -> int:
     """Levels below the root of a subtree with ``n`` leaves; only the sole one of its group can be lower than the others."""
-    return BLOCK if block else (n - 1).bit_length()
+    return levels if block else (n - 1).bit_length()
 
 
 def node_of(children: Sequence[str]) -> str:
@@ -83,16 +83,16 @@ def fold(leaf: str, path: Sequence[tuple[str | None, bool]]) -> str:
     return leaf
 
 
-def _subtrees(leaves: DataFrame) -> DataFrame:
+def _subtrees(leaves: DataFrame, levels: int) -> DataFrame:
     """Aligned subtrees of rows ``group, pos, digest, key, other``: their arrays, roots, keys and other digests of the leaves."""
     held = F.sort_array(F.collect_list(F.struct("pos", "digest", "key", "other")))
-    grouped = leaves.groupBy("group", F.shiftright("pos", BLOCK).alias("block")).agg(held.alias("held"))
+    grouped = leaves.groupBy("group", F.shiftright("pos", levels).alias("block")).agg(held.alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 digests = [x["digest"].hex() for x in r["held"]]
-                height = height_of(r["block"], len(digests))
+                height = height_of(r["block"], len(digests), levels)
                 nodes = build_nodes(digests, height)
                 yield pa.RecordBatch.from_pylist([r | {"held": None, "n": len(digests), "keys": [x["key"] for x in r["held"]], "others": [x["other"] for x in r["held"]], "nodes": nodes, "root": nodes[:32]}], schema)
 
@@ -100,12 +100,12 @@ def _subtrees(leaves: DataFrame) -> DataFrame:
     return cut_lineage(grouped.mapInArrow(run, "group string, block long, n long, keys array<string>, others array<binary>, nodes binary, root binary"))
 
 
-def tiers(leaves: DataFrame) -> list[DataFrame]:
-    """Subtrees of the leaves, of their roots, and so on to one subtree for each group; some ``log(rows) / BLOCK`` small tables."""
-    found = [_subtrees(leaves)]
+def tiers(leaves: DataFrame, levels: int) -> list[DataFrame]:
+    """Subtrees of the leaves, of their roots, and so on to one subtree for each group; ``log2(rows) / levels`` tables, each far smaller than the last."""
+    found = [_subtrees(leaves, levels)]
     while not found[-1].where("block > 0").isEmpty():
         up = found[-1].select("group", F.col("block").alias("pos"), F.col("root").alias("digest"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("binary").alias("other"))
-        found.append(_subtrees(up))
+        found.append(_subtrees(up, levels))
     return found
 
 
@@ -113,16 +113,16 @@ _ABOVE = "path array<struct<digest:binary,left:boolean>>, subroot binary"
 _PATH = pa.list_(pa.struct([("digest", pa.binary()), ("left", pa.bool_())]))
 
 
-def _paths(subtrees: DataFrame, above: DataFrame) -> DataFrame:
+def _paths(subtrees: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """``group, pos, key, path, subroot`` of all leaves; ``above`` holds the path of each subtree's root, and the subroot that all leaves below share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                height, rows = height_of(r["block"], r["n"]), []
+                height, rows = height_of(r["block"], r["n"], levels), []
                 for i, key in enumerate(r["keys"]):
                     own = [{"digest": d and bytes.fromhex(d), "left": left} for d, left in siblings(r["nodes"], height, r["n"], i)]
-                    rows.append({"group": r["group"], "pos": (r["block"] << BLOCK) + i, "key": key, "path": own + (r["path"] or []), "subroot": r["subroot"]})
+                    rows.append({"group": r["group"], "pos": (r["block"] << levels) + i, "key": key, "path": own + (r["path"] or []), "subroot": r["subroot"]})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("group", pa.string()), ("pos", pa.int64()), ("key", pa.string()), ("path", _PATH), ("subroot", pa.binary())])
@@ -130,41 +130,43 @@ def _paths(subtrees: DataFrame, above: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"group string, pos long, key string, {_ABOVE}")
 
 
-def _descend(found: list[DataFrame], above: DataFrame) -> DataFrame:
+def _descend(found: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """The paths of the subtrees of the lowest tier, from those of the roots of the highest."""
     for subtrees in reversed(found[1:]):
-        above = _paths(subtrees, above)
+        above = _paths(subtrees, above, levels)
     return above
 
 
 class Manifest:
     """The trees of a dataset. ``rows`` and ``groups`` are their tiers, ``root`` the digest of all, null if there are no rows."""
 
-    def __init__(self, leaves: DataFrame):
+    def __init__(self, leaves: DataFrame, levels: int = BLOCK):
         """``leaves``: key, group, leaf, and other, a digest to hold against the manifest in its place, or null."""
+        self.levels = levels
         named = leaves.select(
             F.coalesce(F.concat(F.lit("="), F.col("group").cast("string")), F.lit("-")).alias("group"),
             F.col("key").cast("long").alias("key"),
             F.unhex("leaf").alias("digest"),
             F.unhex("other").alias("other"),
         )
-        self.rows = tiers(numbered(cut_lineage(named), "group", "key", "digest").select("group", "pos", "digest", F.col("key").cast("string").alias("key"), "other"))
+        self.rows = tiers(numbered(cut_lineage(named), "group", "key", "digest").select("group", "pos", "digest", F.col("key").cast("string").alias("key"), "other"), levels)
         subroots = self.rows[-1].select(F.lit("").alias("all"), F.col("group").alias("key"), F.col("root").alias("digest"))
-        self.groups = tiers(numbered(subroots, "all", "key").select(F.col("all").alias("group"), "pos", "digest", "key", F.lit(None).cast("binary").alias("other")))
+        self.groups = tiers(numbered(subroots, "all", "key").select(F.col("all").alias("group"), "pos", "digest", "key", F.lit(None).cast("binary").alias("other")), levels)
         top = self.groups[-1].select("root").first()  # one row: the tree of groups has one root
         self.root = bytes(top["root"]).hex() if top else None
 
     def proofs(self) -> DataFrame:
         """For each row: key, leaf, subroot, root, the digest of the siblings on its way up, and the root that ``other`` (else the leaf) gives with them."""
+        levels = self.levels
         none = self.groups[0].sparkSession.createDataFrame([], f"group string, pos long, {_ABOVE}")
-        of_groups = _paths(self.groups[0], _descend(self.groups, none)).select(F.col("key").alias("group"), F.lit(0).cast("long").alias("pos"), "path")
-        above = _descend(self.rows, of_groups.join(self.rows[-1].select("group", F.col("root").alias("subroot")), "group"))
+        of_groups = _paths(self.groups[0], _descend(self.groups, none, levels), levels).select(F.col("key").alias("group"), F.lit(0).cast("long").alias("pos"), "path")
+        above = _descend(self.rows, of_groups.join(self.rows[-1].select("group", F.col("root").alias("subroot")), "group"), levels)
         joined = self.rows[0].join(above.select("group", F.col("pos").alias("block"), "path", "subroot"), ["group", "block"]).select("block", "n", "keys", "others", "nodes", "path", "subroot")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for r in batch.to_pylist():
-                    height, nodes, out = height_of(r["block"], r["n"]), r["nodes"], []
+                    height, nodes, out = height_of(r["block"], r["n"], levels), r["nodes"], []
                     above = [(x["digest"] and x["digest"].hex(), x["left"]) for x in r["path"]]
                     for i, (key, other) in enumerate(zip(r["keys"], r["others"], strict=True)):
                         place = 32 * address(height + 1, height, i)
@@ -178,9 +180,9 @@ class Manifest:
         return found.select("key", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
 
 
-def manifest(docs: DataFrame, changed: dict[str, Column] | None = None, where: Column | None = None, columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), key: str = "doc_id", group: str = "lang") -> Manifest:
+def manifest(docs: DataFrame, changed: dict[str, Column] | None = None, where: Column | None = None, columns: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), key: str = "doc_id", group: str = "lang", levels: int = BLOCK) -> Manifest:
     """The manifest of a table. ``changed`` gives columns other values in the rows ``where`` holds; :meth:`Manifest.proofs` holds their digests against it."""
     leaf = digest_of(*(F.col(c) for c in columns))
     other = digest_of(*((changed or {}).get(c, F.col(c)) for c in columns)) if changed else F.lit(None).cast("string")
     other = other if where is None else F.when(where, other)
-    return Manifest(docs.select(F.col(key).alias("key"), F.col(group).alias("group"), leaf.alias("leaf"), other.alias("other")))
+    return Manifest(docs.select(F.col(key).alias("key"), F.col(group).alias("group"), leaf.alias("leaf"), other.alias("other")), levels)

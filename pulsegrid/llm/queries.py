@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, decontam, fingerprint, language, merkle, neardup, pii, secrets, substrings, tokencount, urls
+from pulsegrid.llm import bpe, decontam, fingerprint, language, merkle, neardup, periods, pii, secrets, substrings, tokencount, urls
 from pulsegrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -72,6 +74,22 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "doc_id")
 
 
+def planted(words: list, doc_id: int | None) -> list:
+    """The words with a periodic tail in one text of ten, as the crc32 of the id says; the others as they are."""
+    h, n = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    start = g % n
+    p = 1 + (n - start) // (3 + g % 8)
+    tail = words[start : start + p]
+    return words[:start] + (tail * ((n - start) // p + 1))[: n - start]
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.repeats(table(spark, sf_dir, "documents"), planted)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +104,7 @@ QUERIES = {
         op9_url_filter,
         op10_fingerprint,
         op12_merkle_manifest,
+        op13_period_runs,
     )
 }
 
