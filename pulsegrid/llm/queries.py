@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, decontam, fingerprint, language, merkle, neardup, periods, pii, secrets, substrings, tokencount, urls
+from pulsegrid.llm import bpe, decontam, fingerprint, language, merkle, mixing, neardup, periods, pii, secrets, substrings, tokencount, urls
 from pulsegrid.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -67,6 +67,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.Mix(table(spark, sf_dir, "documents"), F.array("source"))
+    sources = mix.sources.select(F.col("source").alias("name"), F.col("size").alias("source_size"), "target")
+    rows = mixing.beside(mix.documents.withColumn("name", F.col("members")[0]), sources, "name", mix.n_patterns)  # one source a document: as many as patterns
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose id has a crc32 that 7 divides are held against the manifest with one more character counted."""
     tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
@@ -103,6 +110,7 @@ QUERIES = {
         op8_personal_data,
         op9_url_filter,
         op10_fingerprint,
+        op11_source_mix,
         op12_merkle_manifest,
         op13_period_runs,
     )

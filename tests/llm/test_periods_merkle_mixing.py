@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import merkle, periods, queries
+from pulsegrid.llm import merkle, mixing, periods, queries
 
 FOLDER = "/root/testdata/sf0.001"
 CLASH = "key group pos digest other path subroot n block held nodes root runs size first ids boundaries words pattern members hash copies h u".split()
@@ -155,6 +155,124 @@ def test_equal_and_null_keys_are_ordered_by_digest(spark):
     assert found.root == tree(want)[-1][0] and found.proofs().where("verified").count() == len(rows)
 
 
+# Mixing
+
+
+def plain_targets(sizes, weights=(1, 2, 3), most=3, total=None):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, full = sum(sizes.values()) if total is None else total, set()
+    while True:
+        rest = total - sum(most * sizes[s] for s in full)
+        share = {s: rest * weight[s] / sum(weight[x] for x in sizes if x not in full) for s in sizes if s not in full}
+        above = {s for s, v in share.items() if v > most * sizes[s]}
+        if not above:
+            return {s: float(most * sizes[s]) if s in full else share[s] for s in sizes}
+        full |= above
+
+
+def plain_cost(sizes, members, quotas, most):
+    """Flow and cost by single words along the cheapest path, found by relaxing all edges."""
+    room, price = {}, {}
+    for p in sizes:
+        for r in range(most):
+            room["in", (p, r)], price["in", (p, r)] = sizes[p], r
+            room[(p, r), p], price[(p, r), p] = sizes[p], 0
+        for s in members[p]:
+            room[p, "s" + s], price[p, "s" + s] = most * sizes[p], 0
+    for s in quotas:
+        room["s" + s, "out"], price["s" + s, "out"] = quotas[s], 0
+    for (a, b), v in list(price.items()):
+        room[b, a], price[b, a] = 0, -v
+    flow = cost = 0
+    while True:
+        best, by, changed = {"in": 0}, {}, True
+        while changed:
+            changed = False
+            for (a, b), r in room.items():
+                if r and a in best and best[a] + price[a, b] < best.get(b, 1e9):
+                    best[b], by[b], changed = best[a] + price[a, b], a, True
+        if "out" not in best:
+            return flow, cost
+        x = "out"
+        while x != "in":
+            room[by[x], x] -= 1
+            room[x, by[x]] += 1
+            x = by[x]
+        flow, cost = flow + 1, cost + best["out"]
+
+
+def test_flow_is_the_cheapest():
+    rng = random.Random(4)
+    for _ in range(150):
+        sources = "abcd"[: rng.randrange(1, 5)]
+        sizes = {f"p{i}": rng.randrange(0, 6) for i in range(rng.randrange(1, 6))}
+        members = {p: rng.sample(sources, rng.randrange(1, len(sources) + 1)) for p in sizes}
+        quotas = {s: rng.randrange(0, 12) for s in sources}
+        found = mixing.cheapest(sizes, members, quotas, 3)
+        taken = {p: sum(n for (q, _), n in found.items() if q == p) for p in sizes}
+        assert all(n >= 0 for n in found.values()) and all(taken[p] <= 3 * sizes[p] for p in sizes)
+        assert all(sum(n for (_, t), n in found.items() if t == s) <= quotas[s] for s in sources)
+        cost = sum(max(0, taken[p] - r * sizes[p]) for p in sizes for r in (1, 2))  # words beyond each round cost one more
+        assert (sum(taken.values()), cost) == plain_cost(sizes, members, quotas, 3)
+
+
+def mixture(spark, rows, dealt=3):
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, text string").repartition(dealt)
+    return mixing.Mix(docs, F.col("sources"))
+
+
+def test_targets_are_shared_anew_and_met(spark):
+    rng = random.Random(5)
+    names = ["big", None, "tiny", "é", "Z", "a"]
+    rows = [(i, [s], " ".join("w" * rng.choice((1, 3, 20, 200)))) for i, s in enumerate(rng.choices(names, (60, 10, 1, 10, 10, 9), k=600))] + [(1000, ["one"], "w " * 7), (1001, ["none"], None)]
+    mix = mixture(spark, rows)
+    sizes = {}
+    for _, (s,), t in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = plain_targets(sizes)
+    got = {r["source"]: r for r in mix.sources.withColumn("source", mixing.plain(F.col("source"))).collect()}
+    assert {s: r["target"] for s, r in got.items()} == {s: pytest.approx(v) for s, v in want.items()} and {s: r["size"] for s, r in got.items()} == sizes
+    docs = mix.documents.collect()
+    assert len(docs) == len(rows) and all(0 <= r["copies"] <= 3 for r in docs)
+    for s in sizes:
+        taken = sum(r["size"] * r["copies"] for r in docs if r["members"] == ["1" if s is None else "0" + s])
+        assert abs(taken - want[s]) <= max(2, 0.02 * want[s]), s
+    again = mixture(spark, rows[::-1], 7).documents.collect()
+    assert sorted((r["doc_id"], r["copies"]) for r in docs) == sorted((r["doc_id"], r["copies"]) for r in again)
+
+
+def test_documents_of_several_sources(spark):
+    rng = random.Random(6)
+    kinds = [["a"], ["a", "b"], ["b", "c"], ["c"], ["d"], [], ["a", "b", "a"]]
+    rows = [(i, rng.choice(kinds), "w " * rng.randrange(1, 30)) for i in range(500)] + [(900, None, "w w w")]
+    mix = mixture(spark, rows)
+    docs, routes = mix.documents.collect(), mix.routes.collect()
+    total = sum(len(t.split()) for _, m, t in rows if m)
+    targets = {r["source"]: r["target"] for r in mix.sources.collect()}
+    assert sum(targets.values()) == pytest.approx(total)
+    for s, t in targets.items():
+        assert abs(sum(r["words"] for r in routes if r["source"] == s) - t) <= 1
+    assert abs(sum(r["size"] * r["copies"] for r in docs) - total) <= 10 and not any(r["copies"] for r in docs if not r["members"])
+
+
+def test_op11_registered_query(spark):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    rows = queries.QUERIES["op11_source_mix"](spark, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    sizes, taken = {}, {}
+    for r in rows:
+        s = docs[r["doc_id"]]["source"]
+        assert r["size"] == len((docs[r["doc_id"]]["text"] or "").encode().split()) and r["taken"] <= 3 * r["size"]
+        sizes[s], taken[s] = sizes.get(s, 0) + r["size"], taken.get(s, 0) + r["taken"]
+    want = plain_targets(sizes)
+    for r in rows:
+        s = docs[r["doc_id"]]["source"]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s])
+    print({s: round(taken[s] / want[s], 3) for s in sizes})
+    assert all(abs(taken[s] - want[s]) <= 0.1 * want[s] for s in sizes)
+
+
 # Odd inputs
 
 
@@ -171,6 +289,8 @@ def test_odd_rows(spark, empty):
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars").collect()
     proofs = merkle.manifest(docs).proofs().collect()
     assert sorted(r["leaf"] for r in proofs) == sorted(plain_leaf(r["doc_id"], r["source"], r["lang"], r["n_chars"], r["text"]) for r in rows) and all(r["verified"] for r in proofs)
+    mixed = mixing.Mix(docs, F.array("source")).documents.collect()
+    assert sorted(r["size"] for r in mixed) == sorted(len((r["text"] or "").encode().split()) for r in rows)
     got = sorted(map(repr, ((r["doc_id"], *row_of(r)) for r in periods.repeats(docs).collect())))
     want = [(r["doc_id"], [w.decode() for w in (r["text"] or "").encode().split()]) for r in rows]
     assert len(got) == len(want)
