@@ -36,7 +36,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def screen(ids: np.ndarray, text_of: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
     """``(P, boundaries)`` for each octave: places followed by ``P`` words that also stand at a distance from ``P`` to ``2P - 1``, in the same text.
 
-    ``ids`` numbers the words of several texts one after another. No boundary is lost, as equal words have equal hashes; some may be idle.
+    ``ids`` numbers the words of several texts one after another. Words equal those a period on over ``PERIODS - 1`` periods, so one boundary less than that in a row
+    has such words at the same distance. No boundary of a run is lost, as equal words have equal hashes; some may be idle.
     """
     h, size = mix(ids.astype(np.uint64) + np.uint64(1)), 1
     while PERIODS * size <= longest:
@@ -45,7 +46,11 @@ def screen(ids: np.ndarray, text_of: np.ndarray, longest: int) -> Iterator[tuple
         rows = np.zeros((len(starts) + 1) * size, np.uint64)
         rows[:n] = h
         blocks = rows.reshape(-1, size)
-        found = starts[(blocks[1:] == blocks[:-1, :1]).any(axis=1)]
+        same = blocks[1:] == blocks[:-1, :1]
+        n_same = WORDS - 1 if size == 1 else PERIODS - 2  # the shortest run of the octave is followed like this at so many boundaries in a row
+        rows_of = len(same) - n_same + 1
+        begins = np.flatnonzero(np.logical_and.reduce([same[i : rows_of + i] for i in range(n_same)]).any(axis=1)) if rows_of > 0 else starts[:0]
+        found = starts[np.unique((begins[:, None] + np.arange(n_same)).ravel())]
         yield size, found[(found + size < len(text_of)) & (text_of[found] == text_of[np.minimum(found + size, len(text_of) - 1)])]
         if n <= size:
             return
@@ -110,13 +115,24 @@ _TILE_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.
 
 
 def _tiles_of(ids: np.ndarray, start: int, end: int, size: int, found: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
-    """The tiles of one octave of one text: first place in the text, numbered words, boundaries."""
+    """The tiles of one octave of one text: first place in the text, words numbered anew, boundaries."""
     of = found // max(TILE, size)
     for k in np.unique(of):
         at = found[of == k]
         first = max(start, int(at[0]) - size)
         last = min(end, int(at[-1]) + 4 * size)
-        yield first - start, ids[first:last].astype("<i4").tobytes(), (at - first).astype("<i4").tobytes()
+        numbers = np.unique(ids[first:last], return_inverse=True)[1]
+        yield first - start, _packed(numbers), _packed(at - first)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs, said by the first byte."""
+    size = next(k for k in (1, 2, 4, 8) if not len(values) or values.max() >> 8 * k == 0)
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(data: bytes) -> list[int]:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).tolist()
 
 
 def screened(rows: DataFrame, change: Callable[[list, int | None], list] | None = None) -> DataFrame:
@@ -170,7 +186,7 @@ def solved(tiles: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                tile, at = np.frombuffer(r["ids"], "<i4").tolist(), np.frombuffer(r["boundaries"], "<i4").tolist()
+                tile, at = _unpacked(r["ids"]), _unpacked(r["boundaries"])
                 found = list(intervals(tile, at, r["size"]))
                 if found:
                     columns = ([r["key"]] * len(found), [q for q, _, _ in found], [a + r["first"] for _, a, _ in found], [b + r["first"] for _, _, b in found])
