@@ -6,10 +6,11 @@ import math
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as s
+from pulsegrid.operators import numbering
 
 # Fixed value: the name shown for devices without a location.
 UNASSIGNED = "Ubicación sin asignar"
@@ -101,12 +102,15 @@ def priority_tier() -> Column:
     return tier.when(warned & (g == "ADVERTENCIA") & (b == "ADVERTENCIA"), 9).when(warned, 10).otherwise(11)
 
 
+def with_rank(rows: DataFrame, as_of: Column) -> DataFrame:
+    """What alerts are ordered by: the tier, and whether there is no status, an old or a recent one."""
+    band = F.when(F.col("last_status").isNull() | (F.col("last_status") < s.midnight(as_of)), 1).when(F.col("last_status") < s.plus(as_of, hours=-1), 2).otherwise(3)
+    return rows.withColumns({"tier": priority_tier(), "status_rank": band, "drops_before": F.greatest(F.col("drops_window") - F.col("drops_today"), F.lit(0))})
+
+
 def rank_alerts(rows: DataFrame, as_of: Column) -> DataFrame:
     """Most urgent first: tier, then no status, old, recent, then the oldest status, then the device."""
-    band = F.when(F.col("last_status").isNull() | (F.col("last_status") < s.midnight(as_of)), 1).when(F.col("last_status") < s.plus(as_of, hours=-1), 2).otherwise(3)
-    return rows.withColumns({"tier": priority_tier(), "status_rank": band, "drops_before": F.greatest(F.col("drops_window") - F.col("drops_today"), F.lit(0))}).orderBy(
-        "tier", "status_rank", F.asc_nulls_first("last_status"), "amid"
-    )
+    return with_rank(rows, as_of).orderBy("tier", "status_rank", F.asc_nulls_first("last_status"), "amid")
 
 
 def page_of(total: int, page: int, size: int = PAGE_SIZE) -> tuple[int, int]:
@@ -115,14 +119,21 @@ def page_of(total: int, page: int, size: int = PAGE_SIZE) -> tuple[int, int]:
     return min(max(page, 1), pages), pages
 
 
-def alerts_page(rows: DataFrame, as_of: Column, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of the order, the last one if there are fewer; one pass, of which the rows up to the page alone are numbered."""
-    upto = max(page, 1) * size
-    top = rank_alerts(rows, as_of).limit(upto)
-    order = Window.orderBy("tier", "status_rank", F.asc_nulls_first("last_status"), "amid")
-    numbered = top.withColumns({"__n": F.row_number().over(order), "__of": F.count("*").over(Window.partitionBy())})
-    first = F.least(F.lit(upto - size), F.floor((F.col("__of") - 1) / size) * size)
-    return numbered.where((F.col("__n") > first) & (F.col("__n") <= first + size)).orderBy("__n").drop("__n", "__of")
+def numbered_alerts(rows: DataFrame, as_of: Column) -> DataFrame:
+    """All alerts with ``n``, their place in the order from 1: sorted by ranges, numbered within each task, and counted on from the tasks before.
+
+    The sorted rows are written once (to the folder of checkpoints), so that counts and numbers come from the same ranges.
+    """
+    order = ("tier", "status_rank", F.asc_nulls_first("last_status"), "amid")
+    ranged = with_rank(rows, as_of).repartitionByRange(*order).sortWithinPartitions(*order)
+    return numbering.numbered(ranged, "n")
+
+
+def alerts_page(numbered: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """One page of numbered alerts, the last one if there are fewer: a range of numbers, which costs the same wherever it lies."""
+    total = numbered.agg(F.count("*").alias("n")).first()["n"]  # one row
+    at, _ = page_of(total, page, size)
+    return numbered.where((F.col("n") > (at - 1) * size) & (F.col("n") <= at * size)).orderBy("n").drop("n")
 
 
 def fleet_kpis(active: DataFrame) -> DataFrame:
@@ -153,13 +164,25 @@ def _clamp(limit: int) -> int:
     return max(1, min(limit, MOST_SUGGESTIONS))
 
 
+def starts_with(number: Column, term: str) -> Column:
+    """Whether the digits of a number from 0 begin with a term of digits: it lies in one of the ranges 12, 120-129, 1200-1299, ..., which reach a scan."""
+    first, last, ranges = int(term), int(term) + 1, F.lit(False)
+    if term.startswith("0"):
+        return number == 0 if term == "0" else F.lit(False)
+    while first < 1 << 63:
+        inside = (number >= first) & (number < last) if last < 1 << 63 else number >= first
+        ranges = inside if first == int(term) else ranges | inside
+        first, last = first * 10, last * 10
+    return ranges
+
+
 def search_devices(active: DataFrame, term: str, limit: int = 15) -> DataFrame:
     """Active devices whose number starts with a term of two digits or more."""
     term = term.strip()
     rows = active.select("amid")
-    if len(term) < 2 or not term.isdigit():
+    if len(term) < 2 or not re.fullmatch("[0-9]+", term):
         return rows.limit(0)
-    return rows.where(F.col("amid").cast("string").startswith(term)).orderBy("amid").limit(_clamp(limit))
+    return rows.where(starts_with(F.col("amid"), term)).orderBy("amid").limit(_clamp(limit))
 
 
 def search_locations(active: DataFrame, term: str, limit: int = 15) -> DataFrame:

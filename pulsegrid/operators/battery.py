@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +47,20 @@ def build_blocks(tel: DataFrame, devices: DataFrame, start: Column, end: Column,
 
     Readings go to slots by arithmetic, so the join has two equal keys and no range condition.
     """
-    filled = filled_blocks(tel, start, end, tolerance).drop("has_data")
-    grid = devices.where(F.col("active") == 1).select("amid", F.explode(F.sequence(start, end, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(SLOT_MINUTES)))).alias("slot"))
+    slots = F.sequence(start, end, F.make_dt_interval(F.lit(0), F.lit(0), F.lit(SLOT_MINUTES)))
+    return _on_grid(devices, slots, filled_blocks(tel, start, end, tolerance).drop("has_data"))
+
+
+def blocks_of_days(tel: DataFrame, devices: DataFrame, days: Sequence[dt.date], tolerance: int = 15) -> DataFrame:
+    """The same for some whole days. ``tel`` holds their readings and those of the days before, whose last minutes fill the first slot."""
+    filled = nearest_readings(slot_candidates(tel, tolerance)).where(F.to_date("slot").isin(*days))
+    first = F.array(*(F.lit(d).cast("timestamp_ntz") for d in days))
+    slots = F.flatten(F.transform(first, lambda d: F.sequence(d, s.plus(d, hours=23, minutes=30), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(SLOT_MINUTES)))))
+    return _on_grid(devices, slots, filled)
+
+
+def _on_grid(devices: DataFrame, slots: Column, filled: DataFrame) -> DataFrame:
+    grid = devices.where(F.col("active") == 1).select("amid", F.explode(slots).alias("slot"))
     return grid.join(filled, ["amid", "slot"], "left").select(
         "amid",
         "slot",
@@ -70,10 +85,13 @@ def detect_drops(blocks: DataFrame, rules: DataFrame, as_of: Column, days: int =
     gap. ``rules`` is one row, broadcast.
     """
     start = s.plus(s.midnight(as_of), days=-days)
+    return drops_between(blocks.where((F.col("has_data") == 1) & F.col("pct").isNotNull() & (F.col("slot") >= start) & (F.col("slot") <= as_of)), rules)
+
+
+def drops_between(filled: DataFrame, rules: DataFrame) -> DataFrame:
+    """The falls among blocks that all have data."""
     w = Window.partitionBy("amid").orderBy("slot")
-    lagged = blocks.where((F.col("has_data") == 1) & F.col("pct").isNotNull() & (F.col("slot") >= start) & (F.col("slot") <= as_of)).select(
-        "amid", "slot", "pct", F.lag("pct").over(w).alias("pct_before"), F.lag("slot").over(w).alias("slot_before"), F.lead("pct").over(w).alias("pct_after"), F.lead("slot").over(w).alias("slot_after")
-    )
+    lagged = filled.select("amid", "slot", "pct", F.lag("pct").over(w).alias("pct_before"), F.lag("slot").over(w).alias("slot_before"), F.lead("pct").over(w).alias("pct_after"), F.lead("slot").over(w).alias("slot_after"))
     limits = rules.select(F.col("BAT_CAIDA_MIN_DETECTAR").alias("least"), F.col("BAT_CAIDA_MAX_HORAS").alias("hours"))
     hours = s.minutes_between(F.col("slot_before"), F.col("slot")) / 60
     hours_after = s.minutes_between(F.col("slot"), F.col("slot_after")) / 60

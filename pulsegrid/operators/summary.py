@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,9 +107,14 @@ def drop_summary(drops: DataFrame, as_of: Column) -> DataFrame:
 
 def device_summary(master: DataFrame, tel: DataFrame, blocks: DataFrame, drops: DataFrame, as_of: Column) -> DataFrame:
     """Every active device with all its measures: counts default to 0, times and levels stay null. Blocks without data are not needed."""
+    return assembled(master, (gps_measures(tel, as_of), battery_summary(blocks, as_of), drop_summary(drops, as_of)), as_of)
+
+
+def assembled(master: DataFrame, parts: Sequence[DataFrame], as_of: Column) -> DataFrame:
+    """The summary of every active device from parts that hold its measures."""
     today, start = _window(as_of)
     rows = master.where(F.col("active") == 1).select("amid")
-    for part in (gps_measures(tel, as_of), battery_summary(blocks, as_of), drop_summary(drops, as_of)):
+    for part in parts:
         rows = rows.join(part, "amid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     points = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(5,2)").alias(c)

@@ -150,11 +150,23 @@ def export_summary(tel: DataFrame) -> DataFrame:
     )
 
 
-def fallback_day(tel: DataFrame, start: Column, end: Column) -> DataFrame:
-    """For each device the day to show: that of the range, or, without a reported fix in it, the day of the last usable fix before."""
-    flags = gps_flags(tel)
-    inside = (F.col("fecha_hora") >= start) & (F.col("fecha_hora") < end)
-    facts = flags.groupBy("amid").agg(F.count_if(F.col("reported") & inside).alias("n_reported"), F.max(F.when(F.col("valid"), F.col("fecha_hora"))).alias("last_valid_ts"))
+def latest_fixes(tel: DataFrame) -> DataFrame:
+    """The time of each device's last usable fix, null if it has none; a table to keep, see :func:`merged_fixes`."""
+    return gps_flags(tel).groupBy("amid").agg(F.max(F.when(F.col("valid"), F.col("fecha_hora"))).alias("last_valid_ts"))
+
+
+def merged_fixes(stored: DataFrame, delivered: DataFrame) -> DataFrame:
+    """The kept table after a delivery, of which alone the readings are read."""
+    return stored.unionByName(latest_fixes(delivered)).groupBy("amid").agg(F.max("last_valid_ts").alias("last_valid_ts"))
+
+
+def fallback_day(tel: DataFrame, start: Column, end: Column, latest: DataFrame | None = None) -> DataFrame:
+    """For each device the day to show: that of the range, or, without a reported fix in it, the day of its last usable fix.
+
+    With the kept table of latest fixes only the readings of the range are read.
+    """
+    inside = tel.where((F.col("fecha_hora") >= start) & (F.col("fecha_hora") < end))
+    reported = gps_flags(inside).groupBy("amid").agg(F.count_if("reported").alias("n"))
+    facts = (latest_fixes(tel) if latest is None else latest).join(reported, "amid", "left").withColumn("n_reported", F.coalesce("n", F.lit(0)))
     back = (F.col("n_reported") == 0) & F.col("last_valid_ts").isNotNull()
     return facts.select("amid", "n_reported", "last_valid_ts", F.when(back, F.to_date("last_valid_ts")).otherwise(F.to_date(start)).alias("day"), back.alias("fell_back"))
-

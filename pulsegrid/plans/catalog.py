@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as s
 from pulsegrid.operators import alerts, audit, battery, classify, compliance, locations, merge, rules, summary, telemetry
-from pulsegrid.plans import jobs
+from pulsegrid.plans import incremental, jobs
 from pulsegrid.plans.oracle_sql import AS_OF, DEFAULTS, LAB, START, TODAY, sql
-from pulsegrid.plans import jobs
 from pulsegrid.plans.oracle_sql import haversine as haversine_sql
-from pulsegrid.sources import files, fixtures
+from pulsegrid.sources import files, fixtures, store
 from pulsegrid.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -552,14 +551,25 @@ def alerts_ranked(f: Fleet) -> DataFrame:
 
 @query("SELECT amid, level, tier FROM ranked ORDER BY tier, status_rank, last_status NULLS FIRST, amid LIMIT 10 OFFSET 10")
 def alerts_page(f: Fleet) -> DataFrame:
-    return alerts.alerts_page(alerts.filter_alerts(f.placed, f.as_of), f.as_of, page=2).select("amid", "level", "tier")
+    return alerts.alerts_page(alerts.numbered_alerts(alerts.filter_alerts(f.placed, f.as_of), f.as_of), page=2).select("amid", "level", "tier")
+
+
+@query("SELECT row_number() OVER (ORDER BY tier, status_rank, last_status NULLS FIRST, amid) AS n, amid, tier FROM ranked")
+def alerts_numbered(f: Fleet) -> DataFrame:
+    """Every alert with its place in the order."""
+    return alerts.numbered_alerts(alerts.filter_alerts(f.placed, f.as_of), f.as_of).select("n", "amid", "tier")
 
 
 @query(f"""
     SELECT amid, n AS n_reported, last_valid_ts, CASE WHEN n = 0 AND last_valid_ts IS NOT NULL THEN CAST(last_valid_ts AS DATE) ELSE CAST({TODAY} AS DATE) END AS day, n = 0 AND last_valid_ts IS NOT NULL AS fell_back
     FROM (SELECT amid, count(*) FILTER (WHERE reported AND fecha_hora >= {TODAY} AND fecha_hora < {TODAY} + INTERVAL 1 DAY) AS n, max(CASE WHEN valid THEN fecha_hora END) AS last_valid_ts FROM flags GROUP BY amid)""")
 def gps_fallback_day(f: Fleet) -> DataFrame:
-    return telemetry.fallback_day(f.tel, f.today, s.plus(f.today, days=1))
+    """From the readings of the range and the table of latest fixes, which two deliveries kept."""
+    path, older = f"{_own_folder(f, 'fixes')}", f.tel.where("id % 2 = 0")
+    fixes = store.Snapshots(f.spark, path)
+    fixes.commit({"fixes": telemetry.latest_fixes(older)})
+    fixes.commit({"fixes": telemetry.merged_fixes(fixes.read("fixes")[0], f.tel.where("id % 2 <> 0"))})
+    return telemetry.fallback_day(f.tel, f.today, s.plus(f.today, days=1), fixes.read("fixes")[0])
 
 
 @query("SELECT * FROM drops ORDER BY drop_ts DESC, amid LIMIT 20")
@@ -835,6 +845,121 @@ def drops_replaced(f: Fleet) -> DataFrame:
     return f.spark.read.parquet(path)
 
 
+# Stores
+
+
+@query("SELECT 'drops' AS part, amid, count(*) AS n, CAST(sum(drop_points) AS DOUBLE) AS total FROM drops GROUP BY amid UNION ALL SELECT 'summary', amid, drops_window, CAST(gps_total_window AS DOUBLE) FROM summary")
+def committed_run(f: Fleet) -> DataFrame:
+    """Drops and summaries of a full run, read after a later run that replaces both has failed on its second table."""
+    path, rule_rows = _own_folder(f, "run"), rules.rules_table(f.spark, rules.SPARSE)
+    jobs.commit_full(f.spark, path, f.tel, f.master, rule_rows, f.as_of)
+    stored = store.Snapshots(f.spark, path)
+    broken = F.when(F.col("amid") >= 0, F.raise_error(F.lit("second table fails")).cast("long")).otherwise(F.col("amid"))
+    try:
+        stored.commit({"drops": f.drops.where("false"), "summary": f.master.select(broken.alias("amid"))})
+    except Exception as error:
+        if "second table fails" not in str(error):
+            raise
+    drops, summaries = stored.read("drops", "summary")
+    counted = drops.groupBy("amid").agg(F.count("*").alias("n"), F.sum("drop_points").cast("double").alias("total")).select(F.lit("drops").alias("part"), "amid", "n", "total")
+    return counted.unionByName(summaries.select(F.lit("summary").alias("part"), "amid", F.col("drops_window").alias("n"), F.col("gps_total_window").cast("double").alias("total")))
+
+
+#: What a store gets after its first delivery: some readings of three days.
+_LATE = "id % 3 = 0 AND CAST(fecha_hora AS DATE) IN (DATE '2024-01-20', DATE '2024-01-29', DATE '2024-01-30')"
+
+
+def _delivered_twice(f: Fleet) -> incremental.Days:
+    days = incremental.Days(f.spark, _own_folder(f, "days"))
+    for delivery in (f.tel.where(f"NOT ({_LATE})"), f.tel.where(_LATE)):
+        days.deliver(delivery, f.master, f.rule_row, fixtures.AS_OF_TIME)
+    return days
+
+
+@query("SELECT * FROM summary")
+def summary_of_days(f: Fleet) -> DataFrame:
+    """Summaries merged from the stored states of days; a second delivery computed three days and those around them anew."""
+    return _delivered_twice(f).summary(f.master, f.as_of)
+
+
+@query(f"SELECT amid, slot, pct, has_data FROM blocks WHERE slot >= {TODAY} - INTERVAL 10 DAY")
+def blocks_dropped(f: Fleet) -> DataFrame:
+    """Stored blocks after retention has dropped whole days."""
+    days = _delivered_twice(f)
+    days.retain(f.as_of, 10)
+    return f.spark.read.parquet(days.at("blocks")).select("amid", "slot", "pct", "has_data")
+
+
+_EARLY = "NOT (id % 4 = 1 AND fecha_hora >= TIMESTAMP '2024-01-25 00:00:00')"
+
+
+@query(f"""
+    SELECT amid, g.slot, n.porcentaje_bateria AS pct, n.id AS source_id, CASE WHEN n.id IS NULL THEN 0 ELSE 1 END AS has_data
+    FROM (SELECT amid, slot FROM blocks WHERE slot >= {TODAY} - INTERVAL 6 DAY) g LEFT JOIN (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY amid, slot ORDER BY abs(epoch_us(slot) - epoch_us(fecha_hora)), fecha_hora DESC, id DESC) AS rn
+            FROM candidates WHERE slot >= {TODAY} - INTERVAL 1 DAY OR {_EARLY}) WHERE rn = 1) n USING (amid, slot)""")
+def blocks_rebuilt(f: Fleet) -> DataFrame:
+    """Stored blocks after a late delivery, of which the job of the last two days takes in what belongs to these."""
+    folder, names = _own_folder(f, "rebuilt"), ("telemetry", "blocks")
+    tel, blocks = (f"{folder}/{n}" for n in names)
+    week = incremental.last_days(fixtures.AS_OF_TIME, 7)
+    files.append_telemetry(f.spark, f.tel.where(_EARLY), tel)
+    incremental.rebuild_blocks(f.spark, tel, blocks, f.master, week)
+    files.append_telemetry(f.spark, f.tel.where(f"NOT ({_EARLY})"), tel)
+    incremental.rebuild_blocks(f.spark, tel, blocks, f.master, incremental.last_days(fixtures.AS_OF_TIME))
+    return f.spark.read.parquet(blocks).select("amid", "slot", "pct", "source_id", "has_data")
+
+
+@query("""
+    SELECT turn, status, obtained, created, duplicates, failed FROM (SELECT count(*) AS n FROM telemetry), (VALUES (1, 'OK'), (2, 'ERROR'), (3, 'OK')) t(turn, status),
+        LATERAL (SELECT CASE WHEN turn = 2 THEN 0 ELSE n END AS obtained, CASE WHEN turn = 1 THEN n ELSE 0 END AS created, CASE WHEN turn = 3 THEN n ELSE 0 END AS duplicates, turn = 2 AS failed)""")
+def ingest_failures(f: Fleet) -> DataFrame:
+    """The run log of a first delivery, of one that fails, and of the first once more."""
+    folder = _own_folder(f, "ingest")
+    broken = f.tel.withColumn("latitud", F.when(F.col("id") % 100 == 0, F.raise_error(F.lit("bad reading")).cast("double")).otherwise(F.col("latitud"))).withColumn("fecha_hora", s.plus(F.col("fecha_hora"), minutes=1))
+    for turn, delivery in enumerate((f.tel, broken, f.tel), 1):
+        try:
+            jobs.ingest(f.spark, delivery, f"{folder}/store", f"{folder}/log", s.plus(f.as_of, minutes=turn), s.plus(f.as_of, minutes=turn + 1))
+        except Exception as error:
+            if "bad reading" not in str(error):
+                raise
+    turns = F.floor(s.minutes_between(f.as_of, F.col("started"))).cast("int")
+    return f.spark.read.parquet(f"{folder}/log").select(turns.alias("turn"), "status", *files.COUNTERS, F.contains("message", F.lit("bad reading")).alias("failed"))
+
+
+@query(f"""
+    SELECT 'records' AS part, amid, count(*) AS n, max(fecha_hora) AS last_ts, CAST(sum(porcentaje_bateria) AS DOUBLE) AS total FROM telemetry WHERE fecha_hora >= {START} AND fecha_hora < {TODAY} + INTERVAL 1 DAY GROUP BY amid
+    UNION ALL SELECT 'summary', amid, count(*), max(fecha_hora), CAST(max(porcentaje_bateria) AS DOUBLE) FROM telemetry WHERE fecha_hora >= {START} AND fecha_hora < {TODAY} + INTERVAL 1 DAY GROUP BY amid
+    UNION ALL SELECT 'battery', amid, count(DISTINCT day), NULL, CAST(sum(CASE WHEN slot_text = '00:00' THEN pct END) AS DOUBLE) FROM blocks GROUP BY amid""")
+def export_read_back(f: Fleet) -> DataFrame:
+    """The three exported sets of every device, as they are read again."""
+    path = _own_folder(f, "export")
+    files.export_device(f.tel, f.blocks, f.as_of, path)
+    part = lambda name: f.spark.read.parquet(f"{path}/{name}").withColumn("amid", F.col("amid").cast("long"))
+    records = part("records").groupBy("amid").agg(F.count("*").alias("n"), F.max("fecha_hora").alias("last_ts"), F.sum("porcentaje_bateria").cast("double").alias("total"))
+    summaries = part("summary").select("amid", F.col("n_rows").alias("n"), "last_ts", F.col("battery_max").cast("double").alias("total"))
+    matrix = part("battery").groupBy("amid").agg(F.count("*").alias("n"), F.lit(None).cast("timestamp_ntz").alias("last_ts"), F.sum("s0000").cast("double").alias("total"))
+    named = [df.select(F.lit(n).alias("part"), "amid", "n", "last_ts", "total") for n, df in (("records", records), ("summary", summaries), ("battery", matrix))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("SELECT 'full' AS mode, amid, gps_code, battery_code, level, has_alert FROM classified")
+def rules_change_job(f: Fleet) -> DataFrame:
+    """One change of the rules that asks for a full run: validated, then run, with the summaries that it leaves."""
+    current = rules.rules_table(f.spark, rules.DEFAULTS)
+    requested = f.spark.createDataFrame([(k, str(v)) for k, v in rules.SPARSE.items() if v != rules.DEFAULTS[k]], "key string, value string")
+    mode, _, summaries = jobs.change_rules(current, requested, f.tel, f.master, f.classified.where("false"), f.as_of)
+    return summaries.select(F.lit(mode).alias("mode"), "amid", "gps_code", "battery_code", "level", "has_alert")
+
+
+@query("SELECT side, amid, CASE WHEN side = 'fast' THEN 'OTHER' ELSE level END AS level FROM classified, (VALUES ('fast'), ('full')) t(side) WHERE amid % 11 = 3")
+def reclassify_differences(f: Fleet) -> DataFrame:
+    """What the comparison of both paths shows when the stored result of some devices was changed by hand."""
+    fast = _reclassified(f).select("amid", F.when(F.col("amid") % 11 == 3, "OTHER").otherwise(F.col("level")).alias("level"))
+    full = f.classified.select("amid", "level")
+    return fast.exceptAll(full).withColumn("side", F.lit("fast")).unionByName(full.exceptAll(fast).withColumn("side", F.lit("full")))
+
+
 # Locations
 
 _ATTRIBUTES = "nombre, serie, lat, lon, radio, operativa, version, origen"
@@ -939,10 +1064,40 @@ def stream_ingest(f: Fleet) -> DataFrame:
     return f.spark.read.parquet(f"{folder}/out")
 
 
+@query("SELECT id, amid, fecha_hora, porcentaje_bateria FROM telemetry")
+def stream_append(f: Fleet) -> DataFrame:
+    """The store after a stream has delivered all readings to it, a third of which it held, and its batch was run again."""
+    folder = _own_folder(f, "stream")
+    columns = ("id", "amid", "fecha_hora", "porcentaje_bateria")
+    files.append_telemetry(f.spark, f.tel.where("id % 3 = 0").select(*columns), f"{folder}/store")
+    rows = _event_stream(f).select(*columns)
+    ingest.ingest_available(rows, f"{folder}/store", f"{folder}/state")
+    store.remove(f.spark, f"{folder}/state/commits/0")
+    ingest.ingest_available(rows, f"{folder}/store", f"{folder}/state")
+    return f.spark.read.parquet(f"{folder}/store").select(*columns)
+
+
 @query("SELECT amid, slot, porcentaje_bateria AS pct, id AS source_id, CAST(abs(epoch_us(slot) - epoch_us(fecha_hora)) AS DOUBLE) / 60000000 AS diff_minutes FROM nearest")
 def stream_blocks(f: Fleet) -> DataFrame:
     """Non-empty blocks of the window, aligned as a stream."""
     folder = _own_folder(f, "stream")
-    rows = _event_stream(f).where((F.col("fecha_hora") >= s.plus(f.start, minutes=-15)) & (F.col("fecha_hora") <= s.plus(f.today, hours=23, minutes=45)))
-    ingest.update_available(ingest.blocks(rows), f"{folder}/out", f"{folder}/state")
+    ingest.update_available(ingest.blocks(_window_stream(f)), f"{folder}/out", f"{folder}/state")
     return ingest.latest_version(f.spark, f"{folder}/out", ["amid", "slot"])
+
+
+def _window_stream(f: Fleet) -> DataFrame:
+    return _event_stream(f).where((F.col("fecha_hora") >= s.plus(f.start, minutes=-15)) & (F.col("fecha_hora") <= s.plus(f.today, hours=23, minutes=45)))
+
+
+@query("SELECT amid, slot, porcentaje_bateria AS pct, id AS source_id FROM nearest")
+def stream_blocks_compacted(f: Fleet) -> DataFrame:
+    """The same after a compaction between a batch that was written and its commit, and a restart that runs the batch again."""
+    folder = _own_folder(f, "stream")
+    out, state = f"{folder}/out", f"{folder}/state"
+    ingest.update_available(ingest.blocks(_window_stream(f)), out, state)
+    newest = ingest.committed(f.spark, state)
+    store.remove(f.spark, f"{state}/commits/{newest}")
+    ingest.compact(f.spark, out, state, ["amid", "slot"])
+    ingest.update_available(ingest.blocks(_window_stream(f)), out, state)
+    ingest.compact(f.spark, out, state, ["amid", "slot"])
+    return ingest.latest_version(f.spark, out, ["amid", "slot"]).select("amid", "slot", "pct", "source_id")

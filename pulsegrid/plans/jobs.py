@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as s
-from pulsegrid.operators import battery, classify, locations, rules, summary, telemetry
+from pulsegrid.operators import battery, classify, locations, rules, summary
 from pulsegrid.operators.merge import merge_by_key, merge_columns
-from pulsegrid.sources import files
+from pulsegrid.sources import files, store
 
 
 @dataclass
@@ -39,12 +39,22 @@ def run_full(tel: DataFrame, master: DataFrame, rule_rows: DataFrame, stored: Da
     return out
 
 
+def commit_full(spark: SparkSession, path: str, tel: DataFrame, master: DataFrame, rule_rows: DataFrame, as_of: Column) -> int:
+    """A full run whose drops and merged summaries replace the stored ones as one unit; a run that fails leaves both as they were."""
+    stored = store.Snapshots(spark, path)
+    before = stored.version()
+    out = run_full(tel, master, rule_rows, stored.read("summary", version=before)[0] if before else None, as_of)
+    return stored.commit({"drops": out.drops, "summary": out.summary}, before)
+
+
 def run_fast(stored: DataFrame, master: DataFrame, rule_rows: DataFrame, as_of: Column) -> DataFrame:
     """Validate the rules and classify stored summaries of active devices anew; other rows and columns stay."""
     row = rules.rules_row(rules.require_valid(rule_rows))
     return merge_columns(stored, classify.reclassify(stored, master, row, as_of), ["amid"], list(classify.CLASSIFICATION))
 
 
+#: Characters of an error that the run log keeps.
+MESSAGE = 2000
 MODES = ("none", "fast", "full")
 
 
@@ -70,11 +80,15 @@ def change_rules(current: DataFrame, requested: DataFrame, tel: DataFrame, maste
     return verdict["outcome"], after, run_mode(verdict["outcome"], tel, master, after, stored, as_of)
 
 
-def ingest(spark: SparkSession, incoming: DataFrame, path: str, log: str, started: Column, ended: Column) -> None:
-    """Append a delivery to the stored telemetry and write its counters to the run log."""
-    counts = telemetry.append_counts(files.stored_days(spark, incoming, path), incoming)
-    files.append_run_metrics(files.run_metrics("ingest", "OK", started, ended, counts), log)
-    files.append_telemetry(spark, incoming, path)
+def ingest(spark: SparkSession, incoming: DataFrame, path: str, log: str, started: Column, ended: Column) -> dict[str, int]:
+    """Append a delivery to the stored telemetry, then write its counters to the run log; of a failure the log keeps the message, and it is raised."""
+    try:
+        counts = files.append_telemetry(spark, incoming, path)
+    except Exception as error:
+        files.log_run(spark, log, "ingest", "ERROR", started, ended, message=str(error)[:MESSAGE])
+        raise
+    files.log_run(spark, log, "ingest", "OK", started, ended, counts)
+    return counts
 
 
 def purge_history(history: DataFrame, path: str, as_of: Column, days: int = 16) -> DataFrame:

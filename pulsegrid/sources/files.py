@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scalars as s
 from pulsegrid.operators.battery import battery_matrix
 from pulsegrid.operators.telemetry import append_new, export_summary, telemetry_range
+from pulsegrid.sources import store
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share; a temporary folder where it is unset, on one machine alone."""
@@ -53,19 +55,30 @@ def read_snapshot_csv(spark: SparkSession, path: str, separator: str = ";") -> D
 
 
 def stored_days(spark: SparkSession, incoming: DataFrame, path: str) -> DataFrame:
-    """The stored rows of the days that a delivery spans; other partitions are not read."""
-    span = incoming.agg(F.to_date(F.min("fecha_hora")).alias("first"), F.to_date(F.max("fecha_hora")).alias("last")).first()
-    return spark.read.parquet(path).where(F.col("day").between(F.lit(span["first"]), F.lit(span["last"])))
+    """The stored rows of the days of a delivery; other partitions are not read. None before the first delivery."""
+    return store.read_days(spark, path, store.days_of(incoming, "fecha_hora"), store.with_day(incoming, "fecha_hora"))
+
 
+def append_telemetry(spark: SparkSession, incoming: DataFrame, path: str) -> dict[str, int]:
+    """Append the rows whose device and time are not stored yet, by day, and give the counters of the delivery, taken while it is written.
 
-def append_telemetry(spark: SparkSession, incoming: DataFrame, path: str) -> None:
-    """Append the rows whose device and time are not stored yet, by day. One delivery at a time: a store has one writer."""
-    new = append_new(stored_days(spark, incoming, path), incoming).withColumn("day", F.to_date("fecha_hora"))
-    new.sortWithinPartitions("day", "amid", "fecha_hora").write.mode("append").partitionBy("day").parquet(path)
+    One delivery at a time: a store has one writer. A delivery that is repeated, in whole or after a failure, adds what is missing.
+    """
+    obtained, created = Observation(), Observation()
+    counted = incoming.observe(obtained, F.count(F.lit(1)).alias("n"))
+    new = append_new(stored_days(spark, incoming, path), counted).observe(created, F.count(F.lit(1)).alias("n"))
+    by_day = store.with_day(new, "fecha_hora")
+    by_day.sortWithinPartitions("day", "amid", "fecha_hora").write.mode("append").partitionBy("day").parquet(path)
+    counts = {"obtained": obtained.get["n"], "created": created.get["n"]}
+    return counts | {"duplicates": counts["obtained"] - counts["created"]}
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the old version, then rename: a run that fails leaves the old version as it was. ``df`` may read from ``path``."""
+    """Write beside the old version, then rename: a run that fails leaves the old version as it was. ``df`` may read from ``path``.
+
+    Between two renames a reader finds no table; use :class:`pulsegrid.sources.store.Snapshots` where that matters, or where several tables change together.
+    """
+    restore(df.sparkSession, path)
     df.write.mode("overwrite").parquet(staging_of(path))
     swap(df.sparkSession, path)
 
@@ -74,35 +87,46 @@ def staging_of(path: str) -> str:
     return f"{path.rstrip('/')}__staging"
 
 
+def _old_of(path: str) -> str:
+    return f"{path.rstrip('/')}__old"
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """After a run that stopped between its renames the old version is the only one: put it back."""
+    place = path.rstrip("/")
+    if not store.exists(spark, place) and store.exists(spark, _old_of(path)) and not store.rename(spark, _old_of(path), place):
+        raise OSError(f"cannot restore {place}")
+
+
 def swap(spark: SparkSession, path: str) -> None:
     """Put what is staged in the place of a data set; if it cannot be moved there, the old version is moved back."""
-    place, staging, old = path.rstrip("/"), staging_of(path), f"{path.rstrip('/')}__old"
-    at = {p: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (place, staging, old)}
-    fs = at[place].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at[old], True)
-    had = fs.exists(at[place])
-    if had and not fs.rename(at[place], at[old]):
+    place, staging, old = path.rstrip("/"), staging_of(path), _old_of(path)
+    restore(spark, path)
+    store.remove(spark, old)
+    had = store.exists(spark, place)
+    if had and not store.rename(spark, place, old):
         raise OSError(f"cannot move {place}")
-    if not fs.rename(at[staging], at[place]):
-        if had:
-            fs.rename(at[old], at[place])
+    if not store.rename(spark, staging, place):
+        restore(spark, path)
         raise OSError(f"cannot move {staging}")
-    fs.delete(at[old], True)
+    store.remove(spark, old)
 
 
-def append_run_metrics(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+COUNTERS = ("obtained", "created", "duplicates")
 
 
-def run_metrics(origin: str, status: str, started, ended, counts: DataFrame, message: str = "") -> DataFrame:
-    """One row for the run log from the counters of a step."""
-    return counts.select(F.lit(origin).alias("origin"), F.lit(status).alias("status"), started.alias("started"), ended.alias("ended"), *counts.columns, F.lit(message).alias("message"))
+def log_run(spark: SparkSession, path: str, origin: str, status: str, started: Column, ended: Column, counts: dict[str, int] | None = None, message: str = "") -> None:
+    """One row of the run log; the counters of a run that failed are 0."""
+    values = [F.lit((counts or {}).get(c, 0)).cast("long").alias(c) for c in COUNTERS]
+    row = spark.range(1).select(F.lit(origin).alias("origin"), F.lit(status).alias("status"), started.alias("started"), ended.alias("ended"), *values, F.lit(message).alias("message"))
+    row.coalesce(1).write.mode("append").parquet(path)
 
 
 def export_device(tel: DataFrame, blocks: DataFrame, as_of, path: str, amids: list[int] | None = None, days: int = 14) -> None:
-    """Indicators, day-by-slot matrix and full records of some devices for the last days, each partitioned by device."""
+    """Indicators, day-by-slot matrix and full records of some devices for the last days, each partitioned by device: one file a device and set."""
     end = s.plus(s.midnight(as_of), days=1)
     rows = telemetry_range(tel, s.plus(end, days=-days), end, amids)
     some = blocks if amids is None else blocks.where(F.col("amid").isin(*amids))
     for name, df in (("summary", export_summary(rows)), ("battery", battery_matrix(some, as_of, days)), ("records", rows)):
-        df.write.mode("overwrite").partitionBy("amid").parquet(f"{path}/{name}")
+        by_device = df.repartition("amid").sortWithinPartitions("amid", *(c for c in ("day", "fecha_hora", "id") if c in df.columns))
+        by_device.write.mode("overwrite").partitionBy("amid").parquet(f"{path}/{name}")

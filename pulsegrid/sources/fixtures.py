@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-01-30 23:59:59"
+AS_OF_TIME = dt.datetime.fromisoformat(AS_OF)
 # The default site.
 LAB = {"nombre": "Laboratorio", "lat": -33.437191, "lon": -70.656102, "radio": 150.0}
 FIRST_EAV_DEVICE = 7_499_990

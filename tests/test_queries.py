@@ -154,7 +154,7 @@ def test_streams_restart_and_leave_out_what_is_late(spark, tmp_path):
     from pulsegrid.operators import battery
 
     assert before == sorted(map(tuple, battery.nearest_readings(battery.slot_candidates(want)).select("amid", "slot", "source_id").collect()))
-    ingest.compact(spark, f"{out}/blocks", ["amid", "slot"])
+    ingest.compact(spark, f"{out}/blocks", f"{state}/blocks", ["amid", "slot"])
     assert rows() == before and len(list((tmp_path / "out" / "blocks").glob("batch=*"))) == 1
 
 
