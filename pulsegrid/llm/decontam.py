@@ -3,9 +3,9 @@
 Words are lower-cased runs of letters and digits; a shingle is five of them and weighs as often as it occurs. A window of a
 document has as many words as the benchmark item it is held against and starts wherever so many of its shingles are in the item that
 the threshold can be reached, whatever their order.
-A 64-bit SimHash of its weighted shingles meets the items' fingerprints in blocks of the bits: with one block more than the
-radius, two fingerprints within the radius agree on a block, so none is missed. Candidates within the radius are verified by the
-exact weighted Jaccard similarity of their shingles.
+A 64-bit SimHash of its weighted shingles, from sums that run along the text once for all windows, is held against the fingerprints of the items of which it has
+so many shingles. They are indexed by blocks of their bits, with all values that differ from a block's in few bits, so that no two fingerprints within the
+radius miss each other. Candidates within the radius are verified by the exact weighted Jaccard similarity of their shingles.
 
 Only documents that share enough shingles with the benchmark to reach the threshold for its shortest item, if need be as a text
 shorter than that item, get windows;
@@ -20,9 +20,12 @@ go to the smallest; an empty table on either side gives an empty result; other c
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import cut_lineage, literal_array, whole_rows
@@ -31,6 +34,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
 BITS = 64
+#: Blocks of the fingerprint; within the radius two of them differ in NEAR bits or fewer in one block at least. Values so near to a block of ten bits.
+BLOCKS = 7
+NEAR = RADIUS // BLOCKS
+PROBES = sum(math.comb(10, k) for k in range(NEAR + 1))
+#: Bits of a counter; a part of a text, which is as long as the longest item or SEGMENT shingles and the longest item beyond, has fewer shingles than it can count.
+LANE, SEGMENT = 20, 4096
+#: Rows of the index of item fingerprints up to which it is broadcast (some 20 MB).
+BROADCAST_PROBES = 400_000
 #: Least and most bits of the table (128 KB and 2 MB), bits for each shingle, and shingles of a benchmark up to which it is broadcast (some 3 MB).
 LEAST_BITS, MOST_BITS, BITS_EACH, BROADCAST_ITEMS = 1 << 20, 1 << 24, 16, 1 << 16
 
@@ -71,21 +82,61 @@ def window_starts(at: Column, n: Column, doc_n: Column, least: Column) -> Column
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - least), of))
 
 
-def simhash(hashes: Column) -> Column:
-    """64-bit fingerprint: a bit is set where more than half of the shingles, by weight, have it."""
-    votes = lambda b: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int"))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(BITS - 1)),
-        F.lit(0).cast("long"),
-        lambda acc, b: F.when(votes(b) * 2 > F.size(hashes), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))).otherwise(acc),
-    )
+def spread(h: Column, j: int) -> Column:
+    """Bits ``3 j`` to ``3 j + 2`` of a hash in lanes of their own, so that sums of many hashes count each bit."""
+    x = F.shiftrightunsigned(h, 3 * j).bitwiseAND(F.lit(7).cast("long"))
+    return sum((x.bitwiseAND(F.lit(1 << k).cast("long")) * F.lit(1 << (LANE - 1) * k) for k in range(1, 3)), x.bitwiseAND(F.lit(1).cast("long")))
+
+
+def majority(votes: Sequence[Column], n: Column) -> Column:
+    """64-bit fingerprint from the sums of :func:`spread`: a bit is set where more than half of ``n`` shingles, by weight, have it."""
+    lane = F.lit((1 << LANE) - 1).cast("long")
+    bit = lambda b: F.when(F.shiftrightunsigned(votes[b // 3], LANE * (b % 3)).bitwiseAND(lane) * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(b))).otherwise(F.lit(0).cast("long"))
+    return functools.reduce(lambda a, b: a.bitwiseOR(b), (bit(b) for b in range(BITS)))
+
+
+COLUMNS = -(-BITS // 3)
+
+
+def fingerprints(shingled: DataFrame, *keys: str) -> DataFrame:
+    """``print`` of each item: rows ``keys``, ``shingle``, one for each occurrence."""
+    summed = shingled.groupBy(*keys).agg(F.count("*").alias("m"), *(F.sum(spread(F.col("shingle"), j)).alias(f"c{j}") for j in range(COLUMNS)))
+    return summed.select(*keys, majority([F.col(f"c{j}") for j in range(COLUMNS)], F.col("m")).alias("print"))
+
+
+def window_prints(parts: DataFrame, windows: DataFrame) -> DataFrame:
+    """``windows`` (``text_key, seg, n, m, start, items``: ``m`` shingles from ``start`` on) with ``print``, from the parts of texts that hold them.
+
+    Sums run along a part once, whatever the number of windows: what a window sums is what has run up to its end less what has run up to its start.
+    """
+    at = lambda pos, sign, items: F.struct(pos.alias("pos"), F.lit(sign).alias("sign"), items.alias("items"))
+    no_items = F.lit(None).cast(windows.schema["items"].dataType)
+    edges = windows.select("text_key", "seg", "n", "m", "start", F.inline(F.array(at(F.col("start"), -1, no_items), at(F.col("start") + F.col("m"), 1, F.col("items")))))
+    steps = parts.select("text_key", "seg", F.posexplode("part").alias("pos", "shingle"))
+    rows = edges.withColumn("shingle", F.lit(None).cast("long")).unionByName(steps, allowMissingColumns=True)
+    so_far = Window.partitionBy("text_key", "seg").orderBy("pos", F.asc_nulls_first("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.select("text_key", "seg", "n", "m", "start", "sign", "items", *(F.sum(F.coalesce(spread(F.col("shingle"), j), F.lit(0))).over(so_far).alias(f"c{j}") for j in range(COLUMNS)))
+    sums = running.where(F.col("sign").isNotNull()).groupBy("text_key", "seg", "n", "m", "start").agg(F.max("items").alias("items"), *(F.sum(F.col("sign") * F.col(f"c{j}")).alias(f"c{j}") for j in range(COLUMNS)))
+    return sums.select("text_key", "seg", "n", "m", "start", "items", majority([F.col(f"c{j}") for j in range(COLUMNS)], F.col("m")).alias("print"))
+
+
+def _edges() -> list[int]:
+    return [BITS * i // BLOCKS for i in range(BLOCKS + 1)]
 
 
 def blocks(fingerprint: Column) -> Column:
-    """Number and value of each of ``RADIUS + 1`` blocks of bits."""
-    n = RADIUS + 1
-    edges = [BITS * i // n for i in range(n + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    """Number and value of each block of bits."""
+    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(_edges(), _edges()[1:], strict=False))))
+
+
+def probes(fingerprint: Column) -> Column:
+    """The same with every value that differs in :data:`NEAR` bits or fewer: two fingerprints within the radius meet there, as they differ so little in some block."""
+
+    def of(block: Column, width: int) -> Column:
+        masks = [sum(1 << k for k in bits) for n in range(NEAR + 1) for bits in itertools.combinations(range(width), n)]
+        return F.transform(literal_array(masks, "long"), lambda mask: F.struct(block["block"].alias("block"), block["value"].bitwiseXOR(mask).alias("value")))
+
+    return let(blocks(fingerprint), lambda held: F.concat(*(of(held[i], b - a) for i, (a, b) in enumerate(zip(_edges(), _edges()[1:], strict=False)))))
 
 
 def run_ends(s: Column) -> Column:
@@ -108,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     """One row for each text (by its MD5, ``text_key``) and item that it holds: the first best ``start`` (in shingles) and the ``similarity``."""
     items = cut_lineage(benchmark.select("item_id", shingles(F.col("text").cast("string")).alias("item")).where(F.col("item").isNotNull()).withColumn("n", F.size("item")))
     pieces = items.select("item_id", "n", F.posexplode("item").alias("at", "shingle"))
-    facts = pieces.agg(F.count("*").alias("pieces"), F.min("n").alias("least")).first()
+    facts = pieces.agg(F.count("*").alias("pieces"), F.min("n").alias("least"), F.max("n").alias("most"), F.count_if(F.col("at") == 0).alias("items")).first()
     least = max(1, math.ceil((facts["least"] or 1) * similarity - 1e-9))  # what a text shorter than the item needs
 
     hashed = docs.select(F.md5(F.col("text").cast("string")).alias("text_key"), shingles(F.col("text").cast("string")).alias("doc")).where(F.col("doc").isNotNull())
@@ -137,20 +188,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         .withColumn("least", least_shared(F.least("doc_n", "n"), F.col("n"), similarity))
         .where(F.size("at") >= F.col("least"))
     )
-    starts = shared.select("text_key", "n", F.explode(window_starts(F.col("at"), F.col("n"), F.col("doc_n"), F.col("least"))).alias("start")).distinct()
-    windows = starts.join(texts.select("text_key", "doc"), "text_key").select("text_key", "n", "start", F.slice("doc", F.col("start") + 1, F.col("n")).alias("window"))
-    marked = windows.withColumn("print", simhash(F.col("window")))
-    of_items = items.withColumn("item_print", simhash(F.col("item"))).select("item_id", "n", "item", "item_print", F.inline(blocks(F.col("item_print"))))
-    of_items = F.broadcast(of_items) if facts["pieces"] <= BROADCAST_ITEMS else of_items
-    candidates = (
-        marked.select("text_key", "n", "start", "window", "print", F.inline(blocks(F.col("print"))))
-        .join(of_items, ["n", "block", "value"])
+    length = max(SEGMENT, facts["most"] or 1)
+    pairs = shared.select("text_key", "item_id", "n", F.least("doc_n", "n").alias("m"), F.explode(window_starts(F.col("at"), F.col("n"), F.col("doc_n"), F.col("least"))).alias("start"))
+    windows = cut_lineage(pairs.groupBy("text_key", F.floor(F.col("start") / length).cast("int").alias("seg"), "n", "m", "start").agg(F.collect_set("item_id").alias("items")))
+    # a part holds every window that starts in its segment, so long texts are worked on in parts
+    wanted = windows.select("text_key", "seg").distinct()
+    parts = cut_lineage(wanted.join(texts.select("text_key", "doc"), "text_key").select("text_key", "seg", F.slice("doc", F.col("seg") * length + 1, F.lit(length + (facts["most"] or 1))).alias("part")))
+    inside = windows.withColumn("start", F.col("start") - F.col("seg") * length)
+    marked = window_prints(parts, inside)
+
+    item_prints = fingerprints(pieces.select("item_id", "shingle"), "item_id").withColumnRenamed("print", "item_print")
+    indexed = item_prints.select("item_id", "item_print", F.inline(probes(F.col("item_print"))))
+    n_probes = facts["items"] * BLOCKS * PROBES
+    indexed = F.broadcast(indexed) if n_probes <= BROADCAST_PROBES else indexed
+    met = (
+        marked.select("text_key", "seg", "start", "m", "print", F.explode("items").alias("item_id"))
+        .select("*", F.inline(blocks(F.col("print"))))
+        .join(indexed, ["item_id", "block", "value"])
         .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
     )
-    # a pair of fingerprints may agree on several blocks: the first of them stands for all
-    mine, other = blocks(F.col("print")), blocks(F.col("item_print"))
-    first = F.array_min(F.transform(F.arrays_zip(mine.alias("a"), other.alias("b")), lambda z: F.when(z["a"]["value"] == z["b"]["value"], z["a"]["block"])))
-    verified = candidates.where(F.col("block") == first).withColumn("similarity", weighted_similarity(F.col("window"), F.col("item"))).where(F.col("similarity") >= similarity)
+    # a pair of fingerprints may meet in several blocks: the first of them stands for all
+    apart = F.transform(F.arrays_zip(blocks(F.col("print")).alias("a"), blocks(F.col("item_print")).alias("b")), lambda z: F.when(F.bit_count(z["a"]["value"].bitwiseXOR(z["b"]["value"])) <= NEAR, z["a"]["block"]))
+    candidates = met.where(F.col("block") == F.array_min(apart)).select("text_key", "seg", "start", "m", "item_id")
+    held = items.select("item_id", "item")
+    held = F.broadcast(held) if facts["pieces"] <= BROADCAST_ITEMS else held
+    compared = candidates.join(parts, ["text_key", "seg"]).join(held, "item_id").withColumn("similarity", weighted_similarity(F.slice("part", F.col("start") + 1, F.col("m")), F.col("item")))
+    verified = compared.where(F.col("similarity") >= similarity).withColumn("start", F.col("start") + F.col("seg") * length)
     return verified.groupBy("text_key", "item_id").agg(F.min_by("start", F.struct(-F.col("similarity"), F.col("start"))).alias("start"), F.max("similarity").alias("similarity"))
 
 
