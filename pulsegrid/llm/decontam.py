@@ -151,8 +151,8 @@ def numbered(hashes: Column) -> Column:
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
-    """Sum of the lesser weights over the sum of the greater weights of the shingles of two windows."""
-    return let(F.size(F.array_intersect(numbered(a), numbered(b))), lambda s: s / (F.size(a) + F.size(b) - s))
+    """Sum of the lesser weights over the sum of the greater weights of the shingles of two windows, the second of them :func:`numbered`."""
+    return let(F.size(F.array_intersect(numbered(a), b)), lambda s: s / (F.size(a) + F.size(b) - s))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -210,7 +210,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     # a pair of fingerprints may meet in several blocks: the first of them stands for all
     apart = F.transform(F.arrays_zip(blocks(F.col("print")).alias("a"), blocks(F.col("item_print")).alias("b")), lambda z: F.when(F.bit_count(z["a"]["value"].bitwiseXOR(z["b"]["value"])) <= NEAR, z["a"]["block"]))
     candidates = met.where(F.col("block") == F.array_min(apart)).select("text_key", "seg", "start", "m", "item_id")
-    held = items.select("item_id", "item")
+    held = cut_lineage(items.select("item_id", numbered(F.col("item")).alias("item")))
     held = F.broadcast(held) if facts["pieces"] <= BROADCAST_ITEMS else held
     compared = candidates.join(parts, ["text_key", "seg"]).join(held, "item_id").withColumn("similarity", weighted_similarity(F.slice("part", F.col("start") + 1, F.col("m")), F.col("item")))
     verified = compared.where(F.col("similarity") >= similarity).withColumn("start", F.col("start") + F.col("seg") * length)

@@ -2,12 +2,13 @@
 
 The distinct paragraphs (lines) of a text, each with the number of times it occurs, are hashed to 64-bit digests. A sketch has three
 tables of cells; a digest enters one cell of each, which keeps a count, the exclusive or of the digests and that of their
-checks. Only cells in use are kept, in order of place. Two sketches subtract cell by cell; peeling takes the cells that hold one digest, removes those
-digests from the other tables and goes on, until nothing is left and the digests that differ are known on either side. If
-peeling stops early, both sketches are made again with tables eight times as large, as often as it takes.
+checks. Only cells in use are kept, in order of place. The fingerprint of a text is its sketch of the first size at which it peels itself, so it lists all its
+digests.
 
-The fingerprint of a text is its sketch of the first size at which it peels itself, so it lists all its digests and can be entered in larger tables: the
-likeness of any two texts follows from their fingerprints alone. It is the Jaccard index of the digests, from the counts and the peeled differences.
+Two sketches subtract cell by cell, in small tables at first, into which larger ones fold, as each size divides the next; peeling takes the cells that hold one
+digest, removes those digests from the other tables and goes on, until nothing is left and the digests that differ are known on either side. If peeling
+stops early, the difference is made again in tables eight times as large. The likeness of any two texts follows from their fingerprints alone, as structs or
+as written: it is the Jaccard index of the digests, from the counts and the peeled differences.
 The order of paragraphs does not count, so texts that differ in order alone have equal fingerprints too.
 
 Results: a null text is empty (one empty paragraph); two empty texts have likeness 1; documents with a null id come first in the
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import doc_text, literal_array
 from pulsegrid.llm.decontam import let, run_ends
 
-#: Cells of each of the three tables at first, the factor between sizes, and the sizes tried from the one that has room: that none of them peels has odds below 1e-18.
+#: Cells of each of the three tables at first, the factor between sizes, and the sizes tried from the one that has room, before digests are listed as they are.
 LEAST, FACTOR, ATTEMPTS = 8, 8, 6
 #: Groups of neighbouring ids for each partition of a shuffle.
 GROUPS = 4
 CELLS = "array<struct<at:bigint,n:int,key:bigint,check:bigint>>"
 FOUND = "array<struct<digest:bigint,sign:int>>"
+SKETCH = f"struct<size:bigint,cells:{CELLS}>"
 PEELED = f"struct<done:boolean,size:bigint,cells:{CELLS},found:{FOUND}>"
 
 
@@ -92,7 +94,7 @@ def first_that_peels(found: Column, least: Column) -> Column:
         return F.when(state["done"], state).otherwise(let(gathered(entered(found, state["size"])), made))
 
     start = F.struct(F.lit(False).alias("done"), least.cast("long").alias("size"), F.array().cast(CELLS).alias("cells"), F.array().cast(FOUND).alias("found")).cast(PEELED)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ATTEMPTS)), start, attempt)
+    return F.aggregate(F.array(*map(F.lit, range(ATTEMPTS))).cast("array<int>"), start, attempt)
 
 
 def signed(of: Column, sign: int) -> Column:
@@ -106,15 +108,55 @@ def size_for(n: Column) -> Column:
 
 
 def sketch(of: Column) -> Column:
-    """The fingerprint of digests: ``size`` of a table and the ``cells`` in use."""
-    return first_that_peels(signed(of, 1), size_for(F.size(of)))
+    """The fingerprint of digests: ``size`` of a table and the ``cells`` in use. Should no size tried peel, the size is 0 and every digest has a cell of its own."""
+    plain = F.transform(of, lambda d, i: F.struct(i.cast("long").alias("at"), F.lit(1).alias("n"), d.alias("key"), F.xxhash64(d).alias("check"))).cast(CELLS)
+    exact = F.struct(F.lit(0).cast("long").alias("size"), plain.alias("cells")).cast(SKETCH)
+    return let(first_that_peels(signed(of, 1), size_for(F.size(of))), lambda s: F.when(s["done"], F.struct(s["size"].alias("size"), s["cells"].alias("cells")).cast(SKETCH)).otherwise(exact))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Digests of the first alone (sign 1) and of the second alone (sign -1), by peeling the difference of their sketches."""
-    both = F.concat(signed(a, 1), signed(b, -1))  # equal digests meet in the same cells and leave nothing there
-    apart = first_that_peels(both, size_for(F.greatest(F.size(a), F.size(b))))
-    return F.when(a == b, F.array().cast(FOUND)).otherwise(apart["found"])
+def n_digests(s: Column) -> Column:
+    """Number of digests in a sketch: all of them are counted in each table."""
+    return F.aggregate(s["cells"], F.lit(0), lambda n, c: n + F.when((s["size"] == 0) | (c["at"] < s["size"]), c["n"]).otherwise(0))
+
+
+def listed(s: Column) -> Column:
+    """The digests that a sketch holds."""
+    keys = lambda found: F.transform(found, lambda x: x["digest"])
+    return F.when(s["size"] == 0, F.transform(s["cells"], lambda c: c["key"])).otherwise(keys(peeled(s["cells"], s["size"])["found"]))
+
+
+def folded(s: Column, size: Column, sign: int) -> Column:
+    """The cells of a sketch in tables of a size that divides its own, counts times ``sign``."""
+    at = lambda c: F.floor(c["at"] / s["size"]).cast("long") * size + F.pmod(F.pmod(c["at"], s["size"]), size)
+    return F.transform(s["cells"], lambda c: F.struct(at(c).alias("at"), (c["n"] * sign).alias("n"), c["key"].alias("key"), c["check"].alias("check"))).cast(CELLS)
+
+
+def difference(a: Column, b: Column) -> Column:
+    """Whether one sketch less the other peels, and what was ``found``: digests of the first alone (sign 1) and of the second alone (sign -1).
+
+    The difference is folded to tables that have room for what the numbers of digests differ by at least, and made again eight times as large as long as it does not
+    peel, up to the smaller of both sketches.
+    """
+    most = F.least(a["size"], b["size"])
+    least = F.least(size_for(F.abs(n_digests(a) - n_digests(b))), most)
+    tries = F.when(most == 0, F.lit(0)).otherwise(F.round(F.log2(most / F.greatest(least, F.lit(1))) / 3).cast("int") + 1)
+    start = F.struct((a == b).alias("done"), least.alias("size"), F.array().cast(FOUND).alias("found")).cast(f"struct<done:boolean,size:bigint,found:{FOUND}>")
+
+    def attempt(state: Column, _: Column) -> Column:
+        made = lambda p: F.struct((F.size(p["rest"]) == 0).alias("done"), (state["size"] * FACTOR).alias("size"), p["found"].alias("found"))
+        left = gathered(F.concat(folded(a, state["size"], 1), folded(b, state["size"], -1)))
+        return F.when(state["done"], state).otherwise(let(left, lambda cells: let(peeled(cells, state["size"]), made)))
+
+    return F.aggregate(F.slice(F.sequence(F.lit(1), F.lit(64)), F.lit(1), tries), start, attempt)
+
+
+def with_difference(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """The rows with the digests that tell two sketches apart. Where subtracting fails, as for texts with little in common, both sketches list their digests."""
+    tried = rows.withColumn(name, difference(F.col(a), F.col(b)))
+    open_ = ~F.col(f"{name}.done")
+    lists = tried.withColumns({f"__{c}": F.when(open_, listed(F.col(c))) for c in (a, b)})
+    exact = F.concat(signed(F.array_except(f"__{a}", f"__{b}"), 1), signed(F.array_except(f"__{b}", f"__{a}"), -1))
+    return lists.withColumn(name, F.when(open_, exact).otherwise(F.col(f"{name}.found"))).drop(f"__{a}", f"__{b}")
 
 
 def written(s: Column) -> Column:
@@ -123,10 +165,18 @@ def written(s: Column) -> Column:
     return let(s, lambda x: F.concat_ws(" ", F.hex(x["size"]), F.array_join(F.transform(x["cells"], cell), " ")))
 
 
+def parsed(text: Column) -> Column:
+    """A written sketch as it was."""
+    number = lambda hexadecimal: F.conv(hexadecimal, 16, -10).cast("long")
+    cell = lambda x: let(F.split(x, ":"), lambda p: F.struct(number(p[0]).alias("at"), number(p[1]).cast("int").alias("n"), number(p[2]).alias("key"), number(p[3]).alias("check")))
+    of = lambda p: F.struct(number(p[0]).alias("size"), F.transform(F.slice(p, F.lit(2), F.size(p) - 1), cell).cast(CELLS).alias("cells")).cast(SKETCH)
+    return let(F.split(text, " "), of)
+
+
 def likeness(a: Column, found: Column) -> Column:
-    """Jaccard index of two sets of digests, from the first and what peeling recovers."""
-    both = F.size(a) - F.size(F.filter(found, lambda x: x["sign"] == 1))
-    return (both / (F.size(found) + both)).cast("double")
+    """Jaccard index of the digests of two sketches, from the first and what tells them apart."""
+    mine = n_digests(a) - F.size(F.filter(found, lambda x: x["sign"] == 1))
+    return let(mine, lambda both: (both / (F.size(found) + both)).cast("double"))
 
 
 def in_groups(rows: DataFrame, n: int) -> DataFrame:
@@ -164,27 +214,27 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("part").orderBy(F.asc_nulls_first("doc_id"), "h", "text")
     inner = parts.select("part", "doc_id", "text", F.lead("text").over(order).alias("inner"))
     heads = parts.groupBy("part").agg(F.min_by("text", F.struct("doc_id", "h", "text")).alias("head"))
-    by_part = Window.orderBy("part")  # one row for each group
-    after = heads.select(F.col("part").alias("after"), F.lag("part").over(by_part).alias("before"), F.max("part").over(Window.partitionBy()).alias("last"), "head")
-    follows = after.select(F.coalesce("before", "last").alias("part"), "head")
+    by_part = Window.orderBy("part")  # the keys of the groups alone, some for each partition of a shuffle
+    keys = heads.select("part").select(F.col("part").alias("after"), F.lag("part").over(by_part).alias("before"), F.max("part").over(Window.partitionBy()).alias("last"))
+    follows = keys.select("after", F.coalesce("before", "last").alias("part")).join(heads.select(F.col("part").alias("after"), "head"), "after").select("part", "head")
     return inner.join(follows, "part", "left").select("doc_id", "text", F.coalesce("inner", "head").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Each document with its edited text, the sketches of both and the likeness to the edited and the next text."""
+    """Each document with its edited text, the written sketches of both and the likeness to the edited and the next text, which follow from sketches alone."""
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     rows = with_next(docs).select("doc_id", "text", "next_text", F.concat(F.substr("text", F.lit(1), n - quarter), F.substr("next_text", F.lit(1), quarter)).alias("edited"))
     marked = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited", *(digests(F.col(c)).alias(f"{c}_digests") for c in ("text", "edited", "next_text")))
-    text, edited, follows = (F.col(f"{c}_digests") for c in ("text", "edited", "next_text"))
-    known = marked.select("*", differing(text, edited).alias("differing"), differing(text, follows).alias("differing_next"))
-    return known.select(
+    made = marked.select("doc_id", "n_chars", "edited", *(sketch(F.col(f"{c}_digests")).alias(name) for c, name in (("text", "text"), ("edited", "changed"), ("next_text", "next"))))
+    apart = with_difference(with_difference(made, "text", "changed", "differing"), "text", "next", "differing_next")
+    return apart.select(
         "doc_id",
         "n_chars",
         "edited",
-        written(sketch(text)).alias("fingerprint"),
-        written(sketch(edited)).alias("edited_fingerprint"),
-        likeness(text, F.col("differing")).alias("near_edited"),
-        likeness(text, F.col("differing_next")).alias("near_next"),
+        written(F.col("text")).alias("fingerprint"),
+        written(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("text"), F.col("differing")).alias("near_edited"),
+        likeness(F.col("text"), F.col("differing_next")).alias("near_next"),
         "differing",
     )

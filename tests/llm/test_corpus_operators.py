@@ -274,6 +274,43 @@ def test_fingerprint_order_of_nulls_repeats_and_one_row(spark):
     assert fingerprint.fingerprints(frame(spark, ["x"]).where("false")).count() == 0
 
 
+def line_sets(rng):
+    """Pairs of texts from equal to unrelated, with few and with many lines."""
+    for n in (1, 2, 9, 40, 300, 700):
+        base = [f"line {rng.randrange(10**9)}" for _ in range(n)]
+        for changed in (0, 1, n // 4, n // 2, n):
+            yield base, base[: n - changed] + [f"other {rng.randrange(10**9)}" for _ in range(changed)]
+        yield base, base + base[:3] + ["more"] * 5
+        yield base, [f"else {k}" for k in range(rng.randrange(1, 900))]
+
+
+@pytest.mark.parametrize("attempts", [6, 0])
+def test_written_fingerprints_subtract(spark, monkeypatch, attempts):
+    """From the written sketches alone; without an attempt to peel, every digest is listed."""
+    monkeypatch.setattr(fingerprint, "ATTEMPTS", attempts)
+    pairs = list(line_sets(random.Random(8)))
+    df = spark.createDataFrame([(k, "\n".join(a), "\n".join(b)) for k, (a, b) in enumerate(pairs)], "k long, a string, b string")
+    written = df.select("k", *(fingerprint.written(fingerprint.sketch(fingerprint.digests(F.col(c)))).alias(c) for c in "ab")).cache()
+    both = [fingerprint.parsed(F.col(c)) for c in "ab"]
+    again = written.select("k", "a", fingerprint.written(both[0]).alias("again"), *(x.alias(n) for x, n in zip(both, ("x", "y"), strict=True)))
+    apart = fingerprint.with_difference(again, "x", "y", "d")
+    out = apart.select("k", "a", "again", fingerprint.likeness(F.col("x"), F.col("d")).alias("like"), F.size("d").alias("n"), F.col("x.size").alias("size")).collect()
+    for r in out:
+        a, b = (set(Counter(x).items()) for x in pairs[r["k"]])
+        assert r["a"] == r["again"] and r["n"] == len(a ^ b) and r["like"] == pytest.approx(len(a & b) / len(a | b))
+        assert (r["size"] == 0) == (attempts == 0)
+
+
+def test_a_difference_that_does_not_peel_is_made_again_larger(spark):
+    """Forty digests in tables of eight cells: the first difference is stuck, the next size settles it."""
+    a, b = ([f"{side} {k}" for k in range(20)] + [f"same {k}" for k in range(400)] for side in "ab")
+    row = spark.createDataFrame([("\n".join(a), "\n".join(b))], "a string, b string").select(*(fingerprint.sketch(fingerprint.digests(F.col(c))).alias(c) for c in "ab"))
+    cells = lambda size: fingerprint.gathered(F.concat(fingerprint.folded(F.col("a"), F.lit(size), 1), fingerprint.folded(F.col("b"), F.lit(size), -1)))
+    stuck = [F.size(fingerprint.peeled(cells(size), F.lit(size).cast("long"))["rest"]).alias(f"r{size}") for size in (8, 64)]
+    got = fingerprint.with_difference(row, "a", "b", "d").select(*stuck, "d").first()
+    assert got["r8"] > 0 and got["r64"] == 0 and Counter(x["sign"] for x in got["d"]) == {1: 20, -1: 20}
+
+
 def test_likeness_follows_from_the_fingerprints_alone(spark):
     """What the sketches list, entered in plain sets, gives the likeness; sizes go up with the paragraphs."""
     rng = random.Random(3)
