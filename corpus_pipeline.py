@@ -22,9 +22,12 @@ from pulsegrid.llm.queries import VOCABULARY
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go; ambiguous ones stay, as they are clean; nulls in other columns do not matter."""
-    found = language.identify(whole_rows(docs, text=F.col("text")), language.fit(docs, F.lit(True)))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select("row.*")
+    """Documents without a language (no text, or no letter in it) go; of the others ``lang`` becomes the language decoded, except where the decoding is ambiguous
+    and the row names one. Nulls in other columns do not matter.
+    """
+    found = language.identify(whole_rows(docs, text=F.col("text")), language.fit(docs, F.lit(True))).where(F.col("lang_pred") != language.UNKNOWN)
+    named = F.when(F.col("ambiguous") & F.col("row.lang").isNotNull(), F.col("row.lang")).otherwise(F.col("lang_pred"))
+    return found.select(*((named if c == "lang" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
