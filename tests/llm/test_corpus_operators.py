@@ -189,11 +189,56 @@ def test_leaks_are_those_of_brute_force(spark, monkeypatch):
     assert all(abs(r["similarity"] - best_similarity(texts[r["doc_id"]], items[r["item_id"]])) < 1e-9 for r in out if r["similarity"] == 1.0)
     kept = {r["doc_id"] for r in decontam.decontaminate(frame(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {i for i, _ in want}
-    for name, value in (("BROADCAST_ITEMS", 0), ("LEAST_BITS", 128), ("MOST_BITS", 128)):  # the way of a benchmark that outgrows table and broadcast
+    for name, value in (("BROADCAST_ITEMS", 0), ("BROADCAST_PROBES", 0), ("SEGMENT", 16), ("LEAST_BITS", 128), ("MOST_BITS", 128)):  # the way of a benchmark that outgrows table and broadcast, and of texts in many parts
         monkeypatch.setattr(decontam, name, value)
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(spark, texts), bench).collect()} == want
 
 
+def test_fingerprints_within_the_radius_meet_in_a_block(spark):
+    """The guarantee of the index, at the radius itself, and that far ones seldom meet."""
+    rng = random.Random(17)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = []
+    for far in [*range(decontam.RADIUS + 1)] * 20 + [32] * 200:
+        a = rng.getrandbits(64)
+        pairs.append((far, signed(a), signed(a ^ sum(1 << k for k in rng.sample(range(64), far)))))
+    df = spark.createDataFrame(pairs, "far int, a long, b long")
+    met = df.select("far", F.arrays_overlap(decontam.blocks(F.col("a")), decontam.probes(F.col("b"))).alias("met"), F.size(decontam.probes(F.col("b"))).alias("n")).collect()
+    assert all(r["met"] for r in met if r["far"] <= decontam.RADIUS) and max(r["n"] for r in met) <= decontam.BLOCKS * decontam.PROBES
+
+
+def test_window_prints_are_those_of_plain_votes(spark):
+    rng = random.Random(18)
+    doc = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
+    windows = [(n, min(n, 60 - s), s) for n in (1, 7, 30, 80) for s in range(0, 60, 5)]
+    rows = spark.createDataFrame([("t", 0, n, m, s, [n]) for n, m, s in windows], "text_key string, seg int, n int, m int, start int, items array<int>")
+    got = {(r["n"], r["start"]): r["print"] for r in decontam.window_prints(spark.createDataFrame([("t", 0, doc)], "text_key string, seg int, part array<long>"), rows).collect()}
+    for n, m, s in windows:
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in doc[s : s + m]) > m)
+        assert got[n, s] % (1 << 64) == want
+
+
+def test_simhash_distances_of_similar_windows_lie_within_the_radius():
+    """The radius is no guarantee for texts, so its recall is measured: 3000 pairs of similarity 0.8 to 0.9."""
+    rng, far = np.random.default_rng(5), []
+    while len(far) < 3000:
+        n = int(rng.integers(12, 120))
+        shared = int(np.ceil(n * rng.uniform(0.889, 0.95)))
+        h = rng.integers(0, 2, (2 * n - shared, 64))
+        prints = [2 * h[rows].sum(axis=0) > n for rows in (np.arange(n), np.r_[np.arange(shared), np.arange(n, 2 * n - shared)])]
+        far.append(int((prints[0] != prints[1]).sum()))
+    print(f"largest distance {max(far)}, beyond the radius {sum(x > decontam.RADIUS for x in far)} of {len(far)}")
+    assert sum(x > decontam.RADIUS for x in far) <= 3
+
+
+def test_items_of_one_length_meet_only_what_shares_their_shingles(spark):
+    rng = random.Random(19)
+    items = [" ".join(prose(rng, 40)) for _ in range(200)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = decontam.contaminated(frame(spark, items), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} >= {(i, i) for i in range(200)} and len(out) < 220
+
+
 def test_long_items_with_spread_insertions_and_deletions(spark):
     rng = random.Random(21)
     items = [prose(rng, 300), prose(rng, 1000)]

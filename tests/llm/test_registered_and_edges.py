@@ -284,3 +284,16 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert name == "byte_bpe" or docs.columns == before
         # without null and letterless texts; of the equal ones that with the id stays
         assert docs.count() == (0 if empty else sum(bool(t and re.search("[a-z]", t)) for t in ODD) - 1)
+
+
+def test_the_language_stage_names_languages_and_keeps_clean_documents(spark):
+    """Rows whose ``lang`` is missing or wrong get the language decoded; only letterless texts go."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").repartition(3)
+    tampered = docs.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, F.lit(None)).when(F.col("doc_id") % 17 == 1, F.lit("fr")).otherwise(F.col("lang")))
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, tampered, FOLDER).collect()}
+    rows = docs.collect()
+    assert set(kept) == {r["doc_id"] for r in rows if r["text"] and re.search(r"[^\W\d_]", r["text"])}
+    judged = [(kept[r["doc_id"]], r["lang"]) for r in rows if r["doc_id"] in kept]
+    assert sum(a == b for a, b in judged) >= 0.97 * len(judged)
