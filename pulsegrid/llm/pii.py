@@ -39,7 +39,8 @@ TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: From the end of what is before a token backwards: its last word or two.
 WORDS_BACK = r"^[^\p{L}\p{N}]*+\p{L}+(?:[^\p{L}\p{N}]+\p{L}+)?"
 
-ROUNDS = 3
+#: Rounds of scoring end when no pattern's score rises by more.
+SETTLED = 1e-3
 PATTERN_SCORE, PATTERN_SEEDS, INSTANCE_SCORE = 0.85, 5, 0.85
 SPANS = "array<struct<start:int,end:int,value:string,before:string>>"
 
@@ -146,14 +147,21 @@ def instances(spans: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap(graph: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of patterns (with their support) and of instances, from edges ``pattern``, ``value``, ``seed``."""
-    scores = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(rounds):
-        patterns = graph.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("pattern_score"), F.sum((F.col("score") >= INSTANCE_SCORE).cast("int")).alias("support"))
+def bootstrap(graph: DataFrame, settled: float = SETTLED) -> tuple[DataFrame, DataFrame]:
+    """Scores of patterns (with their support) and of instances, from edges ``pattern``, ``value``, ``seed``.
+
+    Scores only rise from round to round; rounds go on until no pattern rises by more than ``settled``, so discovered instances support patterns as often as it takes.
+    """
+    scores, before = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score")), None
+    while True:
+        patterns = cut_lineage(graph.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("pattern_score"), F.sum((F.col("score") >= INSTANCE_SCORE).cast("int")).alias("support")))
         doubt = F.sum(F.log1p(-F.least(F.col("pattern_score"), F.lit(0.999)) * (F.col("pattern_score") >= 0.5).cast("int")))
-        scores = graph.join(patterns, "pattern").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(doubt)).alias("score"))
-    return patterns, scores
+        scores = cut_lineage(graph.join(patterns, "pattern").groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(doubt)).alias("score")))
+        if before is not None:
+            rise = patterns.join(before.select("pattern", F.col("pattern_score").alias("was")), "pattern").agg(F.max(F.col("pattern_score") - F.col("was"))).first()[0]  # one row
+            if rise is None or rise <= settled:
+                return patterns, scores
+        before = patterns
 
 
 def found(spans: DataFrame) -> DataFrame:
