@@ -194,6 +194,22 @@ def test_leaks_are_those_of_brute_force(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(spark, texts), bench).collect()} == want
 
 
+def test_recall_of_near_duplicate_keys_by_text_size():
+    """Pairs of similarity 0.8 to 0.9, the hardest ones, that share a key, below 16 shingles, from 12 to 15 and above."""
+    rng, words = random.Random(23), WordHashes()
+    for low, high in ((5, 11), (12, 15), (16, 40), (41, 400)):
+        pairs = met = 0
+        while pairs < 400:
+            a = prose(rng, rng.randrange(low, high + 1) + 4)
+            b = variant(rng, a, max(1, int(len(a) * rng.uniform(0.005, 0.03))))
+            x, y = (neardup.labelled(neardup.shingle_hashes(" ".join(t), words)) for t in (a, b))
+            if 0.8 <= neardup.aligned(x, y) < 0.9:
+                pairs += 1
+                met += bool(set(neardup.order_minhash(x)) & set(neardup.order_minhash(y)))
+        print(f"{low} to {high} shingles: {met} of {pairs}")
+        assert met >= 0.99 * pairs
+
+
 def test_fingerprints_within_the_radius_meet_in_a_block(spark):
     """The guarantee of the index, at the radius itself, and that far ones seldom meet."""
     rng = random.Random(17)
