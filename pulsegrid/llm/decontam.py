@@ -190,12 +190,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     )
     length = max(SEGMENT, facts["most"] or 1)
     pairs = shared.select("text_key", "item_id", "n", F.least("doc_n", "n").alias("m"), F.explode(window_starts(F.col("at"), F.col("n"), F.col("doc_n"), F.col("least"))).alias("start"))
-    windows = cut_lineage(pairs.groupBy("text_key", F.floor(F.col("start") / length).cast("int").alias("seg"), "n", "m", "start").agg(F.collect_set("item_id").alias("items")))
-    # a part holds every window that starts in its segment, so long texts are worked on in parts
-    wanted = windows.select("text_key", "seg").distinct()
-    parts = cut_lineage(wanted.join(texts.select("text_key", "doc"), "text_key").select("text_key", "seg", F.slice("doc", F.col("seg") * length + 1, F.lit(length + (facts["most"] or 1))).alias("part")))
-    inside = windows.withColumn("start", F.col("start") - F.col("seg") * length)
-    marked = window_prints(parts, inside)
+    together = Window.partitionBy("text_key", "seg")
+    windows = pairs.groupBy("text_key", F.floor(F.col("start") / length).cast("int").alias("seg"), "n", "m", "start").agg(F.collect_set("item_id").alias("items")).withColumn("low", F.min("start").over(together))
+    windows = cut_lineage(windows)
+    # a part holds every window that starts in its segment, from the first to the end of the last, so long texts are worked on in parts
+    wanted = windows.groupBy("text_key", "seg", "low").agg(F.max(F.col("start") + F.col("m")).alias("high"))
+    parts = cut_lineage(wanted.join(texts.select("text_key", "doc"), "text_key").select("text_key", "seg", "low", F.slice("doc", F.col("low") + 1, F.col("high") - F.col("low")).alias("part")))
+    marked = window_prints(parts, windows.withColumn("start", F.col("start") - F.col("low")).drop("low"))
 
     item_prints = fingerprints(pieces.select("item_id", "shingle"), "item_id").withColumnRenamed("print", "item_print")
     indexed = item_prints.select("item_id", "item_print", F.inline(probes(F.col("item_print"))))
@@ -213,7 +214,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     held = cut_lineage(items.select("item_id", numbered(F.col("item")).alias("item")))
     held = F.broadcast(held) if facts["pieces"] <= BROADCAST_ITEMS else held
     compared = candidates.join(parts, ["text_key", "seg"]).join(held, "item_id").withColumn("similarity", weighted_similarity(F.slice("part", F.col("start") + 1, F.col("m")), F.col("item")))
-    verified = compared.where(F.col("similarity") >= similarity).withColumn("start", F.col("start") + F.col("seg") * length)
+    verified = compared.where(F.col("similarity") >= similarity).withColumn("start", F.col("start") + F.col("low"))
     return verified.groupBy("text_key", "item_id").agg(F.min_by("start", F.struct(-F.col("similarity"), F.col("start"))).alias("start"), F.max("similarity").alias("similarity"))
 
 
