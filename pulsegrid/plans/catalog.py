@@ -702,8 +702,7 @@ def alerts_explained(f: Fleet) -> DataFrame:
 
 
 @functools.cache
-def stored_run(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the summaries and the master as the last full run left them, under the default rules; written once in a session."""
+def _stored_run(spark: SparkSession, sf_dir: str, stamp: tuple) -> str:
     f = Fleet(spark, sf_dir)
     path = _own_folder(f, "stored")
     classify.classify(f.summary, rules.rules_row(rules.rules_table(f.spark, rules.DEFAULTS))).write.parquet(f"{path}/summary")
@@ -711,6 +710,14 @@ def stored_run(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def stored_run(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the summaries and the master as a full run left them: drops as the rules in use detect them, classified under the default rules.
+
+    Written once in a session for each state of the events.
+    """
+    return _stored_run(spark, sf_dir, store.stamp(spark, f"{sf_dir}/events.parquet"))
+
+
 def _reclassified(f: Fleet) -> DataFrame:
     summaries, master = (f.spark.read.parquet(f"{stored_run(f.spark, f.sf_dir)}/{name}") for name in ("summary", "master"))
     return classify.reclassify(summaries, master, f.rule_row, f.as_of)

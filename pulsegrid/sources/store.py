@@ -31,6 +31,12 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in _system(spark, path).listStatus(_path(spark, path))] if exists(spark, path) else []
 
 
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells two states of a table apart: name, size and time of its files."""
+    listed = _system(spark, path).listStatus(_path(spark, path)) if exists(spark, path) else []
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     _system(spark, path).delete(_path(spark, path), True)
 
@@ -136,7 +142,7 @@ def read_days(spark: SparkSession, path: str, days: Iterable, like: DataFrame) -
     """The stored rows of some days; other partitions are not listed for reading. Before the first delivery, no rows of the columns of ``like``."""
     if not exists(spark, path):
         return like.where("false")
-    return spark.read.parquet(path).where(F.col("day").isin(list(days)))
+    return spark.read.parquet(path).where(F.col("day").isNotNull() & F.col("day").isin(list(days)))
 
 
 def replace_days(rows: DataFrame, path: str) -> None:

@@ -354,3 +354,14 @@ def test_the_export_has_one_file_for_a_device_and_set(spark, tmp_path):
     for name in ("summary", "battery", "records"):
         folders = [d for d in (tmp_path / name).iterdir() if d.name.startswith("amid=")]
         assert folders and all(len(list(d.glob("*.parquet"))) == 1 for d in folders)
+
+
+def test_stored_summaries_follow_their_tables(spark, tmp_path):
+    """A session does not go on with the summaries of tables that have changed since."""
+    for name in ("events", "customer", "nation"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").where("true" if name != "events" else "event_id % 2 = 0").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = catalog.stored_run(spark, str(tmp_path))
+    assert catalog.stored_run(spark, str(tmp_path)) == before
+    spark.read.parquet(f"{FOLDER}/events.parquet").write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+    after = catalog.stored_run(spark, str(tmp_path))
+    assert after != before and rows_of(spark.read.parquet(f"{after}/summary").select("amid", "gps_total_window")) == rows_of(catalog.Fleet(spark, FOLDER).summary.select("amid", "gps_total_window"))
