@@ -2,8 +2,9 @@
 
 Patterns give the base findings: an assignment to a secret-like name, an access key id and a long hexadecimal run. A
 candidate is a run of 12 or more token characters with a letter and a digit, or a piece of it between base findings; a small
-convolutional network reads it with what stands before and after it, a long one in overlapping windows, and adds it where its best calibrated
-probability reaches the threshold.
+convolutional network reads it with the :data:`LEFT` characters before it and the :data:`RIGHT` after it, a long one in overlapping windows of :data:`INSIDE`
+characters, each with its own surroundings, and adds it where its best calibrated probability reaches the threshold. Runs that are shorter, or of letters or
+of digits alone, are words and numbers; they are never asked.
 
 The network is trained in numpy on labelled findings made from the families :data:`FOUND` and :data:`HARMLESS`. A part kept aside
 calibrates its output (logistic scaling) and sets the threshold: the largest one that still finds ``recall`` of the labelled secrets.

@@ -166,7 +166,9 @@ def test_language_flags_a_text_between_two_and_distrusts_bits_that_fail():
 def test_codewords_keep_their_distance():
     for n, least in ((3, 2), (4, 4), (6, 16), (7, 8), (20, 13)):
         code = language.codewords(n)
-        assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= least
+        assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) == language.least_distance(code) >= least
+    drawn = [np.array([rng.permutation(np.where(np.arange(20) < 10, 1, -1)) for _ in range(50)]).T for rng in map(np.random.default_rng, range(50, 60))]
+    assert language.least_distance(language.codewords(20)) >= max(map(language.least_distance, drawn)) - 1
 
 
 def test_scores_of_the_pattern_graph_are_those_of_plain_loops(spark):
