@@ -139,8 +139,8 @@ def days_of(rows: DataFrame, time: str) -> list:
 
 
 def read_days(spark: SparkSession, path: str, days: Iterable, like: DataFrame) -> DataFrame:
-    """The stored rows of some days; other partitions are not listed for reading. Before the first delivery, no rows of the columns of ``like``."""
-    if not exists(spark, path):
+    """The stored rows of some days; other partitions are not read. Before the first delivery that has rows, none, of the columns of ``like``."""
+    if not any(n.startswith("day=") for n in names_in(spark, path)):
         return like.where("false")
     return spark.read.parquet(path).where(F.col("day").isNotNull() & F.col("day").isin(list(days)))
 

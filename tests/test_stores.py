@@ -206,6 +206,20 @@ def test_the_first_delivery_makes_the_store(spark, tmp_path):
     assert spark.read.parquet(path).count() == tel.count()
 
 
+def test_deliveries_without_rows(spark, tmp_path):
+    tel, path, days = fixtures.telemetry(spark, FOLDER), str(tmp_path / "tel"), incremental.Days(spark, str(tmp_path / "d"))
+    none = {"obtained": 0, "created": 0, "duplicates": 0}
+    for empty in (tel.where("false"), tel.where("id < -5"), spark.createDataFrame([], tel.schema)):
+        assert files.append_telemetry(spark, empty, path) == none
+    assert files.append_telemetry(spark, tel, path)["created"] == tel.count()
+    for empty in (tel.where("false"), tel.where("id < -5"), spark.createDataFrame([], tel.schema)):
+        assert files.append_telemetry(spark, empty, path) == none
+    fleet = catalog.Fleet(spark, FOLDER)
+    for delivery in (tel.where("false"), tel, tel.where("id < -5")):
+        days.deliver(delivery, fleet.master, fleet.rule_row, fixtures.AS_OF_TIME)
+    assert rows_of(days.summary(fleet.master, fleet.as_of)) == rows_of(fleet.summary)
+
+
 def test_a_failed_append_is_logged_as_failed_and_can_be_repeated(spark, tmp_path):
     tel, path, log = fixtures.telemetry(spark, FOLDER), str(tmp_path / "tel"), str(tmp_path / "log")
     now = s.ntz(fixtures.AS_OF)
