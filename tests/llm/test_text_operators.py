@@ -266,4 +266,4 @@ def test_url_rules_and_parts(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered(name):
-    assert re.fullmatch(r"op([1-9]|10)_\w+", name)
+    assert re.fullmatch(r"op([1-9]|1[0-3])_\w+", name)
