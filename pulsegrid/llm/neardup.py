@@ -10,7 +10,9 @@ Equal texts are one node from the start, and groups of equal members are one gro
 its groups: the text with most company in them, most likely the original. That settles most. Groups that are still in several classes are
 then searched in blocks of bounded size: the texts outside the largest class of a group are held against all of it, an index of the shingles of a block
 tells which pairs can be similar, and links between classes alone leave the task. So no link between the classes of a
-group is missed, no group makes its pairs as rows, and a group of any size takes the same path.
+group is missed, and no group makes its pairs as rows. Where very many unlike texts share a key, as with a passage that all of them hold, each would be held against all; such groups are first
+split by their rarest shingles: two similar texts share one of those that stand first when the shingles of each are ordered by the number of texts that have them, so texts that these do
+not connect need not meet. That is exact, and a text is in one part only.
 
 Skewed keys: the text of a centre is repeated for shares of those compared with it, blocks split groups, and joins on a class or on a copied
 text are between a large and a one-row side, which adaptive execution splits.
@@ -41,8 +43,8 @@ SIMILARITY = 0.8
 SKETCHES = 24
 #: Shingles in a key, for texts from so many shingles and below so many; the ranges overlap so that similar texts share a kind.
 KEY_SIZES = ((2, 1, 16), (6, 12, math.inf))
-#: Texts compared with one copy of a centre, and shingles in a block of a group.
-FAN, BLOCK = 1000, 1 << 20
+#: Texts compared with one copy of a centre, shingles in a block of a group, and blocks outside the largest class from which a group is split.
+FAN, BLOCK, WIDE = 1000, 1 << 20, 8
 WORD = re.compile(r"[^\W_]+")
 _FACTORS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -202,11 +204,49 @@ def unsettled(grouped: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(several, "group", "left_semi")
 
 
+def group_sizes(open_groups: DataFrame) -> DataFrame:
+    """Of each ``group`` its largest class ``main``, and the shingles of ``all`` texts and of the ``others`` outside that class."""
+    counts = open_groups.groupBy("group", "label").agg(F.sum("n").alias("n"))
+    return counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others"))
+
+
+def rarest(texts: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """``key``, ``n`` and ``keys``: of each text the shingles that stand first by the number of texts that have them, as many as similar texts cannot all miss.
+
+    Those of one text alone stand before all others and connect nothing; a text with enough of them is left out.
+    """
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1 << 22, "seq"):
+                seqs = [np.frombuffer(x, "<i4") for x in part.column("seq").to_pylist()]
+                of = np.repeat(np.arange(len(seqs), dtype=np.int32), [len(x) for x in seqs])
+                yield pa.RecordBatch.from_arrays([*part.select(["key", "n"]).take(pa.array(of)).columns, pa.array(np.concatenate(seqs))], ["key", "n", "shingle"])
+
+    pieces = texts.select("key", "n").join(sequences, "key").select("key", "n", "seq").mapInArrow(exploded, "key binary, n int, shingle int")
+    often = pieces.groupBy("shingle").agg(F.count("*").alias("f")).where(F.col("f") > 1)
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    held = pieces.join(often, "shingle").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("held"))
+    wanted = (first - (F.col("n") - F.size("held"))).cast("int")
+    return held.where(wanted > 0).select("key", "n", F.array_distinct(F.transform(F.slice("held", F.lit(1), wanted), lambda x: x["shingle"].cast("long"))).alias("keys"))
+
+
+def split(open_groups: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``open_groups``, with those of wide groups in the parts that their rarest shingles connect; parts of one class are left out."""
+    wide = group_sizes(open_groups).where(F.col("others") > WIDE * BLOCK).select("group")
+    texts = cut_lineage(open_groups.join(wide, "group", "left_semi").select("key", "n", "label").distinct())
+    if texts.isEmpty():
+        return open_groups
+    shared = candidate_groups(cut_lineage(rarest(texts, sequences, similarity)))
+    parts = components(shared.select(F.col("key").alias("a"), F.encode(F.col("group").cast("string"), "UTF-8").alias("b")))  # 16 bytes for a text, fewer for a shingle
+    finer = texts.select("key", "n").join(parts.select("key", F.xxhash64("label").alias("group")), "key")
+    fields = ["group", "key", "n", "label"]
+    return open_groups.join(wide, "group", "left_anti").select(fields).unionByName(unsettled(finer, texts.select("key", "label")).select(fields))
+
+
 def block_links(open_groups: DataFrame, sequences: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``a``, ``b`` of classes with similar texts: those outside the largest class of a group against all of it, block by block."""
-    counts = open_groups.groupBy("group", "label").agg(F.sum("n").alias("n"))
-    largest = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others"))
-    rows = open_groups.join(largest, "group").join(sequences, "key")
+    rows = open_groups.join(group_sizes(open_groups), "group").join(sequences, "key")
     n_all, n_others = F.ceil(F.col("all") / BLOCK), F.ceil(F.col("others") / BLOCK)
     of = lambda seed, n: F.pmod(F.xxhash64("key", F.lit(seed)), n).cast("int")
     numbers = lambda n: F.sequence(F.lit(0), n.cast("int") - 1)
@@ -289,7 +329,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels = roots(cut_lineage(verified(centres(grouped), sequences, similarity)))
     open_groups = cut_lineage(unsettled(grouped, labels))
     if not open_groups.isEmpty():
-        merged = components(block_links(open_groups, sequences, similarity)).select(F.col("key").alias("was"), F.col("label").alias("now"))
+        merged = components(block_links(split(open_groups, sequences, similarity), sequences, similarity)).select(F.col("key").alias("was"), F.col("label").alias("now"))
         known = grouped.select("key").distinct().join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("was"))
         labels = known.join(merged, "was", "left").select("key", F.coalesce("now", "was").alias("label"))
 

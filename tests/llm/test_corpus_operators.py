@@ -121,9 +121,11 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert sorted(r["doc_id"] for r in neardup.deduplicate(frame(spark, texts)).collect()) == sorted(set(want.values()))
 
 
-def test_blocks_find_what_stars_and_chains_leave(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [8, 0])
+def test_blocks_find_what_stars_and_chains_leave(spark, monkeypatch, wide):
     monkeypatch.setattr(neardup, "FAN", 3)
     monkeypatch.setattr(neardup, "BLOCK", 400)
+    monkeypatch.setattr(neardup, "WIDE", wide)
     rng = random.Random(4)
     base = prose(rng, 120)
     texts = [" ".join(variant(rng, base, rng.randrange(2, 9))) for _ in range(70)]
@@ -131,6 +133,49 @@ def test_blocks_find_what_stars_and_chains_leave(spark, monkeypatch):
     assert got == plain_classes(list(enumerate(texts)))
 
 
+def of_one_passage(rng, n):
+    """Unlike texts that share a passage of 80 words, with a similar one for every fifth."""
+    passage = prose(rng, 80)
+    texts = []
+    for _ in range(n):
+        own = [f"u{rng.randrange(10**9)}" for _ in range(60)]
+        texts.append(" ".join([*own, *passage]))
+        if rng.random() < 0.2:
+            texts.append(" ".join([*variant(rng, own, 1), *passage]))
+    return texts
+
+
+def test_wide_groups_of_unlike_texts_are_split(spark, monkeypatch):
+    """A key that all texts share: only texts with rare shingles in common are held against each other, and no link is lost."""
+    monkeypatch.setattr(neardup, "BLOCK", 2000)
+    monkeypatch.setattr(neardup, "WIDE", 0)
+    monkeypatch.setattr(neardup, "order_minhash", lambda marked: [7])  # one group of all
+    held = []
+    plain = neardup.block_links
+    monkeypatch.setattr(neardup, "block_links", lambda groups, *rest: held.append(groups.count()) or plain(groups, *rest))
+    texts = of_one_passage(random.Random(6), 120)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, texts)).collect()}
+    want = plain_classes(list(enumerate(texts)))
+    assert got == want
+    similar = sum(n for n in Counter(want.values()).values() if n > 1)
+    assert 20 < similar < len(texts) / 2 and held[0] <= similar  # pairs that the first comparison settled do not come back
+
+
+def test_prefixes_of_rare_shingles_meet(spark):
+    """Every similar pair shares one of its first shingles, at several thresholds, repeated shingles and short texts included."""
+    rng = random.Random(8)
+    base = prose(rng, 60)
+    texts = [" ".join(variant(rng, base[: rng.randrange(6, 60)], rng.randrange(4))) for _ in range(60)] + ["a b c d e f g", "a b c d e f g h", "x " * 30, "x " * 34]
+    words = WordHashes()
+    seqs = {str(i).encode(): neardup.labelled(neardup.shingle_hashes(t, words)).astype("<u4") for i, t in enumerate(texts)}
+    sequences = spark.createDataFrame([(bytearray(k), bytearray(s.tobytes())) for k, s in seqs.items()], "key binary, seq binary")
+    nodes = spark.createDataFrame([(bytearray(k), len(s)) for k, s in seqs.items()], "key binary, n int")
+    for similarity in (0.6, 0.8, 0.9):
+        first = {bytes(r["key"]): set(r["keys"]) for r in neardup.rarest(nodes, sequences, similarity).collect()}
+        pairs = [(a, b) for a in seqs for b in seqs if a < b and neardup.aligned(seqs[a], seqs[b], similarity) >= similarity]
+        assert len(pairs) > 3 and all(first.get(a, set()) & first.get(b, set()) for a, b in pairs)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "one two three four five six seven"
     out = neardup.near_duplicates(frame(spark, [text, text, text, "another text of its own"], [4, 4, None, None])).collect()
