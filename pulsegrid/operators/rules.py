@@ -128,6 +128,11 @@ def require_valid(rules: DataFrame) -> DataFrame:
     return rules
 
 
+def _sorted_side(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One side of a join of rules. Those of many fleets can come from few bytes, which Spark's size check takes for a table that fits the driver: joined by order, on all shuffle partitions."""
+    return rules.repartition(int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).hint("merge")
+
+
 def key_difference(rules: DataFrame, expected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Keys on one side only, with the side."""
     keys = [*by, "key"]
@@ -138,7 +143,7 @@ def key_difference(rules: DataFrame, expected: DataFrame, by: Sequence[str] = ()
 def rule_changes(rules: DataFrame, requested: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Requested values (text) that differ from the current ones as decimals, so that 2.00 is 2; unknown keys and unreadable values are marked ``rejected``."""
     wanted = requested.select(*by, "key", F.trim("value").try_cast("decimal(12,4)").alias("new_value"))
-    both = wanted.join(rules.select(*by, "key", F.col("value").alias("old_value"), "type"), [*by, "key"], "left")
+    both = wanted.join(_sorted_side(rules.select(*by, "key", F.col("value").alias("old_value"), "type"), [*by, "key"]), [*by, "key"], "left")
     rejected = F.col("type").isNull() | F.col("new_value").isNull()
     differs = ~F.col("old_value").eqNullSafe(F.col("new_value"))
     return both.where(rejected | differs).select(*by, "key", "old_value", "new_value", "type", rejected.alias("rejected"))

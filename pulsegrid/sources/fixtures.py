@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ AS_OF_TIME = dt.datetime.fromisoformat(AS_OF)
 # The default site.
 LAB = {"nombre": "Laboratorio", "lat": -33.437191, "lon": -70.656102, "radio": 150.0}
 FIRST_EAV_DEVICE = 7_499_990
+#: Fleets whose rules are made by one task, however few files hold their keys.
+FLEETS_A_TASK = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,7 +133,9 @@ def rule_sets(spark: SparkSession, sf_dir: str, values: dict[str, float], detect
     """Rules of many fleets, one for each customer: a standard set with faults and changes that follow the key."""
     key = F.col("c_custkey")
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(float(v)).alias("value"), F.lit("DETECCION" if k in detection else "CLASIFICACION").alias("type")) for k, v in values.items())))
-    fleets = table(spark, sf_dir, "customer").select(key.alias("fleet"), rows.alias("r")).select("fleet", "r.*")
+    customers = table(spark, sf_dir, "customer").select(key.alias("fleet"))
+    spread = customers.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(customers.count() / FLEETS_A_TASK)), "fleet")  # counted from the footers of the files
+    fleets = spread.select("fleet", rows.alias("r")).select("fleet", "r.*")
     changed = (
         F.when((F.col("fleet") % 13 == 1) & (F.col("key") == "GPS_CERO_HOY_ALTA_MAX"), 99.0)
         .when((F.col("fleet") % 13 == 2) & (F.col("key") == "GPS_PORC_HOY_CRITICA"), 101.0)
