@@ -183,6 +183,6 @@ def rule_history(old: DataFrame, new: DataFrame, user: str, as_of: Column, by: S
     """Audit rows of the rules whose value or active flag changes."""
     keys = [*by, "key"]
     before = old.select(*keys, F.col("value").alias("old_value"), F.col("active").alias("old_active"))
-    both = new.select(*keys, F.col("value").alias("new_value"), F.col("active").alias("new_active"), "type").join(before, keys)
+    both = new.select(*keys, F.col("value").alias("new_value"), F.col("active").alias("new_active"), "type").join(_sorted_side(before, keys), keys)
     changed = ~F.col("old_value").eqNullSafe(F.col("new_value")) | (F.col("old_active") != F.col("new_active"))
     return both.where(changed).select(*keys, "old_value", "new_value", "old_active", "new_active", "type", F.lit(user).alias("changed_by"), as_of.alias("changed_at"))
