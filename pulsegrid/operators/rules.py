@@ -159,7 +159,7 @@ def recompute_mode(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def changed_rules(rules: DataFrame, requested: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The rules with the accepted new values."""
     accepted = rule_changes(rules, requested, by).where(~F.col("rejected")).select(*by, "key", "new_value")
-    return rules.join(accepted, [*by, "key"], "left").withColumn("value", F.coalesce("new_value", "value")).select(*rules.columns)
+    return rules.join(_sorted_side(accepted, [*by, "key"]), [*by, "key"], "left").withColumn("value", F.coalesce("new_value", "value")).select(*rules.columns)
 
 
 def guarded_changes(rules: DataFrame, requested: DataFrame, by: Sequence[str] = ()) -> DataFrame:
