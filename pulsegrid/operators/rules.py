@@ -136,8 +136,9 @@ def _sorted_side(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
 def key_difference(rules: DataFrame, expected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Keys on one side only, with the side."""
     keys = [*by, "key"]
-    mine, theirs = rules.select(*keys).distinct(), expected.select(*keys).distinct()
-    return mine.exceptAll(theirs).withColumn("side", F.lit("extra")).unionByName(theirs.exceptAll(mine).withColumn("side", F.lit("missing")))
+    both = rules.select(*keys, F.lit("extra").alias("side")).unionByName(expected.select(*keys, F.lit("missing").alias("side")))
+    one = both.groupBy(*keys).agg(F.min("side").alias("side"), F.max("side").alias("other")).where(F.col("side") == F.col("other"))
+    return one.select(*keys, "side")
 
 
 def rule_changes(rules: DataFrame, requested: DataFrame, by: Sequence[str] = ()) -> DataFrame:
