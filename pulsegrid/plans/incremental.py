@@ -16,6 +16,8 @@ from pulsegrid.sources import files, store
 DAY = dt.timedelta(days=1)
 #: Days that the block job builds anew where none are named: today and the day before.
 REBUILT = 2
+#: Devices whose blocks of a day, 48 each, are spread and written by one task.
+DEVICES_A_FILE = 20_000
 
 
 def _around(days: Iterable[dt.date], before: int, after: int) -> set[dt.date]:
@@ -30,7 +32,8 @@ def rebuild_blocks(spark: SparkSession, telemetry: str, blocks: str, master: Dat
     """Build the stored blocks of some days anew from the stored readings of these days and those before them; other days stay as they are."""
     wanted = sorted(days)
     readings = _telemetry(spark, telemetry, _around(wanted, 1, 0))
-    store.replace_days(battery.blocks_of_days(readings, master, wanted), blocks)
+    parts = math.ceil(master.count() / DEVICES_A_FILE)
+    store.write_days(battery.blocks_of_days(readings, master, wanted, parts=max(1, parts)), blocks)
 
 
 def last_days(as_of: dt.datetime, days: int = REBUILT) -> list[dt.date]:

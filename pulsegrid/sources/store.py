@@ -148,7 +148,12 @@ def read_days(spark: SparkSession, path: str, days: Iterable, like: DataFrame) -
 def replace_days(rows: DataFrame, path: str) -> None:
     """Write the days that ``rows`` (with ``day``) hold in the place of those stored; other days are not touched, and a day is in few files."""
     by_day = rows.repartition("day", F.pmod(F.xxhash64("amid"), F.lit(FILES_A_DAY)))
-    by_day.sortWithinPartitions("day", "amid").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    write_days(by_day.sortWithinPartitions("day", "amid"), path)
+
+
+def write_days(rows: DataFrame, path: str) -> None:
+    """The same for rows that are dealt by day and in order already."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 #: A day is dealt to so many tasks at most, each of which writes one file of it.
