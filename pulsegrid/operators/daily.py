@@ -43,11 +43,27 @@ def gps_days(tel: DataFrame) -> DataFrame:
 
 def battery_days(blocks: DataFrame, drops: DataFrame) -> DataFrame:
     """One row for each device and day with a block that has data. ``drops`` are those of the same days, whether the block before lies in them or not."""
-    rows = blocks.where((F.col("has_data") == 1) & F.col("pct").isNotNull()).select("amid", F.to_date("slot").alias("day"), "slot", "pct")
+    levels = _with_data(blocks).groupBy("amid", F.to_date("slot").alias("day")).agg(*_levels())
+    return levels.join(drops.groupBy("amid", F.to_date("drop_ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct(*_DROP))).alias("drops")), ["amid", "day"], "left")
+
+
+def battery_states(blocks: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same with the drops of :func:`drops_of_days`, from one scan of the blocks and one shuffle by device."""
+    found = F.when(F.col("fall").isNotNull(), F.struct(*(F.col(f"fall.{c}") for c in _DROP)))
+    days = battery.with_falls(_with_data(blocks), rules).groupBy("amid", F.to_date("slot").alias("day")).agg(*_levels(), F.array_sort(F.collect_list(found)).alias("drops"))
+    return days.withColumn("drops", F.when(F.size("drops") > 0, F.col("drops")))
+
+
+_DROP = ("drop_ts", "drop_from_ts", "pct_from", "pct_to", "drop_points")
+
+
+def _with_data(blocks: DataFrame) -> DataFrame:
+    return blocks.where((F.col("has_data") == 1) & F.col("pct").isNotNull()).select("amid", "slot", "pct")
+
+
+def _levels() -> tuple[Column, ...]:
     zero = F.col("pct") == 0
-    levels = rows.groupBy("amid", "day").agg(F.count_if(zero).alias("n_zero"), F.max(F.when(zero, F.col("slot"))).alias("last_zero_ts"), F.max(F.struct("slot", "pct")).alias("last_block"))
-    fell = F.array_sort(F.collect_list(F.struct("drop_ts", "drop_from_ts", "pct_from", "pct_to", "drop_points")))  # a day has 48 blocks
-    return levels.join(drops.groupBy("amid", F.to_date("drop_ts").alias("day")).agg(fell.alias("drops")), ["amid", "day"], "left")
+    return F.count_if(zero).alias("n_zero"), F.max(F.when(zero, F.col("slot"))).alias("last_zero_ts"), F.max(F.struct("slot", "pct")).alias("last_block")
 
 
 def gps_merged(days: DataFrame, as_of: Column) -> DataFrame:

@@ -79,8 +79,7 @@ class Days:
         reach = math.ceil(float(rules.select("BAT_CAIDA_MAX_HORAS").first()[0]) / 24)  # one row
         changed = {d for d in _around(built, reach, reach) if d <= as_of.date()}
         near = self.spark.read.parquet(self.at("blocks")).where(F.col("day").isin(sorted(_around(changed, reach, reach))) & (F.col("slot") <= F.lit(as_of).cast("timestamp_ntz")))
-        fell = daily.drops_of_days(near, rules).where(F.to_date("drop_ts").isin(sorted(changed)))
-        store.replace_days(daily.battery_days(near.where(F.col("day").isin(sorted(changed))), fell), self.at("battery_days"))
+        store.replace_days(daily.battery_states(near, rules).where(F.col("day").isin(sorted(changed))), self.at("battery_days"))
 
     def summary(self, master: DataFrame, as_of: Column) -> DataFrame:
         """The summary of the window, from the states of its days alone."""
